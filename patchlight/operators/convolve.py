@@ -304,6 +304,7 @@ def relational_conv_cosine_pool(images: DataFrame, layer: Layer) -> DataFrame:
 
 
 def sampled_filters(images: DataFrame, shape: Shape, patch: int, filters: int, seed: int) -> np.ndarray:
-    """A bank of ``filters`` patches drawn from the images, without replacement."""
-    rows = sample_patches(images, shape, patch, filters, seed).select("patch").toArrow()
+    """A bank of ``filters`` patches drawn without replacement, in order of (image, y, x)."""
+    rows = sample_patches(images, shape, patch, filters, seed).toArrow()
+    rows = rows.sort_by([("image_id", "ascending"), ("y0", "ascending"), ("x0", "ascending")])
     return to_matrix(rows.column("patch").combine_chunks())

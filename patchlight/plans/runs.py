@@ -6,12 +6,11 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlight.operators import evaluation
 from patchlight.operators.convolve import Layer, layer_stack, sampled_filters
-from patchlight.operators.statistics import observed
 from patchlight.plans.config import FeatureConf, SolveConf
 from patchlight.solvers import linear, softmax, whitening
 from patchlight.solvers.whitening import Whitener
@@ -114,12 +113,14 @@ def run(
     spark = train.sparkSession
     started = time.time()
     whitener = fit_first_whitener(train, features)
-    counted, seen = observed(train, "train_images")
+    kept = folder is None
     if folder:
-        train_rows = featurize_stored(counted, replace(features, dataset=f"{features.dataset}-train"), folder, whitener=whitener)
+        train_rows = featurize_stored(train, replace(features, dataset=f"{features.dataset}-train"), folder, whitener=whitener)
         test_rows = featurize_stored(test, replace(features, dataset=f"{features.dataset}-test"), folder, whitener=whitener)
     else:
-        train_rows, test_rows = featurize(train, features, whitener), featurize(test, features, whitener)
+        # Solvers and scoring pass over the features several times.
+        train_rows = featurize(train, features, whitener).persist(StorageLevel.MEMORY_AND_DISK)
+        test_rows = featurize(test, features, whitener)
     model = fit(train_rows, solve)
     record = {
         "features": asdict(features),
@@ -128,6 +129,8 @@ def run(
         "test": evaluate(test_rows, model, solve.top_k),
         "seconds": round(time.time() - started, 3),
     }
+    if kept:
+        train_rows.unpersist()
     if results:
         append_run(spark, record, results)
     return record
