@@ -29,8 +29,14 @@ def l2_norm(vector: Column, offset: float = NORM_OFFSET) -> Column:
     return F.sqrt(sum_squares(vector, offset))
 
 
+def with_each(vector: Column, scalar: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f(v, scalar) for every v. The scalar is computed once per row, not once per element,
+    as it would be if the lambda named it."""
+    return F.zip_with(vector, F.array_repeat(scalar, F.size(vector)), f)
+
+
 def divided(vector: Column, by: Column) -> Column:
-    return F.transform(vector, lambda v: v / by)
+    return with_each(vector, by, lambda v, n: v / n)
 
 
 def l2_normalize(vector: Column, offset: float = NORM_OFFSET, normalize: bool = True) -> tuple[Column, Column]:
@@ -54,7 +60,7 @@ def dot(left: Column, right: Column) -> Column:
 def contrast_normalize(pixels: Column, scale: float = CONTRAST_SCALE, floor: float = CONTRAST_FLOOR) -> Column:
     """Subtract the image's own mean, then divide by its norm over ``scale``."""
     mean = total(pixels) / F.size(pixels)
-    centred = F.transform(pixels, lambda v: v - mean)
+    centred = with_each(pixels, mean, lambda v, m: v - m)
     contrast = F.sqrt(sum_squares(centred)) / F.lit(scale)
     return divided(centred, F.when(contrast <= F.lit(floor), F.lit(1.0)).otherwise(contrast))
 
@@ -134,13 +140,12 @@ def top_k(scores: Column, k: int) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda s: F.exp(s - top))
+    powers = with_each(scores, F.array_max(scores), lambda s, top: F.exp(s - top))
     return divided(powers, total(powers))
 
 
 def cross_entropy(scores: Column, label: Column, offset: float = LOG_OFFSET) -> Column:
     """-log(p[label] + offset) with p the softmax of the scores."""
     top = F.array_max(scores)
-    spread = total(F.transform(scores, lambda s: F.exp(s - top)))
+    spread = total(with_each(scores, top, lambda s, m: F.exp(s - m)))
     return -F.log(F.exp(F.get(scores, label) - top) / spread + F.lit(offset))

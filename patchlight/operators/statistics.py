@@ -151,15 +151,18 @@ def gram_rows(df: DataFrame, width: int, block: int, lam: float = 0.0, column: s
             return data[0][:, start : start + size].T @ data[0]
 
         rows = sum_rows(df, [vector_column(column)], accumulate, size)
-        index = F.col("i") + F.lit(start)
-        ridge = F.transform("row", lambda v, j, index=index: v + F.when(j == index, F.lit(lam)).otherwise(F.lit(0.0)))
-        parts.append(rows.select(F.lit(number).alias("block"), index.alias("i"), ridge.alias("row")))
+        placed = rows.select(F.lit(number).alias("block"), (F.col("i") + F.lit(start)).alias("at"), "row")
+        parts.append(placed.select("block", F.col("at").alias("i"), add_diagonal(F.col("row"), F.col("at"), lam).alias("row")))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole
 
 
+def add_diagonal(row: Column, index: Column, lam: float) -> Column:
+    return F.transform(row, lambda v, j: v + F.when(j == index, F.lit(lam)).otherwise(F.lit(0.0)))
+
+
 def class_moments(df: DataFrame, width: int, classes: int, column: str = "features", label: str = "label") -> np.ndarray:
     """classes x (1 + width): the count and the feature sums of each class."""
 

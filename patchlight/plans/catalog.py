@@ -72,7 +72,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rows(df: DataFrame, column: str, keys: tuple[str, ...] = ("image_id",), digits: int = 6) -> DataFrame:
     """Vectors as rows (keys, j, v)."""
     long = df.select(*keys, F.posexplode(column).alias("j", "v"))
-    return long.select(*keys, "j", shown(F.col("v"), digits).alias("v"))
+    return long.select(*keys, "j", shown(F.col("v").cast("double"), digits).alias("v"))
 
 
 # ---- images, patches and row transforms

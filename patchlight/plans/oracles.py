@@ -31,8 +31,10 @@ class Sql:
     def __init__(self) -> None:
         self.parts: list[str] = []
 
-    def add(self, name: str, body: str) -> str:
-        self.parts.append(f"{name} AS ({body})")
+    def add(self, name: str, body: str, keep: bool = False) -> str:
+        # Tables that a recursion reads must not be computed anew in each step.
+        once = "MATERIALIZED " if keep else ""
+        self.parts.append(f"{name} AS {once}({body})")
         return name
 
     def then(self, select: str) -> str:
@@ -380,8 +382,8 @@ sampled_patches(q, 3, 6)
 q.add("numbered", "SELECT *, row_number() OVER (ORDER BY image_id, oy, ox) - 1 AS f FROM chosen")
 q.add("bank", "SELECT f, px, v AS w FROM numbered JOIN p USING (image_id, ox, oy)")
 q.conv("out", "p", "bank")
-q.add("both", f"SELECT image_id, x, y, c + 6 * side AS c, greatest({d(0.0)}, CASE WHEN side = 0 THEN v ELSE -v END - {d(0.01)}) AS v FROM out, range(2) t(side)")
-q.pool("pooled", "both", 6, 6, 2, 2, "sum(v) / 4")
+q.add("sides", f"SELECT image_id, x, y, c + 6 * side AS c, greatest({d(0.0)}, CASE WHEN side = 0 THEN v ELSE -v END - {d(0.01)}) AS v FROM out, range(2) t(side)")
+q.pool("pooled", "sides", 6, 6, 2, 2, "sum(v) / 4")
 ORACLES["patch_bank_features"] = q.flat("pooled", 3, 12)
 
 
@@ -430,8 +432,8 @@ ORACLES["pool_general_l2"] = q.flat("pooled", 2, 4)
 
 q = Sql()
 q.image("im", 4, 4, 4)
-q.add("both", f"SELECT image_id, x, y, c + 4 * side AS c, greatest({d(0.0)}, CASE WHEN side = 0 THEN v ELSE -v END - {d(0.02)}) AS v FROM im, range(2) t(side)")
-q.pool("pooled", "both", 4, 4, 2, 2, "sum(v)", start=1)
+q.add("sides", f"SELECT image_id, x, y, c + 4 * side AS c, greatest({d(0.0)}, CASE WHEN side = 0 THEN v ELSE -v END - {d(0.02)}) AS v FROM im, range(2) t(side)")
+q.pool("pooled", "sides", 4, 4, 2, 2, "sum(v)", start=1)
 ORACLES["pool_rectify"] = q.flat("pooled", 2, 8)
 
 q = Sql()
@@ -676,6 +678,85 @@ q.bank("bank", 64, 64, SEED)
 q.add("out", f"SELECT image_id, px AS j, sum((v - {d(0.01)}) * w) AS v FROM cells JOIN bank ON f = pos GROUP BY ALL")
 ORACLES["whiten_apply"] = q.then(long("image_id, CAST(j AS INTEGER) AS j", "out"))
 
+
+
+def product(q: Sql, name: str, left: str, right: str, value: str = "sum(a.v * b.v)") -> str:
+    """Matrix product of (i, j, v) tables."""
+    return q.add(name, f"SELECT a.i, b.j, {value} AS v FROM {left} a JOIN {right} b ON b.i = a.j GROUP BY a.i, b.j", keep=True)
+
+
+def inverse_root(q: Sql, name: str, matrix: str, rounds: int) -> str:
+    """(i, j, v) of matrix^-1/2 by coupled Newton steps, scaled by the trace at first."""
+    q.add(f"{name}_t", f"SELECT sum(v) AS t FROM {matrix} WHERE i = j", keep=True)
+    y = q.add(f"{name}_y0", f"SELECT i, j, v / t AS v FROM {matrix}, {name}_t", keep=True)
+    z = q.add(f"{name}_z0", f"SELECT i, j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM {matrix}", keep=True)
+    for r in range(1, rounds + 1):
+        half = "(CASE WHEN a.i = b.j THEN 3 ELSE 0 END - sum(a.v * b.v)) / 2"
+        turn = product(q, f"{name}_h{r}", z, y, half)
+        y, z = product(q, f"{name}_y{r}", y, turn), product(q, f"{name}_z{r}", turn, z)
+    return q.add(name, f"SELECT i, j, v / sqrt(t) AS v FROM {z}, {name}_t", keep=True)
+
+
+def whitened(q: Sql, source: str, keys: str, epsilon: float, rounds: int) -> str:
+    """ZCA of rows (keys, pos, v): (keys, j, v)."""
+    q.add("w_mu", f"SELECT pos, avg(v) AS m FROM {source} GROUP BY 1")
+    q.add("w_rows", f"SELECT {keys}, pos, v - m AS v FROM {source} JOIN w_mu USING (pos)", keep=True)
+    q.add("w_cov", f"SELECT a.pos AS i, b.pos AS j, avg(a.v * b.v) AS v FROM w_rows a JOIN w_rows b USING ({keys}) GROUP BY 1, 2", keep=True)
+    q.add("w_ridge", f"SELECT i, j, v + CASE WHEN i = j THEN {d(epsilon)} ELSE 0 END AS v FROM w_cov")
+    inverse_root(q, "w_root", "w_ridge", rounds)
+    return q.add("white", f"SELECT {keys}, r.j, sum(w_rows.v * r.v) AS v FROM w_rows JOIN w_root r ON r.i = w_rows.pos GROUP BY ALL")
+
+
+q = Sql()
+q.values()
+whitened(q, "cells", "image_id", 0.01, 16)
+ORACLES["zca_whiten"] = q.then(
+    f"SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, {shown('avg(a.v * b.v)')} AS cov FROM white a JOIN white b USING (image_id) GROUP BY a.j, b.j"
+)
+
+q = Sql()
+contrast(q)
+whitened(q, "contrast", "image_id", 0.1, 28)
+ORACLES["whiten_whole_images"] = q.then(long("image_id, CAST(j AS INTEGER) AS j", "white"))
+
+q = Sql()
+q.image("im", 8, 8, 1)
+q.patches("raw", "im", 8, 8, 1, 5)
+q.add("p", "SELECT image_id, ox, oy, px AS pos, v FROM raw")
+whitened(q, "p", "image_id, ox, oy", 0.1, 14)
+ORACLES["whitener_roundtrip"] = q.then(long("image_id, CAST(ox AS INTEGER) AS x0, CAST(oy AS INTEGER) AS y0, CAST(j AS INTEGER) AS j", "white"))
+
+
+
+def cholesky(q: Sql, name: str, matrix: str, n: int) -> str:
+    """Lower root (i, j, v) of a matrix (i, j, v), one column per step."""
+    q.add(f"{name}_r", f"SELECT i, list(v ORDER BY j) AS r FROM {matrix} GROUP BY 1")
+    q.add(f"{name}_a", f"SELECT list(r ORDER BY i) AS a FROM {name}_r", keep=True)
+    pivot = f"[CASE WHEN r > step THEN a[r][step + 1] / sqrt(a[step + 1][step + 1]) ELSE 0 END FOR r IN range(1, {n + 1})]"
+    q.add(
+        f"{name}_path",
+        f"SELECT 0 AS step, a, [CAST(0 AS DOUBLE)] AS col FROM {name}_a UNION ALL"
+        f" SELECT step + 1, [[a[r][c] - col[r] * col[c] FOR c IN range(1, {n + 1})] FOR r IN range(1, {n + 1})], col"
+        f" FROM (SELECT step, a, {pivot} AS col FROM {name}_path WHERE step < {n})",
+    )
+    return q.add(name, f"SELECT t.i - 1 AS i, step - 1 AS j, col[t.i] AS v FROM {name}_path, range(1, {n + 1}) t(i) WHERE step > 0", keep=True)
+
+
+q = Sql()
+q.image("im", 8, 8, 1)
+q.patches("raw", "im", 8, 8, 1, 5)
+q.add("p", "SELECT image_id, ox, oy, px AS pos, v FROM raw")
+whitened(q, "p", "image_id, ox, oy", 0.1, 14)
+q.add("shape", f"SELECT i, j, v + CASE WHEN i = j THEN {d(1e-10)} * (SELECT avg(v) FROM w_cov WHERE i = j) ELSE 0 END AS v FROM w_cov")
+cholesky(q, "lower", "shape", 25)
+q.bank("draw", 8, 25, SEED)
+q.add("bank", "SELECT f, i AS px, sum(w * v) AS w FROM draw JOIN lower ON j = px GROUP BY f, i")
+q.phases("phase", 8, SEED)
+q.add("wp", "SELECT image_id, ox, oy, j AS px, v FROM white")
+q.conv("out", "wp", "bank", "phase", "offset")
+q.pool("pooled", "out", 4, 4, 2, 2, "sum(v) / 4")
+ORACLES["conv_cosine_whitened_cov"] = q.flat("pooled", 2, 8)
+
 # ---- samples
 
 q = Sql()
@@ -789,17 +870,22 @@ def moments(q: Sql, weight: str = "CAST(1 AS DOUBLE)") -> None:
     )
 
 
-def descent(q: Sql, name: str, gram: str, right: str, key: str, lam: str, sweeps: int = 14) -> str:
-    """Solve (G + lam I) w = b for every key: (key, w list). One coordinate per step."""
+def descent(q: Sql, name: str, gram: str, right: str, key: str, lam: str, sweeps: int = 14, n: int = 64) -> str:
+    """Solve (G + lam I) w = b for every key: rows (key, i, w). One coordinate per step.
+
+    ``gram`` has rows (i, g list, diag) and ``right`` rows (i, key, b).
+    """
+    keys = key.split(", ")
+    q.add(f"{name}_step", f"SELECT i, {key}, b, g, diag FROM {right} JOIN {gram} USING (i)", keep=True)
     q.add(
         f"{name}_path",
-        f"SELECT {key}, 0 AS step, [CAST(0 AS DOUBLE) FOR x IN range(64)] AS w FROM (SELECT DISTINCT {key} FROM {right})"
-        f" UNION ALL SELECT s.{key.replace(', ', ', s.')}, step + 1,"
-        f" [CASE WHEN p = step % 64 + 1 THEN (r.b - list_dot_product(m.g, w) + m.diag * w[p]) / (m.diag + {lam}) ELSE w[p] END FOR p IN range(1, 65)]"
-        f" FROM {name}_path s JOIN {gram} m ON m.i = step % 64 JOIN {right} r USING (i, {key}) WHERE step < {64 * sweeps}",
+        f"SELECT {key}, 0 AS step, [CAST(0 AS DOUBLE) FOR x IN range({n})] AS w FROM (SELECT DISTINCT {key} FROM {right})"
+        f" UNION ALL SELECT {', '.join('s.' + k for k in keys)}, step + 1,"
+        f" [CASE WHEN p = step % {n} + 1 THEN (m.b - list_dot_product(m.g, w) + m.diag * w[p]) / (m.diag + {lam}) ELSE w[p] END FOR p IN range(1, {n + 1})]"
+        f" FROM {name}_path s JOIN {name}_step m ON m.i = step % {n} AND {' AND '.join(f'm.{k} = s.{k}' for k in keys)} WHERE step < {n * sweeps}",
     )
-    q.add(f"{name}_end", f"SELECT {key}, w FROM {name}_path WHERE step = {64 * sweeps}")
-    return q.add(name, f"SELECT {key}, CAST(p - 1 AS INTEGER) AS i, w[p] AS w FROM {name}_end, range(1, 65) t(p)")
+    q.add(f"{name}_end", f"SELECT {key}, w FROM {name}_path WHERE step = {n * sweeps}")
+    return q.add(name, f"SELECT {key}, CAST(p - 1 AS INTEGER) AS i, w[p] AS w FROM {name}_end, range(1, {n + 1}) t(p)", keep=True)
 
 
 def ridge_scores(q: Sql, weights: str = "solved") -> str:
@@ -828,7 +914,7 @@ q = Sql()
 moments(q)
 lams = ", ".join(f"({d(lam)})" for lam in SWEEP)
 q.add("swept", f"SELECT i, k, lam, b FROM b_cells, (VALUES {lams}) t(lam)")
-descent(q, "solved", "gram", "swept", "k, lam", "lam", 20)
+descent(q, "solved", "gram", "swept", "k, lam", "s.lam", 20)
 q.add("intercept", "SELECT k, lam, any_value(yb) - sum(m * w) AS w FROM solved JOIN mu ON pos = i JOIN ybar USING (k) GROUP BY k, lam")
 ORACLES["ridge_sweep"] = q.then(
     long("lam, i, k AS j", "(SELECT lam, i, k, w FROM solved UNION SELECT lam, -1, k, w FROM intercept)", "w")
@@ -871,17 +957,96 @@ ORACLES["softmax_gd_steps"] = q.then(long("image_id, label, k AS j", "out", "s")
 q = Sql()
 start(q)
 q.add("g_cells", "SELECT a.pos AS i, b.pos AS j, avg(a.v * b.v) AS g FROM cells a JOIN cells b USING (image_id) GROUP BY 1, 2")
-q.add("gram", "SELECT i, list(g ORDER BY j) AS g, max(CASE WHEN i = j THEN g END) AS diag FROM g_cells GROUP BY 1")
-q.add("ridge_w", "SELECT sum(diag) / 64 AS lam FROM gram")
-LAM = "(SELECT lam FROM ridge_w)"
+q.add("trace", "SELECT sum(g) / 64 AS lam FROM g_cells WHERE i = j")
+q.add("gram", "SELECT i, list(g + CASE WHEN i = j THEN lam ELSE 0 END ORDER BY j) AS g, max(CASE WHEN i = j THEN g + lam END) AS diag FROM g_cells, trace GROUP BY 1")
+LAM = "(SELECT lam FROM trace)"
 for step in range(2):
     chances(q, f"c{step}", f"w{step}")
     gradient(q, f"g{step}", f"c{step}", f"w{step}", LAM)
-    descent(q, f"d{step}", "gram", f"g{step}", "k", LAM)
+    descent(q, f"d{step}", "gram", f"g{step}", "k", d(0.0))
     q.add(f"w{step + 1}", f"SELECT k, i, a.w + b.w AS w FROM w{step} a JOIN d{step} b USING (k, i)")
 q.add("out", "SELECT image_id, label, k, sum(v * w) AS s FROM cells JOIN w2 ON i = pos GROUP BY ALL")
 ORACLES["softmax_gn"] = q.then(long("image_id, label, k AS j", "out", "s"))
 
+
+def block_system(q: Sql, name: str, gram: str, right: str, members: str) -> tuple[str, str]:
+    """The equations of the positions in ``members`` (i, place), for ``descent``."""
+    q.add(
+        f"{name}_gram",
+        f"SELECT a.place AS i, list(g ORDER BY b.place) AS g, max(CASE WHEN a.place = b.place THEN g END) AS diag"
+        f" FROM {gram} JOIN {members} a USING (i) JOIN {members} b ON b.i = j GROUP BY 1",
+        keep=True,
+    )
+    q.add(f"{name}_right", f"SELECT place AS i, k, b FROM {right} JOIN {members} USING (i)")
+    return f"{name}_gram", f"{name}_right"
+
+
+# Two passes over blocks of 24, 24 and 16 positions.
+q = Sql()
+moments(q)
+q.add("g_kept", "SELECT * FROM g_cells", keep=True)
+q.add("b_kept", "SELECT * FROM b_cells", keep=True)
+q.add("w0", "SELECT k, i, CAST(0 AS DOUBLE) AS w FROM b_kept")
+step = 0
+for _ in range(2):
+    for low, high in ((0, 24), (24, 48), (48, 64)):
+        q.add(f"in{step}", f"SELECT i, i - {low} AS place FROM (SELECT DISTINCT i FROM b_kept) WHERE i >= {low} AND i < {high}")
+        q.add(
+            f"rest{step}",
+            f"SELECT b.k, b.i, any_value(b.b) - coalesce(sum(g * w), 0) AS b FROM b_kept b JOIN g_kept g USING (i)"
+            f" JOIN w{step} w ON w.k = b.k AND w.i = g.j AND (w.i < {low} OR w.i >= {high}) GROUP BY b.k, b.i",
+        )
+        gram, right = block_system(q, f"s{step}", "g_kept", f"rest{step}", f"in{step}")
+        descent(q, f"d{step}", gram, right, "k", d(LAMBDA), 14, high - low)
+        q.add(
+            f"w{step + 1}",
+            f"SELECT w.k, w.i, CASE WHEN n.w IS NULL THEN w.w ELSE n.w END AS w FROM w{step} w LEFT JOIN d{step} n ON n.k = w.k AND n.i + {low} = w.i",
+            keep=True,
+        )
+        step += 1
+q.add("solved", f"SELECT k, i, w FROM w{step}")
+ridge_scores(q)
+ORACLES["block_ridge"] = q.then(long("image_id, label, k AS j", "ridge", "s"))
+
+# One Newton step on each shuffled block of 24, 24 and 16 positions.
+q = Sql()
+start(q)
+shuffled(q)
+q.add("g_cells", "SELECT a.pos AS i, b.pos AS j, avg(a.v * b.v) AS g FROM cells a JOIN cells b USING (image_id) GROUP BY 1, 2", keep=True)
+q.add("trace", "SELECT avg(v * v) AS lam FROM cells")
+q.add("g_kept", "SELECT i, j, g + CASE WHEN i = j THEN lam ELSE 0 END AS g FROM g_cells, trace", keep=True)
+LAM = "(SELECT lam FROM trace)"
+for step, (low, high) in enumerate(((0, 24), (24, 48), (48, 64))):
+    q.add(f"in{step}", f"SELECT pos AS i, place - {low} AS place FROM shuffled WHERE place >= {low} AND place < {high}")
+    chances(q, f"c{step}", f"w{step}")
+    gradient(q, f"g{step}", f"c{step}", f"w{step}", LAM)
+    gram, right = block_system(q, f"s{step}", "g_kept", f"g{step}", f"in{step}")
+    descent(q, f"d{step}", gram, right, "k", d(0.0), 14, high - low)
+    q.add(
+        f"w{step + 1}",
+        f"SELECT w.k, w.i, w.w + coalesce(n.w, 0) AS w FROM w{step} w LEFT JOIN (SELECT k, in{step}.i, w FROM d{step} JOIN in{step} ON place = d{step}.i) n USING (k, i)",
+        keep=True,
+    )
+q.add("out", "SELECT image_id, label, k, sum(v * w) AS s FROM cells JOIN w3 ON i = pos GROUP BY ALL")
+ORACLES["softmax_block_gn"] = q.then(long("image_id, label, k AS j", "out", "s"))
+
+# Line search: scores are linear in the step, so every candidate is tried at once.
+q = Sql()
+start(q)
+q.add("tries", "SELECT r, pow(CAST(0.8 AS DOUBLE), r) AS t FROM range(60) x(r)")
+for step in range(3):
+    chances(q, f"c{step}", f"w{step}")
+    gradient(q, f"g{step}", f"c{step}", f"w{step}", d(0.01))
+    q.add(f"p{step}", f"SELECT image_id, label, k, sum(v * w) AS s, sum(v * b) AS e FROM cells JOIN w{step} ON i = pos JOIN g{step} USING (k, i) GROUP BY ALL", keep=True)
+    q.add(f"l{step}", f"SELECT r, t, image_id, label, k, s + t * e AS s FROM p{step}, (SELECT r, t FROM tries UNION ALL SELECT -1, 0) u")
+    q.add(f"n{step}", f"SELECT r, t, image_id, sum(exp(s)) AS z, sum(CASE WHEN k = label THEN exp(s) ELSE 0 END) AS own FROM l{step} GROUP BY ALL")
+    q.add(f"e{step}", f"SELECT r, t, avg(-ln(own / z + {d(1e-12)})) AS loss FROM n{step} GROUP BY ALL")
+    q.add(f"y{step}", f"SELECT r, t, any_value(loss) + {d(0.005)} * sum((w + t * b) * (w + t * b)) AS f, sum(b * b) AS slope FROM e{step}, w{step} JOIN g{step} USING (k, i) GROUP BY ALL", keep=True)
+    q.add(f"t{step}", f"SELECT max(a.t) AS t FROM y{step} a, y{step} z WHERE z.r = -1 AND a.r >= 0 AND a.f <= z.f - {d(0.4)} * a.t * a.slope", keep=True)
+    q.add(f"w{step + 1}", f"SELECT k, i, w + t * b AS w FROM w{step} JOIN g{step} USING (k, i), t{step}", keep=True)
+q.add("out", "SELECT image_id, label, k, sum(v * w) AS s FROM cells JOIN w3 ON i = pos GROUP BY ALL")
+ORACLES["softmax_gd_backtrack"] = q.then(long("image_id, label, k AS j", "out", "s"))
+
 # ---- sources and sinks
 
 HALF = "CASE WHEN label % 2 = 0 THEN 'train' ELSE 'test' END AS split"

@@ -200,7 +200,7 @@ def fit_named_loss(
         learner = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=reg, maxIter=iterations, family="multinomial")
     elif loss == "hinge":
         learner = OneVsRest(
-            classifier=LinearSVC(regParam=reg, maxIter=iterations), featuresCol="__x", labelCol="__y"
+            classifier=LinearSVC(regParam=reg, maxIter=iterations), featuresCol="__x", labelCol="__y", parallelism=4
         )
     else:
         raise ValueError(f"loss {loss} is none of {LOSSES}")
