@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 VECTOR = T.ArrayType(T.DoubleType())
 
-# Doubles a task may hold at once while it works on one slice of a batch (64 MB).
-WORK_DOUBLES = 8_000_000
+# Doubles a task works on at a time (about 3 MB, so that a slice stays in cache),
+# and doubles in one batch that goes back to Spark (64 MB).
+WORK_DOUBLES = 400_000
+BATCH_DOUBLES = 8_000_000
 
 
 def to_matrix(column: pa.Array) -> np.ndarray:
@@ -35,8 +37,8 @@ def from_matrix(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).reshape(-1)))
 
 
-def rows_per_slice(doubles_per_row: int) -> int:
-    return max(1, WORK_DOUBLES // max(1, doubles_per_row))
+def rows_per_slice(doubles_per_row: int, budget: int = WORK_DOUBLES) -> int:
+    return max(1, budget // max(1, doubles_per_row))
 
 
 def map_vectors(
@@ -60,12 +62,26 @@ def map_vectors(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = build()
+
+        def finished(batch: pa.RecordBatch, start: int, blocks: list[np.ndarray]) -> pa.RecordBatch:
+            vectors = blocks[0] if len(blocks) == 1 else np.concatenate(blocks)
+            part = batch.slice(start, len(vectors))
+            arrays = [part.column(i) for i in range(len(keep))] + [from_matrix(vectors)]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                result = apply(to_matrix(part.column(len(keep))))
-                arrays = [part.column(i) for i in range(len(keep))] + [from_matrix(result)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            if batch.num_rows == 0:
+                continue
+            matrix = to_matrix(batch.column(len(keep)))
+            begun, blocks, held = 0, [], 0
+            for start in range(0, len(matrix), step):
+                block = apply(matrix[start : start + step])
+                if blocks and held + block.size > BATCH_DOUBLES:
+                    yield finished(batch, begun, blocks)
+                    begun, blocks, held = start, [], 0
+                blocks.append(block)
+                held += block.size
+            yield finished(batch, begun, blocks)
 
     return source.mapInArrow(run, schema)
 
@@ -88,7 +104,7 @@ def sum_rows(
     schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("row", VECTOR)])
 
     def emit(keys: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
-        step = rows_per_slice(matrix.shape[1])
+        step = rows_per_slice(matrix.shape[1], BATCH_DOUBLES)
         for start in range(0, len(matrix), step):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[start : start + step], pa.int32()), from_matrix(matrix[start : start + step])],

@@ -29,6 +29,11 @@ def l2_norm(vector: Column, offset: float = NORM_OFFSET) -> Column:
     return F.sqrt(sum_squares(vector, offset))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once per row, however often inner lambdas read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_each(vector: Column, scalar: Column, f: Callable[[Column, Column], Column]) -> Column:
     """f(v, scalar) for every v. The scalar is computed once per row, not once per element,
     as it would be if the lambda named it."""
@@ -72,7 +77,7 @@ def scale_bytes(pixels: Column) -> Column:
 
 def pick(vector: Column, positions: Sequence[int]) -> Column:
     """Keep the given positions, in the given order."""
-    return F.transform(F.lit(list(positions)), lambda p: F.get(vector, p))
+    return let(vector, lambda v: F.transform(F.lit(list(positions)), lambda p: F.get(v, p)))
 
 
 def block(vector: Column, start: int, width: int) -> Column:
@@ -90,8 +95,12 @@ def indicator(label: Column, classes: int, negative: float = -1.0) -> Column:
 
 def per_pixel(pixels: Column, channels: int, f: Callable[[Column], Column]) -> Column:
     """Apply a function of one pixel's channel array to every pixel of an image."""
-    starts = F.sequence(F.lit(1), F.size(pixels), F.lit(channels))
-    return F.flatten(F.transform(starts, lambda s: f(F.slice(pixels, s, channels))))
+
+    def each(values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(values), F.lit(channels))
+        return F.flatten(F.transform(starts, lambda s: f(F.slice(values, s, channels))))
+
+    return let(pixels, each)
 
 
 def symmetric_rectify(pixels: Column, channels: int, max_val: float = 0.0, alpha: float = 0.0) -> Column:
@@ -146,6 +155,4 @@ def softmax(scores: Column) -> Column:
 
 def cross_entropy(scores: Column, label: Column, offset: float = LOG_OFFSET) -> Column:
     """-log(p[label] + offset) with p the softmax of the scores."""
-    top = F.array_max(scores)
-    spread = total(with_each(scores, top, lambda s, m: F.exp(s - m)))
-    return -F.log(F.exp(F.get(scores, label) - top) / spread + F.lit(offset))
+    return -F.log(F.get(softmax(scores), label) + F.lit(offset))

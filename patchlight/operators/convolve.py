@@ -253,7 +253,8 @@ def relational_conv_cosine_pool(images: DataFrame, layer: Layer) -> DataFrame:
     Every pixel is sent to the patches that cover it, joined to the filter rows
     of its place in the patch, and summed twice (over the patch, over the pool).
     Only for even or unit pools with stride equal to the pool, so that a
-    position belongs to one window.
+    position belongs to one window. Images are partitioned by id while they are
+    still small; both sums group by (id, ...) and so need no further shuffle.
     """
     spark = images.sparkSession
     shape, k = layer.shape, layer.patch
@@ -264,10 +265,12 @@ def relational_conv_cosine_pool(images: DataFrame, layer: Layer) -> DataFrame:
     if layer.filters * layer.inputs > RELATIONAL_BANK_ROWS:
         raise ValueError("bank too large for the relational form")
     conv, out = layer.conv_shape, layer.out_shape
+    # A given count also keeps small image tables, which grow a lot here, on all cores.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     within = F.explode(F.sequence(F.lit(0), F.lit(k * k - 1)))
     dx, dy = F.col("d") % k, F.floor(F.col("d") / k).cast("int")
     covered = (
-        pixel_rows(images, shape)
+        pixel_rows(images.select("image_id", "pixels").repartition(parts, "image_id"), shape)
         .withColumn("d", within)
         .select(
             "image_id",

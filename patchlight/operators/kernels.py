@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from patchlight.functions import vectors
 from patchlight.functions.batches import collect_matrix, map_vectors, sum_rows, to_matrix
-from patchlight.operators.sampling import sample_pairs, sample_rows
+from patchlight.operators.sampling import pair_members, sample_rows
 from patchlight.operators.statistics import vector_column
 
 WEIGHT = 1.414
@@ -86,20 +86,21 @@ def dual_scores(
 
 def pair_distances(df: DataFrame, key: str, m: int, seed: int, column: str = "features") -> DataFrame:
     """Distance of the two unit-scaled vectors of m random pairs: rows (draw, left_key, right_key, distance)."""
-    pairs = sample_pairs(df, key, m, seed)
-    sides = pairs.select("draw", F.explode(F.array("left_key", "right_key")).alias(key)).select(key).distinct()
-    # At most 2m distinct keys and 2m vectors, so both may be broadcast.
-    picked = df.join(F.broadcast(sides), key, "left_semi").select(F.col(key).alias("k"), vector_column(column))
+    members = pair_members(df, key, m, seed)
     norm = F.greatest(F.sqrt(vectors.sum_squares(F.col(column))), F.lit(SMALLEST_NORM))
-    scaled = picked.select("k", vectors.divided(F.col(column), norm).alias("u"))
-    left = scaled.select(F.col("k").alias("left_key"), F.col("u").alias("u_left"))
-    right = scaled.select(F.col("k").alias("right_key"), F.col("u").alias("u_right"))
-    gap = F.zip_with("u_left", "u_right", lambda a, b: a - b)
-    return (
-        pairs.join(left, "left_key")
-        .join(right, "right_key")
-        .select("draw", "left_key", "right_key", F.sqrt(vectors.sum_squares(gap)).alias("distance"))
+    # 2m members: the table is read once and only their vectors are shuffled.
+    picked = (
+        df.select(F.col(key).alias("key"), vector_column(column))
+        .join(F.broadcast(members), "key")
+        .select("draw", "right", "key", vectors.divided(F.col(column), norm).alias("u"))
+    )
+    side = {name: F.col("right") == flag for name, flag in (("left", False), ("right", True))}
+    both = picked.groupBy("draw").agg(
+        *[F.max(F.when(test, F.col("key"))).alias(f"{name}_key") for name, test in side.items()],
+        *[F.max(F.when(test, F.col("u"))).alias(f"u_{name}") for name, test in side.items()],
     )
+    gap = F.zip_with("u_left", "u_right", lambda a, b: a - b)
+    return both.select("draw", "left_key", "right_key", F.sqrt(vectors.sum_squares(gap)).alias("distance"))
 
 
 def learn_gamma(df: DataFrame, key: str, m: int = 3000, seed: int = 0, column: str = "features", weight: float = WEIGHT) -> DataFrame:

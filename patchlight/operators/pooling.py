@@ -159,9 +159,9 @@ def general_pool(
     half = pool // 2 if centred else 0
     nx = len(range(start, shape.width, stride))
     ny = len(range(start, shape.height, stride))
-    pixels, channels = F.col("pixels"), shape.channels
+    channels = shape.channels
 
-    def cell(out: Column) -> Column:
+    def cell(pixels: Column, out: Column) -> Column:
         c = out % channels
         x0 = (F.floor(out / channels).cast("int") % nx) * stride + (start - half)
         y0 = F.floor(out / (channels * nx)).cast("int") * stride + (start - half)
@@ -175,7 +175,8 @@ def general_pool(
 
         return reduce(F.transform(F.sequence(F.lit(0), F.lit(pool * pool - 1)), value))
 
-    pooled = F.transform(F.sequence(F.lit(0), F.lit(nx * ny * channels - 1)), cell)
+    cells = F.sequence(F.lit(0), F.lit(nx * ny * channels - 1))
+    pooled = vectors.let(F.col("pixels"), lambda pixels: F.transform(cells, lambda out: cell(pixels, out)))
     return images.withColumn("pixels", pooled)
 
 

@@ -22,18 +22,31 @@ def next_power2(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
 
 
-def hadamard_rows(matrix: np.ndarray) -> np.ndarray:
-    """Unnormalised Walsh-Hadamard transform of every row, natural order."""
-    rows, width = matrix.shape
+# Largest Hadamard matrix that is multiplied outright.
+RADIX = 64
+
+
+def hadamard_matrix(width: int) -> np.ndarray:
+    index = np.arange(width)
+    return 1.0 - 2.0 * (np.bitwise_count(index[:, None] & index[None, :]) % 2)
+
+
+def hadamard_rows(rows: np.ndarray) -> np.ndarray:
+    """Unnormalised Walsh-Hadamard transform along the last axis, natural order.
+
+    A transform of width a*b is a transform of the b-long runs followed by one
+    across them, so a few small matrix products do all of it.
+    """
+    width = rows.shape[-1]
     if width & (width - 1) or not width:
         raise ValueError(f"row length {width} is not a power of two")
-    out = np.array(matrix, dtype=np.float64)
-    span = 1
-    while span < width:
-        pairs = out.reshape(rows, width // (2 * span), 2, span)
-        out = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(rows, width)
-        span *= 2
-    return out
+    out, inner = rows.reshape(-1, width), 1
+    while inner < width:
+        radix = min(RADIX, width // inner)
+        runs = out.reshape(-1, radix, inner)
+        out = runs[:, :, 0] @ hadamard_matrix(radix) if inner == 1 else np.matmul(hadamard_matrix(radix), runs)
+        inner *= radix
+    return out.reshape(rows.shape)
 
 
 def hadamard(df: DataFrame, column: str = "features", out: str | None = None) -> DataFrame:
@@ -46,6 +59,7 @@ class FastfoodParts(NamedTuple):
     gauss: np.ndarray
     scale: np.ndarray
     order: np.ndarray
+    permuted: bool
 
 
 def fastfood_matrices(inputs: int, outputs: int, seed: int, permute: bool = True) -> FastfoodParts:
@@ -67,18 +81,17 @@ def fastfood_matrices(inputs: int, outputs: int, seed: int, permute: bool = True
         keys = seeded.mixed(f, np.int64(0), seed, seeded.PERMUTE).reshape(blocks, width)
         order = np.argsort(keys, axis=1, kind="stable")
     shape = (blocks, width)
-    return FastfoodParts(width, seeded.signs(total, seed).reshape(shape), gauss.reshape(shape), scale.reshape(shape), order)
+    return FastfoodParts(width, seeded.signs(total, seed).reshape(shape), gauss.reshape(shape), scale.reshape(shape), order, permute)
 
 
 def fastfood_rows(rows: np.ndarray, parts: FastfoodParts, outputs: int, sigma: float, root: bool = True) -> np.ndarray:
     """Per block S * H(G * P(H(B * x))) / sigma, also over sqrt(width) if ``root``."""
-    padded = np.zeros((len(rows), parts.width))
-    padded[:, : rows.shape[1]] = rows
-    result = np.empty((len(rows), parts.sign.size))
-    for b in range(len(parts.sign)):
-        mixed = hadamard_rows(padded * parts.sign[b])[:, parts.order[b]]
-        result[:, b * parts.width : (b + 1) * parts.width] = hadamard_rows(mixed * parts.gauss[b]) * parts.scale[b]
-    return result[:, :outputs] / (sigma * np.sqrt(parts.width) if root else sigma)
+    padded = np.zeros((len(rows), 1, parts.width))
+    padded[:, 0, : rows.shape[1]] = rows
+    mixed = hadamard_rows(padded * parts.sign)
+    mixed = np.take_along_axis(mixed, parts.order[None], axis=2) if parts.permuted else mixed
+    result = hadamard_rows(mixed * parts.gauss) * (parts.scale / (sigma * np.sqrt(parts.width) if root else sigma))
+    return result.reshape(len(rows), -1)[:, :outputs]
 
 
 def fastfood(

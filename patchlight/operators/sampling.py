@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from patchlight import seeded
 from patchlight.layout import Shape
@@ -51,7 +51,7 @@ def smallest(rows: DataFrame, order: str, ties: Sequence[str], m: int) -> DataFr
 
 def sample_rows(df: DataFrame, key: str, m: int, seed: int) -> DataFrame:
     """Exactly m rows, without replacement."""
-    ordered = df.withColumn("__order", seeded.order_key(F.col(key), 0, seed))
+    ordered = seeded.with_order(df, "__order", F.col(key), 0, seed)
     return smallest(ordered, "__order", [key], m).drop("__order")
 
 
@@ -63,7 +63,7 @@ def sample_patches(images: DataFrame, shape: Shape, patch: int, m: int, seed: in
         "x0", F.explode(F.sequence(F.lit(x_first), F.lit(x_last)))
     )
     place = F.col("x0") + F.col("y0") * shape.width
-    ordered = placed.withColumn("__order", seeded.order_key(F.col("image_id"), place, seed))
+    ordered = seeded.with_order(placed, "__order", F.col("image_id"), place, seed)
     chosen = smallest(ordered, "__order", ["image_id", "y0", "x0"], m)
     cut = patch_at(F.col("pixels"), F.col("x0"), F.col("y0"), shape, patch, False)
     return chosen.select("image_id", "x0", "y0", cut.alias("patch"))
@@ -71,19 +71,19 @@ def sample_patches(images: DataFrame, shape: Shape, patch: int, m: int, seed: in
 
 def bernoulli(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """Keep each row with probability ``share``, decided by its key alone."""
-    ordered = df.withColumn("__order", seeded.order_key(F.col(key), 0, seed))
+    ordered = seeded.with_order(df, "__order", F.col(key), 0, seed)
     return ordered.filter(F.col("__order") < F.lit(int(share * seeded.ORDER_RANGE))).drop("__order")
 
 
-def sample_pairs(df: DataFrame, key: str, m: int, seed: int) -> DataFrame:
-    """m pairs (draw, left_key, right_key) of rows drawn with replacement.
+def pair_members(df: DataFrame, key: str, m: int, seed: int) -> DataFrame:
+    """m pairs of rows drawn with replacement, as 2m rows (draw, right, key).
 
     A row's number is its place in hash order. Bucket counts give every bucket
     its first number, so only buckets that some draw hits are ranked, and only
     keys are shuffled.
     """
     spark = df.sparkSession
-    keys = df.select(F.col(key).alias("__key"), seeded.order_key(F.col(key), 0, seed).alias("__order"))
+    keys = seeded.with_order(df.select(F.col(key).alias("__key")), "__order", F.col("__key"), 0, seed)
     keys = keys.withColumn("bucket", F.floor(F.col("__order") / F.lit(-(-seeded.ORDER_RANGE // BUCKETS))).cast("int"))
     counts = sorted((row["bucket"], row["count"]) for row in keys.groupBy("bucket").count().collect())
     if not counts:
@@ -100,28 +100,29 @@ def sample_pairs(df: DataFrame, key: str, m: int, seed: int) -> DataFrame:
         sides[side] = (high * seeded.MODULUS + low) % total
     number = np.concatenate([sides["left"], sides["right"]])
     place = np.searchsorted(first, number, side="right") - 1
+    buckets = np.array([bucket for bucket, _ in counts], np.int32)
     wanted = spark.createDataFrame(
-        [
-            (int(i % m), "left" if i < m else "right", counts[place[i]][0], int(number[i] - first[place[i]]))
-            for i in range(2 * m)
-        ],
-        T.StructType(
-            [
-                T.StructField("draw", T.LongType()),
-                T.StructField("side", T.StringType()),
-                T.StructField("bucket", T.IntegerType()),
-                T.StructField("rank", T.IntegerType()),
-            ]
-        ),
+        pa.table(
+            {
+                "draw": np.concatenate([draw, draw]),
+                "right": np.repeat([False, True], m),
+                "bucket": buckets[place],
+                "rank": (number - first[place]).astype(np.int32),
+            }
+        )
     )
     # 2m draws were made on the driver, so both broadcasts are bounded by m.
     hit = keys.join(F.broadcast(wanted.select("bucket").distinct()), "bucket", "left_semi")
     window = Window.partitionBy("bucket").orderBy("__order", "__key")
     ranked = hit.withColumn("rank", F.row_number().over(window) - 1)
-    found = ranked.join(F.broadcast(wanted), ["bucket", "rank"])
-    return found.groupBy("draw").agg(
-        F.max(F.when(F.col("side") == "left", F.col("__key"))).alias("left_key"),
-        F.max(F.when(F.col("side") == "right", F.col("__key"))).alias("right_key"),
+    return ranked.join(F.broadcast(wanted), ["bucket", "rank"]).select("draw", "right", F.col("__key").alias("key"))
+
+
+def sample_pairs(df: DataFrame, key: str, m: int, seed: int) -> DataFrame:
+    """The same draws as m rows (draw, left_key, right_key)."""
+    return pair_members(df, key, m, seed).groupBy("draw").agg(
+        F.max(F.when(~F.col("right"), F.col("key"))).alias("left_key"),
+        F.max(F.when(F.col("right"), F.col("key"))).alias("right_key"),
     )
 
 

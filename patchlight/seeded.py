@@ -7,7 +7,7 @@ number of partitions, because it depends only on (row, position, seed, stream).
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the generator.
@@ -100,4 +100,13 @@ def order_key(key: Column, sub: Column | int, seed: int) -> Column:
     return mixed_column(low, high, seed, ORDER_HIGH) * F.lit(MODULUS) + mixed_column(low, high, seed, ORDER_LOW)
 
 
+def with_order(df: DataFrame, out: str, key: Column, sub: Column | int, seed: int) -> DataFrame:
+    """Add the order hash as a column.
+
+    The one-element explode keeps a filter on the hash from being pushed below
+    it and evaluated again for every comparison.
+    """
+    return df.withColumn(out, F.explode(F.array(order_key(key, sub, seed))))
+
+
 ORDER_RANGE = MODULUS * MODULUS
