@@ -86,6 +86,11 @@ def map_vectors(
     return source.mapInArrow(run, schema)
 
 
+# Tasks that fold a table into partial sums. A huge scan has many more splits;
+# they are read by fewer, longer tasks, since each task ships a whole matrix.
+FOLD_TASKS = 4096
+
+
 def sum_rows(
     df: DataFrame,
     columns: Sequence,
@@ -142,11 +147,12 @@ def sum_rows(
             yield from emit(keys, np.stack([sums[k] for k in keys.tolist()]))
 
     parts = min(height, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return source.mapInArrow(partial, schema).repartition(max(1, parts), "i").mapInArrow(merge, schema)
+    tasks = max(FOLD_TASKS, 4 * spark.sparkContext.defaultParallelism)
+    return source.coalesce(tasks).mapInArrow(partial, schema).repartition(max(1, parts), "i").mapInArrow(merge, schema)
 
 
-# A driver-side model matrix may have at most this many values (1 GB of doubles).
-MODEL_VALUES = 1 << 27
+# A driver-side model matrix may have at most this many values (512 MB of doubles).
+MODEL_VALUES = 1 << 26
 
 
 def collect_matrix(rows: DataFrame, height: int, width: int) -> np.ndarray:

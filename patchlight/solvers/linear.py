@@ -60,7 +60,6 @@ class LinearModel:
 class Moments:
     """Weighted sums of one pass: total weight, means, centred X^T X and X^T Y."""
 
-    rows: float
     weight: float
     mean: np.ndarray
     target: np.ndarray
@@ -115,7 +114,7 @@ def fit_moments(
     target = sums[0, width + 1 :] / weight
     gram = sums[1:, 1 : width + 1] - weight * np.outer(mean, mean)
     cross = sums[1:, width + 1 :] - weight * np.outer(mean, target)
-    return Moments(weight, weight, mean, target, gram, cross)
+    return Moments(weight, mean, target, gram, cross)
 
 
 def block_starts(width: int, block: int | None) -> list[tuple[int, int]]:
@@ -154,11 +153,17 @@ def fit_ridge(
         raise ValueError(f"reg mode {reg_mode} is none of {REG_MODES}")
     width = row_width(df, column)
     classes = classes or class_count(df, label)
-    lam = scaled_ridge(df, lam, reg_mode, column)
     weights = class_weights(class_counts(df, label), classes, mixture) if mixture else None
     if width <= gram_width:
         moments = fit_moments(df, width, classes, weights, negative, column, label)
+        if reg_mode != "absolute" and weights is None:
+            # The sum of squares is the trace of the uncentred Gram matrix.
+            squares = np.trace(moments.gram) + moments.weight * float(moments.mean @ moments.mean)
+            lam *= squares / (width if reg_mode == "trace_over_d" else moments.weight)
+        else:
+            lam = scaled_ridge(df, lam, reg_mode, column)
         return solve_moments(moments, lam, block, passes)
+    lam = scaled_ridge(df, lam, reg_mode, column)
     return fit_blockwise(df, width, classes, lam, block or gram_width, passes, weights, negative, column, label)
 
 

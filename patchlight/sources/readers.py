@@ -6,6 +6,7 @@ Every reader returns keyed rows. None reads a file on the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +17,20 @@ from pyspark.sql import types as T
 from patchlight.functions.batches import VECTOR, from_matrix
 from patchlight.layout import Shape, with_shape
 from patchlight.operators.joins import label_files, pair_rows
+from patchlight.session import path_exists
 
 # Fixed values of the formats: IDX magic numbers and header lengths, bytes per pixel value.
 IDX_IMAGES, IDX_IMAGES_HEADER = 2051, 16
 IDX_LABELS, IDX_LABELS_HEADER = 2049, 8
 BYTE_SCALE = 255.0
 
+# Records that travel together from the file to the decoder.
+RECORDS_PER_BLOCK = 1024
+
 LINE_KEYS = ("path", "block_start")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text lines as (line_no, path, value); numbers run on over files in path order.
 
     Lines of one file block are read by one task in order. Counting the lines of
@@ -62,28 +67,35 @@ def parsed_numbers(value: Column, as_float: bool = False) -> Column:
 def read_feature_text(
     spark: SparkSession, path: str, feature_id: str, partitions: int | None = None, as_float: bool = False
 ) -> DataFrame:
-    """``<path>/<feature_id>_{train,test}_features`` as (row_id, split, features, label).
+    """Stored feature lines as (row_id, split, features, label).
 
-    The last field of a line is the label. ``as_float`` reads values as floats
-    and widens them before any arithmetic.
+    Reads ``<path>/<feature_id>_features/split={train,test}`` as our writer makes
+    it, or the two directories ``<feature_id>_{train,test}_features``. The last
+    field of a line is the label. ``as_float`` reads values as floats and widens
+    them before any arithmetic.
     """
-    halves = [
-        feature_lines(spark, f"{path}/{feature_id}_{split}_features", as_float).withColumn("split", F.lit(split))
-        for split in ("train", "test")
-    ]
-    both = halves[0].unionByName(halves[1]).select("row_id", "split", "features", "label")
+    ours = f"{path}/{feature_id}_features"
+    if path_exists(spark, ours):
+        source, pattern = ours, "/split=(train|test)/"
+    else:
+        source = [f"{path}/{feature_id}_{split}_features" for split in ("train", "test")]
+        pattern = "_(train|test)_features/"
+    both = feature_lines(spark, source, as_float).select(
+        "row_id", F.regexp_extract("path", pattern, 1).alias("split"), "features", "label"
+    )
     return both.coalesce(partitions) if partitions else both
 
 
-def feature_lines(spark: SparkSession, path: str, as_float: bool = False) -> DataFrame:
-    """One directory or glob of feature lines as (row_id, features, label)."""
+def feature_lines(spark: SparkSession, path: str | list[str], as_float: bool = False) -> DataFrame:
+    """Directories or globs of feature lines as (row_id, path, features, label)."""
     numbers = numbered_lines(spark, path).filter(F.length("value") > 0)
     parsed = numbers.select(
         F.col("line_no").alias("row_id"),
+        "path",
         parsed_numbers(F.col("value"), as_float).alias("all"),
         F.element_at(F.split(F.regexp_replace("value", "[()]", ""), ","), -1).cast("double").cast("int").alias("label"),
     )
-    return parsed.select("row_id", F.slice("all", 1, F.size("all") - 1).alias("features"), "label")
+    return parsed.select("row_id", "path", F.slice("all", 1, F.size("all") - 1).alias("features"), "label")
 
 
 def read_layer(
@@ -102,8 +114,15 @@ def read_fixed_records(spark: SparkSession, path: str, shape: Shape, label_bytes
     along each file, but is not dense.
     """
     length = label_bytes + shape.size
-    records = spark.sparkContext.binaryRecords(path, length).map(lambda record: (record,))
-    raw = spark.createDataFrame(records, "record binary").withColumn("image_id", F.monotonically_increasing_id())
+
+    def blocks(part: int, records: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+        first = part << 33
+        while chunk := list(islice(records, RECORDS_PER_BLOCK)):
+            yield first, b"".join(chunk)
+            first += len(chunk)
+
+    packed = spark.sparkContext.binaryRecords(path, length).mapPartitionsWithIndex(blocks)
+    raw = spark.createDataFrame(packed, "first bigint, block binary")
     schema = T.StructType(
         [
             T.StructField("image_id", T.LongType()),
@@ -114,21 +133,19 @@ def read_fixed_records(spark: SparkSession, path: str, shape: Shape, label_bytes
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            block = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, length)
-            labels = np.zeros(len(block), np.int32)
-            for k in range(label_bytes):
-                labels = labels * 256 + block[:, k]
-            values = block[:, label_bytes:] / BYTE_SCALE
-            if planes:
-                cube = values.reshape(-1, shape.channels, shape.height, shape.width)
-                values = cube.transpose(0, 2, 3, 1).reshape(len(block), -1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), from_matrix(values), pa.array(labels, pa.int32())], names=schema.names
-            )
-
-    return raw.select("image_id", "record").mapInArrow(decode, schema)
+            for first, packed_block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                block = np.frombuffer(packed_block.as_buffer(), np.uint8).reshape(-1, length)
+                labels = np.zeros(len(block), np.int32)
+                for k in range(label_bytes):
+                    labels = labels * 256 + block[:, k]
+                values = block[:, label_bytes:] / BYTE_SCALE
+                if planes:
+                    cube = values.reshape(-1, shape.channels, shape.height, shape.width)
+                    values = cube.transpose(0, 2, 3, 1).reshape(len(block), -1)
+                keys = pa.array(np.arange(first, first + len(block)), pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, from_matrix(values), pa.array(labels)], names=schema.names)
+
+    return raw.mapInArrow(decode, schema)
 
 
 def big_endian(content: Column, at: int) -> Column:

@@ -21,15 +21,13 @@ def number_text(vector: str, label: str | None = None) -> Column:
 
 
 def write_feature_text(df: DataFrame, path: str, feature_id: str, as_float: bool = False, mode: str = "error") -> None:
-    """Lines ``x1,...,xd,label`` in one directory per split, as the reader expects them.
+    """Lines ``x1,...,xd,label`` below ``<path>/<feature_id>_features/split=...``, in one pass.
 
     ``as_float`` narrows the values first.
     """
     kind = "array<float>" if as_float else "array<double>"
-    lines = df.withColumn("features", F.col("features").cast(kind))
-    for split in ("train", "test"):
-        part = lines.filter(F.col("split") == split).select(number_text("features", "label"))
-        part.write.mode(mode).text(f"{path}/{feature_id}_{split}_features")
+    lines = df.withColumn("features", F.col("features").cast(kind)).select(number_text("features", "label"), "split")
+    lines.write.mode(mode).partitionBy("split").text(f"{path}/{feature_id}_features")
 
 
 def write_features(df: DataFrame, path: str, as_float: bool = False, mode: str = "error") -> None:
