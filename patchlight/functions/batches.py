@@ -90,18 +90,23 @@ def map_vectors(
 # they are read by fewer, longer tasks, since each task ships a whole matrix.
 FOLD_TASKS = 4096
 
+# Doubles one reducer adds up at most, if every task sends a matrix (256 MB).
+REDUCER_DOUBLES = 1 << 25
+
 
 def sum_rows(
     df: DataFrame,
     columns: Sequence,
     accumulate: Callable[[list[np.ndarray]], np.ndarray],
     height: int,
+    width: int,
 ) -> DataFrame:
-    """Sum a matrix over all rows of a table, as keyed rows (i, row).
+    """Sum a height x width matrix over all rows of a table, as keyed rows (i, row).
 
-    Each task folds its partition into one ``height``-row matrix, so what is
-    shuffled is one matrix per task, keyed by matrix row. The reducers add rows
-    as they stream in and never hold a whole group.
+    Each task folds its partition into one matrix, so what is shuffled is one
+    matrix per task, keyed by matrix row. The reducers add rows as they stream
+    in and never hold a whole group; there are as many as the largest possible
+    shuffle needs, so a small matrix costs one short task.
     """
     spark = df.sparkSession
     source = df.select(*columns)
@@ -146,9 +151,10 @@ def sum_rows(
             keys = np.array(sorted(sums))
             yield from emit(keys, np.stack([sums[k] for k in keys.tolist()]))
 
-    parts = min(height, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tasks = max(FOLD_TASKS, 4 * spark.sparkContext.defaultParallelism)
-    return source.coalesce(tasks).mapInArrow(partial, schema).repartition(max(1, parts), "i").mapInArrow(merge, schema)
+    parts = -(-tasks * height * width // REDUCER_DOUBLES)
+    parts = max(1, min(parts, height, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return source.coalesce(tasks).mapInArrow(partial, schema).repartition(parts, "i").mapInArrow(merge, schema)
 
 
 # A driver-side model matrix may have at most this many values (512 MB of doubles).

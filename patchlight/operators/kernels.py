@@ -79,7 +79,7 @@ def dual_scores(
     def accumulate(data: list[np.ndarray]) -> np.ndarray:
         return data[1].T @ data[0]
 
-    rows = sum_rows(train, [vector_column(column), vector_column(dual)], accumulate, classes)
+    rows = sum_rows(train, [vector_column(column), vector_column(dual)], accumulate, classes, width)
     weights = collect_matrix(rows, classes, width)
     return map_vectors(test, column, lambda: lambda block: block @ weights.T, out="scores")
 

@@ -105,7 +105,7 @@ def fit_moments(
         right = np.concatenate([left, class_matrix(labels, classes, negative)], axis=1)
         return (left * per_class[labels.astype(np.int64)][:, None]).T @ right
 
-    rows = sum_rows(df, [vector_column(column), F.col(label).cast("int")], accumulate, width + 1)
+    rows = sum_rows(df, [vector_column(column), F.col(label).cast("int")], accumulate, width + 1, width + 1 + classes)
     sums = collect_matrix(rows, width + 1, width + 1 + classes)
     weight = sums[0, 0]
     if weight == 0:
@@ -194,7 +194,7 @@ def fit_blockwise(
             [np.ones((len(features), 1)), features, class_matrix(labels, classes, negative)], axis=1
         )
 
-    sums = collect_matrix(sum_rows(df, inputs, head, 1), 1, 1 + width + classes)[0]
+    sums = collect_matrix(sum_rows(df, inputs, head, 1, 1 + width + classes), 1, 1 + width + classes)[0]
     mean, target = sums[1 : width + 1] / sums[0], sums[width + 1 :] / sums[0]
     solution = np.zeros((width, classes))
     spark = df.sparkSession
@@ -210,7 +210,7 @@ def fit_blockwise(
                 return (own * weight).T @ np.concatenate([own, residual], axis=1)
 
             size = high - low
-            part = collect_matrix(sum_rows(df, inputs, accumulate, size), size, size + classes)
+            part = collect_matrix(sum_rows(df, inputs, accumulate, size, size + classes), size, size + classes)
             gram, cross = part[:, :size], part[:, size:] + part[:, :size] @ solution[low:high]
             solution = solution.copy()
             solution[low:high] = np.linalg.solve(gram + lam * np.eye(size), cross)

@@ -164,7 +164,8 @@ def idx_records(spark: SparkSession, path: str, magic: int, header: int, length:
     return (
         files.select("content", checked.alias("n"), length.cast("bigint").alias("length"))
         .filter(F.col("n") > 0)
-        .select("content", "n", "length", (chunk * per_task).alias("first"))
+        .select("content", "n", "length", chunk.alias("chunk"))
+        .select("content", "n", "length", (F.col("chunk") * per_task).alias("first"))
         .select(
             "first",
             "length",
