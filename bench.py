@@ -35,18 +35,17 @@ def sink(df) -> None:
 
 def replicated(spark, times: int):
     """The image table ``times`` over, written once in as many files as there are tasks to keep busy."""
-    table = catalog.images(spark, SF_DIR).withColumn("pixels", F.col("pixels").cast("array<float>"))
-    copies = table.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    copies = catalog.stored_images(spark, SF_DIR).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
     return written(copies.repartition(int(CPUS) * 2), "bench-copies")
 
 
 def headline(spark) -> dict:
     many = replicated(spark, 100)
-    images, features = catalog.images(spark, SF_DIR), catalog.features(spark, SF_DIR)
+    images, features = catalog.stored_images(spark, SF_DIR), catalog.stored_features(spark, SF_DIR)
     jobs = {
         "features_arrow": lambda: sink(cv.layer_stack(images, [catalog.FLAT_LAYER])),
         "features_arrow_x100": lambda: sink(cv.layer_stack(many, [catalog.FLAT_LAYER])),
-        "features_relational": lambda: sink(cv.relational_conv_cosine_pool(images, catalog.FLAT_LAYER)),
+        "features_relational": lambda: sink(cv.relational_conv_cosine_pool(catalog.images(spark, SF_DIR), catalog.FLAT_LAYER)),
         "gram_64": lambda: sink(statistics.moment_rows(features, 64)),
         "gram_64_x100": lambda: sink(statistics.moment_rows(many, 64, "pixels")),
         "fastfood_8192": lambda: sink(rf.fastfood(features, 64, 8192, 1)),

@@ -6,11 +6,20 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VECTOR = T.ArrayType(T.DoubleType())
+FLOATS = T.ArrayType(T.FloatType())
+
+
+def carried(df: DataFrame, column: str) -> Column:
+    """A vector column as it goes to the tasks: floats stay floats and are widened
+    there, anything else becomes doubles."""
+    kind = df.schema[column].dataType
+    narrow = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    return F.col(column) if narrow else F.col(column).cast(VECTOR)
 
 # Doubles a task works on at a time (about 3 MB, so that a slice stays in cache),
 # and doubles in one batch that goes back to Spark (64 MB).
@@ -48,15 +57,17 @@ def map_vectors(
     out: str | None = None,
     keep: Sequence[str] | None = None,
     doubles_per_row: int = 1024,
+    as_float: bool = False,
 ) -> DataFrame:
     """Replace a vector column by a function of whole row blocks; no shuffle.
 
     ``build`` runs once per task and returns the function on an (n, d) matrix.
+    ``as_float`` narrows the result to floats before it leaves the task.
     """
     out = out or column
     keep = [c for c in df.columns if c not in (column, out)] if keep is None else list(keep)
-    source = df.select(*keep, F.col(column).cast(VECTOR).alias("__vector"))
-    schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(out, VECTOR)])
+    source = df.select(*keep, carried(df, column).alias("__vector"))
+    schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(out, FLOATS if as_float else VECTOR)])
     names = [*keep, out]
     step = rows_per_slice(doubles_per_row)
 
@@ -65,6 +76,8 @@ def map_vectors(
 
         def finished(batch: pa.RecordBatch, start: int, blocks: list[np.ndarray]) -> pa.RecordBatch:
             vectors = blocks[0] if len(blocks) == 1 else np.concatenate(blocks)
+            if as_float:
+                vectors = vectors.astype(np.float32)
             part = batch.slice(start, len(vectors))
             arrays = [part.column(i) for i in range(len(keep))] + [from_matrix(vectors)]
             return pa.RecordBatch.from_arrays(arrays, names=names)

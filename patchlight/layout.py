@@ -52,16 +52,18 @@ class Shape:
 
 
 def as_images(
-    df: DataFrame, id_col: str, vector_col: str, label_col: str | None = None, extra: tuple[str, ...] = ()
+    df: DataFrame, id_col: str, vector_col: str, label_col: str | None = None, widen: bool = True
 ) -> DataFrame:
-    """Project any keyed vector table to (image_id, pixels[, label], ...)."""
-    columns = [
-        F.col(id_col).cast("bigint").alias("image_id"),
-        F.col(vector_col).cast("array<double>").alias("pixels"),
-    ]
+    """Project any keyed vector table to (image_id, pixels[, label]).
+
+    Column expressions need ``widen``, so that they calculate in doubles. The
+    matrix operators widen inside the tasks, and move half the bytes without it.
+    """
+    pixels = F.col(vector_col).cast("array<double>") if widen else F.col(vector_col)
+    columns = [F.col(id_col).cast("bigint").alias("image_id"), pixels.alias("pixels")]
     if label_col:
         columns.append(F.col(label_col).cast("int").alias("label"))
-    return df.select(*columns, *extra)
+    return df.select(*columns)
 
 
 def with_shape(df: DataFrame, shape: Shape, vector_col: str = "pixels") -> DataFrame:

@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 
 from patchlight import seeded
 from patchlight.functions import vectors
-from patchlight.functions.batches import map_vectors, shared_matrix, to_matrix
+from patchlight.functions.batches import BATCH_DOUBLES, map_vectors, shared_matrix, to_matrix
 from patchlight.layout import Shape, pixel_rows
 from patchlight.operators import pooling
 from patchlight.operators.patches import patch_cube, patch_doubles
-from patchlight.operators.random_features import fastfood_matrices, fastfood_rows
+from patchlight.operators.random_features import fastfood_matrices, fastfood_rows, next_power2
 from patchlight.operators.sampling import sample_patches
 from patchlight.solvers.whitening import Whitener
 
 
+# Filters that are applied together at least.
+MIN_FILTERS = 64
+
+
 @dataclass(frozen=True)
 class Layer:
     """One convolve-cosine layer and the pool that follows it.
@@ -99,13 +103,21 @@ def random_filters(layer: Layer) -> np.ndarray:
     return layer.bandwidth * draws
 
 
-def projector(layer: Layer, bank: Callable[[], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
-    """The linear map from patch rows to filter responses."""
+def projector(layer: Layer, bank: Callable[[], np.ndarray]) -> Callable[[np.ndarray, int, int], np.ndarray]:
+    """The linear map from patch rows to the responses of filters low..high-1."""
     if layer.fastfood:
         parts = fastfood_matrices(layer.inputs, layer.filters, layer.seed, layer.permute)
-        return lambda rows: fastfood_rows(rows, parts, layer.filters, layer.bandwidth)
+        return lambda rows, low, high: fastfood_rows(rows, parts.between(low, high), high - low, layer.bandwidth)
     across = np.ascontiguousarray(bank().T)
-    return lambda rows: rows @ across
+    return lambda rows, low, high: rows @ across[:, low:high]
+
+
+def filter_blocks(layer: Layer, rows: int) -> list[tuple[int, int]]:
+    """Filter ranges whose responses to ``rows`` patches fit the working memory of a task."""
+    step = max(MIN_FILTERS, BATCH_DOUBLES // max(1, 4 * rows))
+    unit = next_power2(layer.inputs) if layer.fastfood else 1
+    step = -(-step // unit) * unit
+    return [(low, min(low + step, layer.filters)) for low in range(0, layer.filters, step)]
 
 
 def layer_function(layer: Layer, bank: Callable[[], np.ndarray], phase: np.ndarray | None) -> Callable:
@@ -116,6 +128,26 @@ def layer_function(layer: Layer, bank: Callable[[], np.ndarray], phase: np.ndarr
     if phase is None:
         phase = seeded.phases(layer.filters, layer.seed)
 
+    def patch_norms(rows: np.ndarray) -> np.ndarray | None:
+        if layer.norm == "offset":
+            return np.linalg.norm(rows + vectors.NORM_OFFSET, axis=1)[:, None]
+        if layer.norm == "floor":
+            return np.maximum(np.linalg.norm(rows, axis=1), vectors.NORM_FLOOR)[:, None]
+        if layer.norm == "none":
+            return None
+        raise ValueError(f"unknown norm {layer.norm}")
+
+    def respond(rows: np.ndarray, norms: np.ndarray | None, low: int, high: int) -> np.ndarray:
+        out = project(rows, low, high)
+        if norms is not None:
+            out /= norms
+        if layer.nonlinearity == "cos":
+            out += phase[low:high]
+            np.cos(out, out=out)
+        if layer.rescale and norms is not None:
+            out *= norms
+        return out
+
     def apply(images: np.ndarray) -> np.ndarray:
         if images.shape[1:] != (layer.shape.size,):
             raise ValueError(f"images of {images.shape[1:]} values do not have {layer.shape}")
@@ -125,27 +157,19 @@ def layer_function(layer: Layer, bank: Callable[[], np.ndarray], phase: np.ndarr
             rows = rows - means
         if layer.whitener is not None:
             rows = layer.whitener.apply(rows)
-        norms = None
-        if layer.norm == "offset":
-            norms = np.linalg.norm(rows + vectors.NORM_OFFSET, axis=1)[:, None]
-        elif layer.norm == "floor":
-            norms = np.maximum(np.linalg.norm(rows, axis=1), vectors.NORM_FLOOR)[:, None]
-        elif layer.norm != "none":
-            raise ValueError(f"unknown norm {layer.norm}")
-        out = project(rows)
-        if norms is not None:
-            out /= norms
-        if layer.nonlinearity == "cos":
-            out += phase
-            np.cos(out, out=out)
-        if layer.rescale and norms is not None:
-            out *= norms
-        out = out.reshape(*cube.shape[:3], layer.filters)
-        if layer.nonlinearity == "rectify":
-            out = np.concatenate([np.maximum(0.0, out - layer.alpha), np.maximum(0.0, -out - layer.alpha)], axis=3)
-        if sides is not None:
-            out = pooling.pool_cube(out, sides)
-        return out.reshape(len(images), -1)
+        norms = patch_norms(rows)
+        pools: list[list[np.ndarray]] = [[], []]
+        # Channels pool one by one, so filters can go in blocks however many there are.
+        for low, high in filter_blocks(layer, len(rows)):
+            out = respond(rows, norms, low, high).reshape(*cube.shape[:3], high - low)
+            halves = [out]
+            if layer.nonlinearity == "rectify":
+                halves = [np.maximum(0.0, out - layer.alpha), np.maximum(0.0, -out - layer.alpha)]
+            for pooled, half in zip(pools, halves):
+                pooled.append(half if sides is None else pooling.pool_cube(half, sides))
+        blocks = pools[0] + pools[1]
+        done = blocks[0] if len(blocks) == 1 else np.concatenate(blocks, axis=3)
+        return done.reshape(len(images), -1)
 
     return apply
 
@@ -157,6 +181,7 @@ def layer_stack(
     phases: np.ndarray | None = None,
     out: str = "features",
     keep: Sequence[str] | None = None,
+    as_float: bool = False,
 ) -> DataFrame:
     """Run layers one after another in a single pass over the images.
 
@@ -189,9 +214,8 @@ def layer_stack(
 
         return apply
 
-    return map_vectors(
-        images, "pixels", build, out=out, keep=keep, doubles_per_row=max(layer.doubles_per_row for layer in layers)
-    )
+    widest = max(layer.doubles_per_row for layer in layers)
+    return map_vectors(images, "pixels", build, out=out, keep=keep, doubles_per_row=widest, as_float=as_float)
 
 
 def convolve(

@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlight.functions import vectors
-from patchlight.functions.batches import collect_matrix, map_vectors, sum_rows, to_matrix
+from patchlight.functions.batches import VECTOR, carried, collect_matrix, map_vectors, sum_rows, to_matrix
 from patchlight.operators.sampling import pair_members, sample_rows
-from patchlight.operators.statistics import vector_column
 
 WEIGHT = 1.414
 SMALLEST_NORM = 1e-16
@@ -17,7 +16,7 @@ SMALLEST_NORM = 1e-16
 
 def anchor_rows(df: DataFrame, key: str, m: int, seed: int, column: str = "features") -> tuple[np.ndarray, np.ndarray]:
     """Keys and vectors of m sampled rows, ordered by key; m bounds what reaches the driver."""
-    rows = sample_rows(df.select(key, vector_column(column)), key, m, seed).toArrow().sort_by(key)
+    rows = sample_rows(df.select(key, carried(df, column).alias(column)), key, m, seed).toArrow().sort_by(key)
     return rows.column(key).to_numpy(), to_matrix(rows.column(column).combine_chunks())
 
 
@@ -79,7 +78,7 @@ def dual_scores(
     def accumulate(data: list[np.ndarray]) -> np.ndarray:
         return data[1].T @ data[0]
 
-    rows = sum_rows(train, [vector_column(column), vector_column(dual)], accumulate, classes, width)
+    rows = sum_rows(train, [carried(train, column), carried(train, dual)], accumulate, classes, width)
     weights = collect_matrix(rows, classes, width)
     return map_vectors(test, column, lambda: lambda block: block @ weights.T, out="scores")
 
@@ -90,7 +89,7 @@ def pair_distances(df: DataFrame, key: str, m: int, seed: int, column: str = "fe
     norm = F.greatest(F.sqrt(vectors.sum_squares(F.col(column))), F.lit(SMALLEST_NORM))
     # 2m members: the table is read once and only their vectors are shuffled.
     picked = (
-        df.select(F.col(key).alias("key"), vector_column(column))
+        df.select(F.col(key).alias("key"), F.col(column).cast(VECTOR).alias(column))
         .join(F.broadcast(members), "key")
         .select("draw", "right", "key", vectors.divided(F.col(column), norm).alias("u"))
     )

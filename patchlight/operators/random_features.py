@@ -61,6 +61,11 @@ class FastfoodParts(NamedTuple):
     order: np.ndarray
     permuted: bool
 
+    def between(self, low: int, high: int) -> "FastfoodParts":
+        """The blocks that hold outputs low..high-1; ``low`` starts a block."""
+        take = slice(low // self.width, -(-high // self.width))
+        return self._replace(sign=self.sign[take], gauss=self.gauss[take], scale=self.scale[take], order=self.order[take])
+
 
 def fastfood_matrices(inputs: int, outputs: int, seed: int, permute: bool = True) -> FastfoodParts:
     """The diagonals and permutations, one row per block of the padded input length.

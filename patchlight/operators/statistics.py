@@ -13,15 +13,11 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from patchlight.functions import vectors
-from patchlight.functions.batches import VECTOR, collect_matrix, map_vectors, rows_per_slice, sum_rows
+from patchlight.functions.batches import carried, collect_matrix, map_vectors, rows_per_slice, sum_rows
 from patchlight.layout import Shape
 from patchlight.operators.patches import patch_cube, patch_doubles
 
 
-def vector_column(column: str) -> Column:
-    return F.col(column).cast(VECTOR).alias(column)
-
-
 def row_width(df: DataFrame, column: str = "features") -> int:
     """Length of the vectors, from one row."""
     first = df.select(F.size(column).alias("d")).first()
@@ -86,7 +82,7 @@ def moment_rows(df: DataFrame, width: int, column: str = "features") -> DataFram
         block = np.concatenate([np.ones((len(data[0]), 1)), data[0]], axis=1)
         return block.T @ block
 
-    return sum_rows(df, [vector_column(column)], accumulate, width + 1, width + 1)
+    return sum_rows(df, [carried(df, column)], accumulate, width + 1, width + 1)
 
 
 def patch_moment_rows(images: DataFrame, shape: Shape, patch: int) -> DataFrame:
@@ -102,7 +98,7 @@ def patch_moment_rows(images: DataFrame, shape: Shape, patch: int) -> DataFrame:
             total += block.T @ block
         return total
 
-    return sum_rows(images, [vector_column("pixels")], accumulate, inputs + 1, inputs + 1)
+    return sum_rows(images, [carried(images, "pixels")], accumulate, inputs + 1, inputs + 1)
 
 
 def mean_and_covariance(moments: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -122,7 +118,7 @@ def covariance_rows(df: DataFrame, width: int, column: str = "features") -> Data
         centred = data[0] - mean
         return centred.T @ centred
 
-    rows = sum_rows(df, [vector_column(column)], accumulate, width, width)
+    rows = sum_rows(df, [carried(df, column)], accumulate, width, width)
     return rows.select("i", F.posexplode("row").alias("j", "v")).select("i", "j", (F.col("v") / F.lit(n)).alias("cov"))
 
 
@@ -132,7 +128,7 @@ def count_and_mean(df: DataFrame, width: int, column: str = "features") -> tuple
     def sums(data: list[np.ndarray]) -> np.ndarray:
         return np.stack([np.full(width, float(len(data[0]))), data[0].sum(axis=0)])
 
-    total = collect_matrix(sum_rows(df, [vector_column(column)], sums, 2, width), 2, width)
+    total = collect_matrix(sum_rows(df, [carried(df, column)], sums, 2, width), 2, width)
     if width == 0 or total[0, 0] == 0:
         raise ValueError("no rows to take a mean of")
     return float(total[0, 0]), total[1] / total[0, 0]
@@ -150,7 +146,7 @@ def gram_rows(df: DataFrame, width: int, block: int, lam: float = 0.0, column: s
         def accumulate(data: list[np.ndarray], start: int = start, size: int = size) -> np.ndarray:
             return data[0][:, start : start + size].T @ data[0]
 
-        rows = sum_rows(df, [vector_column(column)], accumulate, size, width)
+        rows = sum_rows(df, [carried(df, column)], accumulate, size, width)
         placed = rows.select(F.lit(number).alias("block"), (F.col("i") + F.lit(start)).alias("at"), "row")
         parts.append(placed.select("block", F.col("at").alias("i"), add_diagonal(F.col("row"), F.col("at"), lam).alias("row")))
     whole = parts[0]
@@ -170,7 +166,7 @@ def class_moments(df: DataFrame, width: int, classes: int, column: str = "featur
         hot = class_matrix(data[1], classes)
         return hot.T @ np.concatenate([np.ones((len(hot), 1)), data[0]], axis=1)
 
-    rows = sum_rows(df, [vector_column(column), F.col(label).cast("int")], accumulate, classes, width + 1)
+    rows = sum_rows(df, [carried(df, column), F.col(label).cast("int")], accumulate, classes, width + 1)
     return collect_matrix(rows, classes, width + 1)
 
 
@@ -191,7 +187,7 @@ def column_spread(df: DataFrame, width: int, column: str = "features") -> tuple[
     def squares(data: list[np.ndarray]) -> np.ndarray:
         return ((data[0] - mean) ** 2).sum(axis=0)[None, :]
 
-    second = collect_matrix(sum_rows(df, [vector_column(column)], squares, 1, width), 1, width)
+    second = collect_matrix(sum_rows(df, [carried(df, column)], squares, 1, width), 1, width)
     return mean, np.sqrt(second[0] / n)
 
 

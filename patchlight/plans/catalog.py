@@ -65,6 +65,16 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_images(table, "vec_id", "embedding", "label")
 
 
+def stored_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images as stored, in floats, for operators that widen inside the tasks."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return as_images(table, "vec_id", "embedding", "label", widen=False)
+
+
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_images(spark, sf_dir).withColumnRenamed("pixels", "features")
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).withColumnRenamed("pixels", "features")
 
@@ -131,7 +141,7 @@ def image_contrast_norm(spark, sf_dir):
 
 @query
 def mean_image_subtract(spark, sf_dir):
-    table = images(spark, sf_dir)
+    table = stored_images(spark, sf_dir)
     return rows(statistics.subtract_mean_image(table, table), "pixels")
 
 
@@ -169,12 +179,12 @@ def channel_reorder(spark, sf_dir):
 
 @query
 def image_resize(spark, sf_dir):
-    return rows(pooling.resize(images(spark, sf_dir), FLAT, 12, 5), "pixels")
+    return rows(pooling.resize(stored_images(spark, sf_dir), FLAT, 12, 5), "pixels")
 
 
 @query
 def image_resize_nearest(spark, sf_dir):
-    return rows(pooling.resize(images(spark, sf_dir), DEEP, 7, 3, "nearest"), "pixels")
+    return rows(pooling.resize(stored_images(spark, sf_dir), DEEP, 7, 3, "nearest"), "pixels")
 
 
 # ---- convolution
@@ -186,38 +196,38 @@ def bank(count: int, inputs: int, seed: int = SEED) -> np.ndarray:
 
 @query
 def convolve_linear(spark, sf_dir):
-    return rows(cv.convolve(images(spark, sf_dir), FLAT, bank(4, 25), 5), "pixels")
+    return rows(cv.convolve(stored_images(spark, sf_dir), FLAT, bank(4, 25), 5), "pixels")
 
 
 @query
 def convolve_stride2(spark, sf_dir):
-    return rows(cv.convolve(images(spark, sf_dir), FLAT, bank(4, 16), 4, stride=2), "pixels")
+    return rows(cv.convolve(stored_images(spark, sf_dir), FLAT, bank(4, 16), 4, stride=2), "pixels")
 
 
 @query
 def convolve_same(spark, sf_dir):
-    return rows(cv.convolve(images(spark, sf_dir), DEEP, bank(3, 36), 3, pad=True), "pixels")
+    return rows(cv.convolve(stored_images(spark, sf_dir), DEEP, bank(3, 36), 3, pad=True), "pixels")
 
 
 @query
 def convolve_same_even(spark, sf_dir):
-    return rows(cv.convolve(images(spark, sf_dir), FLAT, bank(3, 16), 4, pad=True), "pixels")
+    return rows(cv.convolve(stored_images(spark, sf_dir), FLAT, bank(3, 16), 4, pad=True), "pixels")
 
 
 @query
 def filter_flip(spark, sf_dir):
-    return rows(cv.convolve(images(spark, sf_dir), DEEP, bank(3, 16), 2, flip=True), "pixels")
+    return rows(cv.convolve(stored_images(spark, sf_dir), DEEP, bank(3, 16), 2, flip=True), "pixels")
 
 
 @query
 def conv_cosine(spark, sf_dir):
     layer = replace(FLAT_LAYER, filters=8, pool=1, pool_stride=1)
-    return rows(cv.layer_stack(images(spark, sf_dir), [layer]), "features")
+    return rows(cv.layer_stack(stored_images(spark, sf_dir), [layer]), "features")
 
 
 @query
 def conv_cosine_pool(spark, sf_dir):
-    return rows(cv.layer_stack(images(spark, sf_dir), [FLAT_LAYER]), "features")
+    return rows(cv.layer_stack(stored_images(spark, sf_dir), [FLAT_LAYER]), "features")
 
 
 @query
@@ -231,18 +241,18 @@ def conv_cosine_pool_relational(spark, sf_dir):
 @query
 def conv_cosine_strided_padded(spark, sf_dir):
     layer = replace(FLAT_LAYER, patch=4, filters=6, stride=3, pad=True, pool=1, pool_stride=1, bandwidth=1.8)
-    return rows(cv.layer_stack(images(spark, sf_dir), [layer]), "features")
+    return rows(cv.layer_stack(stored_images(spark, sf_dir), [layer]), "features")
 
 
 @query
 def conv_cosine_norm_scaled(spark, sf_dir):
-    return rows(cv.layer_stack(images(spark, sf_dir), [replace(DEEP_LAYER, rescale=True)]), "features")
+    return rows(cv.layer_stack(stored_images(spark, sf_dir), [replace(DEEP_LAYER, rescale=True)]), "features")
 
 
 @query
 def conv_cosine_fastfood(spark, sf_dir):
     layer = replace(DEEP_LAYER, filters=32, fastfood=True, bandwidth=1.3)
-    return rows(cv.layer_stack(images(spark, sf_dir), [layer]), "features")
+    return rows(cv.layer_stack(stored_images(spark, sf_dir), [layer]), "features")
 
 
 @query
@@ -250,13 +260,13 @@ def conv_cosine_gauss_pool(spark, sf_dir):
     """Filters and phases are given and broadcast; the pool weighs by exp(-d^2 / 2 sigma^2)."""
     layer = replace(FLAT_LAYER, filters=8, rescale=True, pool_kind="gauss", pool=2, pool_stride=2)
     given = bank(8, 25, SEED + 5)
-    return rows(cv.layer_stack(images(spark, sf_dir), [layer], given, seeded.phases(8, SEED + 5)), "features")
+    return rows(cv.layer_stack(stored_images(spark, sf_dir), [layer], given, seeded.phases(8, SEED + 5)), "features")
 
 
 @query
 def conv_cosine_gauss_pool_means(spark, sf_dir):
     """Seeded filters, channel means taken off first, weights exp(-d^2 / sigma^2)."""
-    table = images(spark, sf_dir)
+    table = stored_images(spark, sf_dir)
     layer = replace(
         DEEP_LAYER, rescale=True, pool_kind="gauss", gauss_coefficient=1.0, pool=2, pool_stride=1,
         channel_means=statistics.channel_means(table, DEEP),
@@ -267,7 +277,7 @@ def conv_cosine_gauss_pool_means(spark, sf_dir):
 @query
 def two_layer_features(spark, sf_dir):
     first = replace(FLAT_LAYER, filters=8)
-    return rows(cv.layer_stack(images(spark, sf_dir), [first, SECOND_LAYER]), "features")
+    return rows(cv.layer_stack(stored_images(spark, sf_dir), [first, SECOND_LAYER]), "features")
 
 
 @query
@@ -281,7 +291,7 @@ def patch_bank_features(spark, sf_dir):
 @query
 def conv_cosine_whitened_cov(spark, sf_dir):
     """Patches are whitened, and filters shaped by the covariance of the raw patches."""
-    table = images(spark, sf_dir)
+    table = stored_images(spark, sf_dir)
     whitener = whitening.fit_patch_whitener(table, FLAT, 5)
     return rows(cv.layer_stack(table, [replace(FLAT_LAYER, filters=8, whitener=whitener)]), "features")
 
@@ -293,7 +303,7 @@ def patch_rbf_lift(spark, sf_dir):
     layer = replace(
         FLAT_LAYER, filters=6, norm="floor", rescale=True, bandwidth=float(np.sqrt(2.0 * gamma)), pool_kind="blur"
     )
-    return rows(cv.layer_stack(images(spark, sf_dir), [layer]), "features")
+    return rows(cv.layer_stack(stored_images(spark, sf_dir), [layer]), "features")
 
 
 # ---- pooling
@@ -301,12 +311,12 @@ def patch_rbf_lift(spark, sf_dir):
 
 @query
 def pool_mean(spark, sf_dir):
-    return rows(pooling.mean_pool(images(spark, sf_dir), FLAT, 4, 3), "pixels")
+    return rows(pooling.mean_pool(stored_images(spark, sf_dir), FLAT, 4, 3), "pixels")
 
 
 @query
 def pool_mean_odd(spark, sf_dir):
-    return rows(pooling.mean_pool(images(spark, sf_dir), DEEP, 3, 2), "pixels")
+    return rows(pooling.mean_pool(stored_images(spark, sf_dir), DEEP, 3, 2), "pixels")
 
 
 @query
@@ -322,12 +332,12 @@ def pool_general_l2(spark, sf_dir):
 
 @query
 def pool_rectify(spark, sf_dir):
-    return rows(pooling.rectify_pool(images(spark, sf_dir), DEEP, 2, 2, 0.0, 0.02), "pixels")
+    return rows(pooling.rectify_pool(stored_images(spark, sf_dir), DEEP, 2, 2, 0.0, 0.02), "pixels")
 
 
 @query
 def gaussian_blur_pool(spark, sf_dir):
-    return rows(pooling.gaussian_blur_pool(images(spark, sf_dir), FLAT, 2), "pixels")
+    return rows(pooling.gaussian_blur_pool(stored_images(spark, sf_dir), FLAT, 2), "pixels")
 
 
 @query
@@ -345,34 +355,34 @@ def block_pool_mean(spark, sf_dir):
 
 @query
 def fwht(spark, sf_dir):
-    return rows(rf.hadamard(features(spark, sf_dir)), "features")
+    return rows(rf.hadamard(stored_features(spark, sf_dir)), "features")
 
 
 @query
 def fastfood(spark, sf_dir):
-    return rows(rf.fastfood(features(spark, sf_dir), WIDTH, 128, SEED, sigma=0.8), "features")
+    return rows(rf.fastfood(stored_features(spark, sf_dir), WIDTH, 128, SEED, sigma=0.8), "features")
 
 
 @query
 def fastfood_unpermuted(spark, sf_dir):
     """Vector scale (no 1/sqrt d) and no permutation."""
-    return rows(rf.fastfood(features(spark, sf_dir), WIDTH, 64, SEED, 2.0, permute=False, root=False), "features")
+    return rows(rf.fastfood(stored_features(spark, sf_dir), WIDTH, 64, SEED, 2.0, permute=False, root=False), "features")
 
 
 @query
 def random_cosine_features(spark, sf_dir):
-    return rows(rf.cosine_features(features(spark, sf_dir), WIDTH, 96, SEED, gamma=1.2), "features")
+    return rows(rf.cosine_features(stored_features(spark, sf_dir), WIDTH, 96, SEED, gamma=1.2), "features")
 
 
 @query
 def random_cosine_features_cauchy(spark, sf_dir):
-    return rows(rf.cosine_features(features(spark, sf_dir), WIDTH, 16, SEED, gamma=0.1, weights="cauchy"), "features", digits=4)
+    return rows(rf.cosine_features(stored_features(spark, sf_dir), WIDTH, 16, SEED, gamma=0.1, weights="cauchy"), "features", digits=4)
 
 
 @query
 def random_cosine_features_broadcast(spark, sf_dir):
     given = 0.5 * seeded.uniforms(48, WIDTH, SEED)
-    return rows(rf.cosine_features_given(features(spark, sf_dir), given, seeded.phases(48, SEED)), "features")
+    return rows(rf.cosine_features_given(stored_features(spark, sf_dir), given, seeded.phases(48, SEED)), "features")
 
 
 @query
@@ -449,25 +459,25 @@ def ridge_scale(spark, sf_dir):
 
 @query
 def covariance(spark, sf_dir):
-    cells = statistics.covariance_rows(features(spark, sf_dir), WIDTH)
+    cells = statistics.covariance_rows(stored_features(spark, sf_dir), WIDTH)
     return cells.select("i", "j", shown(F.col("cov"), 8).alias("cov"))
 
 
 @query
 def gram_blocks(spark, sf_dir):
-    gram = statistics.gram_rows(features(spark, sf_dir), WIDTH, 24, LAMBDA)
+    gram = statistics.gram_rows(stored_features(spark, sf_dir), WIDTH, 24, LAMBDA)
     return rows(gram, "row", ("block", "i"))
 
 
 @query
 def patch_covariance(spark, sf_dir):
-    moments = statistics.patch_moment_rows(images(spark, sf_dir), FLAT, 5)
+    moments = statistics.patch_moment_rows(stored_images(spark, sf_dir), FLAT, 5)
     return rows(moments, "row", ("i",))
 
 
 @query
 def standardize(spark, sf_dir):
-    return rows(statistics.standardize(features(spark, sf_dir), width=WIDTH), "features")
+    return rows(statistics.standardize(stored_features(spark, sf_dir), width=WIDTH), "features")
 
 
 @query
@@ -609,34 +619,34 @@ def augmented_accuracy(spark, sf_dir):
 
 @query
 def ridge_fit_predict(spark, sf_dir):
-    table = features(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     return rows(linear.fit_ridge(table, LAMBDA, CLASSES).transform(table), "scores", ("image_id", "label"))
 
 
 @query
 def block_ridge(spark, sf_dir):
     """Two block passes, one data pass per block, as for features too wide for one Gram matrix."""
-    table = features(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     model = linear.fit_ridge(table, LAMBDA, CLASSES, block=24, passes=2, gram_width=32)
     return rows(model.transform(table), "scores", ("image_id", "label"))
 
 
 @query
 def weighted_ridge(spark, sf_dir):
-    table = features(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     return rows(linear.fit_ridge(table, LAMBDA, CLASSES, mixture=MIXTURE).transform(table), "scores", ("image_id", "label"))
 
 
 @query
 def dual_coefficients(spark, sf_dir):
-    table = features(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     model = linear.fit_ridge(table, LAMBDA, CLASSES)
     return rows(linear.dual_coefficients(table, model, LAMBDA), "alpha")
 
 
 @query
 def dual_scores(spark, sf_dir):
-    table = features(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     model = linear.fit_ridge(table, LAMBDA, CLASSES)
     duals = linear.dual_coefficients(table, model, LAMBDA)
     return rows(kernels.dual_scores(duals, table, WIDTH, CLASSES), "scores", ("image_id", "label"))
@@ -645,7 +655,7 @@ def dual_scores(spark, sf_dir):
 @query
 def ridge_sweep(spark, sf_dir):
     """Weights of every ridge setting, all from one pass."""
-    models = linear.ridge_sweep(features(spark, sf_dir), SWEEP, CLASSES)
+    models = linear.ridge_sweep(stored_features(spark, sf_dir), SWEEP, CLASSES)
     tables = [model.table(spark).withColumn("lam", F.lit(lam)) for lam, model in models.items()]
     whole = tables[0]
     for table in tables[1:]:
@@ -655,27 +665,27 @@ def ridge_sweep(spark, sf_dir):
 
 @query
 def softmax_gd_steps(spark, sf_dir):
-    table = features(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     model = softmax.softmax_descent(table, 0.01, 3, lambda k: 1.0 / (k + 1), CLASSES)
     return rows(model.transform(table), "scores", ("image_id", "label"))
 
 
 @query
 def softmax_gd_backtrack(spark, sf_dir):
-    table = features(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     model = softmax.softmax_descent(table, 0.01, 3, "backtrack", CLASSES)
     return rows(model.transform(table), "scores", ("image_id", "label"))
 
 
 @query
 def softmax_gn(spark, sf_dir):
-    table = features(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     return rows(softmax.softmax_newton(table, 1.0, 2, CLASSES).transform(table), "scores", ("image_id", "label"))
 
 
 @query
 def softmax_block_gn(spark, sf_dir):
-    table = features(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
     model = softmax.softmax_block_newton(table, 1.0, 1, 24, 1, SEED, CLASSES)
     return rows(model.transform(table), "scores", ("image_id", "label"))
 
@@ -697,7 +707,7 @@ def hinge_ml(spark, sf_dir):
 @query
 def featurize_fit_evaluate(spark, sf_dir):
     """A whole run, with the features kept in a keyed table: one row of metrics."""
-    table = images(spark, sf_dir)
+    table = stored_images(spark, sf_dir)
     conf = FeatureConf(dataset="embeddings", filters=(32,), bandwidth=(1.2,), whiten=True, seed=SEED)
     record = runs.run(table, table, conf, SolveConf(reg=0.1, reg_mode="trace_over_d", classes=CLASSES), fresh_path(spark, "run"))
     metrics = record["test"]
@@ -741,7 +751,7 @@ def layer_reload(spark, sf_dir):
     """Features of a layer, stored as text and read back as images of its shape."""
     path = fresh_path(spark, "layer")
     layer = replace(FLAT_LAYER, filters=4)
-    stored = cv.layer_stack(images(spark, sf_dir), [layer])
+    stored = cv.layer_stack(stored_images(spark, sf_dir), [layer])
     writers.write_feature_text(halves(stored), path, "ckn")
     shape = layer.out_shape
     cells = readers.read_layer(spark, path, "ckn", shape).select("label", "split", "x_dim", "y_dim", "n_channels", F.posexplode("pixels").alias("pos", "v"))

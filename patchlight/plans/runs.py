@@ -34,10 +34,7 @@ def fit_first_whitener(train: DataFrame, conf: FeatureConf) -> Whitener | None:
 
 def featurize(images: DataFrame, conf: FeatureConf, whitener: Whitener | None = None) -> DataFrame:
     """Images to feature vectors, all layers in one pass and without a shuffle."""
-    features = layer_stack(images, conf.build(whitener))
-    if conf.layers - 1 in conf.float_layers:
-        features = features.withColumn("features", F.col("features").cast("array<float>"))
-    return features
+    return layer_stack(images, conf.build(whitener), as_float=conf.layers - 1 in conf.float_layers)
 
 
 def featurize_stored(images: DataFrame, conf: FeatureConf, folder: str, layers: int | None = None, whitener: Whitener | None = None) -> DataFrame:
@@ -50,7 +47,7 @@ def featurize_stored(images: DataFrame, conf: FeatureConf, folder: str, layers:
     if layers and layers < conf.layers:
         start = conf.prefix(layers)
         stored = materialize(spark, f"{folder}/{start.feature_id}", lambda: featurize(images, start, whitener))
-        rest = layer_stack(stored.withColumnRenamed("features", "pixels"), conf.build(whitener, first=layers))
+        rest = layer_stack(stored.withColumnRenamed("features", "pixels"), conf.build(whitener, first=layers), as_float=conf.layers - 1 in conf.float_layers)
         return materialize(spark, f"{folder}/{conf.feature_id}", lambda: rest)
     return materialize(spark, f"{folder}/{conf.feature_id}", lambda: featurize(images, conf, whitener))
 

@@ -91,22 +91,30 @@ def signs(count: int, seed: int) -> np.ndarray:
     return np.where(mixed(f, np.int64(0), seed, SIGN) % 2 == 0, 1.0, -1.0)
 
 
-def order_key(key: Column, sub: Column | int, seed: int) -> Column:
-    """Hash in [0, ORDER_RANGE) that orders rows at random; ties need the key itself."""
-    key = key.cast("bigint")
-    sub = sub if isinstance(sub, Column) else F.lit(sub)
-    low = F.pmod(key, F.lit(MODULUS))
-    high = F.pmod(F.floor(key / F.lit(MODULUS)).cast("bigint") * 4099 + sub.cast("bigint"), F.lit(MODULUS))
-    return mixed_column(low, high, seed, ORDER_HIGH) * F.lit(MODULUS) + mixed_column(low, high, seed, ORDER_LOW)
-
-
 def with_order(df: DataFrame, out: str, key: Column, sub: Column | int, seed: int) -> DataFrame:
-    """Add the order hash as a column.
+    """Add a hash in [0, ORDER_RANGE) that orders rows at random; ties need the key itself.
 
-    The one-element explode keeps a filter on the hash from being pushed below
-    it and evaluated again for every comparison.
+    Each round is a one-row ``inline``, which compiles to plain code but which
+    the optimiser will not inline into the next round or into filters. So a
+    draw is computed once, though the next round uses it twice.
     """
-    return df.withColumn(out, F.explode(F.array(order_key(key, sub, seed))))
+    sub = (sub if isinstance(sub, Column) else F.lit(sub)).cast("bigint")
+    key = key.cast("bigint")
+    names, place = df.columns, ("__low", "__high")
+    low, high = F.col("__low"), F.col("__high")
+
+    def step(table: DataFrame, keep: tuple[str, ...], columns: dict[str, Column]) -> DataFrame:
+        cell = F.struct(*[column.alias(name) for name, column in columns.items()])
+        return table.select(*names, *keep, F.inline(F.array(cell)))
+
+    wrapped = F.pmod(F.floor(key / F.lit(MODULUS)).cast("bigint") * 4099 + sub, F.lit(MODULUS))
+    table = step(df, (), {"__low": F.pmod(key, F.lit(MODULUS)), "__high": wrapped})
+    draws = {"__a": first_draw(low, high, seed, ORDER_HIGH), "__b": first_draw(low, high, seed, ORDER_LOW)}
+    table = step(table, place, draws)
+    for r in range(ROUNDS):
+        table = step(table, place, {name: next_draw(F.col(name), low, high, r) for name in draws})
+    hashed = F.col("__a") * F.lit(MODULUS) + F.col("__b")
+    return step(table, (), {out: hashed})
 
 
 ORDER_RANGE = MODULUS * MODULUS

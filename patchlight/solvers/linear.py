@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchlight.functions import vectors
-from patchlight.functions.batches import VECTOR, collect_matrix, map_vectors, sum_rows
-from patchlight.operators.statistics import REG_MODES, class_matrix, row_width, scaled_ridge, vector_column
+from patchlight.functions.batches import VECTOR, carried, collect_matrix, map_vectors, sum_rows
+from patchlight.operators.statistics import REG_MODES, class_matrix, row_width, scaled_ridge
 
 # Widest feature vector whose whole Gram matrix is formed at once.
 GRAM_WIDTH = 4096
@@ -105,7 +105,7 @@ def fit_moments(
         right = np.concatenate([left, class_matrix(labels, classes, negative)], axis=1)
         return (left * per_class[labels.astype(np.int64)][:, None]).T @ right
 
-    rows = sum_rows(df, [vector_column(column), F.col(label).cast("int")], accumulate, width + 1, width + 1 + classes)
+    rows = sum_rows(df, [carried(df, column), F.col(label).cast("int")], accumulate, width + 1, width + 1 + classes)
     sums = collect_matrix(rows, width + 1, width + 1 + classes)
     weight = sums[0, 0]
     if weight == 0:
@@ -185,7 +185,7 @@ def fit_blockwise(
     residual table is written and no lineage grows from pass to pass.
     """
     per_class = np.ones(classes) if weights is None else weights
-    inputs = [vector_column(column), F.col(label).cast("int")]
+    inputs = [carried(df, column), F.col(label).cast("int")]
 
     def head(data: list[np.ndarray]) -> np.ndarray:
         features, labels = data

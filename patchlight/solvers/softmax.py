@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlight.functions import vectors
-from patchlight.functions.batches import collect_matrix, sum_rows
+from patchlight.functions.batches import carried, collect_matrix, sum_rows
 from patchlight.operators.sampling import position_blocks
-from patchlight.operators.statistics import class_matrix, moment_rows, row_width, squares_summary, vector_column
+from patchlight.operators.statistics import class_matrix, moment_rows, row_width, squares_summary
 from patchlight.solvers.linear import GRAM_WIDTH, LinearModel, class_count
 
 BLOCK_LOG_OFFSET = 1e-10
@@ -64,7 +64,7 @@ def softmax_pass(
         total[classes, :2] = len(labels), -np.log(picked + offset).sum()
         return total
 
-    rows = sum_rows(df, [vector_column(column), F.col(label).cast("int")], accumulate, classes + 1, max(part, 2))
+    rows = sum_rows(df, [carried(df, column), F.col(label).cast("int")], accumulate, classes + 1, max(part, 2))
     total = collect_matrix(rows, classes + 1, max(part, 2))
     handle.unpersist()
     n = total[classes, 0]
@@ -165,7 +165,7 @@ def softmax_block_newton(
     for epoch in range(epochs):
         for positions in position_blocks(width, block, seed + epoch):
             chosen = np.array(positions)
-            moments = sum_rows(df, [vector_column(column)], block_gram(chosen), len(chosen), len(chosen))
+            moments = sum_rows(df, [carried(df, column)], block_gram(chosen), len(chosen), len(chosen))
             gram = collect_matrix(moments, len(chosen), len(chosen)) / summary["n"]
             inverse = np.linalg.inv(gram + lam * np.eye(len(chosen)))
             for _ in range(iterations):

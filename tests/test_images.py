@@ -213,3 +213,26 @@ def test_empty_table(spark):
     empty = image_table(spark, ramp()).filter("image_id < 0")
     assert cv.layer_stack(empty, [cv.Layer(RAMP, 3, 4)]).count() == 0
     assert patches.extract_patches(empty, RAMP, 3).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"fastfood": True}, {"nonlinearity": "rectify", "norm": "none"}, {"pool": 2, "pool_stride": 2}])
+def test_filter_blocks_do_not_change_results(monkeypatch, options):
+    layer = cv.Layer(RAMP, 3, 100, seed=2, **options)
+    rows = np.random.default_rng(6).normal(size=(3, RAMP.size))
+    want = cv.layer_function(layer, lambda: cv.random_filters(layer), None)(rows)
+    monkeypatch.setattr(cv, "MIN_FILTERS", 7)
+    monkeypatch.setattr(cv, "BATCH_DOUBLES", 10)
+    got = cv.layer_function(layer, lambda: cv.random_filters(layer), None)(rows)
+    assert len(cv.filter_blocks(layer, 45)) > 3 or layer.fastfood
+    assert np.allclose(got, want)
+
+
+def test_floats_are_widened_inside_tasks(spark):
+    rows = np.random.default_rng(7).normal(size=(5, 64)).astype(np.float32)
+    narrow = image_table(spark, rows.astype(float)).withColumn("pixels", F.col("pixels").cast("array<float>"))
+    layer = cv.Layer(Shape(8, 8), 3, 4)
+    want = collected(cv.layer_stack(image_table(spark, rows.astype(float)), [layer]), "features")
+    assert np.array_equal(collected(cv.layer_stack(narrow, [layer]), "features"), want)
+    floats = cv.layer_stack(narrow, [layer], as_float=True)
+    assert floats.schema["features"].dataType.simpleString() == "array<float>"
+    assert np.array_equal(collected(floats, "features"), want.astype(np.float32))
