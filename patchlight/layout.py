@@ -7,6 +7,7 @@ NumPy that is a C-ordered ``(height, width, channels)`` cube.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -86,9 +87,18 @@ def flatten_images(df: DataFrame, out: str = "features") -> DataFrame:
     return df.withColumnRenamed("pixels", out).drop("x_dim", "y_dim", "n_channels")
 
 
+def long_rows(df: DataFrame, keys: Sequence, vector: str | Column, index: str = "j", value: str = "v") -> DataFrame:
+    """Vectors to rows (keys, index, value).
+
+    The outer explode with a filter behind it, because for a plain explode the
+    optimiser adds tests of the vector in front, and computes it again for each.
+    """
+    return df.select(*keys, F.posexplode_outer(vector).alias(index, value)).filter(F.col(index).isNotNull())
+
+
 def pixel_rows(images: DataFrame, shape: Shape, keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Long form: one row (keys, x, y, c, v) per pixel value."""
-    long = images.select(*keep, F.posexplode("pixels").alias("pos", "v"))
+    long = long_rows(images, keep, "pixels", "pos")
     return long.select(*keep, *pixel_position(F.col("pos"), shape), "v")
 
 

@@ -291,16 +291,15 @@ def relational_conv_cosine_pool(images: DataFrame, layer: Layer) -> DataFrame:
     conv, out = layer.conv_shape, layer.out_shape
     # A given count also keeps small image tables, which grow a lot here, on all cores.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    within = F.explode(F.sequence(F.lit(0), F.lit(k * k - 1)))
-    dx, dy = F.col("d") % k, F.floor(F.col("d") / k).cast("int")
+    offsets = F.array(*[F.struct(F.lit(d % k).alias("dx"), F.lit(d // k).alias("dy"), F.lit(d * shape.channels).alias("at")) for d in range(k * k)])
     covered = (
         pixel_rows(images.select("image_id", "pixels").repartition(parts, "image_id"), shape)
-        .withColumn("d", within)
+        .select("image_id", "x", "y", "c", "v", F.inline(offsets))
         .select(
             "image_id",
-            (F.col("x") - dx).alias("x0"),
-            (F.col("y") - dy).alias("y0"),
-            (F.col("c") + F.col("d") * shape.channels).cast("bigint").alias("px"),
+            (F.col("x") - F.col("dx")).alias("x0"),
+            (F.col("y") - F.col("dy")).alias("y0"),
+            (F.col("c") + F.col("at")).cast("bigint").alias("px"),
             "v",
         )
         .filter(F.col("x0").between(0, conv.width - 1) & F.col("y0").between(0, conv.height - 1))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlight.functions import vectors
+from patchlight.layout import long_rows
 
 
 def predictions(df: DataFrame, scores: str = "scores") -> DataFrame:
@@ -99,7 +100,7 @@ def average_scores(df: DataFrame, source: str, classes: int, scores: str = "scor
             source, "copies", *carry, F.array(*[F.col(f"__{c}") for c in range(classes)]).alias(scores)
         )
     means = (
-        df.select(source, F.posexplode(scores).alias("c", "s")).groupBy(source, "c").agg(F.avg("s").alias("s"))
+        long_rows(df, [source], scores, "c", "s").groupBy(source, "c").agg(F.avg("s").alias("s"))
     )
     # One entry per class and source.
     vectors_back = means.groupBy(source).agg(

@@ -6,15 +6,13 @@ size, and only those matrices are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from patchlight.functions import vectors
 from patchlight.functions.batches import carried, collect_matrix, map_vectors, rows_per_slice, sum_rows
-from patchlight.layout import Shape
+from patchlight.layout import Shape, long_rows
 from patchlight.operators.patches import patch_cube, patch_doubles
 
 
@@ -28,12 +26,12 @@ def row_width(df: DataFrame, column: str = "features") -> int:
 
 def vector_sum(df: DataFrame, column: str = "features") -> DataFrame:
     """Sum of all vectors as rows (pos, total)."""
-    return df.select(F.posexplode(column).alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("total"))
+    return long_rows(df, [], column, "pos").groupBy("pos").agg(F.sum("v").alias("total"))
 
 
 def vector_means(df: DataFrame, column: str = "features") -> DataFrame:
     """Mean by position as rows (pos, mean)."""
-    return df.select(F.posexplode(column).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"))
+    return long_rows(df, [], column, "pos").groupBy("pos").agg(F.avg("v").alias("mean"))
 
 
 def grand_mean(df: DataFrame, column: str = "features") -> DataFrame:
@@ -119,7 +117,7 @@ def covariance_rows(df: DataFrame, width: int, column: str = "features") -> Data
         return centred.T @ centred
 
     rows = sum_rows(df, [carried(df, column)], accumulate, width, width)
-    return rows.select("i", F.posexplode("row").alias("j", "v")).select("i", "j", (F.col("v") / F.lit(n)).alias("cov"))
+    return long_rows(rows, ["i"], "row").select("i", "j", (F.col("v") / F.lit(n)).alias("cov"))
 
 
 def count_and_mean(df: DataFrame, width: int, column: str = "features") -> tuple[float, np.ndarray]:
@@ -221,8 +219,3 @@ def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Ob
 def patch_count(shape: Shape, patch: int, stride: int = 1, pad: bool = False) -> Column:
     """Aggregate that counts the patches of the images seen."""
     return F.sum(F.lit(shape.convolved(patch, 1, stride, pad).size)).cast("bigint")
-
-
-def as_long(df: DataFrame, keys: Sequence[str], column: str, index: str = "j", value: str = "v") -> DataFrame:
-    """Vectors to rows (keys, index, value)."""
-    return df.select(*keys, F.posexplode(column).alias(index, value))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from patchlight import seeded
 from patchlight.functions import vectors
-from patchlight.layout import Shape, as_images, pixel_position, with_shape
+from patchlight.layout import Shape, as_images, long_rows, pixel_position, with_shape
 from patchlight.operators import convolve as cv
 from patchlight.operators import evaluation, joins, kernels, patches, pooling, sampling, statistics
 from patchlight.operators import random_features as rf
@@ -81,8 +81,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rows(df: DataFrame, column: str, keys: tuple[str, ...] = ("image_id",), digits: int = 6) -> DataFrame:
     """Vectors as rows (keys, j, v)."""
-    long = df.select(*keys, F.posexplode(column).alias("j", "v"))
-    return long.select(*keys, "j", shown(F.col("v").cast("double"), digits).alias("v"))
+    return long_rows(df, keys, column).select(*keys, "j", shown(F.col("v").cast("double"), digits).alias("v"))
 
 
 # ---- images, patches and row transforms
@@ -91,7 +90,7 @@ def rows(df: DataFrame, column: str, keys: tuple[str, ...] = ("image_id",), digi
 @query
 def image_reshape(spark, sf_dir):
     shaped = with_shape(images(spark, sf_dir), DEEP)
-    cells = shaped.select("image_id", "x_dim", "y_dim", "n_channels", F.posexplode("pixels").alias("pos", "v"))
+    cells = long_rows(shaped, ["image_id", "x_dim", "y_dim", "n_channels"], "pixels", "pos")
     return cells.select("image_id", "x_dim", "y_dim", "n_channels", *pixel_position(F.col("pos"), DEEP), shown(F.col("v")).alias("v"))
 
 
@@ -155,7 +154,7 @@ def vector_subsample(spark, sf_dir):
 def column_block(spark, sf_dir):
     table = features(spark, sf_dir)
     blocks = F.array(*[vectors.block(F.col("features"), start, 24) for start in range(0, WIDTH, 24)])
-    cut = table.select("image_id", F.posexplode(blocks).alias("block", "part"))
+    cut = long_rows(table, ["image_id"], blocks, "block", "part")
     return rows(cut, "part", ("image_id", "block"))
 
 
@@ -389,7 +388,7 @@ def random_cosine_features_broadcast(spark, sf_dir):
 def kernel_matrix_sample(spark, sf_dir):
     table = features(spark, sf_dir)
     keys, anchors = kernels.anchor_rows(table, "image_id", ANCHORS, SEED)
-    cells = kernels.kernel_rows(table, anchors, sigma=1.0).select("image_id", F.posexplode("kernel").alias("a", "v"))
+    cells = long_rows(kernels.kernel_rows(table, anchors, sigma=1.0), ["image_id"], "kernel", "a")
     return cells.select("image_id", F.get(F.lit(keys.tolist()), F.col("a")).cast("bigint").alias("anchor_id"), shown(F.col("v")).alias("v"))
 
 
@@ -567,7 +566,7 @@ def argmax_class(spark, sf_dir):
 
 @query
 def topk_classes(spark, sf_dir):
-    best = scored(spark, sf_dir).select("image_id", F.posexplode(vectors.top_k(F.col("scores"), 5)).alias("place", "class"))
+    best = long_rows(scored(spark, sf_dir), ["image_id"], vectors.top_k(F.col("scores"), 5), "place", "class")
     return best.select("image_id", "place", F.col("class").cast("int").alias("class"))
 
 
@@ -754,7 +753,7 @@ def layer_reload(spark, sf_dir):
     stored = cv.layer_stack(stored_images(spark, sf_dir), [layer])
     writers.write_feature_text(halves(stored), path, "ckn")
     shape = layer.out_shape
-    cells = readers.read_layer(spark, path, "ckn", shape).select("label", "split", "x_dim", "y_dim", "n_channels", F.posexplode("pixels").alias("pos", "v"))
+    cells = long_rows(readers.read_layer(spark, path, "ckn", shape), ["label", "split", "x_dim", "y_dim", "n_channels"], "pixels", "pos")
     return cells.groupBy("split", "label", "x_dim", "y_dim", "n_channels", "pos").agg(shown(F.sum("v"), 5).alias("total"))
 
 
@@ -766,7 +765,7 @@ def fixed_width_binary_roundtrip(spark, sf_dir):
     table = images(spark, sf_dir)
     table.select(F.concat(F.char(F.col("label") + 1), F.array_join(byte, "")).alias("value")).write.text(path)
     back = readers.read_fixed_records(spark, path, Shape(65, 1, 1), planes=False)
-    cells = back.select((F.col("label") - 1).alias("label"), F.posexplode(F.slice("pixels", 1, WIDTH)).alias("pos", "v"))
+    cells = long_rows(back, [(F.col("label") - 1).alias("label")], F.slice("pixels", 1, WIDTH), "pos")
     return cells.groupBy("label", "pos").agg(F.count("*").alias("n"), shown(F.sum("v")).alias("total"))
 
 
