@@ -691,16 +691,16 @@ def softmax_block_gn(spark, sf_dir):
 
 @query
 def logistic_ml(spark, sf_dir):
-    table = features(spark, sf_dir)
-    model = softmax.fit_named_loss(table, "log", 0.01, 20)
-    return softmax.predict_named_loss(model, table).select("image_id", "label", "prediction")
+    table = stored_features(spark, sf_dir)
+    done = evaluation.predictions(softmax.fit_named_loss(table, "log", 0.01, 20).transform(table))
+    return done.select("image_id", "label", "prediction")
 
 
 @query
 def hinge_ml(spark, sf_dir):
-    table = features(spark, sf_dir)
-    model = softmax.fit_named_loss(table, "hinge", 0.01, 10)
-    return softmax.predict_named_loss(model, table).select("image_id", "label", "prediction")
+    table = stored_features(spark, sf_dir)
+    done = evaluation.predictions(softmax.fit_named_loss(table, "hinge", 0.01, 10).transform(table))
+    return done.select("image_id", "label", "prediction")
 
 
 @query

@@ -52,8 +52,8 @@ def featurize_stored(images: DataFrame, conf: FeatureConf, folder: str, layers:
     return materialize(spark, f"{folder}/{conf.feature_id}", lambda: featurize(images, conf, whitener))
 
 
-def fit(features: DataFrame, conf: SolveConf):
-    """Fit the named solver; the result has ``transform`` (scores) or is a Spark ML model."""
+def fit(features: DataFrame, conf: SolveConf) -> linear.LinearModel:
+    """Fit the named solver."""
     if conf.solver in ("ridge", "weighted_ridge"):
         return linear.fit_ridge(
             features,
@@ -73,15 +73,9 @@ def fit(features: DataFrame, conf: SolveConf):
     return softmax.fit_named_loss(features, conf.solver, conf.reg, conf.iterations)
 
 
-def score(features: DataFrame, model) -> DataFrame:
-    if hasattr(model, "weights"):
-        return model.transform(features)
-    return softmax.predict_named_loss(model, features)
-
-
-def evaluate(features: DataFrame, model, top_k: int = 5) -> dict[str, float]:
+def evaluate(features: DataFrame, model: linear.LinearModel, top_k: int = 5) -> dict[str, float]:
     """Top-1 accuracy, and top-k accuracy if there are at least k classes."""
-    scored = score(features, model)
+    scored = model.transform(features)
     own = F.get("scores", F.col("label"))
     ahead = F.size(F.filter("scores", lambda s: s > own)) + F.size(
         F.filter(F.slice("scores", 1, F.col("label")), lambda s: s == own)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,30 +194,22 @@ LOSSES = ("log", "hinge")
 
 def fit_named_loss(
     df: DataFrame, loss: str, reg: float, iterations: int = 100, column: str = "features", label: str = "label"
-):
-    """Linear classifier by loss name, from Spark ML: "log" or "hinge" (one class against the rest)."""
-    if loss == "log":
-        learner = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=reg, maxIter=iterations, family="multinomial")
-    elif loss == "hinge":
-        learner = OneVsRest(
-            classifier=LinearSVC(regParam=reg, maxIter=iterations), featuresCol="__x", labelCol="__y", parallelism=4
-        )
-    else:
-        raise ValueError(f"loss {loss} is none of {LOSSES}")
-    return learner.fit(ml_columns(df, column, label).select("__x", "__y"))
-
+) -> LinearModel:
+    """Linear classifier by loss name, fitted by Spark ML: "log", or "hinge" (one class against the rest).
 
-def ml_columns(df: DataFrame, column: str, label: str) -> DataFrame:
-    return df.withColumn("__x", array_to_vector(F.col(column).cast("array<double>"))).withColumn(
-        "__y", F.col(label).cast("double")
+    Only the coefficients are kept, so that scoring is one matrix product for
+    all classes and drags no training state along.
+    """
+    if loss not in LOSSES:
+        raise ValueError(f"loss {loss} is none of {LOSSES}")
+    rows = df.select(
+        array_to_vector(F.col(column).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label")
     )
-
-
-def predict_named_loss(model, df: DataFrame, column: str = "features", label: str = "label") -> DataFrame:
-    """Adds ``prediction`` (int) and ``scores``."""
-    done = model.transform(ml_columns(df, column, label))
-    return (
-        done.withColumn("scores", vector_to_array("rawPrediction"))
-        .withColumn("prediction", F.col("prediction").cast("int"))
-        .drop("__x", "__y", "rawPrediction", "probability")
+    if loss == "log":
+        model = LogisticRegression(regParam=reg, maxIter=iterations, family="multinomial").fit(rows)
+        return LinearModel(model.coefficientMatrix.toArray().T.copy(), model.interceptVector.toArray())
+    learner = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=iterations), parallelism=4)
+    parts = learner.fit(rows).models
+    return LinearModel(
+        np.stack([part.coefficients.toArray() for part in parts], axis=1), np.array([part.intercept for part in parts])
     )
