@@ -729,8 +729,8 @@ def feature_text_roundtrip(spark, sf_dir):
     """Text lines carry no key, so the id goes along as the first feature."""
     path = fresh_path(spark, "text")
     keyed = F.concat(F.array(F.col("image_id").cast("double")), "features")
-    writers.write_feature_text(halves(features(spark, sf_dir)).withColumn("features", keyed), path, "ckn")
-    back = readers.read_feature_text(spark, path, "ckn", partitions=8)
+    writers.write_feature_text(halves(features(spark, sf_dir)).withColumn("features", keyed), path, "layer0")
+    back = readers.read_feature_text(spark, path, "layer0", partitions=8)
     split = back.withColumns({"image_id": F.get("features", F.lit(0)).cast("bigint"), "features": F.slice("features", 2, WIDTH)})
     return rows(split, "features", ("image_id", "split", "label"))
 
@@ -739,8 +739,8 @@ def feature_text_roundtrip(spark, sf_dir):
 def float_feature_roundtrip(spark, sf_dir):
     path = fresh_path(spark, "float")
     keyed = F.concat(F.array(F.col("image_id").cast("double")), F.transform("features", lambda v: v / F.lit(3.0)))
-    writers.write_feature_text(halves(features(spark, sf_dir)).withColumn("features", keyed), path, "ckn", as_float=True)
-    back = readers.read_feature_text(spark, path, "ckn", as_float=True)
+    writers.write_feature_text(halves(features(spark, sf_dir)).withColumn("features", keyed), path, "layer0", as_float=True)
+    back = readers.read_feature_text(spark, path, "layer0", as_float=True)
     split = back.withColumns({"image_id": F.get("features", F.lit(0)).cast("bigint"), "features": F.slice("features", 2, WIDTH)})
     return rows(split, "features", ("image_id", "split", "label"))
 
@@ -751,9 +751,9 @@ def layer_reload(spark, sf_dir):
     path = fresh_path(spark, "layer")
     layer = replace(FLAT_LAYER, filters=4)
     stored = cv.layer_stack(stored_images(spark, sf_dir), [layer])
-    writers.write_feature_text(halves(stored), path, "ckn")
+    writers.write_feature_text(halves(stored), path, "layer0")
     shape = layer.out_shape
-    cells = long_rows(readers.read_layer(spark, path, "ckn", shape), ["label", "split", "x_dim", "y_dim", "n_channels"], "pixels", "pos")
+    cells = long_rows(readers.read_layer(spark, path, "layer0", shape), ["label", "split", "x_dim", "y_dim", "n_channels"], "pixels", "pos")
     return cells.groupBy("split", "label", "x_dim", "y_dim", "n_channels", "pos").agg(shown(F.sum("v"), 5).alias("total"))
 
 
@@ -805,10 +805,10 @@ def dataset_roundtrip(spark, sf_dir):
 
 @query
 def split_table_roundtrip(spark, sf_dir):
-    """Parquet features, one directory per split; only the chosen split is read."""
+    """Parquet features, one directory per split."""
     path = fresh_path(spark, "split")
     writers.write_features(halves(features(spark, sf_dir)), path, as_float=True)
-    return rows(spark.read.parquet(path).filter(F.col("split") == "train"), "features", ("image_id", "label"))
+    return rows(spark.read.parquet(path), "features", ("image_id", "split", "label"))
 
 
 @query

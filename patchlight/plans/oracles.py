@@ -851,9 +851,10 @@ ORACLES["augmented_accuracy"] = q.then(
 # ---- fits: the normal equations, solved by cyclic coordinate descent
 
 
-def moments(q: Sql, weight: str = "CAST(1 AS DOUBLE)") -> None:
+def moments(q: Sql, weight: str = "CAST(1 AS DOUBLE)", own_cells: bool = True) -> None:
     """Centred weighted Gram lists g(pos) and targets b(pos, k), with means."""
-    q.values()
+    if own_cells:
+        q.values()
     q.add("classes", "SELECT CAST(c AS INTEGER) AS k FROM range(10) t(c)")
     q.add("sizes", "SELECT label, count(*) AS nc, sum(count(*)) OVER () AS n FROM embeddings GROUP BY label")
     q.add("weights", f"SELECT label, {weight} AS wt FROM sizes")
@@ -1047,6 +1048,33 @@ for step in range(3):
 q.add("out", "SELECT image_id, label, k, sum(v * w) AS s FROM cells JOIN w3 ON i = pos GROUP BY ALL")
 ORACLES["softmax_gd_backtrack"] = q.then(long("image_id, label, k AS j", "out", "s"))
 
+# The whole run: whiten, 32 filters, pool, ridge on 128 features, accuracy.
+q = Sql()
+q.image("im", 8, 8, 1)
+q.patches("raw", "im", 8, 8, 1, 5)
+q.add("p", "SELECT image_id, ox, oy, px AS pos, v FROM raw")
+whitened(q, "p", "image_id, ox, oy", 0.1, 14)
+q.add("shape", f"SELECT i, j, v + CASE WHEN i = j THEN {d(1e-10)} * (SELECT avg(v) FROM w_cov WHERE i = j) ELSE 0 END AS v FROM w_cov")
+cholesky(q, "lower", "shape", 25)
+q.bank("draw", 32, 25, SEED, 1.2)
+q.add("bank", "SELECT f, i AS px, sum(w * v) AS w FROM draw JOIN lower ON j = px GROUP BY f, i")
+q.phases("phase", 32, SEED)
+q.add("wp", "SELECT image_id, ox, oy, j AS px, v FROM white")
+q.conv("out", "wp", "bank", "phase", "offset")
+q.pool("pooled", "out", 4, 4, 2, 2, "sum(v) / 4")
+q.add("cells", "SELECT image_id, label, CAST(c + x * 32 + y * 64 AS INTEGER) AS pos, v FROM pooled JOIN embeddings ON vec_id = image_id", keep=True)
+moments(q, own_cells=False)
+q.add("lam", f"SELECT {d(0.1)} * sum(v * v) / 128 AS lam FROM cells")
+q.add("ridged", "SELECT i, j, g + CASE WHEN i = j THEN lam ELSE 0 END AS g FROM g_cells, lam", keep=True)
+q.add("gram_lam", "SELECT i, list(g ORDER BY j) AS g, max(CASE WHEN i = j THEN g END) AS diag FROM ridged GROUP BY 1")
+descent(q, "solved", "gram_lam", "b_cells", "k", d(0.0), 40, 128)
+ridge_scores(q)
+q.add("ranked", "SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, k) - 1 AS place FROM ridge")
+ORACLES["featurize_fit_evaluate"] = q.then(
+    "SELECT count(*) AS n, round(avg(CASE WHEN place = 0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS accuracy,"
+    " round(avg(CASE WHEN place < 5 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS top5_accuracy FROM ranked WHERE k = label"
+)
+
 # ---- sources and sinks
 
 HALF = "CASE WHEN label % 2 = 0 THEN 'train' ELSE 'test' END AS split"
@@ -1061,7 +1089,7 @@ ORACLES["matrix_csv_roundtrip"] = q.then(
     long("image_id, label, pos AS j", "(SELECT dense_rank() OVER (ORDER BY image_id) - 1 AS image_id, label, pos, v FROM cells)")
 )
 ORACLES["dataset_roundtrip"] = q.then(long("'e' || image_id AS name, label, pos AS j", "cells"))
-ORACLES["split_table_roundtrip"] = q.then(long("image_id, label, pos AS j", "cells WHERE label % 2 = 0"))
+ORACLES["split_table_roundtrip"] = q.then(long(f"image_id, {HALF}, label, pos AS j", "cells"))
 ORACLES["fixed_width_binary_roundtrip"] = q.then(
     f"SELECT label, pos, count(*) AS n, {shown('sum(least(126, greatest(1, floor(v * 100 + 64))) / CAST(255 AS DOUBLE))')} AS total"
     " FROM cells GROUP BY label, pos"

@@ -30,7 +30,7 @@ def image_table(spark, matrix, labels=None):
     """Rows (image_id, pixels, label) from a NumPy matrix."""
     labels = np.zeros(len(matrix), int) if labels is None else labels
     rows = [(i, row.tolist(), int(label)) for i, (row, label) in enumerate(zip(matrix, labels))]
-    return spark.createDataFrame(rows, "image_id bigint, pixels array<double>, label int")
+    return spark.createDataFrame(rows, "image_id bigint, pixels array<double>, label int").coalesce(3)
 
 
 def feature_table(spark, matrix, labels=None):

@@ -16,14 +16,14 @@ from patchlight.solvers import whitening
 
 def test_feature_text_of_both_layouts(spark, tmp_path):
     for split, lines in (("train", ["(1.5,2,0)", "3,4.25,1"]), ("test", ["5,6,2"])):
-        folder = tmp_path / f"ckn_a_{split}_features"
+        folder = tmp_path / f"layer_a_{split}_features"
         folder.mkdir()
         (folder / "part-00000").write_text("\n".join(lines) + "\n")
-    rows = readers.read_feature_text(spark, str(tmp_path), "ckn_a").collect()
+    rows = readers.read_feature_text(spark, str(tmp_path), "layer_a").collect()
     got = sorted((r["split"], r["label"], r["features"]) for r in rows)
     assert got == [("test", 2, [5.0, 6.0]), ("train", 0, [1.5, 2.0]), ("train", 1, [3.0, 4.25])]
     assert len({r["row_id"] for r in rows}) == 3
-    narrowed = readers.feature_lines(spark, str(tmp_path / "ckn_a_*_features"), as_float=True)
+    narrowed = readers.feature_lines(spark, str(tmp_path / "layer_a_*_features"), as_float=True)
     assert narrowed.count() == 3 and narrowed.schema["features"].dataType.simpleString() == "array<double>"
 
 
