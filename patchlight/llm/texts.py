@@ -81,8 +81,7 @@ class PrefixHash:
 
     def __init__(self, buffer: np.ndarray):
         n = len(buffer)
-        self.powers = _powers(_BASE, n + 1)
-        self.inverse = _powers(_INVERSE, n + 1)
+        self.powers, self.inverse = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
         self.sums = np.zeros(n + 1, U64)
         # A table of random values per byte keeps close bytes from giving close hashes.
         np.cumsum(_BYTE_VALUES[buffer] * self.powers[:n], out=self.sums[1:])
@@ -91,10 +90,19 @@ class PrefixHash:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(U64))
 
 
+_KEPT: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=U64)
+    """The first n powers; those of an ordinary slice are kept between calls."""
+    held = _KEPT.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, SLICE_BYTES + 1), base, U64)
+        held[:1] = 1
+        held = np.cumprod(held, dtype=U64)
+        if n <= 2 * SLICE_BYTES:
+            _KEPT[base] = held
+    return held[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
