@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchlight.llm import simhash  # noqa: F401
+from patchlight.llm import chat, decontaminate, linededup, mixing, quality, simhash  # noqa: F401
 from patchlight.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
