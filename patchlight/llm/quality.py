@@ -1,6 +1,6 @@
 """Quality rules: counts over whole texts, and two hashed n-gram logistic regressions.
 
-Features are hashed words, pairs of words and byte n-grams. A text is cut into
+Features are hashed words, pairs of words, starts of words and byte n-grams. A text is cut into
 windows of a fixed number of words, all of which are scored; its quality is the
 mean over the windows, since junk fills a text, and its toxicity the maximum,
 since one sentence is enough. Both scores are turned into probabilities on held
@@ -33,18 +33,22 @@ GRAM = 8
 
 _IS_SYMBOL = np.zeros(256, np.int64)
 _IS_SYMBOL[list(SYMBOLS)] = 1
-_FAMILIES = [np.uint64(f) for f in (0x51ED270B, 0x2545F491, 0x9E6C63D1, 0xC2B2AE35)]
+#: Bytes at the start of a word that are a feature; shorter words count whole.
+STEMS = (4, 5, 6, 7, 8)
+
+_FAMILIES = tx.mixed(np.arange(1, 10, dtype=np.uint64))
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds and settings of the fit: sampled rows, longest sampled text in words, steps, least documents per feature."""
+    """Bounds and settings of the fit: sampled rows, longest sampled text in words, steps, least documents and z of a feature."""
 
-    rows: int = 2400
+    rows: int = 3000
     longest: int = 3000
-    steps: int = 40
+    steps: int = 120
     least_docs: int = 4
-    rate: float = 0.15
+    least_z: float = 3.3
+    rate: float = 0.3
     shrink: float = 1e-4
     held_out: int = 4
 
@@ -124,14 +128,16 @@ def windows_of(texts: list[bytes | None], size: int = WINDOW) -> Windows:
     if not len(starts):
         none = np.empty(0, np.int64)
         return Windows(none, none, none, [], [])
-    words = low.prefix_sums().spans(starts, ends)
+    sums = low.prefix_sums()
+    words = sums.spans(starts, ends)
     first = np.flatnonzero(np.diff(text_of, prepend=-1))
     place = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
     at = np.flatnonzero(place % size == 0)
     pairs = words * np.uint64(3) + np.where(np.append(np.diff(text_of), 1) == 0, np.roll(words, -1), np.uint64(0))
+    stems = [hashed(sums.spans(starts, np.minimum(starts + size, ends)), 4 + k) for k, size in enumerate(STEMS)]
     return Windows(
         text_of[at], at, starts[at],
-        [hashed(words, 0), hashed(tx.mixed(pairs), 1)],
+        [hashed(words, 0), hashed(tx.mixed(pairs), 1), *stems],
         [hashed(byte_grams(raw.buffer, 3), 2), hashed(byte_grams(low.buffer, 5), 3)],
     )
 
@@ -175,26 +181,76 @@ def base_failed(found: dict[str, np.ndarray]) -> np.ndarray:
     return (found["n_words"] < SHORTEST) | (100 * found["n_repeat_words"] > REPEATED_PERCENT * found["n_words"])
 
 
-def fit_judge(texts: list[bytes | None], labels: np.ndarray, how: str, fit: Fit) -> Judge | None:
+@dataclass
+class Sample:
+    """Labelled texts as windows with the features that tell the labels apart."""
+
+    count: int
+    labels: np.ndarray
+    learn: np.ndarray
+    text_of: np.ndarray
+    window: np.ndarray
+    feature: np.ndarray
+
+
+def chunks(texts: list[bytes | None], size: int = 200) -> Iterator[tuple[int, Windows]]:
+    for start in range(0, len(texts), size):
+        yield start, windows_of(texts[start : start + size])
+
+
+def samples(texts: list[bytes | None], labels: dict[str, np.ndarray], one_sided: set[str], fit: Fit) -> dict[str, Sample]:
+    """For each labelling, the features that occur in enough learnt texts and in clearly different shares of the two labels.
+
+    A one-sided labelling takes only features that speak for label 1, so that a
+    maximum over windows is evidence found and not evidence against missing. Texts
+    are featured twice, some at a time, so only telling features are ever held.
+    """
+    learn = np.arange(len(texts)) % fit.held_out != 0
+    size = 1 << FEATURE_BITS
+    seen = {name: np.zeros((2, size), np.int64) for name in labels}
+    for start, spans in chunks(texts):
+        window, feature = spans.features()
+        pairs = np.unique((spans.text_of[window] + start) << FEATURE_BITS | feature)
+        text, name_of = pairs >> FEATURE_BITS, pairs & (size - 1)
+        for name, values in labels.items():
+            for label in (0, 1):
+                seen[name][label] += np.bincount(name_of[learn[text] & (values[text] == label)], minlength=size)
+    held = {}
+    for name, values in labels.items():
+        n = [max(int((learn & (values == label)).sum()), 1) for label in (0, 1)]
+        share = (seen[name].sum(0) + 1) / (sum(n) + 2)
+        z = (seen[name][1] / n[1] - seen[name][0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
+        held[name] = ((z if name in one_sided else np.abs(z)) >= fit.least_z) & (seen[name].sum(0) >= fit.least_docs)
+    parts = {name: [] for name in labels}
+    text_of, windows = [], 0
+    for start, spans in chunks(texts):
+        window, feature = spans.features()
+        for name in labels:
+            keep = held[name][feature]
+            parts[name].append((window[keep] + windows, feature[keep]))
+        text_of.append(spans.text_of + start)
+        windows += len(spans.text_of)
+    text_of = np.concatenate([*text_of, np.empty(0, np.int64)]).astype(np.int64)
+    out = {}
+    for name, values in labels.items():
+        window, feature = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (list(zip(*parts[name], strict=True)) or ((), ())))
+        order = np.argsort(window, kind="stable")
+        out[name] = Sample(len(texts), values, learn, text_of, window[order], feature[order])
+    return out
+
+
+def fit_judge(sample: Sample, how: str, fit: Fit) -> Judge | None:
     """Fit one regression; None unless both labels occur.
 
     With pool "max" the positive texts are known to hold one positive window at
     least: after some steps only the best window of each counts as positive.
     """
+    labels, text_of, window, count = sample.labels, sample.text_of, sample.window, sample.count
     if len(set(labels.tolist())) < 2:
         return None
-    spans = windows_of(texts)
-    window, feature = spans.features()
-    text_of = spans.text_of
-    pairs = np.unique(text_of[window].astype(np.int64) << FEATURE_BITS | feature)
-    frequent = np.bincount(pairs & ((1 << FEATURE_BITS) - 1), minlength=1 << FEATURE_BITS) >= fit.least_docs
-    held = frequent[feature]
-    order = np.argsort(window[held], kind="stable")
-    window, feature = window[held][order], feature[held][order]
-    names, feature = np.unique(feature, return_inverse=True)
-    test = np.arange(len(texts)) % fit.held_out == 0
+    names, feature = np.unique(sample.feature, return_inverse=True)
     target = labels[text_of].astype(float)
-    learn = ~test[text_of]
+    learn = sample.learn[text_of]
     bounds = np.searchsorted(window, np.arange(len(text_of)))
     empty = np.diff(np.append(bounds, len(window))) == 0
 
@@ -210,23 +266,25 @@ def fit_judge(texts: list[bytes | None], labels: np.ndarray, how: str, fit: Fit)
         z = logits(weights, bias)
         used = learn.copy()
         if how == "max" and step >= fit.steps // 4:
-            best = pool(z, text_of, len(texts), "max")
+            best = pool(z, text_of, count, "max")
             used &= (target == 0) | (z >= best[text_of])
         gap = np.where(used, 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target, 0.0)
         # Every text weighs the same in a mean, and both labels weigh the same.
-        share = 1 / np.maximum(np.bincount(text_of, used, len(texts)), 1)[text_of] if how == "mean" else np.ones(len(text_of))
+        share = 1 / np.maximum(np.bincount(text_of, used, count), 1)[text_of] if how == "mean" else np.ones(len(text_of))
         for label in (0.0, 1.0):
             mine = target == label
             gap[mine] *= share[mine] / max((share * used)[mine].sum(), 1e-9)
         slope = np.bincount(feature, gap[window], len(names)) + fit.shrink * weights
         squares += slope**2
         weights -= fit.rate * slope / np.sqrt(squares)
+        if how == "max":
+            weights = np.maximum(weights, 0.0)
         bias_square += gap.sum() ** 2
         bias -= fit.rate * gap.sum() / np.sqrt(bias_square)
-    z = pool(logits(weights, bias), text_of, len(texts), how)
-    some = test & (np.bincount(text_of, minlength=len(texts)) > 0)
+    z = pool(logits(weights, bias), text_of, count, how)
+    some = ~sample.learn & (np.bincount(text_of, minlength=count) > 0)
     if len(set(labels[some].tolist())) < 2:
-        some = np.bincount(text_of, minlength=len(texts)) > 0
+        some = np.bincount(text_of, minlength=count) > 0
     slope, offset = calibrated(z[some], labels[some])
     wide = np.zeros(1 << FEATURE_BITS, np.float32)
     wide[names] = weights
@@ -257,10 +315,8 @@ def fit_judges(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> dict[str
     rows = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(fit.rows).toArrow()
     texts = tx.encoded(rows.column("text").combine_chunks()) if rows.num_rows else []
     quality, toxic = (rows.column(c).to_numpy() for c in ("quality", "toxic"))
-    return {
-        "good": fit_judge(texts, (quality == 1).astype(int), "mean", fit),
-        "toxic": fit_judge(texts, (toxic == 1).astype(int), "max", fit),
-    }
+    found = samples(texts, {"good": (quality == 1).astype(np.int64), "toxic": (toxic == 1).astype(np.int64)}, {"toxic"}, fit)
+    return {"good": fit_judge(found["good"], "mean", fit), "toxic": fit_judge(found["toxic"], "max", fit)}
 
 
 @dataclass(frozen=True)
@@ -268,7 +324,7 @@ class Rules:
     """Fixed thresholds on the probabilities."""
 
     least_good: float = 0.5
-    most_toxic: float = 0.5
+    most_toxic: float = 0.4
 
 
 def verdicts(texts: list[bytes | None], judges: dict[str, Judge | None], rules: Rules) -> dict[str, np.ndarray]:
