@@ -41,13 +41,15 @@ _FAMILIES = tx.mixed(np.arange(1, 10, dtype=np.uint64))
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds and settings of the fit: sampled rows, longest sampled text in words, steps, least documents and z of a feature."""
+    """Bounds and settings of the fit: sampled rows, longest sampled text in words, steps, least documents and z
+    of a feature, features kept (those with the highest z)."""
 
     rows: int = 3000
     longest: int = 3000
     steps: int = 120
     least_docs: int = 4
     least_z: float = 3.3
+    most_features: int = 1024
     rate: float = 0.3
     shrink: float = 1e-4
     held_out: int = 4
@@ -193,7 +195,7 @@ class Sample:
     feature: np.ndarray
 
 
-def chunks(texts: list[bytes | None], size: int = 200) -> Iterator[tuple[int, Windows]]:
+def chunks(texts: list[bytes | None], size: int = 50) -> Iterator[tuple[int, Windows]]:
     for start in range(0, len(texts), size):
         yield start, windows_of(texts[start : start + size])
 
@@ -220,20 +222,21 @@ def samples(texts: list[bytes | None], labels: dict[str, np.ndarray], one_sided:
         n = [max(int((learn & (values == label)).sum()), 1) for label in (0, 1)]
         share = (seen[name].sum(0) + 1) / (sum(n) + 2)
         z = (seen[name][1] / n[1] - seen[name][0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
-        held[name] = ((z if name in one_sided else np.abs(z)) >= fit.least_z) & (seen[name].sum(0) >= fit.least_docs)
+        z = np.where(seen[name].sum(0) >= fit.least_docs, z if name in one_sided else np.abs(z), 0.0)
+        held[name] = z >= max(fit.least_z, np.sort(z)[-fit.most_features])
     parts = {name: [] for name in labels}
     text_of, windows = [], 0
     for start, spans in chunks(texts):
         window, feature = spans.features()
         for name in labels:
             keep = held[name][feature]
-            parts[name].append((window[keep] + windows, feature[keep]))
+            parts[name].append(((window[keep] + windows).astype(np.int32), feature[keep]))
         text_of.append(spans.text_of + start)
         windows += len(spans.text_of)
     text_of = np.concatenate([*text_of, np.empty(0, np.int64)]).astype(np.int64)
     out = {}
     for name, values in labels.items():
-        window, feature = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (list(zip(*parts[name], strict=True)) or ((), ())))
+        window, feature = (np.concatenate([*x, np.empty(0, np.int32)]) for x in (list(zip(*parts[name], strict=True)) or ((), ())))
         order = np.argsort(window, kind="stable")
         out[name] = Sample(len(texts), values, learn, text_of, window[order], feature[order])
     return out

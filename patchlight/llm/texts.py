@@ -94,10 +94,10 @@ _KEPT: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """The first n powers; those of an ordinary slice are kept between calls."""
+    """The first n powers; those for an ordinary slice are kept between calls."""
     held = _KEPT.get(base)
     if held is None or len(held) < n:
-        held = np.full(max(n, SLICE_BYTES + 1), base, U64)
+        held = np.full(1 << n.bit_length(), base, U64)
         held[:1] = 1
         held = np.cumprod(held, dtype=U64)
         if n <= 2 * SLICE_BYTES:
