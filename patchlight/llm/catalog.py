@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patchlight.llm import chat, decontaminate, licenses, linededup, mixing, paragraphs, quality, simhash  # noqa: F401
+from patchlight.llm import chat, decontaminate, licenses, linededup, lmscore, mixing, paragraphs, quality, simhash, substrings  # noqa: F401
 from patchlight.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

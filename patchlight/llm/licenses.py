@@ -147,8 +147,8 @@ def _sql() -> str:
     return rf"""
 WITH known(template, licence, text) AS (VALUES {values}),
 files AS (
-  SELECT doc_id, text, list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(lower(x), '{TRIGGER}'))) AS lines,
-    len(list_filter(string_split(coalesce(text, ''), chr(10)), x -> trim(x) <> '')) AS n_lines,
+  SELECT doc_id, text, list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(lower(x), '{TRIGGER}'))) AS lines,
+    len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS n_lines,
     '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS top
   FROM documents),
 held AS (
@@ -158,7 +158,7 @@ tw AS (SELECT template, term, count(*) AS tf FROM (SELECT template, unnest(regex
 vocabulary AS (SELECT DISTINCT term FROM tw),
 df AS (
   SELECT term, count(*) AS df FROM (
-    SELECT DISTINCT doc_id, unnest(flatten(list_transform(lines, x -> regexp_extract_all(lower(x), '{TERM}')))) AS term FROM held)
+    SELECT DISTINCT doc_id, unnest(flatten(list_transform(lines, lambda x: regexp_extract_all(lower(x), '{TERM}')))) AS term FROM held)
   WHERE term IN (SELECT term FROM vocabulary) GROUP BY term),
 idf AS (SELECT term, ln(((SELECT count(*) FROM held) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM vocabulary LEFT JOIN df USING (term)),
 w AS (SELECT template, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS tw FROM tw JOIN idf USING (term)),
