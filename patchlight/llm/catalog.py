@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from patchlight.llm import chat, decontaminate, licenses, linededup, lmscore, mixing, paragraphs, quality, simhash, substrings  # noqa: F401
 from patchlight.llm.registry import ORACLES, QUERIES
 
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 __all__ = ["ORACLES", "QUERIES"]

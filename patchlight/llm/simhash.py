@@ -101,6 +101,18 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, s
     return found.join(named, "fp")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The row with the least doc_id of each group, with all its columns as they are.
+
+    Rows without an id are kept, since no order says which of them comes first.
+    Rows that share the least id of a group all stay: they are one document.
+    """
+    groups = near_copies(docs.where("doc_id is not null"), radius, shingle, seed)
+    later = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "later")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("later_id"))
+    return rows.join(later.withColumnRenamed("doc_id", "later_id"), "later_id", "left_anti").select("row.*")
+
+
 @query
 def op9_simhash_near_dedup(spark, sf_dir):
     """Component of near copies of every document."""
