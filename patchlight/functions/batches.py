@@ -99,11 +99,14 @@ def map_vectors(
     return source.mapInArrow(run, schema)
 
 
-# Tasks that fold a table into partial sums. A huge scan has many more splits;
-# they are read by fewer, longer tasks, since each task ships a whole matrix.
-FOLD_TASKS = 4096
-
-# Doubles one reducer adds up at most, if every task sends a matrix (256 MB).
+# Doubles that all tasks of a fold ship together at most (1 TB). Each task ships a
+# whole matrix, so only a scan of many splits under a large matrix is read by
+# fewer, longer tasks; a small matrix leaves the splits, and what is computed
+# before the fold, as they are.
+FOLD_DOUBLES = 1 << 37
+
+# Tasks that a large scan usually has, and doubles one reducer adds up then (256 MB).
+USUAL_TASKS = 4096
 REDUCER_DOUBLES = 1 << 25
 
 
@@ -164,8 +167,9 @@ def sum_rows(
             keys = np.array(sorted(sums))
             yield from emit(keys, np.stack([sums[k] for k in keys.tolist()]))
 
-    tasks = max(FOLD_TASKS, 4 * spark.sparkContext.defaultParallelism)
-    parts = -(-tasks * height * width // REDUCER_DOUBLES)
+    tasks = min(1 << 30, max(FOLD_DOUBLES // max(1, height * width), 4 * spark.sparkContext.defaultParallelism))
+    # Reducers stream, so more tasks than usual make them slower but not larger.
+    parts = -(-min(tasks, USUAL_TASKS) * height * width // REDUCER_DOUBLES)
     parts = max(1, min(parts, height, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return source.coalesce(tasks).mapInArrow(partial, schema).repartition(parts, "i").mapInArrow(merge, schema)
 

@@ -25,6 +25,8 @@ from patchlight.operators.sampling import sample_patches
 from patchlight.solvers.whitening import Whitener
 
 
+NONLINEARITIES = ("cos", "rectify", "none")
+
 # Filters that are applied together at least.
 MIN_FILTERS = 64
 
@@ -36,7 +38,7 @@ class Layer:
     ``whitener`` centres and whitens patches first. With a whitener the filters
     are shaped by the covariance of the *raw* patches although they multiply
     whitened ones, as in the method this reproduces; without one they are
-    isotropic. ``norm`` is "offset" (the small value goes into the square of
+    isotropic. ``norm`` is "offset" (``norm_offset`` goes into the square of
     every element), "floor" (never divide by less than 1e-4) or "none".
     ``rescale`` multiplies each output by the norm of its patch.
     """
@@ -49,6 +51,7 @@ class Layer:
     stride: int = 1
     pad: bool = False
     norm: str = "offset"
+    norm_offset: float = vectors.NORM_OFFSET
     rescale: bool = False
     fastfood: bool = False
     permute: bool = True
@@ -122,6 +125,8 @@ def filter_blocks(layer: Layer, rows: int) -> list[tuple[int, int]]:
 
 def layer_function(layer: Layer, bank: Callable[[], np.ndarray], phase: np.ndarray | None) -> Callable:
     """The whole layer on an (n, d) block of images."""
+    if layer.nonlinearity not in NONLINEARITIES:
+        raise ValueError(f"nonlinearity {layer.nonlinearity} is none of {NONLINEARITIES}")
     project = projector(layer, bank)
     sides = layer.sides()
     means = np.tile(layer.channel_means, layer.patch * layer.patch) if layer.channel_means else None
@@ -130,7 +135,7 @@ def layer_function(layer: Layer, bank: Callable[[], np.ndarray], phase: np.ndarr
 
     def patch_norms(rows: np.ndarray) -> np.ndarray | None:
         if layer.norm == "offset":
-            return np.linalg.norm(rows + vectors.NORM_OFFSET, axis=1)[:, None]
+            return np.linalg.norm(rows + layer.norm_offset, axis=1)[:, None]
         if layer.norm == "floor":
             return np.maximum(np.linalg.norm(rows, axis=1), vectors.NORM_FLOOR)[:, None]
         if layer.norm == "none":
@@ -305,7 +310,7 @@ def relational_conv_cosine_pool(images: DataFrame, layer: Layer) -> DataFrame:
         .filter(F.col("x0").between(0, conv.width - 1) & F.col("y0").between(0, conv.height - 1))
     )
     bank = filter_table(spark, layer.filters, layer.inputs, layer.seed, layer.bandwidth)
-    shifted = F.col("v") + F.lit(vectors.NORM_OFFSET)
+    shifted = F.col("v") + F.lit(layer.norm_offset)
     projected = (
         covered.join(F.broadcast(bank), "px")
         .groupBy("image_id", "x0", "y0", "f")

@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side up to this many rows is broadcast.
+# A lookup side up to this many rows and characters (as JSON) is broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_CHARS = 64 << 20
 SALTS = 32
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a table has at most ``rows`` rows and BROADCAST_CHARS characters; reads no more rows than that."""
+    size = F.length(F.to_json(F.struct(*df.columns))).cast("bigint")
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(size).alias("chars")).first()
+    return found["n"] <= rows and (found["chars"] or 0) <= BROADCAST_CHARS
 
 
 def lookup_join(
@@ -24,11 +27,12 @@ def lookup_join(
 
     A lookup of checked size is broadcast, so a key that holds a third of the
     facts costs nothing. A larger one is joined on (key, salt): every lookup
-    row is copied to all salts and the facts are spread over them.
+    row is copied to all salts and the facts are dealt to them in turn, equal
+    rows too.
     """
     if is_small(lookup, limit):
         return facts.join(F.broadcast(lookup), on, how)
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return facts.withColumn("__salt", spread).join(copies, [on, "__salt"], how).drop("__salt")
 

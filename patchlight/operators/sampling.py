@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patchlight import seeded
+from patchlight.functions.batches import VECTOR, carried, collect_matrix, from_matrix, rows_per_slice, sum_rows, to_matrix
 from patchlight.layout import Shape
-from patchlight.operators.patches import origins, patch_at
+from patchlight.operators.patches import origins
 
 # Buckets of one histogram pass, and the bucket size that is sorted outright.
 BUCKETS = 4096
@@ -56,17 +58,81 @@ def sample_rows(df: DataFrame, key: str, m: int, seed: int) -> DataFrame:
 
 
 def sample_patches(images: DataFrame, shape: Shape, patch: int, m: int, seed: int) -> DataFrame:
-    """Exactly m patches (image_id, x0, y0, patch); pixels are read only for chosen ones."""
-    y_first, y_last, _ = origins(shape.height, patch, 1, False)
-    x_first, x_last, _ = origins(shape.width, patch, 1, False)
-    placed = images.withColumn("y0", F.explode(F.sequence(F.lit(y_first), F.lit(y_last)))).withColumn(
-        "x0", F.explode(F.sequence(F.lit(x_first), F.lit(x_last)))
-    )
-    place = F.col("x0") + F.col("y0") * shape.width
-    ordered = seeded.with_order(placed, "__order", F.col("image_id"), place, seed)
-    chosen = smallest(ordered, "__order", ["image_id", "y0", "x0"], m)
-    cut = patch_at(F.col("pixels"), F.col("x0"), F.col("y0"), shape, patch, False)
-    return chosen.select("image_id", "x0", "y0", cut.alias("patch"))
+    """Exactly m patches (image_id, x0, y0, patch).
+
+    Tasks hash the places of their image keys; only places below the threshold of
+    a refined histogram leave them. Pixels are read once, by a join with the m
+    chosen places, and cut inside the task.
+    """
+    chosen = smallest_places(images, shape, patch, m, seed)
+    asked = chosen.groupBy("image_id").agg(F.collect_list("place").alias("places"))
+    ready = images.select("image_id", carried(images, "pixels").alias("pixels")).join(asked, "image_id")
+    kinds = [("image_id", T.LongType()), ("x0", T.IntegerType()), ("y0", T.IntegerType()), ("patch", VECTOR)]
+    schema = T.StructType([T.StructField(n, k) for n, k in kinds])
+    dx, dy = np.arange(patch), np.arange(patch)[:, None]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            places = batch.column("places")
+            number = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+            place = places.flatten().to_numpy()
+            x0, y0 = place % shape.width, place // shape.width
+            cube = to_matrix(batch.column("pixels")).reshape(-1, shape.height, shape.width, shape.channels)
+            block = cube[number[:, None, None], y0[:, None, None] + dy, x0[:, None, None] + dx].reshape(len(number), -1)
+            arrays = [batch.column("image_id").cast(pa.int64()).take(pa.array(number)), pa.array(x0.astype(np.int32)), pa.array(y0.astype(np.int32)), from_matrix(block)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return ready.mapInArrow(cut, schema)
+
+
+def smallest_places(images: DataFrame, shape: Shape, patch: int, m: int, seed: int) -> DataFrame:
+    """The m patch places (image_id, place) with the smallest order hash; ``place`` is x0 + y0 * width."""
+    _, y_last, _ = origins(shape.height, patch, 1, False)
+    _, x_last, _ = origins(shape.width, patch, 1, False)
+    place = (np.arange(x_last + 1) + np.arange(y_last + 1)[:, None] * shape.width).reshape(-1)
+    keys = images.select(F.col("image_id").cast("bigint").alias("image_id"))
+    step = rows_per_slice(len(place))
+
+    def hashed(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for start in range(0, len(ids), step):
+            own = ids[start : start + step]
+            yield own, seeded.order_values(own[:, None], place[None, :], seed)
+
+    low, high, below = 0, seeded.ORDER_RANGE, 0
+    while m > 0:
+        width = -(-(high - low) // BUCKETS)
+
+        def count(data: list[np.ndarray], low: int = low, high: int = high, width: int = width) -> np.ndarray:
+            total = np.zeros((1, BUCKETS))
+            for _, order in hashed(data[0]):
+                inside = order[(order >= low) & (order < high)]
+                total[0] += np.bincount((inside - low) // width, minlength=BUCKETS)
+            return total
+
+        sums = collect_matrix(sum_rows(keys, ["image_id"], count, 1, BUCKETS), 1, BUCKETS)[0]
+        ahead = below + np.cumsum(sums)
+        if ahead[-1] < m:
+            high = seeded.ORDER_RANGE
+            break
+        at = int(np.searchsorted(ahead, m))
+        below, inside = int(ahead[at] - sums[at]), int(sums[at])
+        low, high = low + at * width, min(high, low + (at + 1) * width)
+        if inside <= SORTED_ROWS or width == 1:
+            break
+    else:
+        high = 0
+
+    def under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, order in hashed(batch.column(0).to_numpy()):
+                row, column = np.nonzero(order < high)
+                arrays = [pa.array(own[row]), pa.array(place[column].astype(np.int64)), pa.array(order[row, column])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["image_id", "place", "order"])
+
+    few = keys.mapInArrow(under, "image_id bigint, place bigint, order bigint")
+    return few.orderBy("order", "image_id", "place").limit(m).select("image_id", "place")
 
 
 def bernoulli(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from patchlight.functions import vectors
-from patchlight.functions.batches import carried, collect_matrix, map_vectors, rows_per_slice, sum_rows
+from patchlight.functions.batches import carried, collect_matrix, map_vectors, rows_per_slice, sum_rows, to_matrix
 from patchlight.layout import Shape, long_rows
 from patchlight.operators.patches import patch_cube, patch_doubles
 
@@ -73,17 +73,38 @@ def scaled_ridge(df: DataFrame, reg: float, mode: str = "absolute", column: str
     return row["lam"]
 
 
-def moment_rows(df: DataFrame, width: int, column: str = "features") -> DataFrame:
-    """Rows (i, row) of [1 X]^T [1 X]: the count, the sums and the Gram matrix."""
+# Rows whose mean is the provisional one.
+SHIFT_ROWS = 64
+
+
+def provisional_mean(df: DataFrame, width: int, column: str = "features") -> np.ndarray:
+    """Mean of some rows: a point near the data to take sums around. Any point gives the same moments but for rounding."""
+    rows = df.select(carried(df, column).alias("v")).where(F.col("v").isNotNull()).limit(SHIFT_ROWS).toArrow()
+    if rows.num_rows == 0:
+        return np.zeros(width)
+    mean = to_matrix(rows.column("v").combine_chunks()).mean(axis=0)
+    # Data around zero, whole numbers among them, are summed as they are.
+    return np.where(np.abs(mean) > 1e3, mean, 0.0)
+
+
+def moment_rows(df: DataFrame, width: int, column: str = "features", shift: np.ndarray | None = None) -> DataFrame:
+    """Rows (i, row) of [1 X]^T [1 X]: the count, the sums and the Gram matrix, of the vectors less ``shift``."""
 
     def accumulate(data: list[np.ndarray]) -> np.ndarray:
-        block = np.concatenate([np.ones((len(data[0]), 1)), data[0]], axis=1)
+        rows = data[0] if shift is None else data[0] - shift
+        block = np.concatenate([np.ones((len(rows), 1)), rows], axis=1)
         return block.T @ block
 
     return sum_rows(df, [carried(df, column)], accumulate, width + 1, width + 1)
 
 
-def patch_moment_rows(images: DataFrame, shape: Shape, patch: int) -> DataFrame:
+def provisional_patch_mean(images: DataFrame, shape: Shape, patch: int) -> np.ndarray:
+    """A provisional mean for patches: the channel means of some images."""
+    mean = provisional_mean(images, shape.size, "pixels")
+    return np.tile(mean.reshape(-1, shape.channels).mean(axis=0), patch * patch)
+
+
+def patch_moment_rows(images: DataFrame, shape: Shape, patch: int, shift: np.ndarray | None = None) -> DataFrame:
     """``moment_rows`` over all patches of all images, without making patch rows."""
     inputs = patch * patch * shape.channels
     step = rows_per_slice(2 * patch_doubles(shape, patch))
@@ -92,6 +113,7 @@ def patch_moment_rows(images: DataFrame, shape: Shape, patch: int) -> DataFrame:
         total = np.zeros((inputs + 1, inputs + 1))
         for start in range(0, len(data[0]), step):
             rows = patch_cube(data[0][start : start + step], shape, patch).reshape(-1, inputs)
+            rows = rows if shift is None else rows - shift
             block = np.concatenate([np.ones((len(rows), 1)), rows], axis=1)
             total += block.T @ block
         return total
@@ -100,7 +122,10 @@ def patch_moment_rows(images: DataFrame, shape: Shape, patch: int) -> DataFrame:
 
 
 def mean_and_covariance(moments: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Count, means and X^T X / n - mu^T mu from a collected moment matrix."""
+    """Count, means and X^T X / n - mu^T mu from a collected moment matrix.
+
+    With a shift the means are those of the shifted vectors; the covariance is the same.
+    """
     n = moments[0, 0]
     if n == 0:
         raise ValueError("no rows to take moments of")

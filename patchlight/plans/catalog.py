@@ -248,6 +248,25 @@ def conv_cosine_norm_scaled(spark, sf_dir):
     return rows(cv.layer_stack(stored_images(spark, sf_dir), [replace(DEEP_LAYER, rescale=True)]), "features")
 
 
+@query
+def conv_cosine_offset(spark, sf_dir):
+    """A patch norm with a large small value inside the square."""
+    layer = replace(DEEP_LAYER, norm_offset=0.1, rescale=True)
+    return rows(cv.layer_stack(stored_images(spark, sf_dir), [layer]), "features")
+
+
+@query
+def layer_restart(spark, sf_dir):
+    """Two layers, the second run on the stored output of the first."""
+    folder = fresh_path(spark, "restart")
+    conf = FeatureConf(
+        "embeddings", 8, 8, 1, SEED, patch_sizes=(5, 2), filters=(8, 12), bandwidth=(1.0, 0.5), conv_stride=(1, 1), pool=(2, 1), pool_stride=(2, 1)
+    )
+    table = stored_images(spark, sf_dir)
+    runs.featurize_stored(table, conf.prefix(1), folder)
+    return rows(runs.featurize_stored(table, conf, folder, layers=1), "features")
+
+
 @query
 def conv_cosine_fastfood(spark, sf_dir):
     layer = replace(DEEP_LAYER, filters=32, fastfood=True, bandwidth=1.3)
@@ -753,8 +772,9 @@ def layer_reload(spark, sf_dir):
     stored = cv.layer_stack(stored_images(spark, sf_dir), [layer])
     writers.write_feature_text(halves(stored), path, "layer0")
     shape = layer.out_shape
-    cells = long_rows(readers.read_layer(spark, path, "layer0", shape), ["label", "split", "x_dim", "y_dim", "n_channels"], "pixels", "pos")
-    return cells.groupBy("split", "label", "x_dim", "y_dim", "n_channels", "pos").agg(shown(F.sum("v"), 5).alias("total"))
+    # Layer text carries no key; each image is known by its first value and its label.
+    back = readers.read_layer(spark, path, "layer0", shape).withColumn("first", shown(F.get("pixels", F.lit(0)), 9))
+    return rows(back, "pixels", ("first", "label", "split", "x_dim", "y_dim", "n_channels"))
 
 
 @query

@@ -7,6 +7,7 @@ import json
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, fields, replace
 
+from patchlight.functions.vectors import NORM_OFFSET
 from patchlight.layout import Shape
 from patchlight.operators.convolve import Layer
 from patchlight.solvers.whitening import EPSILON, Whitener
@@ -35,10 +36,20 @@ class FeatureConf:
     norm: str = "offset"
     nonlinearity: str = "cos"
     alpha: float = 0.0
-    whiten: bool = False
+    whiten: bool | tuple[bool, ...] = False
     whitener_epsilon: float = EPSILON
+    norm_offset: float = NORM_OFFSET
     whitener_sample: int | None = None
 
+    def __post_init__(self) -> None:
+        if isinstance(self.whiten, tuple) and any(self.whiten[1:]):
+            raise ValueError("only the first layer can be whitened")
+
+    @property
+    def whitens(self) -> bool:
+        """Whether the first layer is whitened; ``whiten`` is one flag or one for each layer."""
+        return any(self.whiten) if isinstance(self.whiten, tuple) else bool(self.whiten)
+
     @property
     def layers(self) -> int:
         return len(self.patch_sizes)
@@ -60,6 +71,7 @@ class FeatureConf:
                 stride=at(self.conv_stride, i, 1),
                 pad=i in self.zero_pad,
                 norm=self.norm,
+                norm_offset=self.norm_offset,
                 rescale=self.rescale,
                 fastfood=i in self.fastfood,
                 pool=at(self.pool, i, 1),
@@ -82,6 +94,8 @@ class FeatureConf:
         marks = {
             name: tuple(i for i in getattr(self, name) if i < layers) for name in ("zero_pad", "fastfood", "float_layers")
         }
+        if isinstance(self.whiten, tuple):
+            cut["whiten"] = self.whiten[:layers]
         return replace(self, **cut, **marks)
 
     @property
@@ -111,6 +125,10 @@ FIELD_NAMES = {
     "insanity": "rescale",
     "nonLinearity": "nonlinearity",
     "whitenerValue": "whitener_epsilon",
+    "whitenerOffset": "norm_offset",
+    "loadWhitener": "load_whitener",
+    "layerToLoad": "layers_to_load",
+    "loadLayer": "load_layer",
     "numClasses": "classes",
     "blockSize": "block",
     "numIters": "passes",
@@ -139,11 +157,38 @@ def at(values: tuple, i: int, default):
     return values[i] if i < len(values) else default
 
 
-def from_mapping(settings: Mapping) -> tuple[FeatureConf, SolveConf]:
-    """Both settings from one flat mapping, in either spelling; unknown keys are left out."""
+# Keys of run files that say where and how to run, not what to compute.
+RUN_KEYS = (
+    "expid", "mode", "layers", "solve", "saveFeatures", "saveModel", "featureDir", "labelDir", "modelDir", "numBlocks", "yarn", "kernelGamma",
+    "load_whitener", "layers_to_load", "load_layer", "loss",
+)
+
+
+def known_settings(settings: Mapping) -> dict:
+    """The settings under our names; a key that no setting has is an error."""
     known = {FIELD_NAMES.get(key, key): value for key, value in settings.items()}
-    if "solver" in known:
-        known["solver"] = SOLVER_NAMES.get(known["solver"], known["solver"])
+    names = {item.name for kind in (FeatureConf, SolveConf) for item in fields(kind)} | set(RUN_KEYS)
+    odd = sorted(set(known) - names)
+    if odd:
+        raise ValueError(f"unknown settings {odd}")
+    return known
+
+
+def from_mapping(settings: Mapping) -> tuple[FeatureConf, SolveConf]:
+    """Both settings from one flat mapping, in either spelling; unknown keys are an error.
+
+    ``loss`` names the solver where no solver is given. Flags like ``fastfood`` may
+    be one boolean for all layers instead of a list of layers.
+    """
+    known = known_settings(settings)
+    known["solver"] = known.get("solver", known.get("loss", SolveConf.solver))
+    known["solver"] = SOLVER_NAMES.get(known["solver"], known["solver"])
+    layers = len(known.get("patch_sizes", FeatureConf.patch_sizes))
+    if known.get("layers", layers) > layers:
+        raise ValueError(f"{known['layers']} layers but {layers} patch sizes")
+    for name in ("zero_pad", "fastfood", "float_layers"):
+        if isinstance(known.get(name), bool):
+            known[name] = list(range(layers)) if known[name] else []
 
     def fill(kind):
         chosen = {}
@@ -155,7 +200,17 @@ def from_mapping(settings: Mapping) -> tuple[FeatureConf, SolveConf]:
                 chosen[item.name] = tuple(value) if isinstance(value, list) else value
         return kind(**chosen)
 
-    return fill(FeatureConf), fill(SolveConf)
+    features = fill(FeatureConf)
+    if "layers" in known:
+        features = features.prefix(known["layers"])
+    return features, fill(SolveConf)
+
+
+def run_options(settings: Mapping) -> dict:
+    """The arguments of ``runs.run`` that a run file sets: where to go on from and whether to load a whitener."""
+    known = known_settings(settings)
+    wanted = known.get("load_layer", "layers_to_load" in known)
+    return {"layers": known.get("layers_to_load") if wanted else None, "load_whitener": bool(known.get("load_whitener", False))}
 
 
 def read_yaml(path: str) -> tuple[FeatureConf, SolveConf]:

@@ -56,16 +56,16 @@ class Sql:
             f"SELECT image_id, label, (pos // {c}) % {w} AS x, pos // {c * w} AS y, pos % {c} AS c, v FROM {name}_cells",
         )
 
-    def draws(self, name: str, source: str, seed: int, streams: dict[str, int], row: str = "f", place: str = "px") -> str:
-        """Add one integer draw per named stream to rows of ``source``."""
+    def draws(self, name: str, source: str, seed: int, streams: dict[str, int], row: str = "f", place: str = "px", more: str = "") -> str:
+        """Add one integer draw per named stream to rows of ``source``; ``more`` joins every round."""
         first = ", ".join(
-            f"(({row}) * 7919 + ({place}) * 104729 + {seed * 15485863 + stream * 32452843 + 13}) % {P} AS {out}"
+            f"(({row}) * 7919 + ({place}) * 104729 + {seed * 15485863 + stream * 32452843 + 13}{more}) % {P} AS {out}"
             for out, stream in streams.items()
         )
         last = self.add(f"{name}_0", f"SELECT *, {first} FROM {source}")
         for r in range(3):
             turned = ", ".join(
-                f"((({out} * {out}) % {P}) * 48271 + {out} * 69621 + {(r + 1) * 40692} + ({row}) * 31 + ({place}) * 17) % {P} AS {out}"
+                f"((({out} * {out}) % {P}) * 48271 + {out} * 69621 + {(r + 1) * 40692} + ({row}) * 31 + ({place}) * 17{more}) % {P} AS {out}"
                 for out in streams
             )
             last = self.add(name if r == 2 else f"{name}_{r + 1}", f"SELECT * REPLACE ({turned}) FROM {last}")
@@ -104,11 +104,11 @@ class Sql:
             f" FROM {source}, range({k}) a(dx), range({k}) b(dy) WHERE {inside}",
         )
 
-    def conv(self, name: str, patches: str, bank: str, phase: str | None = None, norm: str | None = None, rescale: bool = False) -> str:
+    def conv(self, name: str, patches: str, bank: str, phase: str | None = None, norm: str | None = None, rescale: bool = False, offset: float = 1e-12) -> str:
         """Filter responses as an image (image_id, x, y, c, v)."""
         norms = {
             None: d(1.0),
-            "offset": f"sqrt(sum((v + {d(1e-12)}) * (v + {d(1e-12)})))",
+            "offset": f"sqrt(sum((v + {d(offset)}) * (v + {d(offset)})))",
             "floor": f"greatest(sqrt(sum(v * v)), {d(1e-4)})",
         }[norm]
         self.add(f"{name}_z", f"SELECT image_id, ox, oy, f, sum(v * w) AS z FROM {patches} JOIN {bank} USING (px) GROUP BY ALL")
@@ -142,8 +142,8 @@ class Sql:
 
     def order(self, name: str, source: str, key: str, sub: str) -> str:
         """Add the order hash h of (key, sub) to the rows of ``source``."""
-        low, high = f"({key}) % {P}", f"((({key}) // {P}) * 4099 + ({sub})) % {P}"
-        drawn = self.draws(f"{name}_draw", source, SEED, {"th": 4, "tl": 5}, low, high)
+        low, high = f"({key}) % {P}", f"(({key}) // {P}) % {P}"
+        drawn = self.draws(f"{name}_draw", source, SEED, {"th": 4, "tl": 5}, low, high, f" + (({sub}) % {P}) * 86028121")
         return self.add(name, f"SELECT *, th * {P} + tl AS h FROM {drawn}")
 
 
@@ -327,11 +327,11 @@ q.conv("out", "p", "bank", "phase", "offset")
 ORACLES["conv_cosine_strided_padded"] = q.flat("out", 3, 6)
 
 
-def deep_conv(q: Sql, source: str = "im", scale: float = 0.7) -> str:
+def deep_conv(q: Sql, source: str = "im", scale: float = 0.7, offset: float = 1e-12) -> str:
     q.patches("p", source, 4, 4, 4, 2)
     q.bank("bank", 6, 16, SEED + 1, scale)
     q.phases("phase", 6, SEED + 1)
-    return q.conv("out", "p", "bank", "phase", "offset", rescale=True)
+    return q.conv("out", "p", "bank", "phase", "offset", rescale=True, offset=offset)
 
 
 q = Sql()
@@ -339,6 +339,11 @@ q.image("im", 4, 4, 4)
 deep_conv(q)
 ORACLES["conv_cosine_norm_scaled"] = q.flat("out", 3, 6)
 
+q = Sql()
+q.image("im", 4, 4, 4)
+deep_conv(q, offset=0.1)
+ORACLES["conv_cosine_offset"] = q.flat("out", 3, 6)
+
 
 def gaussian(pool: int, coefficient: float) -> str:
     return f"sum(v * exp({d(-coefficient / (pool * pool / 2.0))} * ((x - cx) * (x - cx) + (y - cy) * (y - cy))))"
@@ -364,7 +369,7 @@ q.patches("p2", "pooled", 2, 2, 8, 2)
 q.bank("bank2", 12, 32, SEED + 1, 0.5)
 q.phases("phase2", 12, SEED + 1)
 q.conv("out2", "p2", "bank2", "phase2", "offset")
-ORACLES["two_layer_features"] = q.flat("out2", 1, 12)
+ORACLES["two_layer_features"] = ORACLES["layer_restart"] = q.flat("out2", 1, 12)
 
 
 def sampled_patches(q: Sql, k: int, m: int) -> str:
@@ -1098,9 +1103,11 @@ ORACLES["fixed_width_binary_roundtrip"] = q.then(
 q = Sql()
 flat_conv(q, 4)
 q.pool("pooled", "out", 4, 4, 2, 2, "sum(v) / 4")
+q.add("flat", "SELECT image_id, CAST(c + x * 4 + y * 8 AS INTEGER) AS j, v FROM pooled")
+q.add("named", f"SELECT image_id, {shown('v', 9)} AS first FROM flat WHERE j = 0")
 ORACLES["layer_reload"] = q.then(
-    f"SELECT {HALF}, label, 2 AS x_dim, 2 AS y_dim, 4 AS n_channels, CAST(c + x * 4 + y * 8 AS INTEGER) AS pos, {shown('sum(v)', 5)} AS total"
-    " FROM pooled JOIN embeddings ON vec_id = image_id GROUP BY ALL"
+    f"SELECT first, label, {HALF}, 2 AS x_dim, 2 AS y_dim, 4 AS n_channels, j, {shown('v')} AS v"
+    " FROM flat JOIN named USING (image_id) JOIN embeddings ON vec_id = image_id"
 )
 
 # ---- joins

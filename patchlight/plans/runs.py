@@ -10,11 +10,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchlight.operators import evaluation
 from patchlight.operators.convolve import Layer, layer_stack, sampled_filters
 from patchlight.plans.config import FeatureConf, SolveConf
+from patchlight.session import path_exists
 from patchlight.solvers import linear, softmax, whitening
 from patchlight.solvers.whitening import Whitener
-from patchlight.sources.writers import append_run, materialize
+from patchlight.sources.writers import append_run, materialize, read_whitener, write_whitener
 
 
 def choose(readers: dict[str, Callable[[SparkSession], DataFrame]], name: str) -> Callable[[SparkSession], DataFrame]:
@@ -25,7 +27,7 @@ def choose(readers: dict[str, Callable[[SparkSession], DataFrame]], name: str) -
 
 
 def fit_first_whitener(train: DataFrame, conf: FeatureConf) -> Whitener | None:
-    if not conf.whiten:
+    if not conf.whitens:
         return None
     return whitening.fit_patch_whitener(
         train, conf.shape, conf.patch_sizes[0], conf.whitener_epsilon, conf.whitener_sample, conf.seed
@@ -74,17 +76,14 @@ def fit(features: DataFrame, conf: SolveConf) -> linear.LinearModel:
 
 
 def evaluate(features: DataFrame, model: linear.LinearModel, top_k: int = 5) -> dict[str, float]:
-    """Top-1 accuracy, and top-k accuracy if there are at least k classes."""
+    """Top-1 accuracy, and top-k accuracy if there are at least k classes, by the rules of ``evaluation``."""
     scored = model.transform(features)
-    own = F.get("scores", F.col("label"))
-    ahead = F.size(F.filter("scores", lambda s: s > own)) + F.size(
-        F.filter(F.slice("scores", 1, F.col("label")), lambda s: s == own)
-    )
+    scores, label = F.col("scores"), F.col("label")
     row = scored.agg(
         F.count("*").alias("n"),
         F.max(F.size("scores")).alias("classes"),
-        F.avg((ahead == 0).cast("double")).alias("top1"),
-        F.avg((ahead < top_k).cast("double")).alias("topk"),
+        F.avg(evaluation.hits(scores, label, 1)).alias("top1"),
+        F.avg(evaluation.hits(scores, label, top_k)).alias("topk"),
     ).first()
     metrics = {"n": row["n"], "accuracy": row["top1"]}
     if row["classes"] is not None and row["classes"] >= top_k:
@@ -92,6 +91,28 @@ def evaluate(features: DataFrame, model: linear.LinearModel, top_k: int = 5) ->
     return metrics
 
 
+def stored_whitener(train: DataFrame, conf: FeatureConf, folder: str, load: bool = True) -> Whitener | None:
+    """The whitener of these settings from the folder; fitted and written there if it is missing or not to be loaded."""
+    if not conf.whitens:
+        return None
+    spark, path = train.sparkSession, f"{folder}/{conf.prefix(1).feature_id}_whitener"
+    if not (load and path_exists(spark, f"{path}/_SUCCESS")):
+        write_whitener(spark, fit_first_whitener(train, conf), path, mode="overwrite")
+    return read_whitener(spark, path)
+
+
+def split_features(
+    train: DataFrame, test: DataFrame, conf: FeatureConf, folder: str, layers: int | None = None, load_whitener: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Stored features of both splits, from a stored layer on if ``layers`` says so."""
+    whitener = stored_whitener(train, conf, folder, load_whitener)
+    named = {split: replace(conf, dataset=f"{conf.dataset}-{split}") for split in ("train", "test")}
+    return (
+        featurize_stored(train, named["train"], folder, layers, whitener),
+        featurize_stored(test, named["test"], folder, layers, whitener),
+    )
+
+
 def run(
     train: DataFrame,
     test: DataFrame,
@@ -99,17 +120,23 @@ def run(
     solve: SolveConf,
     folder: str | None = None,
     results: str | None = None,
+    layers: int | None = None,
+    load_whitener: bool = False,
 ) -> dict:
-    """Whiten, featurise, fit, evaluate; optionally store features and append a run record."""
+    """Whiten, featurise, fit, evaluate; optionally store features and append a run record.
+
+    With a folder, ``layers`` goes on from the stored output of that many layers,
+    and ``load_whitener`` takes a whitener that an earlier run has stored.
+    """
     spark = train.sparkSession
     started = time.time()
-    whitener = fit_first_whitener(train, features)
-    kept = folder is None
+    if folder is None and (layers or load_whitener):
+        raise ValueError("stored layers and whiteners need a folder")
     if folder:
-        train_rows = featurize_stored(train, replace(features, dataset=f"{features.dataset}-train"), folder, whitener=whitener)
-        test_rows = featurize_stored(test, replace(features, dataset=f"{features.dataset}-test"), folder, whitener=whitener)
+        train_rows, test_rows = split_features(train, test, features, folder, layers, load_whitener)
     else:
-        # Solvers and scoring pass over the features several times.
+        # Solvers and scoring pass over the features several times; rows that are lost with an executor are computed again.
+        whitener = fit_first_whitener(train, features)
         train_rows = featurize(train, features, whitener).persist(StorageLevel.MEMORY_AND_DISK)
         test_rows = featurize(test, features, whitener)
     model = fit(train_rows, solve)
@@ -120,7 +147,7 @@ def run(
         "test": evaluate(test_rows, model, solve.top_k),
         "seconds": round(time.time() - started, 3),
     }
-    if kept:
+    if not folder:
         train_rows.unpersist()
     if results:
         append_run(spark, record, results)
@@ -128,16 +155,21 @@ def run(
 
 
 def sweep(
-    train: DataFrame, test: DataFrame, feature_confs: Sequence[FeatureConf], regs: Sequence[float], folder: str
+    train: DataFrame, test: DataFrame, feature_confs: Sequence[FeatureConf], solve_confs: Sequence[SolveConf], folder: str
 ) -> list[dict]:
-    """Every feature setting with every ridge weight: features once, one Gram pass for all weights."""
+    """Every feature setting with every solver setting; features are computed once.
+
+    Ridge settings that differ in the weight only share one pass over the data.
+    """
     records = []
     for conf in feature_confs:
-        whitener = fit_first_whitener(train, conf)
-        train_rows = featurize_stored(train, replace(conf, dataset=f"{conf.dataset}-train"), folder, whitener=whitener)
-        test_rows = featurize_stored(test, replace(conf, dataset=f"{conf.dataset}-test"), folder, whitener=whitener)
-        for reg, model in linear.ridge_sweep(train_rows, regs).items():
-            records.append({"features": conf, "reg": reg, **evaluate(test_rows, model)})
+        train_rows, test_rows = split_features(train, test, conf, folder)
+        plain = [s for s in solve_confs if s.solver == "ridge" and s.block is None and s.reg_mode == "absolute"]
+        classes = {s.classes for s in plain}
+        shared = {c: linear.ridge_sweep(train_rows, [s.reg for s in plain if s.classes == c], c) for c in classes}
+        for solve in solve_confs:
+            model = shared[solve.classes][solve.reg] if solve in plain else fit(train_rows, solve)
+            records.append({"features": conf, "solve": solve, **evaluate(test_rows, model, solve.top_k)})
     return records
 
 

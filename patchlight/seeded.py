@@ -15,6 +15,7 @@ MODULUS = 1000003
 START = {"row": 7919, "position": 104729, "seed": 15485863, "stream": 32452843, "shift": 13}
 ROUND = {"square": 48271, "linear": 69621, "round": 40692, "row": 31, "position": 17}
 ROUNDS = 3
+ORDER_PLACE = 86028121
 
 # Streams: 1 and 2 make a normal draw, 3 a phase, the others serve one purpose each.
 NORMAL_A, NORMAL_B, PHASE, ORDER_HIGH, ORDER_LOW, SIGN, CHI_A, CHI_B, PERMUTE, PICK_LEFT, PICK_RIGHT = range(1, 12)
@@ -91,28 +92,43 @@ def signs(count: int, seed: int) -> np.ndarray:
     return np.where(mixed(f, np.int64(0), seed, SIGN) % 2 == 0, 1.0, -1.0)
 
 
+def order_values(key: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """The hash of ``with_order`` for int64 arrays."""
+    low, high, sub = key % MODULUS, key // MODULUS % MODULUS, place % MODULUS
+    ends = []
+    for stream in (ORDER_HIGH, ORDER_LOW):
+        t = (first_draw(low, high, seed, stream) + sub * ORDER_PLACE) % MODULUS
+        for r in range(ROUNDS):
+            t = (next_draw(t, low, high, r) + sub * ORDER_PLACE) % MODULUS
+        ends.append(t)
+    return ends[0] * MODULUS + ends[1]
+
+
 def with_order(df: DataFrame, out: str, key: Column, sub: Column | int, seed: int) -> DataFrame:
-    """Add a hash in [0, ORDER_RANGE) that orders rows at random; ties need the key itself.
+    """Add a hash in [0, ORDER_RANGE) of (key, sub) that orders rows at random; ties need the key itself.
 
-    Each round is a one-row ``inline``, which compiles to plain code but which
-    the optimiser will not inline into the next round or into filters. So a
-    draw is computed once, though the next round uses it twice.
+    The low and the high part of the key and ``sub`` enter each round on their own,
+    so no two of them stand for each other. Each round is a one-row ``inline``,
+    which compiles to plain code but which the optimiser will not inline into the
+    next round or into filters. So a draw is computed once, though the next round
+    uses it twice.
     """
     sub = (sub if isinstance(sub, Column) else F.lit(sub)).cast("bigint")
-    key = key.cast("bigint")
-    names, place = df.columns, ("__low", "__high")
-    low, high = F.col("__low"), F.col("__high")
+    names, place = df.columns, ("__low", "__high", "__sub")
+    low, high, more = F.col("__low"), F.col("__high"), F.col("__sub") * F.lit(ORDER_PLACE)
+    wrap = lambda t: F.pmod(t + more, F.lit(MODULUS))
 
     def step(table: DataFrame, keep: tuple[str, ...], columns: dict[str, Column]) -> DataFrame:
         cell = F.struct(*[column.alias(name) for name, column in columns.items()])
         return table.select(*names, *keep, F.inline(F.array(cell)))
 
-    wrapped = F.pmod(F.floor(key / F.lit(MODULUS)).cast("bigint") * 4099 + sub, F.lit(MODULUS))
-    table = step(df, (), {"__low": F.pmod(key, F.lit(MODULUS)), "__high": wrapped})
-    draws = {"__a": first_draw(low, high, seed, ORDER_HIGH), "__b": first_draw(low, high, seed, ORDER_LOW)}
+    table = step(df, (), {"__key": key.cast("bigint"), "__sub": F.pmod(sub, F.lit(MODULUS))})
+    whole = F.expr(f"(__key - pmod(__key, {MODULUS}L)) div {MODULUS}L")
+    table = step(table, ("__sub",), {"__low": F.pmod(F.col("__key"), F.lit(MODULUS)), "__high": F.pmod(whole, F.lit(MODULUS))})
+    draws = {"__a": wrap(first_draw(low, high, seed, ORDER_HIGH)), "__b": wrap(first_draw(low, high, seed, ORDER_LOW))}
     table = step(table, place, draws)
     for r in range(ROUNDS):
-        table = step(table, place, {name: next_draw(F.col(name), low, high, r) for name in draws})
+        table = step(table, place, {name: wrap(next_draw(F.col(name), low, high, r)) for name in draws})
     hashed = F.col("__a") * F.lit(MODULUS) + F.col("__b")
     return step(table, (), {out: hashed})
 

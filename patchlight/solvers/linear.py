@@ -19,10 +19,13 @@ from pyspark.sql import types as T
 
 from patchlight.functions import vectors
 from patchlight.functions.batches import VECTOR, carried, collect_matrix, map_vectors, sum_rows
-from patchlight.operators.statistics import REG_MODES, class_matrix, row_width, scaled_ridge
+from patchlight.operators.statistics import REG_MODES, class_matrix, provisional_mean, row_width, scaled_ridge
 
 # Widest feature vector whose whole Gram matrix is formed at once.
 GRAM_WIDTH = 4096
+# When block descent without a number of passes has settled, and passes after which it is an error if it has not.
+TOLERANCE = 1e-9
+MOST_PASSES = 2000
 
 
 @dataclass(frozen=True, eq=False)
@@ -96,11 +99,15 @@ def fit_moments(
     column: str = "features",
     label: str = "label",
 ) -> Moments:
-    """All sums a ridge fit needs, in one pass and one small shuffle."""
+    """All sums a ridge fit needs, in one pass and one small shuffle.
+
+    They are taken around a provisional mean, so features far from zero lose no digits.
+    """
     per_class = np.ones(classes) if weights is None else weights
+    shift = provisional_mean(df, width, column)
 
     def accumulate(data: list[np.ndarray]) -> np.ndarray:
-        features, labels = data
+        features, labels = data[0] - shift, data[1]
         left = np.concatenate([np.ones((len(features), 1)), features], axis=1)
         right = np.concatenate([left, class_matrix(labels, classes, negative)], axis=1)
         return (left * per_class[labels.astype(np.int64)][:, None]).T @ right
@@ -114,7 +121,7 @@ def fit_moments(
     target = sums[0, width + 1 :] / weight
     gram = sums[1:, 1 : width + 1] - weight * np.outer(mean, mean)
     cross = sums[1:, width + 1 :] - weight * np.outer(mean, target)
-    return Moments(weight, mean, target, gram, cross)
+    return Moments(weight, mean + shift, target, gram, cross)
 
 
 def block_starts(width: int, block: int | None) -> list[tuple[int, int]]:
@@ -148,7 +155,13 @@ def fit_ridge(
     label: str = "label",
     gram_width: int = GRAM_WIDTH,
 ) -> LinearModel:
-    """Ridge on indicator labels, or class-weighted ridge if ``mixture`` > 0."""
+    """Ridge on indicator labels, or class-weighted ridge if ``mixture`` > 0.
+
+    Without ``block`` the fit is the ridge solution at any width: up to
+    ``gram_width`` features from one Gram matrix, beyond by block descent that goes
+    on until a whole pass changes no weight by more than TOLERANCE of the largest.
+    With ``block`` it is ``passes`` passes of block descent, at any width.
+    """
     if reg_mode not in REG_MODES:
         raise ValueError(f"reg mode {reg_mode} is none of {REG_MODES}")
     width = row_width(df, column)
@@ -164,7 +177,7 @@ def fit_ridge(
             lam = scaled_ridge(df, lam, reg_mode, column)
         return solve_moments(moments, lam, block, passes)
     lam = scaled_ridge(df, lam, reg_mode, column)
-    return fit_blockwise(df, width, classes, lam, block or gram_width, passes, weights, negative, column, label)
+    return fit_blockwise(df, width, classes, lam, block or gram_width, passes if block else None, weights, negative, column, label)
 
 
 def fit_blockwise(
@@ -173,7 +186,7 @@ def fit_blockwise(
     classes: int,
     lam: float,
     block: int,
-    passes: int,
+    passes: int | None,
     weights: np.ndarray | None,
     negative: float,
     column: str,
@@ -181,6 +194,9 @@ def fit_blockwise(
 ) -> LinearModel:
     """The same descent for wide features: one pass over the data per block.
 
+    A scan forms the scores of all features and one block's Gram matrix, so a pass
+    costs width / block scans. Without ``passes`` it goes on until it has settled.
+
     The residual is recomputed from the current weights inside the pass, so no
     residual table is written and no lineage grows from pass to pass.
     """
@@ -198,7 +214,8 @@ def fit_blockwise(
     mean, target = sums[1 : width + 1] / sums[0], sums[width + 1 :] / sums[0]
     solution = np.zeros((width, classes))
     spark = df.sparkSession
-    for _ in range(passes):
+    for _ in range(MOST_PASSES if passes is None else passes):
+        before = solution
         for low, high in block_starts(width, block):
             current = spark.sparkContext.broadcast(solution)
 
@@ -215,6 +232,11 @@ def fit_blockwise(
             solution = solution.copy()
             solution[low:high] = np.linalg.solve(gram + lam * np.eye(size), cross)
             current.unpersist()
+        if passes is None and np.abs(solution - before).max() <= TOLERANCE * np.abs(solution).max():
+            break
+    else:
+        if passes is None:
+            raise RuntimeError(f"block descent did not settle in {MOST_PASSES} passes; use a larger gram_width")
     return LinearModel(solution, target - mean @ solution)
 
 

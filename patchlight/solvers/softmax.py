@@ -123,10 +123,7 @@ def softmax_descent(
             size = step(k)
         else:
             size = backtrack(
-                lambda w: penalised(softmax_pass(df, w, column=column, label=label), w, lam),
-                penalised(here, weights, lam),
-                weights,
-                direction,
+                lambda sizes: line_losses(df, weights, direction, sizes, lam, column, label), penalised(here, weights, lam), direction
             )
         weights = weights + size * direction
     return finish(weights)
@@ -136,20 +133,51 @@ def penalised(at: Pass, weights: np.ndarray, lam: float) -> float:
     return at.loss / at.rows + 0.5 * lam * float((weights**2).sum())
 
 
+def line_losses(
+    df: DataFrame, weights: np.ndarray, direction: np.ndarray, sizes: np.ndarray, lam: float, column: str = "features", label: str = "label"
+) -> np.ndarray:
+    """The penalised loss at weights + size * direction for every size, in one pass: scores are linear in the size."""
+    handle = df.sparkSession.sparkContext.broadcast((weights, direction))
+
+    def accumulate(data: list[np.ndarray]) -> np.ndarray:
+        features, labels = data
+        at, along = (features @ w.T for w in handle.value)
+        rows, own = np.arange(len(labels)), labels.astype(np.int64)
+        class_matrix(labels, at.shape[1])  # labels must be classes
+        total = np.zeros((1, len(sizes) + 1))
+        total[0, -1] = len(labels)
+        for k, size in enumerate(sizes):
+            scores = at + size * along
+            scores -= scores.max(axis=1, keepdims=True)
+            chance = np.exp(scores)
+            total[0, k] = -np.log(chance[rows, own] / chance.sum(axis=1) + vectors.LOG_OFFSET).sum()
+        return total
+
+    sums = sum_rows(df, [carried(df, column), F.col(label).cast("int")], accumulate, 1, len(sizes) + 1)
+    total = collect_matrix(sums, 1, len(sizes) + 1)[0]
+    handle.unpersist()
+    penalty = [0.5 * lam * float(((weights + s * direction) ** 2).sum()) for s in sizes]
+    return total[:-1] / max(total[-1], 1) + np.array(penalty)
+
+
 def backtrack(
-    objective: Callable[[np.ndarray], float], here: float, at: np.ndarray, direction: np.ndarray,
+    objectives: Callable[[np.ndarray], np.ndarray], here: float, direction: np.ndarray,
     shrink: float = SHRINK, descent: float = DESCENT, start: float = 1.0,
 ) -> float:
-    """Largest start * shrink^k that lowers the objective enough; each trial is one pass.
+    """The largest start * shrink^k that lowers the objective enough, all candidates in one pass.
 
-    ``direction`` is minus the gradient.
+    ``direction`` is minus the gradient. The accepted size itself is returned. If
+    rounding hides any descent, the weights are as good as they get and a zero
+    direction says so; a direction along which no size helps is an error.
     """
-    size, slope = start, -float((direction**2).sum())
-    for _ in range(MAX_TRIALS):
-        if objective(at + size * direction) <= here + descent * size * slope:
-            return size
-        size *= shrink
-    return 0.0
+    slope = -float((direction**2).sum())
+    if slope == 0.0:
+        return start
+    sizes = start * shrink ** np.arange(MAX_TRIALS)
+    enough = np.flatnonzero(objectives(sizes) <= here + descent * sizes * slope + 1e-14 * abs(here))
+    if not len(enough):
+        raise RuntimeError(f"no step down to {sizes[-1]:.1e} lowers the loss enough")
+    return float(sizes[enough[0]])
 
 
 def softmax_block_newton(

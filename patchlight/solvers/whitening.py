@@ -13,7 +13,7 @@ from patchlight.functions import vectors
 from patchlight.functions.batches import VECTOR, collect_matrix, map_vectors
 from patchlight.layout import Shape
 from patchlight.operators.sampling import sample_patches
-from patchlight.operators.statistics import mean_and_covariance, moment_rows, patch_moment_rows, row_width
+from patchlight.operators.statistics import mean_and_covariance, moment_rows, patch_moment_rows, provisional_mean, provisional_patch_mean, row_width
 
 EPSILON = 0.1
 MAX_WIDTH = 4096
@@ -58,18 +58,17 @@ class Whitener:
 
     @staticmethod
     def from_table(table: DataFrame) -> "Whitener":
-        rows = table.limit(MAX_WIDTH + 1).toPandas().sort_values("i")
-        if len(rows) > MAX_WIDTH:
-            raise ValueError(f"a whitener has at most {MAX_WIDTH} inputs")
+        check_width(table.count())
+        rows = table.toPandas().sort_values("i")
         return Whitener(rows["mean"].to_numpy(), np.stack(rows["matrix"]), np.stack(rows["covariance"]))
 
 
-def whitener_from_moments(moments: np.ndarray, epsilon: float = EPSILON) -> Whitener:
-    """W = V diag((lambda + epsilon)^-1/2) V^T of the covariance."""
+def whitener_from_moments(moments: np.ndarray, epsilon: float = EPSILON, shift: np.ndarray | float = 0.0) -> Whitener:
+    """W = V diag((lambda + epsilon)^-1/2) V^T of the covariance; ``shift`` is what the moments were taken around."""
     _, mean, covariance = mean_and_covariance(moments)
     values, basis = np.linalg.eigh(covariance)
     scale = 1.0 / np.sqrt(np.maximum(values, 0.0) + epsilon)
-    return Whitener(mean, (basis * scale) @ basis.T, covariance)
+    return Whitener(mean + shift, (basis * scale) @ basis.T, covariance)
 
 
 def check_width(width: int) -> None:
@@ -80,7 +79,8 @@ def check_width(width: int) -> None:
 def fit_whitener(df: DataFrame, column: str = "features", epsilon: float = EPSILON) -> Whitener:
     width = row_width(df, column)
     check_width(width)
-    return whitener_from_moments(collect_matrix(moment_rows(df, width, column), width + 1, width + 1), epsilon)
+    shift = provisional_mean(df, width, column)
+    return whitener_from_moments(collect_matrix(moment_rows(df, width, column, shift), width + 1, width + 1), epsilon, shift)
 
 
 def fit_patch_whitener(
@@ -89,11 +89,12 @@ def fit_patch_whitener(
     """Fit on all patches, or on exactly ``sample`` of them."""
     inputs = patch * patch * shape.channels
     check_width(inputs)
+    shift = provisional_patch_mean(images, shape, patch)
     if sample is None:
-        rows = patch_moment_rows(images, shape, patch)
+        rows = patch_moment_rows(images, shape, patch, shift)
     else:
-        rows = moment_rows(sample_patches(images, shape, patch, sample, seed), inputs, "patch")
-    return whitener_from_moments(collect_matrix(rows, inputs + 1, inputs + 1), epsilon)
+        rows = moment_rows(sample_patches(images, shape, patch, sample, seed), inputs, "patch", shift)
+    return whitener_from_moments(collect_matrix(rows, inputs + 1, inputs + 1), epsilon, shift)
 
 
 def contrast_normalized(images: DataFrame) -> DataFrame:

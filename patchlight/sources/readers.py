@@ -10,14 +10,14 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlight.functions.batches import VECTOR, from_matrix
+from patchlight.functions.batches import MODEL_VALUES, VECTOR, from_matrix
 from patchlight.layout import Shape, with_shape
 from patchlight.operators.joins import label_files, pair_rows
-from patchlight.session import path_exists
+from patchlight.session import path_exists, written
 
 # Fixed values of the formats: IDX magic numbers and header lengths, bytes per pixel value.
 IDX_IMAGES, IDX_IMAGES_HEADER = 2051, 16
@@ -30,30 +30,29 @@ RECORDS_PER_BLOCK = 1024
 LINE_KEYS = ("path", "block_start")
 
 
+def placed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Text lines as (row, path, block_start, value); ``row`` is unique in this one scan and grows along each block."""
+    return spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+    ).withColumn("row", F.monotonically_increasing_id())
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text lines as (line_no, path, value); numbers run on over files in path order.
 
-    Lines of one file block are read by one task in order. Counting the lines of
-    each block gives every block its first number, so no line is moved and only
-    one count per block reaches the driver.
+    The lines are read by one scan and written with the block they were read in,
+    so counting the blocks and numbering the lines see the same split of the
+    files, whatever later jobs would plan. There is one count for each block (a
+    million for 128 TB), and none of them reaches the driver.
     """
-    lines = (
-        spark.read.text(path)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-        )
-        .withColumn("__row", F.monotonically_increasing_id())
-    )
-    blocks = lines.groupBy(*LINE_KEYS).agg(F.count("*").alias("n"), F.min("__row").alias("first_row")).collect()
-    first, table = 0, []
-    for block in sorted(blocks, key=lambda b: (b["path"], b["block_start"])):
-        table.append((block["path"], block["block_start"], block["first_row"], first))
-        first += block["n"]
-    schema = "path string, block_start bigint, first_row bigint, first_line bigint"
-    offsets = F.broadcast(spark.createDataFrame(table, schema))
-    number = F.col("first_line") + F.col("__row") - F.col("first_row")
+    lines = written(placed_lines(spark, path), "lines")
+    blocks = lines.groupBy(*LINE_KEYS).agg(F.count("*").alias("n"), F.min("row").alias("first_row"))
+    before = Window.orderBy(*LINE_KEYS).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint"))
+    offsets = written(blocks.select(*LINE_KEYS, "first_row", first.alias("first_line")), "blocks")
+    number = F.col("first_line") + F.col("row") - F.col("first_row")
     return lines.join(offsets, list(LINE_KEYS)).select(number.alias("line_no"), "path", "value")
 
 
@@ -87,10 +86,14 @@ def read_feature_text(
 
 
 def feature_lines(spark: SparkSession, path: str | list[str], as_float: bool = False) -> DataFrame:
-    """Directories or globs of feature lines as (row_id, path, features, label)."""
-    numbers = numbered_lines(spark, path).filter(F.length("value") > 0)
+    """Directories or globs of feature lines as (row_id, path, features, label), in one scan.
+
+    Lines carry no key; ``row_id`` is unique within the table that is read, not
+    dense, and not the same in another read.
+    """
+    numbers = placed_lines(spark, path).filter(F.length("value") > 0)
     parsed = numbers.select(
-        F.col("line_no").alias("row_id"),
+        F.col("row").alias("row_id"),
         "path",
         parsed_numbers(F.col("value"), as_float).alias("all"),
         F.element_at(F.split(F.regexp_replace("value", "[()]", ""), ","), -1).cast("double").cast("int").alias("label"),
@@ -224,32 +227,50 @@ def read_matrix_csv(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
 def read_labelled_files(spark: SparkSession, path: str, labels: DataFrame, pattern: str, glob: str | None = None) -> DataFrame:
     """Image files with the class of the key found in their path: (path, key, class, image).
 
-    ``labels`` is (key, class); files whose key has no class are left out.
+    ``labels`` is (key, class); files whose key has no class are left out. Files
+    that do not decode stay, with no channels: see ``undecoded``.
     """
-    reader = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True)
+    reader = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path).select(F.col("image.origin").alias("path"), "image")
     return label_files(files.withColumn("key", F.regexp_extract("path", pattern, 1)), labels, "key")
 
 
+def undecoded(df: DataFrame) -> DataFrame:
+    """Files of the image source that did not decode, to be counted or listed."""
+    return df.where(F.col("image.nChannels") <= 0)
+
+
 def decoded_pixels(df: DataFrame) -> DataFrame:
-    """Bytes of the image source (blue, green, red order) as our pixel array in red, green, blue order."""
-    schema = T.StructType([*[f for f in df.schema if f.name != "image"], T.StructField("pixels", VECTOR)])
-    keep = [f.name for f in df.schema if f.name != "image"]
-    source = df.select(*keep, F.col("image.data").alias("data"), F.col("image.nChannels").alias("channels"))
+    """Bytes of the image source (blue, green, red order) as our pixel array in red, green, blue order.
+
+    ``image`` gives way to ``width``, ``height``, ``n_channels`` and ``pixels``, so
+    that images of mixed size can go through ``resize_each``. Files that did not
+    decode have null pixels.
+    """
+    keep = [f.name for f in df.schema if f.name not in ("image", "width", "height", "n_channels", "pixels")]
+    sizes = [F.col(f"image.{c}").alias(n) for c, n in (("width", "width"), ("height", "height"), ("nChannels", "n_channels"))]
+    source = df.select(*keep, *sizes, F.col("image.data").alias("data"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("pixels", VECTOR)])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (data, channels) in enumerate(zip(batch.column("data"), batch.column("channels"))):
-                values = np.frombuffer(data.as_py(), np.uint8).reshape(-1, channels.as_py())
-                if values.shape[1] >= 3:
+            blocks: list[np.ndarray | None] = []
+            for data, channels in zip(batch.column("data").to_pylist(), batch.column("n_channels").to_pylist(), strict=True):
+                if not channels or channels < 0:
+                    blocks.append(None)
+                    continue
+                values = np.frombuffer(data, np.uint8).reshape(-1, channels)
+                if channels >= 3:
                     values = np.concatenate([values[:, 2::-1], values[:, 3:]], axis=1)
-                one = batch.slice(i, 1)
-                arrays = [one.column(j) for j in range(len(keep))]
-                yield pa.RecordBatch.from_arrays(
-                    [*arrays, from_matrix(values.reshape(1, -1).astype(np.float64))], names=schema.names
-                )
+                blocks.append(values.reshape(-1).astype(np.float64))
+            sizes = [0 if x is None else len(x) for x in blocks]
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            flat = np.concatenate([np.empty(0), *(x for x in blocks if x is not None)])
+            mask = pa.array([x is None for x in blocks], pa.bool_())
+            pixels = pa.ListArray.from_arrays(offsets, pa.array(flat), mask=mask)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pixels], names=schema.names)
 
     return source.mapInArrow(decode, schema)
 
@@ -296,7 +317,10 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix_lines(spark: SparkSession, path: str) -> np.ndarray:
-    """A small model matrix from CSV lines, in line order."""
+    """A model matrix from CSV lines, in line order; one that is too large for the driver is an error."""
     rows = numbered_lines(spark, path).select("line_no", parsed_numbers(F.col("value")).alias("row"))
-    table = rows.limit(8192).toPandas().sort_values("line_no")
+    size = rows.agg(F.sum(F.size("row")).alias("values"), F.count("*").alias("n")).first()
+    if (size["values"] or 0) > MODEL_VALUES:
+        raise ValueError(f"{size['n']} lines with {size['values']} values are too many for a model matrix on the driver")
+    table = rows.toPandas().sort_values("line_no")
     return np.stack(table["row"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -75,9 +76,24 @@ def import_whitener(spark: SparkSession, matrix_path: str, mean_path: str, covar
 
 
 def append_run(spark: SparkSession, record: dict, path: str) -> None:
-    """Add one flattened run record (config, metrics, runtime) to a results table in CSV."""
-    flat = {key: str(value) for key, value in sorted(flatten(record).items())}
-    spark.createDataFrame([tuple(flat.values())], [*flat]).coalesce(1).write.mode("append").option("header", True).csv(path)
+    """Add one run record (config, metrics, runtime) to a results table in CSV.
+
+    Every record has one line for each flattened field, (run, field, value), so
+    records with other fields never share a column. ``run`` names the record.
+    """
+    run = uuid.uuid4().hex
+    rows = [(run, key, str(value)) for key, value in sorted(flatten(record).items())]
+    spark.createDataFrame(rows, RUN_FIELDS).coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
+RUN_FIELDS = "run string, field string, value string"
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The results table as (run, record): one map of fields for each run."""
+    lines = spark.read.schema(RUN_FIELDS).option("header", True).option("escape", '"').csv(path)
+    # One entry for each field of a record.
+    return lines.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("record"))
 
 
 def flatten(record: dict, prefix: str = "") -> dict:

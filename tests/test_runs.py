@@ -2,6 +2,7 @@
 
 import io
 import contextlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from patchlight.layout import Shape, as_images
 from patchlight.operators import convolve as cv
-from patchlight.operators import statistics
+from patchlight.operators import joins, statistics
 from patchlight.plans import catalog, runs
-from patchlight.plans.config import FeatureConf, SolveConf, from_mapping
+from patchlight.plans.config import FeatureConf, SolveConf, from_mapping, run_options
 from patchlight.session import fresh_path, written
 from patchlight.solvers import linear
+from patchlight.sources import writers
 from patchlight.streaming.features import featurize_stream
 
 
@@ -35,7 +37,7 @@ def test_run_learns(spark, solver):
     results = fresh_path(spark, "results")
     record = runs.run(digits(spark, 600, 1), digits(spark, 200, 2), CONF, solve, results=results)
     assert record["test"]["accuracy"] > 0.9 and record["test"]["top5_accuracy"] >= record["test"]["accuracy"]
-    assert spark.read.option("header", True).csv(results).count() == 1
+    assert writers.read_runs(spark, results).count() == 1
 
 
 def test_two_layer_whitened_run_with_stored_features(spark):
@@ -61,8 +63,25 @@ def test_restart_from_a_stored_layer(spark):
 
 
 def test_sweep_reuses_features(spark):
-    records = runs.sweep(digits(spark, 300, 1), digits(spark, 100, 2), [CONF], [0.1, 1.0, 10.0], fresh_path(spark, "sweep"))
-    assert [r["reg"] for r in records] == [0.1, 1.0, 10.0] and all(r["accuracy"] > 0.8 for r in records)
+    grid = joins.param_grid(spark, {"solver": ["ridge", "softmax_newton"], "reg": [0.1, 1.0]}).orderBy("solver", "reg").collect()
+    solvers = [SolveConf(g["solver"], reg=g["reg"], iterations=3, classes=10) for g in grid]
+    records = runs.sweep(digits(spark, 300, 1), digits(spark, 100, 2), [CONF], solvers, fresh_path(spark, "sweep"))
+    assert [r["solve"] for r in records] == solvers and all(r["accuracy"] > 0.7 for r in records)
+
+
+def test_run_goes_on_from_a_stored_layer_and_whitener(spark):
+    folder, train, test = fresh_path(spark, "restart"), digits(spark, 120, 1), digits(spark, 40, 2)
+    conf = FeatureConf("d", 8, 8, 1, 3, patch_sizes=(3, 2), filters=(6, 5), bandwidth=(1.0, 1.0), pool=(2, 1), pool_stride=(2, 1), whiten=(True, False))
+    solve = SolveConf(reg=0.1, classes=10)
+    first = runs.run(train, test, conf, solve, folder)
+    for split in ("train", "test"):
+        whole = spark.read.parquet(f"{folder}/{replace(conf, dataset=f'd-{split}').feature_id}")
+        assert whole.count() == (120 if split == "train" else 40)
+    again = runs.run(train, test, conf, solve, fresh_path(spark, "other"), layers=1)
+    loaded = runs.run(train, test, conf, solve, folder, layers=1, load_whitener=True)
+    assert first["test"] == again["test"] == loaded["test"]
+    with pytest.raises(ValueError):
+        runs.run(train, test, conf, solve, load_whitener=True)
 
 
 def test_feature_mean_is_moderate(spark):
@@ -76,9 +95,24 @@ def test_settings():
         {
             "dataset": "d", "patch_sizes": [5, 2], "filters": [50, 200], "bandwidth": [1.8, 2.2], "convStride": {0: 1, 1: 1},
             "poolStride": [2, 1], "pool": [2, 1], "solver": "BlockWeightedLeastSquares", "solverWeight": 0.3, "blockSize": 64,
-            "insanity": True, "notAField": 1,
+            "insanity": True,
         }
     )
+    with pytest.raises(ValueError, match="notAField"):
+        from_mapping({"notAField": 1})
+    flags = {(): False, (True,): True, (False, False): False, (True, False): True}
+    for flag, whitens in flags.items():
+        assert from_mapping({"patch_sizes": [5, 2], "filters": [5, 5], "whiten": list(flag)})[0].whitens is whitens
+    assert from_mapping({"whiten": False})[0].whitens is False and from_mapping({"whiten": True})[0].whitens
+    with pytest.raises(ValueError, match="first layer"):
+        from_mapping({"patch_sizes": [5, 2], "filters": [5, 5], "whiten": [False, True]})
+    mapping = {
+        "dataset": "d", "expid": "e", "mode": "scala", "layers": 1, "patch_sizes": [5, 2], "filters": [50, 60], "whiten": [True, False], "whitenerOffset": 0.1,
+        "whitenerValue": 0.01, "loadWhitener": True, "layerToLoad": 2, "fastfood": False, "solve": True, "yarn": True, "numClasses": 10, "loss": "softmax",
+    }
+    shaped, named = from_mapping(mapping)
+    assert shaped.norm_offset == 0.1 and shaped.layers == 1 and shaped.whiten == (True,) and named.solver == "softmax_newton"
+    assert run_options(mapping) == {"layers": 2, "load_whitener": True}
     assert features.conv_stride == (1, 1) and features.rescale and features.layers == 2
     assert solve.solver == "weighted_ridge" and solve.mixture == 0.3 and solve.block == 64
     assert features.feature_id == from_mapping({**features.__dict__})[0].feature_id
@@ -102,10 +136,10 @@ def test_stream(spark):
     table = digits(spark, 60, 1)
     table.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    featurize_stream(stream, CONF, path).awaitTermination(120)
+    featurize_stream(stream, CONF, path, path + "-checkpoint").awaitTermination(120)
     assert np.allclose(collected(spark.read.parquet(path), "features"), collected(runs.featurize(table, CONF), "features"))
     with pytest.raises(ValueError):
-        featurize_stream(table, CONF, path)
+        featurize_stream(table, CONF, path, path + "-checkpoint")
 
 
 # ---- plans

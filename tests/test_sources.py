@@ -46,6 +46,37 @@ def test_line_numbers_follow_files_and_blocks(spark, tmp_path):
     assert sorted(r["line_no"] for r in rows) == list(range(len(want)))
 
 
+def test_line_numbers_survive_another_split_of_the_files(spark, tmp_path):
+    """Splits are planned anew between planning and reading; no line may be lost."""
+    (tmp_path / "lines").write_text("".join(f"{i}\n" for i in range(20000)))
+    spark.conf.set("spark.sql.files.minPartitionNum", "4")
+    try:
+        table = readers.numbered_lines(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.minPartitionNum", "7")
+        rows = table.select("line_no", "value").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted((r["line_no"], int(r["value"])) for r in rows) == [(i, i) for i in range(20000)]
+
+
+def test_long_matrix_files_come_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    (tmp_path / "m.csv").write_text("".join(f"{i},{-i}\n" for i in range(9000)))
+    matrix = readers.read_matrix_lines(spark, str(tmp_path / "m.csv"))
+    assert matrix.shape == (9000, 2) and np.array_equal(matrix[:, 0], np.arange(9000))
+    monkeypatch.setattr(readers, "MODEL_VALUES", 100)
+    with pytest.raises(ValueError, match="9000 lines"):
+        readers.read_matrix_lines(spark, str(tmp_path / "m.csv"))
+
+
+def test_photos_of_mixed_size_keep_theirs(spark):
+    kind = "path string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    rows = [("a", ("a", 1, 2, 3, 16, bytes(range(6)))), ("b", ("b", 2, 1, 1, 0, bytes([7, 8]))), ("c", ("c", -1, -1, -1, -1, b""))]
+    table = spark.createDataFrame(rows, kind)
+    got = {r["path"]: (r["width"], r["height"], r["n_channels"], r["pixels"]) for r in readers.decoded_pixels(table).collect()}
+    assert got == {"a": (2, 1, 3, [2, 1, 0, 5, 4, 3]), "b": (1, 2, 1, [7, 8]), "c": (-1, -1, -1, None)}
+    assert [r["path"] for r in readers.undecoded(table).collect()] == ["c"]
+
+
 def test_fixed_records_with_planes(spark, tmp_path):
     shape = Shape(4, 3, 3)
     rng = np.random.default_rng(0)
@@ -160,10 +191,11 @@ def test_materialize_computes_once(spark):
 
 def test_run_records_are_appended(spark):
     path = fresh_path(spark, "runs")
-    for seed in (1, 2):
-        writers.append_run(spark, {"features": {"seed": seed, "filters": (5, 6)}, "accuracy": 0.5}, path)
-    rows = spark.read.option("header", True).csv(path)
-    assert rows.count() == 2 and set(rows.columns) == {"accuracy", "features_filters_0", "features_filters_1", "features_seed"}
+    for seed, filters in ((1, (5,)), (2, (5, 6))):
+        writers.append_run(spark, {"features": {"seed": seed, "filters": filters}, "accuracy": 0.5, "note": 'a "b", c'}, path)
+    runs = sorted((r["record"] for r in writers.read_runs(spark, path).collect()), key=lambda r: r["features_seed"])
+    common = {"accuracy": "0.5", "note": 'a "b", c', "features_filters_0": "5"}
+    assert runs == [{**common, "features_seed": "1"}, {**common, "features_seed": "2", "features_filters_1": "6"}]
 
 
 def test_shared_folder_comes_from_the_session(spark):
