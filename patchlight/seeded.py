@@ -122,9 +122,9 @@ def with_order(df: DataFrame, out: str, key: Column, sub: Column | int, seed: in
         cell = F.struct(*[column.alias(name) for name, column in columns.items()])
         return table.select(*names, *keep, F.inline(F.array(cell)))
 
-    table = step(df, (), {"__key": key.cast("bigint"), "__sub": F.pmod(sub, F.lit(MODULUS))})
-    whole = F.expr(f"(__key - pmod(__key, {MODULUS}L)) div {MODULUS}L")
-    table = step(table, ("__sub",), {"__low": F.pmod(F.col("__key"), F.lit(MODULUS)), "__high": F.pmod(whole, F.lit(MODULUS))})
+    table = step(df, (), {"__whole": key.cast("bigint"), "__sub": F.pmod(sub, F.lit(MODULUS))})
+    whole = F.expr(f"(__whole - pmod(__whole, {MODULUS}L)) div {MODULUS}L")
+    table = step(table, ("__sub",), {"__low": F.pmod(F.col("__whole"), F.lit(MODULUS)), "__high": F.pmod(whole, F.lit(MODULUS))})
     draws = {"__a": wrap(first_draw(low, high, seed, ORDER_HIGH)), "__b": wrap(first_draw(low, high, seed, ORDER_LOW))}
     table = step(table, place, draws)
     for r in range(ROUNDS):
