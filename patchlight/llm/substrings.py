@@ -7,16 +7,20 @@ one whose anchor holds the same gram. Consecutive windows with one anchor make a
 segment, about one for every 35 bytes.
 
 1. Tasks cut texts into segments (gram, hash of the whole segment, place). A
-   segment that a task has seen before is a repeat and goes no further; the rest
-   is sorted by gram, then hash, in a shuffle. Equal segments repeat all their
-   windows, and the first of them stays.
+   segment that a task has seen before is a repeat; runs of them go on as one row.
+   The others are sorted by gram, then hash, in a shuffle. Equal segments repeat
+   all their windows, and the first of them stays.
 2. Segments with one gram but different bytes, the borders of repeats, are the
-   only ones whose windows are compared one by one, by (gram, hash).
+   only ones whose windows are compared one by one. Their bytes meet by gram, and
+   a task compares the windows of some grams at a time; the windows of grams with
+   many borders are rows of their own, shuffled by (gram, hash), so that no gram is
+   one task's work.
 3. Spans of repeats go back to their texts, which lose them.
 
-Nothing is paired, groups are sorted on disk and streamed, and a text moves once. Places are packed in one number: 17 bits of a hash of the text
-(one id may have two texts), 32 bits of position, 7 bits each for the number of
-windows and the offset of the anchor.
+Nothing is paired, groups are sorted on disk and streamed, and all joins with the
+texts read one exchange. Places are packed in one number: 17 bits of a hash of the
+text (one id may have two texts), 32 bits of position, 14 bits for the number of
+windows.
 """
 
 from __future__ import annotations
@@ -35,9 +39,13 @@ from patchlight.session import written
 
 LENGTH = 100
 GRAM = 32
-TIE_BITS, PLACE_BITS, COUNT_BITS = 17, 32, 7
+TIE_BITS, PLACE_BITS, COUNT_BITS = 17, 32, 14
 #: Segments a task compares with each other before it passes them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
+#: Borders of one gram from which its windows are shuffled one by one.
+MANY = 256
+#: Borders whose windows a task compares at a time.
+BORDERS = 1 << 14
 
 _NO_ID = np.int64(np.iinfo(np.int64).max)
 
@@ -46,14 +54,32 @@ def tie_of(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text, 7) >> (64 - TIE_BITS)
 
 
-def pack(tie: np.ndarray, place: np.ndarray, count: np.ndarray, offset: np.ndarray | int = 0) -> np.ndarray:
-    return (((tie << PLACE_BITS | place) << COUNT_BITS) | count) << COUNT_BITS | offset
+def pack(tie: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (tie << PLACE_BITS | place) << COUNT_BITS | count
 
 
 def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tie, place and number of windows."""
-    mask = (1 << COUNT_BITS) - 1
-    return packed >> (PLACE_BITS + 2 * COUNT_BITS), packed >> (2 * COUNT_BITS) & ((1 << PLACE_BITS) - 1), packed >> COUNT_BITS & mask
+    return packed >> (PLACE_BITS + COUNT_BITS), packed >> COUNT_BITS & ((1 << PLACE_BITS) - 1), packed & ((1 << COUNT_BITS) - 1)
+
+
+def merged(doc: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of windows with those that follow one another in a text put together, as long as the count fits."""
+    order = np.lexsort((packed, doc))
+    doc, packed = doc[order], packed[order]
+    tie, place, count = unpack(packed)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (place[1:] > place[:-1] + count[:-1])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return doc, packed
+    stop = np.maximum.reduceat(place + count, first)
+    size = stop - place[first]
+    most = (1 << COUNT_BITS) - 1
+    parts = -(-size // most)
+    step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+    held = np.repeat(first, parts)
+    return doc[held], pack(tie[held], place[held] + step, np.minimum(most, np.repeat(size, parts) - step))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -67,13 +93,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Segments:
-    """Segments of a slice: text, first window in it, number of windows, offset of the anchor from the first window, gram, hash."""
+    """Segments of a slice: text, first window in it, number of windows, gram at the anchor, hash of the whole."""
 
     def __init__(self, texts: list[bytes | None], length: int = LENGTH, gram: int = GRAM):
         pages = tx.Pages(texts)
         self.pages, self.sums = pages, pages.prefix_sums()
         none = np.empty(0, np.int64)
-        self.text = self.place = self.count = self.offset = none
+        self.text = self.place = self.count = none
         self.gram = self.whole = np.empty(0, np.uint64)
         n = len(pages.buffer) - length + 1
         if n <= 0:
@@ -101,7 +127,6 @@ class Segments:
         self.count = np.diff(np.append(np.searchsorted(run, begin), len(run)))
         self.text = np.searchsorted(pages.ends, begin, "left")
         self.place = begin - pages.starts[self.text]
-        self.offset = anchor[begin] - begin
         self.gram = grams[anchor[begin]]
         self.whole = self.sums.spans(begin, begin + self.count - 1 + length)
 
@@ -149,61 +174,115 @@ def low32(values: np.ndarray) -> np.ndarray:
 
 
 def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Segments of all texts; ``again`` marks those that their task knows to repeat an earlier one."""
+    """Segments of all texts, and as rows that are ``again`` the spans that a task knows to repeat earlier ones."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
-        def flushed() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            columns, again = firsts(columns, 2)
-            # A segment is passed on once: rows that repeat an id and a text are one document.
-            fresh = np.ones(len(again), bool)
+        def flushed() -> Iterator[pa.RecordBatch]:
+            columns, again = firsts([np.concatenate(c) for c in zip(*held, strict=True)], 2)
+            # A place is passed on once: rows that repeat an id and a text are one document.
+            fresh = ~again
             same = np.ones(max(len(again) - 1, 0), bool)
             for c in columns:
                 same &= c[1:] == c[:-1]
-            fresh[1:] = ~same
+            fresh[1:] &= ~same
+            doc, place = merged(columns[2][again], columns[3][again])
+            # Spans have no gram; the place spreads them.
+            spans = [tx.mixed(place.astype(np.uint64)).view(np.int64), np.zeros(len(doc), np.int32), doc, place, np.ones(len(doc), bool)]
             grams, hashes, docs, places = (c[fresh] for c in columns)
-            arrays = [pa.array(x) for x in (grams.view(np.int64), low32(hashes), docs, places, again[fresh])]
-            return pa.RecordBatch.from_arrays(arrays, names=["gram", "whole", "doc", "place", "again"])
+            kept = [grams.view(np.int64), low32(hashes), docs, places, np.zeros(len(docs), bool)]
+            for rows in (kept, spans):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["gram", "whole", "doc", "place", "again"])
 
         rows = 0
         for ids, ties, at, texts in pieces(batches, length):
             s = Segments(texts, length, gram)
-            held.append([s.gram, s.whole, ids[s.text], pack(ties[s.text], s.place + at[s.text], s.count, s.offset)])
+            held.append([s.gram, s.whole, ids[s.text], pack(ties[s.text], s.place + at[s.text], s.count)])
             rows += len(s.text)
             if rows >= FLUSH:
-                yield flushed()
+                yield from flushed()
                 held, rows = [], 0
         if held:
-            yield flushed()
+            yield from flushed()
 
     return docs.select("doc_id", "text").mapInArrow(cut, SEGMENT)
 
 
-def border_windows(placed: DataFrame, borders: DataFrame, length: int) -> DataFrame:
-    """Every window of the segments in ``borders(doc, places, grams)``, as (gram, whole, doc, place, again)."""
+def windows_of(gram: np.ndarray, doc: np.ndarray, packed: np.ndarray, held: list[bytes], length: int) -> list[np.ndarray]:
+    """(gram, hash, doc, place) of every window of segments given by their bytes."""
+    tie, place, count = unpack(packed)
+    sizes = count - 1 + length
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.repeat(np.cumsum(sizes) - sizes, count) + step
+    whole = tx.PrefixHash(np.frombuffer(b"".join(held), np.uint8)).spans(begin, begin + length)
+    places = pack(np.repeat(tie, count), np.repeat(place, count) + step, np.ones(len(step), np.int64))
+    return [np.repeat(gram, count), whole.view(np.int64), np.repeat(doc, count), places]
+
+
+def border_texts(placed: DataFrame, borders: DataFrame, length: int) -> DataFrame:
+    """(gram, doc, place, part) of the segments in ``borders(doc, places, grams)``: their bytes, cut from the texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in tx.slices(batches):
-            found: list[list[np.ndarray]] = []
+            columns: list[list] = [[], [], [], []]
             for doc, text, places, grams in zip(part.column("doc").to_pylist(), texts, part.column("places"), part.column("grams"), strict=True):
-                tie, place, count = unpack(places.values.to_numpy())
-                mine = tie == tie_of(text)
-                tie, place, count, gram = tie[mine], place[mine], count[mine], grams.values.to_numpy()[mine]
-                # Only the segments themselves are hashed, one after the other.
-                sizes = count - 1 + length
-                held = b"".join([text[p : p + n] for p, n in zip(place.tolist(), sizes.tolist(), strict=True)])
-                step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                begin = np.repeat(np.cumsum(sizes) - sizes, count) + step
-                whole = tx.PrefixHash(np.frombuffer(held, np.uint8)).spans(begin, begin + length)
-                packed = pack(np.repeat(tie, count), np.repeat(place, count) + step, np.ones(len(step), np.int64))
-                found.append([np.repeat(gram, count), whole.view(np.int64), np.full(len(step), doc), packed])
-            columns, again = firsts([np.concatenate(c) for c in zip(*found, strict=True)], 2)
-            arrays = [pa.array(x) for x in (low32(columns[0]), *columns[1:], again)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["gram", "whole", "doc", "place", "again"])
-
-    return placed.join(borders, "doc").select("doc", "text", "places", "grams").mapInArrow(cut, WINDOW)
+                packed = places.values.to_numpy()
+                tie, place, count = unpack(packed)
+                mine = np.flatnonzero(tie == tie_of(text))
+                columns[0].append(grams.values.to_numpy()[mine])
+                columns[1].append(np.full(len(mine), doc))
+                columns[2].append(packed[mine])
+                columns[3].extend(text[place[k] : place[k] + count[k] - 1 + length] for k in mine.tolist())
+            arrays = [pa.array(np.concatenate(c)) for c in columns[:3]]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(columns[3], pa.binary())], names=["gram", "doc", "place", "part"])
+
+    return placed.join(borders, "doc").select("doc", "text", "places", "grams").mapInArrow(cut, "gram long, doc long, place long, part binary")
+
+
+def repeats_in_task(parts: DataFrame, length: int) -> DataFrame:
+    """(doc, place) of the windows of border segments that start earlier in another segment of their gram."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if rows.num_rows < BORDERS:
+                rest = rows
+                continue
+            grams = rows.column("gram").to_numpy()
+            # The last gram may go on in the next batch.
+            stop = int(np.searchsorted(grams, grams[-1], "left"))
+            rest = rows.slice(stop)
+            if stop:
+                yield from resolved(rows.slice(0, stop))
+        if rest is not None and rest.num_rows:
+            yield from resolved(rest)
+
+    def resolved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram, doc, place = (rows.column(c).to_numpy() for c in ("gram", "doc", "place"))
+        columns, again = firsts(windows_of(gram, doc, place, rows.column("part").to_pylist(), length), 2)
+        spans = merged(columns[2][again], columns[3][again])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in spans], names=["doc", "place"])
+
+    return parts.repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, "doc long, place long")
+
+
+def repeats_by_window(parts: DataFrame, length: int) -> DataFrame:
+    """The same for grams with many borders: every window is a row, and equal windows meet by (gram, hash)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BORDERS):
+                rows = batch.slice(start, BORDERS)
+                gram, doc, place = (rows.column(c).to_numpy() for c in ("gram", "doc", "place"))
+                columns, again = firsts(windows_of(gram, doc, place, rows.column("part").to_pylist(), length), 2)
+                arrays = [pa.array(x) for x in (low32(columns[0]), *columns[1:], again)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["gram", "whole", "doc", "place", "again"])
+
+    windows = parts.mapInArrow(spread, WINDOW)
+    first = F.first(F.struct("doc", "place")).over(Window.partitionBy("gram", "whole").orderBy("doc", "place"))
+    return windows.withColumn("first", first).where(F.col("again") | (F.col("first") != F.struct("doc", "place"))).select("doc", "place")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -231,27 +310,28 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     an id come last. Texts under ``length`` bytes lose nothing. Other columns are
     ignored; an empty table gives an empty one.
     """
-    found = segments(docs, length, gram)
-    fresh = found.where("not again").select("gram", "whole", F.struct("doc", "place").alias("at"))
-    same = Window.partitionBy("gram", "whole").orderBy("at")
-    group = Window.partitionBy("gram")
-    found_again = found.where("again").select("doc", "place", F.lit(True).alias("again"), F.lit(0).cast("long").alias("gram"))
+    found = segments(docs, length, gram).select("again", "gram", "whole", F.struct("doc", "place").alias("at"))
+    same = Window.partitionBy("again", "gram", "whole").orderBy("at")
+    group = Window.partitionBy("again", "gram")
     ranked = (
-        fresh.repartition("gram")
-        .withColumn("first", F.first("at").over(same))
-        .withColumn("many", F.min("whole").over(group) < F.max("whole").over(group))
-        .where((F.col("first") != F.col("at")) | F.col("many"))
-        .select("at.doc", "at.place", (F.col("first") != F.col("at")).alias("again"), "gram")
+        found.repartition("gram")
+        .withColumn("repeat", F.col("again") | (F.first("at").over(same) != F.col("at")))
+        .withColumn("border", F.when(F.min("whole").over(group) < F.max("whole").over(group), F.sum((~F.col("repeat")).cast("int")).over(group)))
+        .where(F.col("repeat") | F.col("border").isNotNull())
+        .select("at.doc", "at.place", F.when(~F.col("repeat"), F.col("gram")).alias("gram"), F.when(~F.col("repeat"), F.col("border")).alias("border"))
     )
-    level = written(ranked.union(found_again), "segments")
-    # Texts move once: both joins below read the same exchange.
+    level = written(ranked, "segments")
+    # Texts move once: all joins below read the same exchange.
     placed = docs.select(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).repartition("doc")
-    borders = level.where("not again").groupBy("doc").agg(F.collect_list(F.struct("place", "gram")).alias("b"))
-    borders = borders.select("doc", F.col("b.place").alias("places"), F.col("b.gram").alias("grams"))
-    windows = border_windows(placed, borders, length)
-    first = F.first(F.struct("doc", "place")).over(Window.partitionBy("gram", "whole").orderBy("doc", "place"))
-    repeats = windows.withColumn("first", first).where(F.col("again") | (F.col("first") != F.struct("doc", "place"))).select("doc", "place")
-    cuts = level.where("again").select("doc", "place").union(repeats).groupBy("doc").agg(F.collect_list("place").alias("places"))
+
+    def parts(which) -> DataFrame:
+        own = level.where(which).groupBy("doc").agg(F.collect_list(F.struct("place", "gram")).alias("b"))
+        return border_texts(placed, own.select("doc", F.col("b.place").alias("places"), F.col("b.gram").alias("grams")), length)
+
+    few = repeats_in_task(parts(F.col("border") <= MANY), length)
+    many = repeats_by_window(parts(F.col("border") > MANY), length)
+    spans = level.where(F.col("border").isNull()).select("doc", "place").union(few).union(many)
+    cuts = spans.groupBy("doc").agg(F.collect_list("place").alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in tx.slices(batches):
