@@ -16,7 +16,8 @@ import pyarrow as pa
 #: Bytes that separate words.
 SPACES = b" \t\n\v\f\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20
+#: Just under a power of two, as the tables of powers are.
+SLICE_BYTES = (1 << 21) - (1 << 16)
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
