@@ -98,7 +98,7 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, s
     placed = written(placed.select("fp", "first", "group"), "placed")
     least = placed.groupBy("group").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "group").select("fp", "component_id")
-    return found.join(named, "fp")
+    return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
