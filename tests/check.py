@@ -49,7 +49,7 @@ def difference(spark, con, sf_dir: str, query, sql: str | None) -> tuple[str, in
         return f"columns {sorted(df.columns)} against {sorted(names)}", len(got)
     kinds = dict(zip(names, (str(c[1]) for c in result.description)))
     mine = {f.name: f.dataType.simpleString() for f in df.schema}
-    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     odd = {n: (mine[n], kinds[n]) for n in names if same.get(mine[n]) != kinds[n]}
     want = sorted_rows(names, result.fetchall())
     if got != want:
