@@ -45,7 +45,7 @@ class Settings:
     folds: int = 10
     common: int = 1 << 18
     longest: int = 64
-    rounds: tuple[float, ...] = (0.02, 0.08)
+    rounds: tuple[float, ...] = (0.03, 0.12)
     rate: float = 0.1
     pool_bytes: int = 16 << 20
     flush: int = 400_000

@@ -200,7 +200,7 @@ def test_leaks_of_odd_rows_in_blocks(spark, odd, none):
     items = [(1, long[5000:5300]), (2, long[5000:5300].upper()), (3, None), (4, ""), (5, "***"), (6, sentence(rng, 30)), (6, long[9000:9200]), (None, "one")]
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit("x"))
     got = sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(odd, bench, block_chars=300).collect()), key=repr)
-    assert got == sorted([(3, 1), (3, 2), (3, 6), (10, None), (11, None)], key=repr)
+    assert got == sorted([(3, 1), (3, 2), (3, 6), (9, None), (10, None)], key=repr)
     kept = decontaminate.clean_documents(odd, bench)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(odd, bench.limit(0)).count() == 0
@@ -249,12 +249,13 @@ def test_scores_do_not_depend_on_windows_or_streams():
 
 
 def test_base_scores_and_held_out_gain(spark):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    folder = SF_DIR.replace("0.001", "0.01")
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     words = {i: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)), "\n"] for i, t in docs}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in words}
     c = Counter(w for i, ws in words.items() if not held[i] for w in ws)
     total, whole = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
-    got = {r.doc_id: r for r in QUERIES["op6_lm_score"](spark, SF_DIR).collect()}
+    got = {r.doc_id: r for r in QUERIES["op6_lm_score"](spark, folder).collect()}
     gain = 0.0
     for i, ws in words.items():
         r = got[i]
