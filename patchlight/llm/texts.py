@@ -17,7 +17,7 @@ import pyarrow as pa
 SPACES = b" \t\n\v\f\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Just under a power of two, as the tables of powers are.
-SLICE_BYTES = (1 << 21) - (1 << 16)
+SLICE_BYTES = (1 << 20) - (1 << 15)
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
