@@ -19,7 +19,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from patchlight.operators import convolve as cv  # noqa: E402
 from patchlight.operators import random_features as rf  # noqa: E402
-from patchlight.operators import statistics  # noqa: E402
+from patchlight.layout import Shape  # noqa: E402
+from patchlight.operators import sampling, statistics  # noqa: E402
 from patchlight.plans import catalog  # noqa: E402
 from patchlight.session import spark_session, written  # noqa: E402
 from patchlight.solvers import linear, softmax, whitening  # noqa: E402
@@ -55,6 +56,18 @@ def headline(spark) -> dict:
         "ridge_sweep": lambda: linear.ridge_sweep(features, catalog.SWEEP, 10),
         "softmax_newton_5": lambda: softmax.softmax_newton(features, iterations=5, classes=10),
     }
+    # Photos of 64x64x3 and vectors of 4096, made of the stored values over and over.
+    wide = lambda times: F.flatten(F.array_repeat("pixels", times))
+    photos = written(images.select("image_id", "label", wide(192).alias("pixels")).repartition(int(CPUS)), "bench-photos")
+    vectors = written(images.select("image_id", "label", wide(64).alias("features")).repartition(int(CPUS)), "bench-vectors")
+    photo = Shape(64, 64, 3)
+    jobs |= {
+        "photos_layer": lambda: sink(cv.layer_stack(photos, [cv.Layer(photo, 5, 32, pool=4, pool_stride=4)])),
+        "photos_sample_patches": lambda: sink(sampling.sample_patches(photos, photo, 5, 1000, 1)),
+        "gram_4096": lambda: sink(statistics.moment_rows(vectors, 4096)),
+        "fastfood_4096": lambda: sink(rf.fastfood(vectors, 4096, 8192, 1)),
+        "cosine_features_4096": lambda: sink(rf.cosine_features(vectors, 4096, 8192, 1)),
+    }
     for name in ("two_layer_features", "patch_normalize", "pool_general_max", "learn_gamma", "sample_patches",
                  "augmented_accuracy", "top5_accuracy", "covariance", "featurize_fit_evaluate", "feature_text_roundtrip"):
         jobs[name] = lambda name=name: sink(catalog.QUERIES[name](spark, SF_DIR))

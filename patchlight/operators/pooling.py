@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patchlight.functions import vectors
-from patchlight.functions.batches import map_vectors
+from patchlight.functions.batches import VECTOR, from_matrix, map_vectors
 from patchlight.layout import Shape
 
 # A linear pool is a pair of matrices (rows, columns), each output x input.
@@ -109,6 +111,36 @@ def apply_sides(images: DataFrame, shape: Shape, sides: Sides) -> DataFrame:
     return map_vectors(images, "pixels", build, doubles_per_row=3 * shape.size)
 
 
+def resize_each(images: DataFrame, width: int, height: int, method: str = "bilinear") -> DataFrame:
+    """Images of mixed size, as rows with ``width``, ``height``, ``n_channels`` and ``pixels``, forced to one size.
+
+    Each row is resampled by its own sides; rows without pixels keep a null. The
+    size columns take the new size.
+    """
+    others = [c for c in images.columns if c not in ("width", "height", "n_channels", "pixels")]
+    source = images.select(*others, *(F.col(c).cast("int").alias(c) for c in ("width", "height", "n_channels")), "pixels")
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("pixels", VECTOR)])
+
+    def resize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[tuple[int, int], Sides] = {}
+        for batch in batches:
+            pixels = batch.column("pixels")
+            sizes = [batch.column(c).to_pylist() for c in ("width", "height", "n_channels")]
+            for k, (w, h, c) in enumerate(zip(*sizes, strict=True)):
+                one = batch.slice(k, 1)
+                if not pixels[k].is_valid:
+                    yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([None], pa.list_(pa.float64()))], names=schema.names)
+                    continue
+                if (w, h) not in sides:
+                    sides[w, h] = resize_sides(Shape(w, h, 1), width, height, method)
+                cube = np.asarray(pixels[k].values, dtype=np.float64).reshape(1, h, w, c)
+                made = pool_cube(cube, sides[w, h]).reshape(1, -1)
+                named = [pa.array([width], pa.int32()), pa.array([height], pa.int32()), one.column("n_channels")]
+                yield pa.RecordBatch.from_arrays([*one.columns[: len(others)], *named, from_matrix(made)], names=schema.names)
+
+    return source.mapInArrow(resize, schema)
+
+
 def mean_pool(images: DataFrame, shape: Shape, pool: int, stride: int) -> DataFrame:
     if pool == 1 and stride == 1:
         return images

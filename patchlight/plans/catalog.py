@@ -715,6 +715,12 @@ def logistic_ml(spark, sf_dir):
     return done.select("image_id", "label", "prediction")
 
 
+@query
+def log_rest_descent(spark, sf_dir):
+    model = softmax.fit_named_loss(stored_features(spark, sf_dir), "log_rest", 0.01, 5)
+    return rows(model.transform(stored_features(spark, sf_dir)), "scores", ("image_id", "label"))
+
+
 @query
 def hinge_ml(spark, sf_dir):
     table = stored_features(spark, sf_dir)

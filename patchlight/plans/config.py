@@ -105,7 +105,7 @@ class FeatureConf:
         return "features_" + hashlib.sha256(text.encode()).hexdigest()[:32]
 
 
-SOLVERS = ("ridge", "weighted_ridge", "softmax_newton", "softmax_block_newton", "softmax_descent", "log", "hinge")
+SOLVERS = ("ridge", "weighted_ridge", "softmax_newton", "softmax_block_newton", "softmax_descent", "log", "log_rest", "hinge")
 
 # Other spellings that run files use.
 SOLVER_NAMES = {

@@ -960,6 +960,31 @@ for step in range(3):
 q.add("out", "SELECT image_id, label, k, sum(v * w) AS s FROM cells JOIN w3 ON i = pos GROUP BY ALL")
 ORACLES["softmax_gd_steps"] = q.then(long("image_id, label, k AS j", "out", "s"))
 
+
+def against_rest(q: Sql, steps: int, pull: str) -> None:
+    """Descent on a loss of each class against the rest; ``pull`` is its slope at margin y * s."""
+    start(q)
+    for step in range(steps):
+        q.add(f"s{step}", f"SELECT image_id, label, k, sum(v * w) AS s FROM cells JOIN w{step} ON i = pos GROUP BY ALL")
+        sides = f"SELECT *, CAST(CASE WHEN k = label THEN 1 ELSE -1 END AS DOUBLE) AS y FROM s{step}"
+        q.add(f"c{step}", f"SELECT image_id, k, y * {pull} AS r FROM ({sides})")
+        gradient(q, f"g{step}", f"c{step}", f"w{step}", d(0.01))
+        q.add(f"w{step + 1}", f"SELECT k, i, w + {d(1.0 / (step + 1))} * b AS w FROM w{step} JOIN g{step} USING (k, i)", keep=True)
+
+
+q = Sql()
+against_rest(q, 5, "(1 / (1 + exp(y * s)))")
+q.add("out", "SELECT image_id, label, k, sum(v * w) AS s FROM cells JOIN w5 ON i = pos GROUP BY ALL")
+ORACLES["log_rest_descent"] = q.then(long("image_id, label, k AS j", "out", "s"))
+
+q = Sql()
+against_rest(q, 10, "(CASE WHEN y * s < 1 THEN 1 ELSE 0 END)")
+q.add("out", "SELECT image_id, label, k, sum(v * w) AS s FROM cells JOIN w10 ON i = pos GROUP BY ALL")
+ORACLES["hinge_ml"] = q.then(
+    "SELECT image_id, label, CAST(k AS INTEGER) AS prediction FROM"
+    " (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(s, 9) DESC, k) AS place FROM out) WHERE place = 1"
+)
+
 q = Sql()
 start(q)
 q.add("g_cells", "SELECT a.pos AS i, b.pos AS j, avg(a.v * b.v) AS g FROM cells a JOIN cells b USING (image_id) GROUP BY 1, 2")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,27 +217,57 @@ def softmax_loss(df: DataFrame, model: LinearModel, column: str = "features", la
     return at.loss / at.rows
 
 
-LOSSES = ("log", "hinge")
+LOSSES = ("log", "log_rest", "hinge")
 
 
 def fit_named_loss(
     df: DataFrame, loss: str, reg: float, iterations: int = 100, column: str = "features", label: str = "label"
 ) -> LinearModel:
-    """Linear classifier by loss name, fitted by Spark ML: "log", or "hinge" (one class against the rest).
+    """Linear classifier by loss name: "log" (all classes together, fitted by Spark ML), "log_rest" or "hinge" (each class against the rest).
 
     Only the coefficients are kept, so that scoring is one matrix product for
     all classes and drags no training state along.
     """
     if loss not in LOSSES:
         raise ValueError(f"loss {loss} is none of {LOSSES}")
-    rows = df.select(
-        array_to_vector(F.col(column).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label")
-    )
     if loss == "log":
+        rows = df.select(
+            array_to_vector(F.col(column).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label")
+        )
         model = LogisticRegression(regParam=reg, maxIter=iterations, family="multinomial").fit(rows)
         return LinearModel(model.coefficientMatrix.toArray().T.copy(), model.interceptVector.toArray())
-    learner = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=iterations), parallelism=4)
-    parts = learner.fit(rows).models
-    return LinearModel(
-        np.stack([part.coefficients.toArray() for part in parts], axis=1), np.array([part.intercept for part in parts])
-    )
+    return rest_descent(df, loss, reg, iterations, column=column, label=label)
+
+
+# How hard a row pulls at its side of a class, by its margin.
+PULLS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "hinge": lambda margin: (margin < 1.0).astype(float),
+    "log_rest": lambda margin: 1.0 / (1.0 + np.exp(np.minimum(margin, 700.0))),
+}
+
+
+def rest_descent(
+    df: DataFrame, loss: str, reg: float, iterations: int = 100, classes: int | None = None, column: str = "features", label: str = "label"
+) -> LinearModel:
+    """Steps of size 1 / (k + 1) down the mean loss of all classes against their rest, plus reg/2 |w|^2.
+
+    A step is one pass for all classes together, and nothing is kept between passes.
+    """
+    width = row_width(df, column)
+    classes = classes or class_count(df, label)
+    weights = np.zeros((classes, width))
+    for k in range(iterations):
+        handle = df.sparkSession.sparkContext.broadcast(weights)
+
+        def accumulate(data: list[np.ndarray], handle=handle) -> np.ndarray:
+            sides = class_matrix(data[1], classes, -1.0)
+            pull = sides * PULLS[loss](sides * (data[0] @ handle.value.T))
+            return np.concatenate([pull.T @ data[0], np.full((classes, 1), float(len(data[0])))], axis=1)
+
+        sums = sum_rows(df, [carried(df, column), F.col(label).cast("int")], accumulate, classes, width + 1)
+        total = collect_matrix(sums, classes, width + 1)
+        handle.unpersist()
+        if total[0, -1] == 0:
+            raise ValueError("no rows to fit")
+        weights = weights + (total[:, :-1] / total[0, -1] - reg * weights) / (k + 1)
+    return finish(weights)

@@ -130,3 +130,18 @@ def test_unknown_nonlinearity_is_an_error(spark, embeddings):
 def test_grand_totals_of_empty_tables(spark):
     assert collected(patches.extract_patches(image_table(spark, np.zeros((0, 27))), Shape(3, 3, 3), 2), "patch").size == 0
     assert np.array_equal(statistics.provisional_mean(feature_table(spark, np.zeros((0, 4))), 4), np.zeros(4))
+
+
+def test_mixed_sizes_are_forced_to_one(spark):
+    from patchlight.operators import pooling
+
+    rng = np.random.default_rng(6)
+    sizes = [(4, 3, 3), (6, 6, 1), (4, 3, 3), (1, 2, 2)]
+    images = [rng.normal(size=w * h * c) for w, h, c in sizes]
+    rows = [(k, *s, x.tolist()) for k, (s, x) in enumerate(zip(sizes, images))] + [(9, -1, -1, -1, None)]
+    table = spark.createDataFrame(rows, "image_id bigint, width int, height int, n_channels int, pixels array<double>")
+    got = {r["image_id"]: r for r in pooling.resize_each(table, 5, 2).collect()}
+    assert got[9]["pixels"] is None and len(got) == 5
+    for k, ((w, h, c), x) in enumerate(zip(sizes, images)):
+        want = pooling.pool_cube(x.reshape(1, h, w, c), pooling.resize_sides(Shape(w, h, c), 5, 2)).reshape(-1)
+        assert np.allclose(got[k]["pixels"], want) and (got[k]["width"], got[k]["height"], got[k]["n_channels"]) == (5, 2, c)
