@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from patchlight import seeded
 from patchlight.functions import vectors
-from patchlight.functions.batches import BATCH_DOUBLES, map_vectors, shared_matrix, to_matrix
+from patchlight.functions.batches import BATCH_DOUBLES, MODEL_VALUES, map_vectors, shared_matrix, to_matrix
 from patchlight.layout import Shape, pixel_rows
 from patchlight.operators import pooling
 from patchlight.operators.patches import patch_cube, patch_doubles
@@ -98,19 +98,37 @@ class Layer:
         raise ValueError(f"unknown pool kind {self.pool_kind}")
 
 
-def random_filters(layer: Layer) -> np.ndarray:
-    """filters x inputs: isotropic, or shaped by the patch covariance when whitening."""
-    draws = seeded.normals(layer.filters, layer.inputs, layer.seed)
+def random_filters(layer: Layer, low: int = 0, high: int | None = None) -> np.ndarray:
+    """Filters low..high-1 as rows of inputs: isotropic, or shaped by the patch covariance when whitening."""
+    draws = seeded.normals((layer.filters if high is None else high) - low, layer.inputs, layer.seed, first=low)
     if layer.whitener is not None:
         draws = draws @ layer.whitener.covariance_root().T
     return layer.bandwidth * draws
 
 
-def projector(layer: Layer, bank: Callable[[], np.ndarray]) -> Callable[[np.ndarray, int, int], np.ndarray]:
+def drawn_blocks(layer: Layer, most: int) -> Callable[[int, int], np.ndarray]:
+    """Filter blocks (inputs x filters) drawn in the task when they are used; up to ``most`` values are kept for the next images."""
+    kept: dict[tuple[int, int], np.ndarray] = {}
+
+    def block(low: int, high: int) -> np.ndarray:
+        made = kept.get((low, high))
+        if made is None:
+            made = np.ascontiguousarray(random_filters(layer, low, high).T)
+            if sum(b.size for b in kept.values()) + made.size <= most:
+                kept[low, high] = made
+        return made
+
+    return block
+
+
+def projector(layer: Layer, bank: Callable[[], np.ndarray] | None) -> Callable[[np.ndarray, int, int], np.ndarray]:
     """The linear map from patch rows to the responses of filters low..high-1."""
     if layer.fastfood:
         parts = fastfood_matrices(layer.inputs, layer.filters, layer.seed, layer.permute)
         return lambda rows, low, high: fastfood_rows(rows, parts.between(low, high), high - low, layer.bandwidth)
+    if bank is None:
+        blocks = drawn_blocks(layer, MODEL_VALUES // 8)
+        return lambda rows, low, high: rows @ blocks(low, high)
     across = np.ascontiguousarray(bank().T)
     return lambda rows, low, high: rows @ across[:, low:high]
 
@@ -201,7 +219,8 @@ def layer_stack(
             raise ValueError(f"layer output {before.out_shape} does not feed {after.shape}")
     banks = []
     for layer in layers:
-        if layer.fastfood:
+        if layer.fastfood or (filters is None and layer.filters * layer.inputs > MODEL_VALUES):
+            # A bank that is too large for one piece is drawn block by block inside the tasks.
             banks.append(None)
             continue
         if filters is not None and filters.shape != (layer.filters, layer.inputs):

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchlight import seeded
 from patchlight.functions import vectors
-from patchlight.functions.batches import VECTOR, carried, collect_matrix, map_vectors, sum_rows, to_matrix
+from patchlight.functions.batches import VECTOR, carried, collect_matrix, from_matrix, map_vectors, sum_rows, to_matrix
+from patchlight.layout import Shape
 from patchlight.operators.sampling import pair_members, sample_rows
 
 WEIGHT = 1.414
@@ -93,6 +98,11 @@ def pair_distances(df: DataFrame, key: str, m: int, seed: int, column: str = "fe
         .join(F.broadcast(members), "key")
         .select("draw", "right", "key", vectors.divided(F.col(column), norm).alias("u"))
     )
+    return distances_of(picked)
+
+
+def distances_of(picked: DataFrame) -> DataFrame:
+    """Rows (draw, left_key, right_key, distance) from the two members (draw, right, key, u) of each draw."""
     side = {name: F.col("right") == flag for name, flag in (("left", False), ("right", True))}
     both = picked.groupBy("draw").agg(
         *[F.max(F.when(test, F.col("key"))).alias(f"{name}_key") for name, test in side.items()],
@@ -102,9 +112,45 @@ def pair_distances(df: DataFrame, key: str, m: int, seed: int, column: str = "fe
     return both.select("draw", "left_key", "right_key", F.sqrt(vectors.sum_squares(gap)).alias("distance"))
 
 
+def patch_pair_distances(images: DataFrame, shape: Shape, patch: int, m: int, seed: int) -> DataFrame:
+    """The same for pairs of patches: both images and the place in each are drawn with replacement.
+
+    Only the draws and, of the images they hit, the drawn patches move.
+    """
+    members = pair_members(images, "image_id", m, seed)
+    across = shape.width - patch + 1
+    places = across * (shape.height - patch + 1)
+    hit = images.select(F.col("image_id").alias("key"), carried(images, "pixels").alias("pixels")).join(F.broadcast(members), "key")
+    schema = "draw bigint, right boolean, key bigint, u array<double>"
+    dx, dy = np.arange(patch), np.arange(patch)[:, None]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            draw, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("draw", "right"))
+            drawn = [seeded.mixed(draw, np.int64(2), seed, stream) for stream in (seeded.PICK_LEFT, seeded.PICK_RIGHT)]
+            place = np.where(right, drawn[1], drawn[0]) % places
+            x0, y0 = (place % across)[:, None, None], (place // across)[:, None, None]
+            cube = to_matrix(batch.column("pixels")).reshape(-1, shape.height, shape.width, shape.channels)
+            rows = cube[np.arange(len(cube))[:, None, None], y0 + dy, x0 + dx].reshape(len(cube), -1)
+            rows /= np.maximum(np.linalg.norm(rows, axis=1), SMALLEST_NORM)[:, None]
+            arrays = [batch.column("draw"), batch.column("right"), batch.column("key").cast(pa.int64()), from_matrix(rows)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["draw", "right", "key", "u"])
+
+    return distances_of(hit.select("draw", "right", "key", "pixels").mapInArrow(cut, schema))
+
+
+def learn_gamma_patches(images: DataFrame, shape: Shape, patch: int, m: int = 3000, seed: int = 0, weight: float = WEIGHT) -> DataFrame:
+    """One row (median_distance, gamma) from pairs of patches."""
+    return gamma_of(patch_pair_distances(images, shape, patch, m, seed), weight)
+
+
 def learn_gamma(df: DataFrame, key: str, m: int = 3000, seed: int = 0, column: str = "features", weight: float = WEIGHT) -> DataFrame:
     """One row (median_distance, gamma) with gamma = 1 / (median / weight)^2."""
-    median = pair_distances(df, key, m, seed, column).agg(
-        F.percentile("distance", F.lit(0.5)).alias("median_distance")
-    )
+    return gamma_of(pair_distances(df, key, m, seed, column), weight)
+
+
+def gamma_of(distances: DataFrame, weight: float) -> DataFrame:
+    median = distances.agg(F.percentile("distance", F.lit(0.5)).alias("median_distance"))
     return median.withColumn("gamma", 1.0 / F.pow(F.col("median_distance") / F.lit(weight), F.lit(2.0)))

@@ -171,24 +171,53 @@ REDUCERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+# The same on the last axis of a block.
+BLOCK_REDUCERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "mean": lambda v: v.mean(axis=-1),
+    "max": lambda v: v.max(axis=-1),
+    "min": lambda v: v.min(axis=-1),
+    "sum": lambda v: v.sum(axis=-1),
+    "l2": lambda v: np.sqrt((v * v).sum(axis=-1)),
+}
+
+
+def window_reducer(shape: Shape, pool: int, stride: int, first: int, start: int, reducer: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Windows from ``first`` on, one for each centre start, start + stride, ... inside the image, filled up with zeros."""
+    reduce = BLOCK_REDUCERS[reducer]
+    nx, ny = (len(range(start, side, stride)) for side in (shape.width, shape.height))
+    after = [max(0, first + (n - 1) * stride + pool - side) for n, side in ((ny, shape.height), (nx, shape.width))]
+
+    def apply(pixels: np.ndarray) -> np.ndarray:
+        cube = np.pad(pixels.reshape(-1, shape.height, shape.width, shape.channels), ((0, 0), (0, after[0]), (0, after[1]), (0, 0)))
+        views = np.lib.stride_tricks.sliding_window_view(cube, (pool, pool), axis=(1, 2))[:, first::stride, first::stride][:, :ny, :nx]
+        return reduce(views.reshape(*views.shape[:4], pool * pool)).reshape(len(pixels), -1)
+
+    return apply
+
+
 def general_pool(
     images: DataFrame,
     shape: Shape,
     pool: int,
     stride: int,
     reducer: str | Callable[[Column], Column] = "mean",
-    pixel: Callable[[Column], Column] = lambda v: v,
+    pixel: Callable[[Column], Column] | None = None,
     start: int | None = None,
     centred: bool = True,
 ) -> DataFrame:
     """Pool with any pixel function and any reducer of the pool*pool values.
 
     Both functions map columns to columns. Cells of a window that fall outside
-    the image enter the reducer as zeros. Row-local: no shuffle.
+    the image enter the reducer as zeros. Row-local: no shuffle. A named reducer
+    without a pixel function runs on whole blocks of images; the user's own
+    functions are column expressions.
     """
-    reduce = REDUCERS[reducer] if isinstance(reducer, str) else reducer
     start = (pool // 2 if centred else 0) if start is None else start
     half = pool // 2 if centred else 0
+    if isinstance(reducer, str) and pixel is None and start >= half:
+        return map_vectors(images, "pixels", lambda: window_reducer(shape, pool, stride, start - half, start, reducer), doubles_per_row=(2 + pool * pool) * shape.size)
+    reduce = REDUCERS[reducer] if isinstance(reducer, str) else reducer
+    pixel = pixel or (lambda v: v)
     nx = len(range(start, shape.width, stride))
     ny = len(range(start, shape.height, stride))
     channels = shape.channels

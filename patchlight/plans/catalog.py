@@ -662,6 +662,12 @@ def dual_coefficients(spark, sf_dir):
     return rows(linear.dual_coefficients(table, model, LAMBDA), "alpha")
 
 
+@query
+def learn_gamma_patches(spark, sf_dir):
+    gamma = kernels.learn_gamma_patches(stored_images(spark, sf_dir), FLAT, 5, PAIRS, SEED)
+    return gamma.select(shown(F.col("median_distance")).alias("median_distance"), shown(F.col("gamma")).alias("gamma"))
+
+
 @query
 def dual_scores(spark, sf_dir):
     table = stored_features(spark, sf_dir)

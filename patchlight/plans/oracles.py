@@ -622,6 +622,30 @@ pairs(q, 3000)
 q.add("median", "SELECT quantile_cont(distance, 0.5) AS m FROM pairs")
 ORACLES["learn_gamma"] = q.then(f"SELECT {shown('m')} AS median_distance, {shown(f'1 / pow(m / {d(1.414)}, 2)')} AS gamma FROM median")
 
+q = Sql()
+q.image("im", 8, 8, 1)
+q.patches("p", "im", 8, 8, 1, 5)
+q.add("ids", "SELECT vec_id AS image_id FROM embeddings")
+q.order("ordered", "ids", "image_id", "0")
+q.add("numbered", "SELECT image_id, row_number() OVER (ORDER BY h, image_id) - 1 AS number FROM ordered")
+q.add("picks", "SELECT f, px FROM range(3000) a(f), range(3) b(px)")
+q.draws("pick_draw", "picks", SEED, {"l": 10, "r": 11})
+number = "sum(CASE px WHEN 0 THEN {0} * {1} WHEN 1 THEN {0} ELSE 0 END) % (SELECT count(*) FROM embeddings)"
+q.add(
+    "drawn",
+    f"SELECT f AS draw, {number.format('l', P)} AS ln, {number.format('r', P)} AS rn, sum(CASE px WHEN 2 THEN l ELSE 0 END) % 16 AS lp,"
+    " sum(CASE px WHEN 2 THEN r ELSE 0 END) % 16 AS rp FROM pick_draw GROUP BY f",
+)
+q.add("norms", "SELECT image_id, ox, oy, greatest(sqrt(sum(v * v)), CAST(1e-16 AS DOUBLE)) AS n FROM p GROUP BY ALL")
+q.add("unit", "SELECT number, ox + oy * 4 AS place, px, v / n AS v FROM p JOIN norms USING (image_id, ox, oy) JOIN numbered USING (image_id)")
+q.add(
+    "pairs",
+    "SELECT draw, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS distance FROM drawn JOIN unit a ON a.number = ln AND a.place = lp"
+    " JOIN unit b ON b.number = rn AND b.place = rp AND b.px = a.px GROUP BY draw",
+)
+q.add("median", "SELECT quantile_cont(distance, 0.5) AS m FROM pairs")
+ORACLES["learn_gamma_patches"] = q.then(f"SELECT {shown('m')} AS median_distance, {shown(f'1 / pow(m / {d(1.414)}, 2)')} AS gamma FROM median")
+
 # ---- sums and moments
 
 q = Sql()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, replace
@@ -10,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlight.operators import evaluation
+from patchlight.operators import evaluation, kernels
 from patchlight.operators.convolve import Layer, layer_stack, sampled_filters
 from patchlight.plans.config import FeatureConf, SolveConf
 from patchlight.session import path_exists
@@ -91,6 +92,14 @@ def evaluate(features: DataFrame, model: linear.LinearModel, top_k: int = 5) ->
     return metrics
 
 
+def with_bandwidth(train: DataFrame, conf: FeatureConf, draws: int = 3000) -> FeatureConf:
+    """The settings with a bandwidth for the first layer learnt from pairs of its patches, if they name none."""
+    if conf.bandwidth:
+        return conf
+    gamma = kernels.learn_gamma_patches(train, conf.shape, conf.patch_sizes[0], draws, conf.seed).first()["gamma"]
+    return replace(conf, bandwidth=(math.sqrt(2.0 * gamma),))
+
+
 def stored_whitener(train: DataFrame, conf: FeatureConf, folder: str, load: bool = True) -> Whitener | None:
     """The whitener of these settings from the folder; fitted and written there if it is missing or not to be loaded."""
     if not conf.whitens:
@@ -130,6 +139,7 @@ def run(
     """
     spark = train.sparkSession
     started = time.time()
+    features = with_bandwidth(train, features)
     if folder is None and (layers or load_whitener):
         raise ValueError("stored layers and whiteners need a folder")
     if folder:

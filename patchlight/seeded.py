@@ -63,9 +63,10 @@ def grid(rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(rows, dtype=np.int64)[:, None], np.arange(columns, dtype=np.int64)[None, :]
 
 
-def normals(rows: int, columns: int, seed: int, streams: tuple[int, int] = (NORMAL_A, NORMAL_B)) -> np.ndarray:
-    """Matrix of standard normal draws."""
+def normals(rows: int, columns: int, seed: int, streams: tuple[int, int] = (NORMAL_A, NORMAL_B), first: int = 0) -> np.ndarray:
+    """Matrix of standard normal draws: the rows from ``first`` on."""
     f, px = grid(rows, columns)
+    f = f + first
     u = unit(mixed(f, px, seed, streams[0]))
     v = unit(mixed(f, px, seed, streams[1]))
     return np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * v)

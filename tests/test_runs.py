@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from patchlight.layout import Shape, as_images
 from patchlight.operators import convolve as cv
-from patchlight.operators import joins, statistics
+from patchlight.operators import joins, kernels, statistics
 from patchlight.plans import catalog, runs
 from patchlight.plans.config import FeatureConf, SolveConf, from_mapping, run_options
 from patchlight.session import fresh_path, written
@@ -52,6 +52,14 @@ def test_two_layer_whitened_run_with_stored_features(spark):
     assert first["test"] == again["test"] and first["test"]["accuracy"] > 0.8
 
 
+def test_bandwidth_is_learnt_from_patches_when_none_is_given(spark):
+    train = digits(spark, 80, 1)
+    learnt = runs.with_bandwidth(train, replace(CONF, bandwidth=()), 500)
+    gamma = kernels.learn_gamma_patches(train, CONF.shape, 5, 500, CONF.seed).first()
+    assert learnt.bandwidth == ((2 * gamma["gamma"]) ** 0.5,) and 0.1 < gamma["median_distance"] < 2.0
+    assert runs.with_bandwidth(train, CONF) is CONF
+
+
 def test_restart_from_a_stored_layer(spark):
     conf = FeatureConf(dataset="t", patch_sizes=(3, 2), filters=(6, 8), bandwidth=(1.0, 1.0), conv_stride=(1, 1), pool=(2, 1), pool_stride=(2, 1))
     table = digits(spark, 30, 1)

@@ -145,3 +145,21 @@ def test_mixed_sizes_are_forced_to_one(spark):
     for k, ((w, h, c), x) in enumerate(zip(sizes, images)):
         want = pooling.pool_cube(x.reshape(1, h, w, c), pooling.resize_sides(Shape(w, h, c), 5, 2)).reshape(-1)
         assert np.allclose(got[k]["pixels"], want) and (got[k]["width"], got[k]["height"], got[k]["n_channels"]) == (5, 2, c)
+
+
+def test_banks_of_any_size_are_drawn_in_blocks(spark, embeddings, monkeypatch):
+    from patchlight.layout import as_images
+    from patchlight.operators import convolve as cv
+
+    table = as_images(embeddings.limit(20), "vec_id", "embedding")
+    layer = cv.Layer(Shape(8, 8, 1), 5, 200, seed=3)
+    want = collected(cv.layer_stack(table, [layer]), "features")
+    monkeypatch.setattr(cv, "MODEL_VALUES", 1000)
+    monkeypatch.setattr(cv, "BATCH_DOUBLES", 4000)
+    assert np.allclose(collected(cv.layer_stack(table, [layer]), "features"), want, atol=1e-12)
+    monkeypatch.undo()
+    huge = cv.Layer(Shape(1, 1, 32_768), 1, 16_384, seed=3)
+    assert huge.filters * huge.inputs > cv.MODEL_VALUES
+    cv.layer_stack(image_table(spark, np.zeros((1, 32_768))), [huge])
+    small = cv.Layer(Shape(1, 1, 32_768), 1, 8, seed=3)
+    assert np.array_equal(cv.random_filters(huge, 2, 5), cv.random_filters(small)[2:5])
