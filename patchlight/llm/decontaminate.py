@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from patchlight.llm import texts as tx
 from patchlight.llm.registry import query, table
 
-Q = 12
-EDIT_RATE = 0.05
+Q = 10
+EDIT_RATE = 0.08
 #: Characters of items that travel to the tasks at once.
 BLOCK_CHARS = 4_000_000
 FILTER_BITS = 22
