@@ -163,7 +163,8 @@ def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     cut = written(removals(docs, settings), "cuts")
     cut = cut.select(F.col("key.doc_id").alias("cut_id"), F.col("key.hash").alias("cut_hash"), "places", "earlier")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("cut_id"), F.xxhash64("text").alias("cut_hash"))
-    joined = rows.join(cut, ["cut_id", "cut_hash"], "left")
+    # Texts are shuffled at any size: a broadcast while the cuts are few would only hide what the join costs later.
+    joined = rows.join(cut.hint("merge"), ["cut_id", "cut_hash"], "left")
     return joined.select("row", "places", "earlier", without_lines(F.col("row.text"), F.col("places")).alias("new_text"))
 
 
