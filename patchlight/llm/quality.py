@@ -41,7 +41,7 @@ _FAMILIES = tx.mixed(np.arange(1, 10, dtype=np.uint64))
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds and settings of the fit: sampled rows, longest sampled text in words, steps, least documents and z
+    """Bounds and settings of the fit: sampled rows, longest sampled text in words (and 40 bytes for each), steps, least documents and z
     of a feature, features kept (those with the highest z)."""
 
     rows: int = 3000
@@ -314,7 +314,9 @@ def fit_judges(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> dict[str
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     # At most fit.rows rows, whatever the tables hold.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.rows)
-    rows = docs.select("doc_id", "text").where(F.regexp_count("text", F.lit(tx.WORD_PATTERN)) <= fit.longest)
+    # Words may be of any length, so the sampled texts are bounded in bytes as well.
+    short = (F.octet_length("text") <= 40 * fit.longest) & (F.regexp_count("text", F.lit(tx.WORD_PATTERN)) <= fit.longest)
+    rows = docs.select("doc_id", "text").where(short)
     rows = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(fit.rows).toArrow()
     texts = tx.encoded(rows.column("text").combine_chunks()) if rows.num_rows else []
     quality, toxic = (rows.column(c).to_numpy() for c in ("quality", "toxic"))
