@@ -31,7 +31,7 @@ def cells_of(counted: DataFrame, dims: list[str]) -> DataFrame:
     return counted.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).where("tokens > 0")
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 20, tolerance: float = 1e-9) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 20, tolerance: float = 1e-12) -> DataFrame:
     """Iterative proportional fitting of ``tokens`` to the targets.
 
     ``targets[dim]`` has (dim, share): positive shares of each category, scaled to
