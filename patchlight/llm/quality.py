@@ -44,12 +44,12 @@ class Fit:
     """Bounds and settings of the fit: sampled rows, longest sampled text in words (and 40 bytes for each), steps, least documents and z
     of a feature, features kept (those with the highest z)."""
 
-    rows: int = 3000
+    rows: int = 2000
     longest: int = 3000
     steps: int = 120
     least_docs: int = 4
     least_z: float = 3.3
-    most_features: int = 1024
+    most_features: int = 512
     rate: float = 0.3
     shrink: float = 1e-4
     held_out: int = 4
@@ -329,7 +329,7 @@ class Rules:
     """Fixed thresholds on the probabilities."""
 
     least_good: float = 0.5
-    most_toxic: float = 0.4
+    most_toxic: float = 0.3
 
 
 def verdicts(texts: list[bytes | None], judges: dict[str, Judge | None], rules: Rules) -> dict[str, np.ndarray]:
