@@ -30,6 +30,7 @@ SYMBOLS = b"#*$%&|<>"
 SHORTEST = 20
 REPEATED_PERCENT = 30
 GRAM = 8
+BLOCK_WINDOWS = 1 << 12
 
 _IS_SYMBOL = np.zeros(256, np.int64)
 _IS_SYMBOL[list(SYMBOLS)] = 1
@@ -44,12 +45,12 @@ class Fit:
     """Bounds and settings of the fit: sampled rows, longest sampled text in words (and 40 bytes for each), steps, least documents and z
     of a feature, features kept (those with the highest z)."""
 
-    rows: int = 2000
+    rows: int = 3000
     longest: int = 3000
     steps: int = 120
     least_docs: int = 4
     least_z: float = 3.3
-    most_features: int = 512
+    most_features: int = 1024
     rate: float = 0.3
     shrink: float = 1e-4
     held_out: int = 4
@@ -185,7 +186,7 @@ def base_failed(found: dict[str, np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Sample:
-    """Labelled texts as windows with the features that tell the labels apart."""
+    """Labelled texts as windows with the features that tell the labels apart; ``feature`` holds places in ``names``, by rising window."""
 
     count: int
     labels: np.ndarray
@@ -193,11 +194,19 @@ class Sample:
     text_of: np.ndarray
     window: np.ndarray
     feature: np.ndarray
+    names: np.ndarray
 
 
-def chunks(texts: list[bytes | None], size: int = 50) -> Iterator[tuple[int, Windows]]:
-    for start in range(0, len(texts), size):
-        yield start, windows_of(texts[start : start + size])
+def chunks(texts: list[bytes | None], size: int = 50, most_bytes: int = 1 << 18) -> Iterator[tuple[int, Windows]]:
+    """Windows of at most ``size`` texts and ``most_bytes`` bytes, or one text, with the number of the first."""
+    start, held = 0, 0
+    for at, text in enumerate(texts):
+        if at > start and (at - start == size or held + len(text or b"") > most_bytes):
+            yield start, windows_of(texts[start:at])
+            start, held = at, 0
+        held += len(text or b"")
+    if start < len(texts):
+        yield start, windows_of(texts[start:])
 
 
 def samples(texts: list[bytes | None], labels: dict[str, np.ndarray], one_sided: set[str], fit: Fit) -> dict[str, Sample]:
@@ -224,21 +233,27 @@ def samples(texts: list[bytes | None], labels: dict[str, np.ndarray], one_sided:
         z = (seen[name][1] / n[1] - seen[name][0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
         z = np.where(seen[name].sum(0) >= fit.least_docs, z if name in one_sided else np.abs(z), 0.0)
         held[name] = z >= max(fit.least_z, np.sort(z)[-fit.most_features])
+    names = {name: np.flatnonzero(some) for name, some in held.items()}
+    place = {name: (np.cumsum(some) - 1).astype(np.min_scalar_type(max(len(names[name]) - 1, 0))) for name, some in held.items()}
     parts = {name: [] for name in labels}
     text_of, windows = [], 0
     for start, spans in chunks(texts):
         window, feature = spans.features()
         for name in labels:
             keep = held[name][feature]
-            parts[name].append(((window[keep] + windows).astype(np.int32), feature[keep]))
+            mine, found = window[keep], place[name][feature[keep]]
+            # Chunks come in order of their windows, so each is sorted by itself.
+            order = np.argsort(mine, kind="stable")
+            parts[name].append(((mine[order] + windows).astype(np.int32), found[order]))
         text_of.append(spans.text_of + start)
         windows += len(spans.text_of)
     text_of = np.concatenate([*text_of, np.empty(0, np.int64)]).astype(np.int64)
     out = {}
     for name, values in labels.items():
-        window, feature = (np.concatenate([*x, np.empty(0, np.int32)]) for x in (list(zip(*parts[name], strict=True)) or ((), ())))
-        order = np.argsort(window, kind="stable")
-        out[name] = Sample(len(texts), values, learn, text_of, window[order], feature[order])
+        mine = parts.pop(name)
+        window = np.concatenate([np.empty(0, np.int32), *(w for w, _ in mine)])
+        feature = np.concatenate([np.empty(0, place[name].dtype), *(f for _, f in mine)])
+        out[name] = Sample(len(texts), values, learn, text_of, window, feature, names[name])
     return out
 
 
@@ -251,17 +266,27 @@ def fit_judge(sample: Sample, how: str, fit: Fit) -> Judge | None:
     labels, text_of, window, count = sample.labels, sample.text_of, sample.window, sample.count
     if len(set(labels.tolist())) < 2:
         return None
-    names, feature = np.unique(sample.feature, return_inverse=True)
+    names, feature = sample.names, sample.feature
     target = labels[text_of].astype(float)
     learn = sample.learn[text_of]
-    bounds = np.searchsorted(window, np.arange(len(text_of)))
-    empty = np.diff(np.append(bounds, len(window))) == 0
+    bounds = np.searchsorted(window, np.arange(len(text_of) + 1).astype(window.dtype))
+    # Steps work on some windows at a time, so nothing as long as all features is made beside them.
+    blocks = [(at, min(at + BLOCK_WINDOWS, len(text_of))) for at in range(0, len(text_of), BLOCK_WINDOWS)]
 
     def logits(weights: np.ndarray, bias: float) -> np.ndarray:
-        if not len(window):
-            return np.full(len(text_of), bias)
-        values = np.append(weights[feature], 0.0)
-        return np.where(empty, 0.0, np.add.reduceat(values, np.minimum(bounds, len(window)))) + bias
+        out = np.zeros(len(text_of))
+        for a, b in blocks:
+            values = np.append(weights[feature[bounds[a] : bounds[b]]], 0.0)
+            at = bounds[a:b] - bounds[a]
+            out[a:b] = np.where(bounds[a:b] == bounds[a + 1 : b + 1], 0.0, np.add.reduceat(values, at))
+        return out + bias
+
+    def slopes(gap: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(names))
+        for a, b in blocks:
+            here = slice(bounds[a], bounds[b])
+            out += np.bincount(feature[here], gap[window[here]], len(names))
+        return out
 
     weights, bias = np.zeros(len(names)), 0.0
     squares, bias_square = np.full(len(names), 1e-6), 1e-6
@@ -277,7 +302,7 @@ def fit_judge(sample: Sample, how: str, fit: Fit) -> Judge | None:
         for label in (0.0, 1.0):
             mine = target == label
             gap[mine] *= share[mine] / max((share * used)[mine].sum(), 1e-9)
-        slope = np.bincount(feature, gap[window], len(names)) + fit.shrink * weights
+        slope = slopes(gap) + fit.shrink * weights
         squares += slope**2
         weights -= fit.rate * slope / np.sqrt(squares)
         if how == "max":
@@ -320,6 +345,7 @@ def fit_judges(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> dict[str
     rows = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(fit.rows).toArrow()
     texts = tx.encoded(rows.column("text").combine_chunks()) if rows.num_rows else []
     quality, toxic = (rows.column(c).to_numpy() for c in ("quality", "toxic"))
+    del rows
     found = samples(texts, {"good": (quality == 1).astype(np.int64), "toxic": (toxic == 1).astype(np.int64)}, {"toxic"}, fit)
     return {"good": fit_judge(found["good"], "mean", fit), "toxic": fit_judge(found["toxic"], "max", fit)}
 
@@ -329,7 +355,7 @@ class Rules:
     """Fixed thresholds on the probabilities."""
 
     least_good: float = 0.5
-    most_toxic: float = 0.3
+    most_toxic: float = 0.4
 
 
 def verdicts(texts: list[bytes | None], judges: dict[str, Judge | None], rules: Rules) -> dict[str, np.ndarray]:

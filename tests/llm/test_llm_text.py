@@ -302,10 +302,21 @@ def test_judges_on_held_out_rows(spark):
     learn, hold = labels.where("doc_id % 3 > 0"), labels.where("doc_id % 3 = 0")
     rows = quality.judged(docs.join(hold, "doc_id", "left_semi"), quality.fit_judges(docs, learn)).join(hold, "doc_id").where("not base_failed").collect()
     good = [r.good_probability >= 0.5 for r in rows if r.quality == 1], [r.good_probability >= 0.5 for r in rows if r.quality == 0]
-    toxic = [r.toxic_probability >= 0.3 for r in rows if r.toxic == 1], [r.toxic_probability >= 0.3 for r in rows if r.toxic == 0]
+    toxic = [r.toxic_probability >= 0.4 for r in rows if r.toxic == 1], [r.toxic_probability >= 0.4 for r in rows if r.toxic == 0]
     assert np.mean(good[0]) > 0.99 and np.mean(good[1]) < 0.05 and np.mean(toxic[0]) > 0.9 and np.mean(toxic[1]) < 0.01
 
 
+def test_fit_is_whole_and_holds_little_at_a_time():
+    fit = quality.Fit()
+    assert (fit.rows, fit.most_features, quality.Rules().most_toxic) == (3000, 1024, 0.4)
+    texts = [b"word " * 20000] * 6 + [None, b""] + [b"a b"] * 120
+    parts = list(quality.chunks(texts))
+    starts = [a for a, _ in parts] + [len(texts)]
+    assert starts[0] == 0 and all(a < b for a, b in zip(starts, starts[1:]))
+    assert all(b - a == 1 or sum(len(t or b"") for t in texts[a:b]) <= 1 << 18 for a, b in zip(starts, starts[1:]))
+    assert [len(w.text_of) for _, w in parts[:2]] == [2 * -(-20000 // quality.WINDOW)] * 2
+
+
 def test_fit_without_or_with_one_sided_labels(spark, odd):
     kind = "doc_id bigint, quality int, toxic int"
     assert set(quality.fit_judges(odd, spark.createDataFrame([], kind)).values()) == {None}
