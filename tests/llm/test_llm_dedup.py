@@ -196,6 +196,46 @@ def test_paragraph_groups_of_many_near_copies(spark, odd, none):
     assert {5, 6} <= ids and not ids & {0, 1, 2, 3, 9, 10}
 
 
+def similar_later(docs):
+    """Ids that are not the least of their group, by all pairs of whole texts with a five-word Jaccard of 0.8."""
+    found, sets, least = [], Sets(), {}
+    for i, t in docs:
+        words = WORD.findall(low(t))
+        found.append((i, frozenset(tuple(words[j : j + 5]) for j in range(max(len(words) - 4, 1)))))
+    for n, (_, s) in enumerate(found):
+        sets.root(n)
+        for m in range(n):
+            common = len(s & found[m][1])
+            if common >= 0.8 * (len(s) + len(found[m][1]) - common):
+                sets.join(n, m)
+    for n, (i, _) in enumerate(found):
+        least[sets.root(n)] = min(least.get(sets.root(n), i), i)
+    return {i for n, (i, _) in enumerate(found) if least[sets.root(n)] != i}
+
+
+def test_near_dedup_stage_reaches_similarity(spark, odd, none):
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(12):
+        words = sentence(rng, 150).split()
+        for n in range(4):
+            near = list(words)
+            for j in range(n):
+                near[10 + 40 * j] = f"edit{k}{n}{j}"
+            rows.append((100 * n + k, "\n".join(" ".join(near[a : a + 30]) for a in range(0, 150, 30)), "en", "s"))
+    rows += [(900 + k, sentence(rng, k), "en", "s") for k in range(1, 8)] + [(950, "alpha beta", "en", "s"), (951, "alpha  Beta", "en", "s"), (952, "alpha", "en", "s")]
+    gone = similar_later([r[:2] for r in rows])
+    assert len(gone) > 30
+    kept = cp.near_dedup(spark, documents(spark, rows), SF_DIR).collect()
+    assert {r.doc_id for r in kept} == {r[0] for r in rows} - gone
+    docs = [(r.doc_id, r.text) for r in odd.collect()]
+    kept = cp.near_dedup(spark, odd, SF_DIR)
+    assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == {i for i, _ in docs if i is not None} - similar_later([d for d in docs if d[0] is not None])
+    assert kept.where("doc_id is null").count() == 3 and cp.near_dedup(spark, none, SF_DIR).count() == 0
+
+
 def test_bands_are_tuned_for_recall():
     for threshold in (0.6, 0.8, 0.9):
         bands, rows = paragraphs.tune(threshold, 0.9995)
