@@ -9,8 +9,8 @@ the known words leave, so probabilities add up to one over all words.
 
 Training is distributed: every task learns from its own documents, starting from
 the same weights, and the weights are averaged by the words they have seen; each
-round takes another part of the documents by a hash of their key. The parts are
-shares, so what is learnt from grows with the input.
+round takes another part of the documents by a hash of their key, and the rounds
+together take all of them.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class Settings:
     folds: int = 10
     common: int = 1 << 18
     longest: int = 64
-    rounds: tuple[float, ...] = (0.02, 0.08)
+    rounds: tuple[float, ...] = (0.02, 0.08, 0.9)
     rate: float = 0.1
     pool_bytes: int = 16 << 20
     flush: int = 400_000

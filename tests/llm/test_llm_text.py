@@ -265,6 +265,20 @@ def test_base_scores_and_held_out_gain(spark):
     assert gain > 0
 
 
+def test_rounds_learn_from_all_training_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "a b c") for k in range(400)], "doc_id bigint, text string")
+    settings = lmscore.Settings(shape=gru.Shape(2, 4, 4, 4))
+    lex = lmscore.lexicon(lmscore.word_counts(docs, settings), settings)
+    seen = []
+    # The last value is the number of words learnt from, summed over the tasks.
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: [seen.append(r) or r for r in collect(self)])
+    lmscore.trained(docs, lex, settings)
+    size = sum(v.size for v in lmscore.first_weights(lex, settings.shape).values())
+    total = sum(r["row"][size - r["i"]] for r in seen if r["i"] <= size < r["i"] + len(r["row"]))
+    assert total == lex.total == 4 * sum(lmscore.fold(k, 10) > 0 for k in range(400))
+
+
 def test_rare_words_meet_their_counts_and_odd_rows_are_scored(spark, odd, none):
     small = lmscore.Settings(common=5, rounds=(0.5,), shape=gru.Shape(2, 4, 4, 4))
     wide = lmscore.Settings(rounds=(0.5,))
