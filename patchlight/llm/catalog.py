@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from patchlight.llm import chat, decontaminate, licenses, linededup, lmscore, mixing, paragraphs, quality, simhash, substrings  # noqa: F401
+from patchlight.llm import (  # noqa: F401
+    chat, decontaminate, licenses, linededup, lmscore, mixing, paragraphs, periodic, quality, simhash, substrings,
+)
 from patchlight.llm.registry import ORACLES, QUERIES
 
 if corpus_pipeline.ORACLE_SQL:
