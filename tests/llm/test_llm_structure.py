@@ -7,8 +7,9 @@ import zlib
 import numpy as np
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 
-from patchlight.llm import periodic
+from patchlight.llm import fingerprints, periodic
 from patchlight.llm.catalog import QUERIES
 
 from .conftest import documents, odd_rows, sentence
@@ -98,3 +99,77 @@ def test_periodic_runs_of_odd_rows(spark, odd, none):
         gone = {i for s, length, q in runs for i in range(s + q, s + length)}
         want.append((repr(doc_id), len(words), runs, b" ".join(w for i, w in enumerate(words) if i not in gone).decode()))
     assert got == sorted(want)
+
+
+# Fingerprints
+
+
+def plain_sketch(text, shingle=5, share=0.25):
+    words = (text or "").encode().split()
+    if not words:
+        return []
+    found = {hashlib.md5(b" ".join(words[i : i + shingle])).hexdigest() for i in range(max(1, len(words) - shingle + 1))}
+    return sorted({h[:16] for h in found if int(h[0], 16) < 16 * share} or {min(found)[:16]})
+
+
+def plain_likeness(a, b):
+    return len({*a} & {*b}) / len({*a} | {*b}) if a or b else 1.0
+
+
+def test_fingerprints_of_odd_rows_in_small_ranges(spark, odd, none):
+    assert fingerprints.with_edited(none).count() == 0
+    rng = random.Random(5)
+    rows = odd_rows() + [(7, sentence(rng, rng.randrange(30)), None, None) for _ in range(120)] + [(None, sentence(rng, 3), None, None) for _ in range(60)]
+    docs = documents(spark, rows, clashes=True)
+    tie = {r.text or "": r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]), reverse=True)
+    want = []
+    for (doc_id, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        k = len(text) // 3
+        want.append((repr(doc_id), text, len(text), plain_sketch(text), text[: len(text) - k] + after[:k], plain_sketch(after)))
+    for bucket in (7, 1000):
+        got = [(repr(r.doc_id), *r[1:]) for r in fingerprints.with_edited(docs, bucket).collect()]
+        assert sorted(got) == sorted(want)
+    alone = fingerprints.with_edited(documents(spark, [(1, "abcdef", None, None)])).collect()
+    assert [r.edited for r in alone] == ["abcdab"]
+
+
+def test_ranges_hold_their_share_of_a_key_with_a_third_of_all_rows(spark):
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"))
+    plan = fingerprints.with_edited(hot, 100)
+    sizes = plan.select("doc_id", F.spark_partition_id().alias("p")).count()
+    assert sizes == 3000
+    explained = plan._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in explained and "CartesianProduct" not in explained
+
+
+def test_sketches_merge_and_tell_containment_of_unequal_texts(spark):
+    rng = random.Random(6)
+    long, other = sentence(rng, 4000), sentence(rng, 60)
+    part = " ".join(long.split()[1000:1200])
+    row = spark.createDataFrame([(long, part, other)], "long string, part string, other string").select(
+        *[fingerprints.sketch(F.col(c)).alias(c) for c in ("long", "part", "other")]
+    )
+    got = row.select(
+        fingerprints.containment(F.col("part"), F.col("long")).alias("inside"), fingerprints.containment(F.col("other"), F.col("long")).alias("outside"),
+        fingerprints.likeness(F.col("part"), F.col("long")).alias("like"), fingerprints.merged(F.col("part"), F.col("other")).alias("both"),
+    ).first()
+    assert got.inside == 1.0 and got.outside < 0.2 and got.like < 0.1
+    assert got.both == sorted({*plain_sketch(part), *plain_sketch(other)})
+    tiny = spark.createDataFrame([("a b", "c d")], "x string, y string").select(*[fingerprints.sketch(F.col(c)).alias(c) for c in "xy"])
+    merged = tiny.select(fingerprints.merged(F.col("x"), F.col("y"))).first()[0]
+    both = sorted(plain_sketch("a b") + plain_sketch("c d"))
+    assert merged == ([h for h in both if h < "4"] or both[:1])
+    with pytest.raises(ValueError):
+        fingerprints.sketch(F.col("x"), share=0.01)
+
+
+def test_likeness_of_edited_documents(spark):
+    rows = QUERIES["op12_document_fingerprints"](spark, SF_DIR).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    long = [r for r in rows if len(docs[r.doc_id].split()) >= 60]
+    assert all(r.near_edited > r.near_next for r in long) and np.mean([r.near_next for r in long]) < 0.05
+    assert abs(np.mean([r.near_edited for r in long]) - 0.5) < 0.06
+    same = {}
+    for r in rows:
+        assert same.setdefault(docs[r.doc_id], r.fingerprint) == r.fingerprint
