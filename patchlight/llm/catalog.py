@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from patchlight.llm import (  # noqa: F401
-    chat, decontaminate, fingerprints, licenses, linededup, lmscore, mixing, paragraphs, periodic, quality, simhash, substrings,
+    chat, decontaminate, fingerprints, licenses, linededup, lmscore, mixing, paragraphs, periodic, quality, repair, simhash, substrings,
 )
 from patchlight.llm.registry import ORACLES, QUERIES
 

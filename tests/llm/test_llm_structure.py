@@ -9,8 +9,9 @@ import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
-from patchlight.llm import fingerprints, periodic
+from patchlight.llm import fingerprints, periodic, repair
 from patchlight.llm.catalog import QUERIES
+from patchlight.session import written
 
 from .conftest import documents, odd_rows, sentence
 
@@ -173,3 +174,120 @@ def test_likeness_of_edited_documents(spark):
     same = {}
     for r in rows:
         assert same.setdefault(docs[r.doc_id], r.fingerprint) == r.fingerprint
+
+
+# Conversation repair
+
+NEXT = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+
+
+def plain_repair(rows):
+    """(cost, audit, lines) by trying all edits with up to two insertions in each gap."""
+    best = None
+
+    def go(i, state, cost, audit, lines, inserted):
+        nonlocal best
+        if best and cost > best[0]:
+            return
+        if i == len(rows) and state in (0, 3):
+            best = min(best, (cost, audit, lines)) if best else (cost, audit, lines)
+        role = "assistant" if state == 2 else "user"
+        if inserted < 2:
+            go(i, NEXT[state, role[0]], cost + 5, audit + "I", [*lines, f"{role}:"], inserted + 1)
+        if i == len(rows):
+            return
+        own, text, fault = rows[i]
+        go(i + 1, state, cost + 2, audit + "D", lines, 0)
+        if fault in ("blank", "duplicate"):
+            return
+        extra = 5 * (fault == "truncated")
+        if (state, own[:1]) in NEXT:
+            go(i + 1, NEXT[state, own[:1]], cost + extra, audit + "K", [*lines, f"{own}:{text}"], 0)
+        go(i + 1, NEXT[state, role[0]], cost + extra + 1, audit + "R", [*lines, f"{role}:{text}"], 0)
+
+    go(0, 0, 0, "", [], 0)
+    return best
+
+
+def plain_faults(rows):
+    seen, out = set(), []
+    for _, role, text in rows:
+        stripped = text.encode().strip().decode()
+        fault = "blank" if not stripped else "duplicate" if (role, text) in seen else "truncated" if stripped[-1] not in ".!?" else None
+        seen.add((role, text))
+        out.append((role, text, fault))
+    return out
+
+
+def plain_conversations(rows):
+    """Result rows of the query for (conv_id, turn, role, text) rows."""
+    held = {}
+    for conv, turn, role, text in rows:
+        mine = held.setdefault(conv, [])
+        word = lambda v: " " if v is None else str(v)
+        kind = zlib.crc32(f"{word(conv)}:{word(turn)}".encode()) % 20
+        role, text = word(role), word(text)
+        text = "" if kind == 1 else text.translate({ord(c): None for c in ".!?"}) if kind == 2 else text
+        mine += [(turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    out = []
+    for conv, mine in held.items():
+        mine.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        turns = [t for t, _, _ in mine if t is not None]
+        faults = plain_faults(mine)
+        names = [f for _, _, f in faults]
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(mine, mine[1:], strict=False))
+        cost, audit, lines = plain_repair(faults)
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        digest = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        out.append((conv, gaps, names.count("blank"), names.count("duplicate"), names.count("truncated"), illegal, cost, audit, digest, len(mine)))
+    return sorted(out, key=repr)
+
+
+def test_least_integers_are_the_cheapest_edits():
+    rng = random.Random(8)
+    for _ in range(250):
+        rows = [(rng.choice(["system", "user", "assistant", "user", "assistant", "tool", ""]), "t", rng.choice([None, None, *repair.FAULTS])) for _ in range(rng.randrange(6))]
+        codes = [("sua".find(r[0]) % 4 if r else 3) + 4 * repair.FAULTS.index(f) for r, _, f in rows]
+        cost, audit, lines = plain_repair(rows)
+        for block in (1, 2, 3, 256):
+            assert repair.solve(codes, block) == (cost, audit)
+        steps = "".join(repair.steps_of(codes, audit))
+        assert len(steps) == len(lines)
+    codes = [rng.choice([0, 1, 1, 2, 2, 3, 5, 10, 13, 14]) for _ in range(3000)]
+    assert repair.solve(codes, 256) == repair.solve(codes, 37) == repair.solve(codes, 3000)
+
+
+def test_repair_query_is_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert rows_of(QUERIES["op11_conversation_repair"](spark, SF_DIR)) == plain_conversations(rows)
+
+
+def test_repair_of_odd_conversations(spark, tmp_path):
+    rng = random.Random(9)
+    roles, texts = ["system", "user", "assistant", "tool", "", None], ["Yes.", "No!", "cut", " \t", "", None, "x" * 40000 + ".", "Yes. \x0b"]
+    rows = [(conv, rng.choice([None, 1, 2, 3, 4, 9]), rng.choice(roles), rng.choice(texts)) for conv in [*range(60), None] for _ in range(rng.randrange(1, 7))]
+    rows += [(500, k, "user", "Yes.") for k in range(6)] + [(501, 1, "assistant", "No!")] * 3
+    dropped = next(k for k in range(1000, 2000) if zlib.crc32(f"{k}:0".encode()) % 20 == 0)
+    rows += [(dropped, 0, "user", "gone")]
+    kinds = "conv_id bigint, turn bigint, role string, text string"
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], f"{kinds}, pos int, fault string").repartition(3)
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = rows_of(QUERIES["op11_conversation_repair"](spark, str(tmp_path)))
+    assert got == plain_conversations(rows)
+    assert (dropped, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest(), 0) in got
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], kinds).write.parquet(f"{empty}/conversations.parquet")
+    assert rows_of(QUERIES["op11_conversation_repair"](spark, str(empty))) == []
+
+
+def test_repair_does_not_depend_on_pieces(spark):
+    rng = random.Random(10)
+    rows = [(rng.randrange(3), k, rng.choice(["system", "user", "assistant"]), f"{rng.randrange(300)}{rng.choice(['.', '', '?'])}") for k in range(600)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    found = []
+    for piece, block in ((4096, 256), (5, 3), (64, 1000)):
+        faults = written(repair.with_faults(table, piece), "faults")
+        made = written(repair.edits(faults, block), "edits")
+        lines = repair.repaired(faults, made).orderBy("conv_id", "pos", "part").select("conv_id", "role", "text").collect()
+        found.append((rows_of(made.drop("steps")), [tuple(r) for r in lines]))
+    assert found[0] == found[1] == found[2]
