@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from patchlight.llm.registry import ORACLES, query, table
 
-#: Words of a shingle, the share of hashes kept (a multiple of 1/16), and hexadecimal digits of a hash.
-SHINGLE, SHARE, DIGITS = 5, 0.25, 16
+#: Words of a shingle, the share of hashes kept (a multiple of 1/16), and hexadecimal digits of a hash (a long holds them).
+SHINGLE, SHARE, DIGITS = 5, 0.25, 15
 #: Documents that a sorted range holds on average, and the most ranges: beyond them each holds more.
 BUCKET, MOST_BUCKETS = 1000, 100_000
 
@@ -31,14 +31,18 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
 
 
-def _under(share: float) -> str:
+def _sixteenths(share: float) -> int:
     if not 1 <= share * 16 <= 16 or share * 16 % 1:
         raise ValueError("the share of hashes is a multiple of 1/16")
-    return f"{int(share * 16):x}" if share < 1 else "g"
+    return int(share * 16)
+
+
+def _low(hashes: Column, share: float) -> Column:
+    return F.filter(hashes, lambda h: h < _sixteenths(share) << 4 * (DIGITS - 1))
 
 
 def sketch(text: Column, shingle: int = SHINGLE, share: float = SHARE) -> Column:
-    """Sorted array of hashes (16 hexadecimal digits) of the word shingles, joined by a space, that lie under ``share``.
+    """Sorted array of hashes (the first 60 bits of MD5) of the word shingles, joined by a space, that lie under ``share``.
 
     A text of fewer words than a shingle is one shingle, a null or wordless one has
     an empty array. If no hash lies under the threshold the least stays.
@@ -48,23 +52,24 @@ def sketch(text: Column, shingle: int = SHINGLE, share: float = SHARE) -> Column
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1)))
         return F.transform(starts, lambda i: F.md5(F.array_join(F.slice(words, i, F.lit(shingle)), " ")))
 
+    first = f"{_sixteenths(share):x}" if share < 1 else "g"
+
     def kept(found: Column) -> Column:
-        low = F.filter(found, lambda h: h < _under(share))
+        low = F.filter(found, lambda h: h < first)
         return F.when(F.size(low) > 0, low).otherwise(F.array(F.array_min(found)))
 
     # A transform over a single value names it, so that it is worked out once.
     once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
-    short = lambda found: F.array_sort(F.array_distinct(F.transform(found, lambda h: F.substring(h, 1, DIGITS))))
-    nothing = F.array().cast("array<string>")
-    made = lambda words: once(hashes(words), lambda found: short(kept(found)))
+    number = lambda h: F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("bigint")
+    nothing = F.array().cast("array<bigint>")
+    made = lambda words: once(hashes(words), lambda found: F.array_sort(F.array_distinct(F.transform(kept(found), number))))
     return once(words_of(text), lambda words: F.when(F.size(words) > 0, made(words)).otherwise(nothing))
 
 
 def merged(a: Column, b: Column, share: float = SHARE) -> Column:
     """The sketch of two texts taken together (shingles across their border are not in it)."""
     both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda h: h < _under(share))
-    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+    return F.when(F.size(_low(both, share)) > 0, _low(both, share)).otherwise(F.slice(both, 1, 1))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -80,7 +85,8 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def fingerprint(hashes: Column) -> Column:
-    return F.array_join(hashes, "")
+    """The hashes as a string of lowercase hexadecimal digits, DIGITS for each."""
+    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), DIGITS, "0")), "")
 
 
 def with_next(rows: DataFrame, key: str, tie: str, also: list[str], bucket: int = BUCKET) -> DataFrame:
@@ -175,7 +181,7 @@ def _sketch_sql(text: str) -> str:
     words = rf"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
     return f"""(SELECT CASE WHEN len(w) = 0 THEN [] WHEN len(low) = 0 THEN [substr(list_min(h), 1, {DIGITS})]
       ELSE list_sort(list_distinct(list_transform(low, lambda x: substr(x, 1, {DIGITS})))) END
-    FROM (SELECT w, h, list_filter(h, lambda x: x < '{_under(SHARE)}') AS low
+    FROM (SELECT w, h, list_filter(h, lambda x: x < '{_sixteenths(SHARE):x}') AS low
       FROM (SELECT w, list_transform(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1), lambda i: md5(array_to_string(w[i : i + {SHINGLE - 1}], ' '))) AS h
         FROM (SELECT {words} AS w))))"""
 
