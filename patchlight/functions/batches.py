@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,6 +191,14 @@ def collect_matrix(rows: DataFrame, height: int, width: int) -> np.ndarray:
     return matrix
 
 
+def shared(spark: SparkSession, *arrays: np.ndarray) -> Broadcast:
+    """Broadcast of one array, or of a tuple of several, whose size is checked beforehand."""
+    values = sum(a.size for a in arrays)
+    if values > MODEL_VALUES:
+        raise ValueError(f"{values} values of a model are too many to broadcast ({MODEL_VALUES} at most); work on its parts")
+    return spark.sparkContext.broadcast(arrays[0] if len(arrays) == 1 else arrays)
+
+
 def shared_matrix(spark: SparkSession, values: int, build: Callable[[], np.ndarray]) -> Callable[[], np.ndarray]:
     """A seeded matrix for every task: small ones are redrawn, large ones broadcast once."""
     if values <= 1 << 18:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup side up to this many rows and characters (as JSON) is broadcast.
@@ -52,9 +52,9 @@ def pair_rows(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> Da
     return left.join(right, key, "inner")
 
 
-def param_grid(spark, params: dict[str, list]) -> DataFrame:
-    """Every combination of the given parameter values, one row each."""
-    grid = spark.range(1)
+def param_grid(spark: SparkSession, params: dict[str, list], rows: DataFrame | None = None) -> DataFrame:
+    """Every combination of the given parameter values, one row each; with ``rows``, each of them under every combination."""
+    grid = spark.range(1) if rows is None else rows
     for name, values in params.items():
         grid = grid.withColumn(name, F.explode(F.lit(values)))
-    return grid.drop("id")
+    return grid.drop("id") if rows is None else grid

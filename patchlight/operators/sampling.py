@@ -141,47 +141,86 @@ def bernoulli(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     return ordered.filter(F.col("__order") < F.lit(int(share * seeded.ORDER_RANGE))).drop("__order")
 
 
+#: Rows of a hash interval that are ranked outright, and counts that one pass brings to the driver.
+RANKED_ROWS = 64
+COUNTS = 1 << 18
+
+
+def interval_counts(keys: DataFrame, lows: np.ndarray, high: np.ndarray, widths: np.ndarray, parts: int, seed: int) -> np.ndarray:
+    """Rows by interval and part: the order hashes from lows[i] (ascending) to high[i], in at most ``parts`` parts of widths[i] each."""
+
+    def count(data: list[np.ndarray]) -> np.ndarray:
+        order = seeded.order_values(data[0], np.int64(0), seed)
+        at = np.searchsorted(lows, order, side="right") - 1
+        part = (order - lows[at]) // widths[at]
+        inside = (at >= 0) & (order < high[at])
+        return np.bincount(at[inside] * parts + part[inside], minlength=len(lows) * parts).reshape(len(lows), parts).astype(float)
+
+    return collect_matrix(sum_rows(keys, ["key"], count, len(lows), parts), len(lows), parts).astype(np.int64)
+
+
+def numbered_members(keys: DataFrame, numbers: np.ndarray, seed: int, total: int, most: int = RANKED_ROWS, counts: int = COUNTS) -> DataFrame:
+    """Rows (number, key) for some numbers (ascending, each once) of rows in the order of their hash.
+
+    Intervals of the hash range that hold a wanted number are split and counted again
+    until each holds few rows or one hash value; all others are left alone. Only
+    rows of the last intervals leave the tasks, so what is ranked follows from the
+    numbers asked for, not from the table.
+    """
+    lows, sizes, below = np.array([0]), np.array([total]), np.array([0])
+    high = np.array([seeded.ORDER_RANGE])
+    while len(lows):
+        wide = (sizes > most) & (high - lows > 1)
+        if not wide.any():
+            break
+        parts = max(2, min(BUCKETS, counts // int(wide.sum())))
+        widths = -(-(high[wide] - lows[wide]) // parts)
+        found = interval_counts(keys, lows[wide], high[wide], widths, parts, seed)
+        first = below[wide][:, None] + np.cumsum(found, axis=1) - found
+        wanted = np.searchsorted(numbers, first + found) > np.searchsorted(numbers, first)
+        at, part = np.nonzero(wanted)
+        start = lows[wide][at] + part * widths[at]
+        end = np.minimum(start + widths[at], high[wide][at])
+        lows, high = np.concatenate([lows[~wide], start]), np.concatenate([high[~wide], end])
+        sizes, below = np.concatenate([sizes[~wide], found[wanted]]), np.concatenate([below[~wide], first[wanted]])
+        order = np.argsort(lows)
+        lows, high, sizes, below = lows[order], high[order], sizes[order], below[order]
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            order = seeded.order_values(own, np.int64(0), seed)
+            at = np.searchsorted(lows, order, side="right") - 1
+            kept = np.flatnonzero((at >= 0) & (order < high[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(below[at[kept]]), pa.array(order[kept]), pa.array(own[kept])], names=["bucket", "order", "key"])
+
+    few = keys.mapInArrow(members, "bucket bigint, order bigint, key bigint")
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "key")) - 1
+    return few.select((F.col("bucket") + rank).alias("number"), "key")
+
+
 def pair_members(df: DataFrame, key: str, m: int, seed: int) -> DataFrame:
     """m pairs of rows drawn with replacement, as 2m rows (draw, right, key).
 
-    A row's number is its place in hash order. Bucket counts give every bucket
-    its first number, so only buckets that some draw hits are ranked, and only
-    keys are shuffled.
+    A row's number is its place in hash order; the numbers drawn are found by
+    ``numbered_members``, so only keys are read and only those near a draw are shuffled.
     """
     spark = df.sparkSession
-    keys = seeded.with_order(df.select(F.col(key).alias("__key")), "__order", F.col("__key"), 0, seed)
-    keys = keys.withColumn("bucket", F.floor(F.col("__order") / F.lit(-(-seeded.ORDER_RANGE // BUCKETS))).cast("int"))
-    counts = sorted((row["bucket"], row["count"]) for row in keys.groupBy("bucket").count().collect())
-    if not counts:
+    keys = df.select(F.col(key).cast("bigint").alias("key"))
+    total = keys.count()
+    if not total:
         raise ValueError("no rows to draw pairs from")
-    sizes = np.array([count for _, count in counts])
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    total = int(first[-1])
-
     draw = np.arange(m, dtype=np.int64)
-    sides = {}
-    for side, stream in (("left", seeded.PICK_LEFT), ("right", seeded.PICK_RIGHT)):
+    sides = []
+    for stream in (seeded.PICK_LEFT, seeded.PICK_RIGHT):
         high = seeded.mixed(draw, np.int64(0), seed, stream)
         low = seeded.mixed(draw, np.int64(1), seed, stream)
-        sides[side] = (high * seeded.MODULUS + low) % total
-    number = np.concatenate([sides["left"], sides["right"]])
-    place = np.searchsorted(first, number, side="right") - 1
-    buckets = np.array([bucket for bucket, _ in counts], np.int32)
-    wanted = spark.createDataFrame(
-        pa.table(
-            {
-                "draw": np.concatenate([draw, draw]),
-                "right": np.repeat([False, True], m),
-                "bucket": buckets[place],
-                "rank": (number - first[place]).astype(np.int32),
-            }
-        )
-    )
-    # 2m draws were made on the driver, so both broadcasts are bounded by m.
-    hit = keys.join(F.broadcast(wanted.select("bucket").distinct()), "bucket", "left_semi")
-    window = Window.partitionBy("bucket").orderBy("__order", "__key")
-    ranked = hit.withColumn("rank", F.row_number().over(window) - 1)
-    return ranked.join(F.broadcast(wanted), ["bucket", "rank"]).select("draw", "right", F.col("__key").alias("key"))
+        sides.append((high * seeded.MODULUS + low) % total)
+    number = np.concatenate(sides)
+    wanted = spark.createDataFrame(pa.table({"draw": np.concatenate([draw, draw]), "right": np.repeat([False, True], m), "number": number}))
+    found = numbered_members(keys, np.unique(number), seed, total)
+    # 2m draws were made on the driver, so the broadcast is bounded by m.
+    return found.join(F.broadcast(wanted), "number").select("draw", "right", "key")
 
 
 def sample_pairs(df: DataFrame, key: str, m: int, seed: int) -> DataFrame:

@@ -157,25 +157,61 @@ def count_and_mean(df: DataFrame, width: int, column: str = "features") -> tuple
     return float(total[0, 0]), total[1] / total[0, 0]
 
 
-def gram_rows(df: DataFrame, width: int, block: int, lam: float = 0.0, column: str = "features") -> DataFrame:
-    """Gram matrix X^T X + lam I, one column block at a time, as rows (block, i, row).
+# Doubles of the tiles that one scan sums in a task (256 MB).
+TILE_DOUBLES = 1 << 25
 
-    A task holds block x width values; the last block may be short.
+
+def tile_pairs(blocks: int) -> list[tuple[int, int]]:
+    """The tiles on and above the diagonal, by row."""
+    return [(i, j) for i in range(blocks) for j in range(i, blocks)]
+
+
+def tile_scans(width: int, block: int, doubles: int = TILE_DOUBLES) -> list[list[tuple[int, int]]]:
+    """The tiles that each scan sums: as many as ``doubles`` allow, and never more scans than blocks."""
+    blocks = -(-width // block)
+    pairs = tile_pairs(blocks)
+    each = max(1, doubles // block**2, -(-len(pairs) // blocks))
+    return [pairs[start : start + each] for start in range(0, len(pairs), each)]
+
+
+def gram_tiles(df: DataFrame, width: int, block: int, lam: float = 0.0, column: str = "features", doubles: int = TILE_DOUBLES) -> DataFrame:
+    """Gram matrix X^T X + lam I as rows (bi, bj, i, row) of its tiles on and above the diagonal.
+
+    ``row`` holds the columns of block bj in row i; blocks have ``block`` columns, the
+    last may be short. Each scan sums several tiles, so a task holds those and never
+    a block times the width.
     """
     parts = []
-    for number, start in enumerate(range(0, width, block)):
-        size = min(block, width - start)
+    for pairs in tile_scans(width, block, doubles):
+
+        def accumulate(data: list[np.ndarray], pairs=pairs) -> np.ndarray:
+            total = np.zeros((len(pairs) * block, block))
+            cut = {k: data[0][:, k * block : (k + 1) * block] for pair in pairs for k in pair}
+            for t, (i, j) in enumerate(pairs):
+                total[t * block : t * block + cut[i].shape[1], : cut[j].shape[1]] = cut[i].T @ cut[j]
+            return total
+
+        rows = sum_rows(df, [carried(df, column)], accumulate, len(pairs) * block, block)
+        at = F.col("i") % block
+        tile = F.get(F.lit([list(pair) for pair in pairs]), F.floor(F.col("i") / block).cast("int"))
+        placed = rows.select(tile.alias("pair"), at.alias("at"), "row")
+        bi, bj = F.get("pair", F.lit(0)), F.get("pair", F.lit(1))
+        whole = placed.select(bi.alias("bi"), bj.alias("bj"), (bi * block + F.col("at")).alias("i"), "at", "row").where(F.col("i") < width)
+        row = F.slice("row", F.lit(1), F.least(F.lit(block), F.lit(width) - F.col("bj") * block))
+        on_diagonal = F.when(F.col("bi") == F.col("bj"), add_diagonal(row, F.col("at"), lam)).otherwise(row)
+        parts.append(whole.select("bi", "bj", "i", on_diagonal.alias("row")))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union
 
-        def accumulate(data: list[np.ndarray], start: int = start, size: int = size) -> np.ndarray:
-            return data[0][:, start : start + size].T @ data[0]
 
-        rows = sum_rows(df, [carried(df, column)], accumulate, size, width)
-        placed = rows.select(F.lit(number).alias("block"), (F.col("i") + F.lit(start)).alias("at"), "row")
-        parts.append(placed.select("block", F.col("at").alias("i"), add_diagonal(F.col("row"), F.col("at"), lam).alias("row")))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+def gram_cells(tiles: DataFrame, block: int) -> DataFrame:
+    """All cells (i, j, v) of the matrix whose upper tiles are given."""
+    cells = tiles.select("bi", "bj", "i", F.posexplode("row").alias("at", "v"))
+    cells = cells.select("bi", "bj", "i", (F.col("bj") * block + F.col("at")).alias("j"), "v")
+    mirrored = cells.where("bi < bj").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    return cells.select("i", "j", "v").unionByName(mirrored)
 
 
 def add_diagonal(row: Column, index: Column, lam: float) -> Column:

@@ -33,6 +33,7 @@ CLASSES = 10
 SEED = 11
 LAMBDA = 10.0
 SWEEP = [5.0, 10.0, 40.0]
+SWEEP_REGS = [0.01, 0.1, 1.0]
 MIXTURE = 0.4
 COPIES = 4
 ANCHORS = 16
@@ -483,8 +484,9 @@ def covariance(spark, sf_dir):
 
 @query
 def gram_blocks(spark, sf_dir):
-    gram = statistics.gram_rows(stored_features(spark, sf_dir), WIDTH, 24, LAMBDA)
-    return rows(gram, "row", ("block", "i"))
+    """The whole matrix, from tiles of 24 on and above its diagonal."""
+    cells = statistics.gram_cells(statistics.gram_tiles(stored_features(spark, sf_dir), WIDTH, 24, LAMBDA), 24)
+    return cells.select(F.floor(F.col("i") / 24).cast("int").alias("block"), "i", "j", shown(F.col("v")).alias("v"))
 
 
 @query
@@ -716,9 +718,34 @@ def softmax_block_gn(spark, sf_dir):
 
 @query
 def logistic_ml(spark, sf_dir):
+    """Predicted class and its score under the log loss of all classes together, fitted until it has settled."""
     table = stored_features(spark, sf_dir)
-    done = evaluation.predictions(softmax.fit_named_loss(table, "log", 0.01, 20).transform(table))
-    return done.select("image_id", "label", "prediction")
+    model = softmax.softmax_quasi_newton(table, [0.01], tolerance=1e-10, classes=CLASSES)[0]
+    scores = model.transform(table)
+    found = evaluation.predictions(scores)
+    return found.select("image_id", "label", "prediction", shown(F.array_max("scores"), 4).alias("score"))
+
+
+@query
+def softmax_sweep(spark, sf_dir):
+    """Scores under every weight of two solvers; the settings of a solver share each scan."""
+    table = stored_features(spark, sf_dir)
+    grid = runs.solve_grid(spark, {"solver": ["softmax_newton", "log_rest"], "reg": SWEEP_REGS, "iterations": [2], "classes": [CLASSES]})
+    whole = None
+    for conf, model in zip(grid, runs.fit_all(table, grid), strict=True):
+        part = rows(model.transform(table), "scores", ("image_id",)).withColumns({"solver": F.lit(conf.solver), "reg": F.lit(conf.reg)})
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+@query
+def param_grid(spark, sf_dir):
+    """What every combination of ridge weight, mode and class mixture weighs: the rows of each class under each setting."""
+    table = features(spark, sf_dir)
+    sizes = table.groupBy("label").agg(F.count("*").alias("n"))
+    grid = joins.param_grid(spark, {"reg": SWEEP, "mode": list(statistics.REG_MODES), "mixture": [0.0, MIXTURE]}, sizes)
+    weight = (F.lit(1.0) - F.col("mixture")) + F.col("mixture") * F.lit(table.count()) / (F.lit(CLASSES) * F.col("n"))
+    return grid.select("reg", "mode", "mixture", "label", "n", shown(weight).alias("weight"))
 
 
 @query

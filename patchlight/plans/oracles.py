@@ -1024,6 +1024,74 @@ q.add("out", "SELECT image_id, label, k, sum(v * w) AS s FROM cells JOIN w2 ON i
 ORACLES["softmax_gn"] = q.then(long("image_id, label, k AS j", "out", "s"))
 
 
+# The log loss at its least: steps by the inverse of a fixed matrix, (X^T X / n) / 4 + reg, until nothing changes.
+q = Sql()
+q.values()
+q.add("mu", "SELECT pos, avg(v) AS m FROM cells GROUP BY 1")
+q.add(
+    "x",
+    "SELECT image_id, label, pos AS i, v - m AS v FROM cells JOIN mu USING (pos)"
+    " UNION BY NAME SELECT vec_id AS image_id, label, 64 AS i, CAST(1 AS DOUBLE) AS v FROM embeddings",
+    keep=True,
+)
+q.add(
+    "g_cells",
+    f"SELECT a.i, b.i AS j, avg(a.v * b.v) / 4 + CASE WHEN a.i = b.i AND a.i < 64 THEN {d(0.01)} ELSE 0 END AS g FROM x a JOIN x b USING (image_id) GROUP BY 1, 2",
+)
+q.add("gram", "SELECT i, list(g ORDER BY j) AS g, max(CASE WHEN i = j THEN g END) AS diag FROM g_cells GROUP BY 1")
+q.add(
+    "unit",
+    "SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, CAST(CASE WHEN a.i = b.j THEN 1 ELSE 0 END AS DOUBLE) AS b FROM range(65) a(i), range(65) b(j)",
+)
+descent(q, "inverse", "gram", "unit", "j", d(0.0), 10, 65)
+q.add("rows", "SELECT image_id, label, list(v ORDER BY i) AS f FROM x GROUP BY 1, 2", keep=True)
+q.add("turn", "SELECT j, list(w ORDER BY i) AS p FROM inverse GROUP BY 1", keep=True)
+LAST = 90
+q.add(
+    "path",
+    f"SELECT 0 AS step, CAST(c AS INTEGER) AS k, [CAST(0 AS DOUBLE) FOR i IN range(65)] AS w FROM range(10) t(c)"
+    f" UNION ALL SELECT step + 1, k, list(w[j + 1] + list_dot_product(p, b) ORDER BY j) FROM ("
+    f"   SELECT step, k, any_value(w) AS w, list(g - CASE WHEN i < 65 THEN {d(0.01)} ELSE 0 END * own ORDER BY i) AS b FROM ("
+    f"     SELECT step, k, any_value(w) AS w, i, avg(r * f[i]) AS g, any_value(w[i]) AS own FROM ("
+    f"       SELECT step, k, w, f, CASE WHEN k = label THEN 1 ELSE 0 END - e / sum(e) OVER (PARTITION BY image_id) AS r FROM ("
+    f"         SELECT step, k, w, image_id, label, f, exp(list_dot_product(w, f)) AS e FROM path, rows WHERE step < {LAST})), range(1, 66) t(i)"
+    f"     GROUP BY step, k, i) GROUP BY step, k), turn GROUP BY step, k",
+)
+q.add("out", f"SELECT image_id, label, k, list_dot_product(w, f) AS s FROM path, rows WHERE step = {LAST}")
+ORACLES["logistic_ml"] = q.then(
+    f"SELECT image_id, label, k AS prediction, {shown('s', 4)} AS score FROM"
+    " (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, k) AS place FROM out) WHERE place = 1"
+)
+
+# Two steps of two solvers under three weights.
+q = Sql()
+start(q)
+q.add("plain", "SELECT a.pos AS i, b.pos AS j, avg(a.v * b.v) AS g FROM cells a JOIN cells b USING (image_id) GROUP BY 1, 2", keep=True)
+q.add("trace", "SELECT sum(g) / 64 AS t FROM plain WHERE i = j")
+selects = []
+for m, reg in enumerate((0.01, 0.1, 1.0)):
+    lam = f"({d(reg)} * (SELECT t FROM trace))"
+    q.add(f"gram{m}", f"SELECT i, list(g + CASE WHEN i = j THEN {lam} ELSE 0 END ORDER BY j) AS g, max(CASE WHEN i = j THEN g + {lam} END) AS diag FROM plain GROUP BY 1")
+    newton = logistic = "w0"
+    for step in range(2):
+        chances(q, f"c{m}_{step}", newton)
+        gradient(q, f"g{m}_{step}", f"c{m}_{step}", newton, lam)
+        descent(q, f"d{m}_{step}", f"gram{m}", f"g{m}_{step}", "k", d(0.0), 40 if reg < 0.1 else 20)
+        newton = q.add(f"n{m}_{step + 1}", f"SELECT k, i, a.w + b.w AS w FROM {newton} a JOIN d{m}_{step} b USING (k, i)", keep=True)
+        q.add(f"s{m}_{step}", f"SELECT image_id, label, k, sum(v * w) AS s FROM cells JOIN {logistic} ON i = pos GROUP BY ALL")
+        q.add(f"r{m}_{step}", f"SELECT image_id, k, y / (1 + exp(y * s)) AS r FROM (SELECT *, CAST(CASE WHEN k = label THEN 1 ELSE -1 END AS DOUBLE) AS y FROM s{m}_{step})")
+        gradient(q, f"h{m}_{step}", f"r{m}_{step}", logistic, d(reg))
+        logistic = q.add(f"l{m}_{step + 1}", f"SELECT k, i, w + {d(1.0 / (step + 1))} * b AS w FROM {logistic} JOIN h{m}_{step} USING (k, i)", keep=True)
+    for solver, weights in (("softmax_newton", newton), ("log_rest", logistic)):
+        selects.append(f"SELECT '{solver}' AS solver, {d(reg)} AS reg, image_id, k AS j, {shown('sum(v * w)')} AS v FROM cells JOIN {weights} ON i = pos GROUP BY image_id, k")
+ORACLES["softmax_sweep"] = q.then(" UNION ALL ".join(selects))
+
+ORACLES["param_grid"] = f"""
+SELECT reg, mode, mixture, label, n, {shown("1 - mixture + mixture * total / (10 * n)")} AS weight
+FROM (SELECT label, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM embeddings GROUP BY label),
+  (VALUES {regs}) a(reg), (VALUES ('absolute'), ('trace_over_d'), ('trace_over_n')) b(mode), (VALUES ({d(0.0)}), ({d(MIXTURE)})) c(mixture)"""
+
+
 def block_system(q: Sql, name: str, gram: str, right: str, members: str) -> tuple[str, str]:
     """The equations of the positions in ``members`` (i, place), for ``descent``."""
     q.add(

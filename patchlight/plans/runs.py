@@ -7,12 +7,14 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, replace
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlight.operators import evaluation, kernels
 from patchlight.operators.convolve import Layer, layer_stack, sampled_filters
+from patchlight.operators.joins import param_grid
 from patchlight.plans.config import FeatureConf, SolveConf
 from patchlight.session import path_exists
 from patchlight.solvers import linear, softmax, whitening
@@ -164,22 +166,72 @@ def run(
     return record
 
 
+#: Solvers whose settings differ in the weight only and share every scan.
+STACKED = ("ridge", "weighted_ridge", "softmax_newton", "log", "log_rest", "hinge")
+
+
+def fit_all(features: DataFrame, confs: Sequence[SolveConf]) -> list[linear.LinearModel]:
+    """A model for every setting; those that differ in ``reg`` alone are fitted by the same scans."""
+    groups: dict[SolveConf, list[int]] = {}
+    for k, conf in enumerate(confs):
+        groups.setdefault(replace(conf, reg=0.0, top_k=0), []).append(k)
+    models: dict[int, linear.LinearModel] = {}
+    for conf, members in groups.items():
+        regs = [confs[k].reg for k in members]
+        stacked = conf.solver in STACKED and conf.block is None
+        found = stacked_models(features, conf, regs) if stacked else [fit(features, confs[k]) for k in members]
+        models.update(zip(members, found, strict=True))
+    return [models[k] for k in range(len(confs))]
+
+
+def stacked_models(features: DataFrame, conf: SolveConf, regs: Sequence[float]) -> list[linear.LinearModel]:
+    if conf.solver in ("ridge", "weighted_ridge"):
+        mixture = conf.mixture if conf.solver == "weighted_ridge" else 0.0
+        scale = linear.scaled_ridge(features, 1.0, conf.reg_mode)
+        lams = [reg * scale for reg in regs]
+        models = linear.ridge_sweep(features, lams, conf.classes, mixture)
+        return [models[lam] for lam in lams]
+    if conf.solver == "softmax_newton":
+        return softmax.softmax_newton_sweep(features, regs, conf.iterations, conf.classes)
+    return softmax.named_loss_sweep(features, conf.solver, regs, conf.iterations, conf.classes)
+
+
+def solve_grid(spark: SparkSession, params: dict[str, list]) -> list[SolveConf]:
+    """Solver settings for every combination of the given values."""
+    return [SolveConf(**row.asDict()) for row in param_grid(spark, params).orderBy(*params).collect()]
+
+
+def evaluate_all(features: DataFrame, models: Sequence[linear.LinearModel], top_ks: Sequence[int]) -> list[dict[str, float]]:
+    """``evaluate`` of several models on the same rows, in one scan: their scores lie side by side."""
+    classes = [model.weights.shape[1] for model in models]
+    ends = np.cumsum(classes).tolist()
+    side = linear.LinearModel(np.concatenate([m.weights for m in models], axis=1), np.concatenate([m.intercept for m in models]))
+    scored, label = side.transform(features), F.col("label")
+    wanted = [F.count("*").alias("n")]
+    for k, (end, own, top) in enumerate(zip(ends, classes, top_ks, strict=True)):
+        scores = F.slice("scores", end - own + 1, own)
+        wanted += [F.avg(evaluation.hits(scores, label, 1)).alias(f"first_{k}"), F.avg(evaluation.hits(scores, label, top)).alias(f"top_{k}")]
+    row = scored.agg(*wanted).first()
+    return [
+        {"n": row["n"], "accuracy": row[f"first_{k}"], **({f"top{top}_accuracy": row[f"top_{k}"]} if own >= top else {})}
+        for k, (own, top) in enumerate(zip(classes, top_ks, strict=True))
+    ]
+
+
 def sweep(
     train: DataFrame, test: DataFrame, feature_confs: Sequence[FeatureConf], solve_confs: Sequence[SolveConf], folder: str
 ) -> list[dict]:
     """Every feature setting with every solver setting; features are computed once.
 
-    Ridge settings that differ in the weight only share one pass over the data.
+    Settings of one solver that differ in the weight only share every scan of the
+    features, and all models of a feature setting are evaluated in one.
     """
     records = []
     for conf in feature_confs:
         train_rows, test_rows = split_features(train, test, conf, folder)
-        plain = [s for s in solve_confs if s.solver == "ridge" and s.block is None and s.reg_mode == "absolute"]
-        classes = {s.classes for s in plain}
-        shared = {c: linear.ridge_sweep(train_rows, [s.reg for s in plain if s.classes == c], c) for c in classes}
-        for solve in solve_confs:
-            model = shared[solve.classes][solve.reg] if solve in plain else fit(train_rows, solve)
-            records.append({"features": conf, "solve": solve, **evaluate(test_rows, model, solve.top_k)})
+        models = fit_all(train_rows, solve_confs)
+        metrics = evaluate_all(test_rows, models, [solve.top_k for solve in solve_confs])
+        records += [{"features": conf, "solve": solve, **found} for solve, found in zip(solve_confs, metrics, strict=True)]
     return records
 
 

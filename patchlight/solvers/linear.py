@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchlight.functions import vectors
-from patchlight.functions.batches import VECTOR, carried, collect_matrix, map_vectors, sum_rows
-from patchlight.operators.statistics import REG_MODES, class_matrix, provisional_mean, row_width, scaled_ridge
+from patchlight.functions.batches import MODEL_VALUES, VECTOR, carried, collect_matrix, map_vectors, shared, sum_rows
+from patchlight.operators.statistics import REG_MODES, class_matrix, provisional_mean, row_width, scaled_ridge, tile_pairs
 
 # Widest feature vector whose whole Gram matrix is formed at once.
 GRAM_WIDTH = 4096
@@ -36,7 +36,8 @@ class LinearModel:
     intercept: np.ndarray
 
     def transform(self, df: DataFrame, column: str = "features", out: str = "scores") -> DataFrame:
-        handle = df.sparkSession.sparkContext.broadcast((self.weights, self.intercept))
+        """Scores of every row in place of its features. ``solvers.parts`` scores with models too large to broadcast."""
+        handle = shared(df.sparkSession, self.weights, self.intercept)
 
         def build():
             weights, intercept = handle.value
@@ -192,12 +193,15 @@ def fit_blockwise(
     column: str,
     label: str,
 ) -> LinearModel:
-    """The same descent for wide features: one pass over the data per block.
+    """The same descent for wide features: several blocks of a pass in one scan.
 
-    A scan forms the scores of all features and one block's Gram matrix, so a pass
-    costs width / block scans. Without ``passes`` it goes on until it has settled.
+    A scan forms the residual of all features, and for as many neighbouring blocks as
+    the driver can hold the products with it and the Gram tiles of all pairs of them.
+    The blocks are then solved one after another: what the first changes in the
+    products of the next is its tile times the change. Without ``passes`` it goes on
+    until it has settled.
 
-    The residual is recomputed from the current weights inside the pass, so no
+    The residual is recomputed from the current weights inside the scan, so no
     residual table is written and no lineage grows from pass to pass.
     """
     per_class = np.ones(classes) if weights is None else weights
@@ -214,24 +218,42 @@ def fit_blockwise(
     mean, target = sums[1 : width + 1] / sums[0], sums[width + 1 :] / sums[0]
     solution = np.zeros((width, classes))
     spark = df.sparkSession
+    starts = block_starts(width, block)
+    size = min(block, width)
+    many = max((m for m in range(1, len(starts) + 1) if group_height(m, size, classes) * size <= MODEL_VALUES), default=1)
     for _ in range(MOST_PASSES if passes is None else passes):
         before = solution
-        for low, high in block_starts(width, block):
-            current = spark.sparkContext.broadcast(solution)
+        for at in range(0, len(starts), many):
+            group = starts[at : at + many]
+            pairs, height = tile_pairs(len(group)), group_height(len(group), size, classes)
+            current = shared(spark, solution)
 
-            def accumulate(data: list[np.ndarray], low: int = low, high: int = high, current=current) -> np.ndarray:
+            def accumulate(data: list[np.ndarray], group=group, pairs=pairs, height=height, current=current) -> np.ndarray:
                 features, labels = data[0] - mean, data[1]
                 weight = per_class[labels.astype(np.int64)][:, None]
-                residual = class_matrix(labels, classes, negative) - target - features @ current.value
-                own = features[:, low:high]
-                return (own * weight).T @ np.concatenate([own, residual], axis=1)
-
-            size = high - low
-            part = collect_matrix(sum_rows(df, inputs, accumulate, size, size + classes), size, size + classes)
-            gram, cross = part[:, :size], part[:, size:] + part[:, :size] @ solution[low:high]
-            solution = solution.copy()
-            solution[low:high] = np.linalg.solve(gram + lam * np.eye(size), cross)
+                residual = (class_matrix(labels, classes, negative) - target - features @ current.value) * weight
+                total = np.zeros((height, size))
+                own = [features[:, low:high] for low, high in group]
+                for t, (i, j) in enumerate(pairs):
+                    total[t * size : t * size + own[i].shape[1], : own[j].shape[1]] = (own[i] * weight).T @ own[j]
+                for i, part in enumerate(own):
+                    row = len(pairs) * size + i * classes
+                    total[row : row + classes, : part.shape[1]] = residual.T @ part
+                return total
+
+            part = collect_matrix(sum_rows(df, inputs, accumulate, height, size), height, size)
             current.unpersist()
+            wide = [high - low for low, high in group]
+            tiles = {pair: part[t * size : t * size + wide[pair[0]], : wide[pair[1]]] for t, pair in enumerate(pairs)}
+            solution, changes = solution.copy(), []
+            for j, (low, high) in enumerate(group):
+                row = len(pairs) * size + j * classes
+                right = part[row : row + classes, : wide[j]].T
+                for i, change in enumerate(changes):
+                    right = right - tiles[i, j].T @ change
+                gram, old = tiles[j, j], solution[low:high].copy()
+                solution[low:high] = np.linalg.solve(gram + lam * np.eye(wide[j]), right + gram @ old)
+                changes.append(solution[low:high] - old)
         if passes is None and np.abs(solution - before).max() <= TOLERANCE * np.abs(solution).max():
             break
     else:
@@ -240,6 +262,11 @@ def fit_blockwise(
     return LinearModel(solution, target - mean @ solution)
 
 
+def group_height(blocks: int, size: int, classes: int) -> int:
+    """Rows, each as wide as a block, of the tiles of some blocks and of their products with the residual."""
+    return len(tile_pairs(blocks)) * size + blocks * classes
+
+
 def ridge_sweep(
     df: DataFrame,
     lams: Sequence[float],
@@ -270,11 +297,11 @@ def dual_coefficients(
     if lam <= 0:
         raise ValueError("the dual form needs a positive ridge weight")
     classes = model.weights.shape[1]
-    handle = df.sparkSession.sparkContext.broadcast(model)
+    handle = shared(df.sparkSession, model.weights, model.intercept)
 
     def build():
-        fitted = handle.value
-        return lambda rows: rows @ fitted.weights + fitted.intercept
+        weights, intercept = handle.value
+        return lambda rows: rows @ weights + intercept
 
     scored = map_vectors(df.withColumn("__x", F.col(column)), "__x", build, out="__scores", doubles_per_row=2 * classes)
     hot = vectors.indicator(F.col(label), classes, negative)

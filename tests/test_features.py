@@ -180,15 +180,6 @@ def test_standardize_constant_column(spark):
     assert np.allclose(collected(statistics.standardize(feature_table(spark, rows)), "features")[:, 0], 0)
 
 
-def test_gram_blocks_with_short_last_block(spark):
-    rows = gaussian_rows(50, 7)
-    gram = np.zeros((7, 7))
-    for row in statistics.gram_rows(feature_table(spark, rows), 7, 3, 0.5).collect():
-        assert row["block"] == row["i"] // 3
-        gram[row["i"]] = row["row"]
-    assert np.allclose(gram, rows.T @ rows + 0.5 * np.eye(7))
-
-
 def test_patch_moments_equal_patch_rows(spark):
     shape = Shape(5, 4, 2)
     table = image_table(spark, gaussian_rows(6, shape.size))
