@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from patchlight import seeded
-from patchlight.functions.batches import map_vectors, shared_matrix
+from patchlight.functions.batches import BATCH_DOUBLES, VECTOR, carried, from_matrix, map_vectors, shared_matrix, to_matrix
 
-WEIGHTS: dict[str, Callable[[int, int, int], np.ndarray]] = {
+WEIGHTS: dict[str, Callable[..., np.ndarray]] = {
     "gaussian": seeded.normals,
     "cauchy": seeded.cauchys,
     "uniform": seeded.uniforms,
@@ -134,33 +136,82 @@ def cosine_features(
 ) -> DataFrame:
     """cos(x W^T + b), W = gamma * draws of the named distribution, b = 2 pi * draws.
 
-    Small banks are redrawn from the seed by every task, large ones broadcast.
+    Banks of at most BANK_VALUES are drawn once by every task, larger ones filter
+    block by filter block for every group of rows; nothing is drawn on the driver.
     """
     draw, draw_phase = WEIGHTS[weights], WEIGHTS[phase]
-    bank = shared_matrix(df.sparkSession, outputs * inputs, lambda: gamma * draw(outputs, inputs, seed))
+
+    def shift() -> np.ndarray:
+        return seeded.phases(outputs, seed) if phase == "uniform" else 2.0 * np.pi * draw_phase(outputs, 1, seed + 1)[:, 0]
+
+    def block(low: int, high: int) -> np.ndarray:
+        return gamma * draw(high - low, inputs, seed, first=low)
+
+    if outputs * inputs > BANK_VALUES:
+        return cosine_blocks(df, column, inputs, outputs, block, shift)
 
     def build():
-        across = np.ascontiguousarray(bank().T)
-        if phase == "uniform":
-            shift = seeded.phases(outputs, seed)
-        else:
-            shift = 2.0 * np.pi * draw_phase(outputs, 1, seed + 1)[:, 0]
-        return lambda rows: np.cos(rows @ across + shift)
+        across, phases = np.ascontiguousarray(block(0, outputs).T), shift()
+        return lambda rows: np.cos(rows @ across + phases)
 
     return map_vectors(df, column, build, doubles_per_row=2 * outputs)
 
 
+#: Values of a bank that a task keeps (64 MB), and of the filters it holds at a time beyond that (8 MB).
+BANK_VALUES, BLOCK_VALUES = 1 << 23, 1 << 20
+
+
+def cosine_blocks(
+    df: DataFrame, column: str, inputs: int, outputs: int, block: Callable[[int, int], np.ndarray], shift: Callable[[], np.ndarray],
+    group_doubles: int = BATCH_DOUBLES,
+) -> DataFrame:
+    """cos(x W^T + b) with the rows low..high of W from ``block(low, high)``, asked for once for every group of rows.
+
+    A group has as many rows as fit in one batch of results, so a block serves many
+    rows and no task holds more than a block of W.
+    """
+    keep = [c for c in df.columns if c != column]
+    source = df.select(*keep, carried(df, column).alias("__vector"))
+    schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(column, VECTOR)])
+    wide, many = max(1, BLOCK_VALUES // max(1, inputs)), max(1, group_doubles // max(1, outputs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phases = shift()
+        for batch in batches:
+            rows = to_matrix(batch.column(len(keep)))
+            for begin in range(0, len(rows), many):
+                own = rows[begin : begin + many]
+                out = np.empty((len(own), outputs))
+                for low in range(0, outputs, wide):
+                    high = min(low + wide, outputs)
+                    out[:, low:high] = own @ block(low, high).T
+                out += phases
+                np.cos(out, out=out)
+                part = batch.slice(begin, len(own))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], from_matrix(out)], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
 def cosine_features_given(df: DataFrame, bank: np.ndarray, phase: np.ndarray, column: str = "features") -> DataFrame:
-    """cos(x W^T + b) with an explicit W (outputs x inputs) and b, shipped once per executor."""
+    """cos(x W^T + b) with an explicit W (outputs x inputs) and b, shipped once per executor.
+
+    A bank of any size travels in blocks of filters of at most 64 MB each.
+    """
     if len(phase) != len(bank):
         raise ValueError(f"{len(bank)} filters need as many phases, not {len(phase)}")
-    shared = shared_matrix(df.sparkSession, bank.size, lambda: bank)
-
-    def build():
-        across = np.ascontiguousarray(shared().T)
-        return lambda rows: np.cos(rows @ across + phase)
-
-    return map_vectors(df, column, build, doubles_per_row=2 * len(bank))
+    outputs, inputs = bank.shape
+    if bank.size <= BANK_VALUES:
+        kept = shared_matrix(df.sparkSession, bank.size, lambda: bank)
+
+        def build():
+            across = np.ascontiguousarray(kept().T)
+            return lambda rows: np.cos(rows @ across + phase)
+
+        return map_vectors(df, column, build, doubles_per_row=2 * outputs)
+    wide = max(1, BLOCK_VALUES // max(1, inputs))
+    held = {low: df.sparkSession.sparkContext.broadcast(bank[low : low + wide]) for low in range(0, outputs, wide)}
+    return cosine_blocks(df, column, inputs, outputs, lambda low, high: held[low].value, lambda: phase)
 
 
 def cosine_node(df: DataFrame, phase: np.ndarray, column: str = "features") -> DataFrame:

@@ -6,6 +6,8 @@ number of partitions, because it depends only on (row, position, seed, stream).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,27 +61,59 @@ def unit(draw):
     return (draw + 0.5) / MODULUS
 
 
-def grid(rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.arange(rows, dtype=np.int64)[:, None], np.arange(columns, dtype=np.int64)[None, :]
+def remainder(x: np.ndarray) -> np.ndarray:
+    """x modulo MODULUS in place, for whole numbers in doubles far below 2^53: exact, and several times faster than on integers."""
+    x -= np.floor(x / MODULUS) * MODULUS
+    return x
+
+
+def fast_mixed(row: np.ndarray, position: np.ndarray, seed: int, stream: int) -> np.ndarray:
+    """The draws of ``mixed`` as doubles, for rows and positions below 2^32."""
+    shift = float(seed * START["seed"] + stream * START["stream"] + START["shift"])
+    place = row * float(ROUND["row"]) + position * float(ROUND["position"])
+    t = remainder(row * float(START["row"]) + (position * float(START["position"]) + shift))
+    for r in range(ROUNDS):
+        square = remainder(t * t)
+        square *= ROUND["square"]
+        t *= ROUND["linear"]
+        square += t
+        square += place
+        square += (r + 1) * ROUND["round"]
+        t = remainder(square)
+    return t
+
+
+#: Values that are drawn at a time, so that they stay in cache.
+DRAWN_TOGETHER = 1 << 14
+
+
+def filled(rows: int, columns: int, first: int, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """A matrix whose cell (i, j) is ``value`` of row first + i and column j."""
+    out = np.empty((rows, columns))
+    position = np.arange(columns, dtype=float)[None, :]
+    step = max(1, DRAWN_TOGETHER // max(1, columns))
+    for start in range(0, rows, step):
+        stop = min(start + step, rows)
+        out[start:stop] = value(np.arange(first + start, first + stop, dtype=float)[:, None], position)
+    return out
 
 
 def normals(rows: int, columns: int, seed: int, streams: tuple[int, int] = (NORMAL_A, NORMAL_B), first: int = 0) -> np.ndarray:
     """Matrix of standard normal draws: the rows from ``first`` on."""
-    f, px = grid(rows, columns)
-    f = f + first
-    u = unit(mixed(f, px, seed, streams[0]))
-    v = unit(mixed(f, px, seed, streams[1]))
-    return np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * v)
+
+    def value(f: np.ndarray, px: np.ndarray) -> np.ndarray:
+        u, v = (unit(fast_mixed(f, px, seed, stream)) for stream in streams)
+        return np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * v)
+
+    return filled(rows, columns, first, value)
 
 
-def cauchys(rows: int, columns: int, seed: int) -> np.ndarray:
-    f, px = grid(rows, columns)
-    return np.tan(np.pi * (unit(mixed(f, px, seed, NORMAL_A)) - 0.5))
+def cauchys(rows: int, columns: int, seed: int, first: int = 0) -> np.ndarray:
+    return filled(rows, columns, first, lambda f, px: np.tan(np.pi * (unit(fast_mixed(f, px, seed, NORMAL_A)) - 0.5)))
 
 
-def uniforms(rows: int, columns: int, seed: int) -> np.ndarray:
-    f, px = grid(rows, columns)
-    return unit(mixed(f, px, seed, NORMAL_A))
+def uniforms(rows: int, columns: int, seed: int, first: int = 0) -> np.ndarray:
+    return filled(rows, columns, first, lambda f, px: unit(fast_mixed(f, px, seed, NORMAL_A)))
 
 
 def phases(count: int, seed: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from test_solvers import problem, softmax_by_hand
 
 from patchlight import seeded
 from patchlight.functions import batches
-from patchlight.operators import sampling, statistics
+from patchlight.operators import random_features, sampling, statistics
 from patchlight.plans import runs
 from patchlight.plans.catalog import QUERIES
 from patchlight.plans.config import SolveConf
@@ -174,3 +174,31 @@ def test_draws_rank_rows_in_proportion_to_the_draws(spark, scans):
 def test_log_loss_query_is_stationary(spark):
     rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").count()
     assert QUERIES["logistic_ml"](spark, SF_DIR).count() == rows
+
+
+def test_fast_draws_are_the_integer_draws():
+    for rows, columns, seed, first in ((7, 5, 0, 0), (3, 40000, 11, 0), (300, 70, 123456, 5_000_000)):
+        f, px = np.arange(first, first + rows)[:, None], np.arange(columns)[None, :]
+        for stream in (seeded.NORMAL_A, seeded.CHI_B):
+            assert np.array_equal(seeded.fast_mixed(f.astype(float), px.astype(float), seed, stream), seeded.mixed(f, px, seed, stream))
+        whole = seeded.normals(rows, columns, seed, first=first)
+        assert np.array_equal(whole[2:], seeded.normals(rows - 2, columns, seed, first=first + 2))
+
+
+def test_wide_banks_are_drawn_in_blocks_without_a_broadcast(spark, monkeypatch):
+    rows = np.random.default_rng(3).normal(size=(30, 12))
+    table = feature_table(spark, rows)
+    for weights in random_features.WEIGHTS:
+        small = collected(random_features.cosine_features(table, 12, 50, 4, weights=weights), "features")
+        with monkeypatch.context() as patched:
+            patched.setattr(random_features, "BANK_VALUES", 100)
+            patched.setattr(random_features, "BLOCK_VALUES", 12 * 7)
+            patched.setattr(random_features, "shared_matrix", None)
+            wide = random_features.cosine_features(table, 12, 50, 4, weights=weights)
+            assert np.allclose(collected(wide, "features"), small, atol=1e-12)
+            assert sorted(wide.columns) == sorted(table.columns)
+    bank, phase = np.random.default_rng(4).normal(size=(50, 12)), np.linspace(0, 1, 50)
+    monkeypatch.setattr(random_features, "BANK_VALUES", 100)
+    monkeypatch.setattr(random_features, "BLOCK_VALUES", 12 * 7)
+    given = random_features.cosine_features_given(table, bank, phase)
+    assert np.allclose(collected(given, "features"), np.cos(rows @ bank.T + phase))
