@@ -5,11 +5,12 @@ Every reader returns keyed rows. None reads a file on the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,9 @@ IDX_IMAGES, IDX_IMAGES_HEADER = 2051, 16
 IDX_LABELS, IDX_LABELS_HEADER = 2049, 8
 BYTE_SCALE = 255.0
 
-# Records that travel together from the file to the decoder.
-RECORDS_PER_BLOCK = 1024
+# Bytes that travel together from the file to the decoder, and how far the ids of two files lie apart.
+PIECE_BYTES = 1 << 16
+FILE_RECORDS = 1 << 40
 
 LINE_KEYS = ("path", "block_start")
 
@@ -44,14 +46,24 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     The lines are read by one scan and written with the block they were read in,
     so counting the blocks and numbering the lines see the same split of the
-    files, whatever later jobs would plan. There is one count for each block (a
-    million for 128 TB), and none of them reaches the driver.
+    files, whatever later jobs would plan. Numbers are sums on two levels: files
+    are counted up in ranges of paths, of which only one sum each reaches the
+    driver, and blocks within their file.
     """
     lines = written(placed_lines(spark, path), "lines")
-    blocks = lines.groupBy(*LINE_KEYS).agg(F.count("*").alias("n"), F.min("row").alias("first_row"))
-    before = Window.orderBy(*LINE_KEYS).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint"))
-    offsets = written(blocks.select(*LINE_KEYS, "first_row", first.alias("first_line")), "blocks")
+    blocks = written(lines.groupBy(*LINE_KEYS).agg(F.count("*").alias("n"), F.min("row").alias("first_row")), "blocks")
+    files = blocks.groupBy("path").agg(F.sum("n").alias("n")).repartitionByRange("path").withColumn("part", F.spark_partition_id())
+    files = written(files, "files")
+    ranges = dict(files.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    starts, held = [0] * (max(ranges, default=0) + 1), 0
+    for part in sorted(ranges):
+        starts[part], held = held, held + ranges[part]
+    earlier = lambda part, order: Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda window: F.coalesce(F.sum("n").over(window), F.lit(0).cast("bigint"))
+    first_of_file = F.get(F.lit(starts).cast("array<bigint>"), F.col("part")) + before(earlier("part", "path"))
+    placed = files.select("path", first_of_file.alias("file_line"))
+    offsets = blocks.select(*LINE_KEYS, "first_row", before(earlier("path", "block_start")).alias("block_line")).join(placed, "path")
+    offsets = written(offsets.select(*LINE_KEYS, "first_row", (F.col("file_line") + F.col("block_line")).alias("first_line")), "blocks")
     number = F.col("first_line") + F.col("row") - F.col("first_row")
     return lines.join(offsets, list(LINE_KEYS)).select(number.alias("line_no"), "path", "value")
 
@@ -109,22 +121,46 @@ def read_layer(
     return with_shape(stored, shape, "features").withColumnsRenamed({"features": "pixels", "row_id": "image_id"})
 
 
+def file_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files at or below a path that hold anything, by path; one entry for each file is on the driver."""
+    return [tuple(row) for row in list_files(spark, path).where("length > 0").orderBy("path").collect()]
+
+
+def file_pieces(spark: SparkSession, path: str, length: int, unit: int = 1) -> RDD:
+    """(first byte, bytes) of equal pieces of a file, each of whole units and at most PIECE_BYTES (or one unit).
+
+    The fixed-length input format splits the file and says the number of each piece,
+    so the pieces do not depend on the split, and no file is one value.
+    """
+    units = length // unit
+    most = max(1, PIECE_BYTES // unit)
+    piece = unit * max(d for k in range(1, int(units**0.5) + 1) if units % k == 0 for d in (k, units // k) if d <= most or d == 1)
+    read = spark.sparkContext.newAPIHadoopFile(
+        path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(piece)},
+    )
+    return read.map(lambda pair: (pair[0] * piece, bytes(pair[1])))
+
+
 def read_fixed_records(spark: SparkSession, path: str, shape: Shape, label_bytes: int = 1, planes: bool = True) -> DataFrame:
     """Fixed-width records (label bytes, then one byte per value) as (image_id, pixels, label).
 
     ``planes`` says that channels are stored one after the other, each in row
-    order. Files are split at record boundaries. The id is unique and grows
-    along each file, but is not dense.
+    order. Files are split at record boundaries. The id is the number of the record
+    in its file plus FILE_RECORDS times the number of the file in path order, so it is
+    the same however the files are split. Files must hold whole records.
     """
     length = label_bytes + shape.size
+    files = file_sizes(spark, path)
+    odd = [name for name, size in files if size % length]
+    if odd:
+        raise ValueError(f"{odd[0]} does not hold records of {length} bytes")
 
-    def blocks(part: int, records: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
-        first = part << 33
-        while chunk := list(islice(records, RECORDS_PER_BLOCK)):
-            yield first, b"".join(chunk)
-            first += len(chunk)
+    def numbered(number: int, pieces: RDD) -> RDD:
+        return pieces.map(lambda piece: (number * FILE_RECORDS + piece[0] // length, piece[1]))
 
-    packed = spark.sparkContext.binaryRecords(path, length).mapPartitionsWithIndex(blocks)
+    parts = [numbered(k, file_pieces(spark, name, size, length)) for k, (name, size) in enumerate(files)]
+    packed = spark.sparkContext.union(parts) if parts else spark.sparkContext.emptyRDD()
     raw = spark.createDataFrame(packed, "first bigint, block binary")
     schema = T.StructType(
         [
@@ -151,44 +187,67 @@ def read_fixed_records(spark: SparkSession, path: str, shape: Shape, label_bytes
     return raw.mapInArrow(decode, schema)
 
 
-def big_endian(content: Column, at: int) -> Column:
-    """Unsigned 32-bit integer at a byte offset."""
-    return F.conv(F.hex(F.substring(content, at + 1, 4)), 16, 10).cast("bigint")
-
+def idx_header(spark: SparkSession, path: str, magic: int, header: int) -> tuple[int, list[int]]:
+    """Bytes of an IDX file and the numbers of its header behind the magic one; only the header is read."""
+    files = file_sizes(spark, path)
+    if len(files) != 1 or files[0][1] < header:
+        raise ValueError(f"{path} is not one IDX file")
+    length = files[0][1]
+    piece = math.gcd(header, length)
+    head = spark.sparkContext.newAPIHadoopFile(
+        path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(piece)},
+    ).take(header // piece)
+    found, *numbers = np.frombuffer(b"".join(bytes(value) for _, value in head), ">u4").tolist()
+    if found != magic:
+        raise ValueError(f"{path} starts with {found}, not with {magic}")
+    return length, numbers
+
+
+def idx_records(spark: SparkSession, path: str, length: int, header: int, count: int, size: int) -> DataFrame:
+    """(image_id, record) of the records of an IDX file, by their number.
+
+    Pieces of the file are cut into records where they lie; a record that lies in
+    two pieces is put together again from its parts by its number.
+    """
+    if length < header + count * size:
+        raise ValueError(f"{path} has {length} bytes, too few for {count} records of {size}")
 
-def idx_records(spark: SparkSession, path: str, magic: int, header: int, length: Column, per_task: int = 4096) -> DataFrame:
-    """Payload of an IDX file as chunks (first, count, length, payload) spread over tasks."""
-    files = spark.read.format("binaryFile").load(path)
-    checked = F.when(big_endian(F.col("content"), 0) == magic, big_endian(F.col("content"), 4)).otherwise(
-        F.raise_error(F.lit(f"file does not start with {magic}")).cast("bigint")
-    )
-    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / per_task).cast("bigint")))
-    start = F.col("first") * F.col("length") + header + 1
-    return (
-        files.select("content", checked.alias("n"), length.cast("bigint").alias("length"))
-        .filter(F.col("n") > 0)
-        .select("content", "n", "length", chunk.alias("chunk"))
-        .select("content", "n", "length", (F.col("chunk") * per_task).alias("first"))
-        .select(
-            "first",
-            "length",
-            F.least(F.lit(per_task).cast("bigint"), F.col("n") - F.col("first")).alias("count"),
-            F.substring(F.col("content"), start.cast("int"), (F.col("length") * per_task).cast("int")).alias("payload"),
-        )
-        .repartition(F.col("first"))
-    )
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"image_id": [], "at": [], "part": []}
+            for start, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, stop = max(start, header), min(start + len(block), header + count * size)
+                while low < stop:
+                    number, at = divmod(low - header, size)
+                    high = min(stop, low - at + size)
+                    out["image_id"].append(number)
+                    out["at"].append(at)
+                    out["part"].append(block[low - start : high - start])
+                    low = high
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    pieces = spark.createDataFrame(file_pieces(spark, path, length), "start bigint, block binary")
+    parts = written(pieces.mapInArrow(cut, "image_id bigint, at bigint, part binary"), "records")
+    whole = F.octet_length("part") == size
+    torn = parts.where(~whole).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    # A record has as many parts as pieces hold some of it.
+    joined = F.aggregate("parts", F.lit(b""), lambda done, p: F.concat(done, p["part"]))
+    return parts.where(whole).select("image_id", F.col("part").alias("record")).unionByName(torn.select("image_id", joined.alias("record")))
 
 
 def read_idx(spark: SparkSession, image_path: str, label_path: str) -> DataFrame:
-    """IDX images and labels, joined on the record number, as (image_id, pixels, label)."""
-    size = big_endian(F.col("content"), 8) * big_endian(F.col("content"), 12)
-    images = idx_records(spark, image_path, IDX_IMAGES, IDX_IMAGES_HEADER, size)
-    labels = idx_records(spark, label_path, IDX_LABELS, IDX_LABELS_HEADER, F.lit(1))
+    """IDX images and labels of any size, joined on the record number, as (image_id, pixels, label)."""
+    length, (count, height, width) = idx_header(spark, image_path, IDX_IMAGES, IDX_IMAGES_HEADER)
+    images = idx_records(spark, image_path, length, IDX_IMAGES_HEADER, count, height * width)
+    length, (count,) = idx_header(spark, label_path, IDX_LABELS, IDX_LABELS_HEADER)
+    labels = idx_records(spark, label_path, length, IDX_LABELS_HEADER, count, 1)
     return pair_rows(unpack(images, "pixels"), unpack(labels, "label"), "image_id")
 
 
-def unpack(chunks: DataFrame, out: str) -> DataFrame:
-    """Byte chunks to rows: values over 255 for pixels, the byte itself for labels."""
+def unpack(records: DataFrame, out: str) -> DataFrame:
+    """Records of one length to rows: values over 255 for pixels, the byte itself for labels."""
     pixels = out == "pixels"
     schema = T.StructType(
         [T.StructField("image_id", T.LongType()), T.StructField(out, VECTOR if pixels else T.IntegerType())]
@@ -196,25 +255,18 @@ def unpack(chunks: DataFrame, out: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                first, count, length = row["first"], row["count"], row["length"]
-                block = np.frombuffer(row["payload"], np.uint8)[: count * length].reshape(count, length)
-                keys = pa.array(np.arange(first, first + count), pa.int64())
+            if batch.num_rows:
+                block = np.frombuffer(b"".join(batch.column("record").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                 values = from_matrix(block / BYTE_SCALE) if pixels else pa.array(block[:, 0].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([keys, values], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("image_id"), values], names=schema.names)
 
-    return chunks.select("first", "count", "length", "payload").mapInArrow(decode, schema)
+    return records.select("image_id", "record").mapInArrow(decode, schema)
 
 
 def idx_dimensions(spark: SparkSession, image_path: str) -> Shape:
     """Height and width from the header of an IDX image file."""
-    head = (
-        spark.read.format("binaryFile")
-        .load(image_path)
-        .select(big_endian(F.col("content"), 8).alias("h"), big_endian(F.col("content"), 12).alias("w"))
-        .first()
-    )
-    return Shape(int(head["w"]), int(head["h"]), 1)
+    _, (_, height, width) = idx_header(spark, image_path, IDX_IMAGES, IDX_IMAGES_HEADER)
+    return Shape(width, height, 1)
 
 
 def read_matrix_csv(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
