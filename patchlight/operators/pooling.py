@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchlight.functions import vectors
-from patchlight.functions.batches import VECTOR, from_matrix, map_vectors
+from patchlight.functions.batches import BATCH_DOUBLES, VECTOR, from_matrix, map_vectors, rows_per_slice
 from patchlight.layout import Shape
 
 # A linear pool is a pair of matrices (rows, columns), each output x input.
@@ -114,8 +114,8 @@ def apply_sides(images: DataFrame, shape: Shape, sides: Sides) -> DataFrame:
 def resize_each(images: DataFrame, width: int, height: int, method: str = "bilinear") -> DataFrame:
     """Images of mixed size, as rows with ``width``, ``height``, ``n_channels`` and ``pixels``, forced to one size.
 
-    Each row is resampled by its own sides; rows without pixels keep a null. The
-    size columns take the new size.
+    Rows of one size in a batch are resampled together; rows without pixels keep a
+    null. The size columns take the new size. Rows may change their order in a task.
     """
     others = [c for c in images.columns if c not in ("width", "height", "n_channels", "pixels")]
     source = images.select(*others, *(F.col(c).cast("int").alias(c) for c in ("width", "height", "n_channels")), "pixels")
@@ -124,19 +124,25 @@ def resize_each(images: DataFrame, width: int, height: int, method: str = "bilin
     def resize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: dict[tuple[int, int], Sides] = {}
         for batch in batches:
-            pixels = batch.column("pixels")
-            sizes = [batch.column(c).to_pylist() for c in ("width", "height", "n_channels")]
-            for k, (w, h, c) in enumerate(zip(*sizes, strict=True)):
-                one = batch.slice(k, 1)
-                if not pixels[k].is_valid:
-                    yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([None], pa.list_(pa.float64()))], names=schema.names)
-                    continue
+            sizes = np.stack([batch.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in ("width", "height", "n_channels")], axis=1)
+            blank = batch.column("pixels").is_null().to_numpy(zero_copy_only=False)
+            if blank.any():
+                none = batch.take(pa.array(np.flatnonzero(blank)))
+                nulls = pa.nulls(none.num_rows, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*none.columns[:-1], nulls], names=schema.names)
+            for w, h, c in np.unique(sizes[~blank], axis=0).tolist():
                 if (w, h) not in sides:
                     sides[w, h] = resize_sides(Shape(w, h, 1), width, height, method)
-                cube = np.asarray(pixels[k].values, dtype=np.float64).reshape(1, h, w, c)
-                made = pool_cube(cube, sides[w, h]).reshape(1, -1)
-                named = [pa.array([width], pa.int32()), pa.array([height], pa.int32()), one.column("n_channels")]
-                yield pa.RecordBatch.from_arrays([*one.columns[: len(others)], *named, from_matrix(made)], names=schema.names)
+                rows = np.flatnonzero(~blank & (sizes == (w, h, c)).all(axis=1))
+                step = rows_per_slice((3 * w * h + width * height) * c, BATCH_DOUBLES)
+                for begin in range(0, len(rows), step):
+                    some = batch.take(pa.array(rows[begin : begin + step]))
+                    cube = np.asarray(some.column("pixels").flatten(), dtype=np.float64).reshape(-1, h, w, c)
+                    made = pool_cube(cube, sides[w, h]).reshape(len(cube), -1)
+                    named = [pa.array(np.full(len(cube), size, np.int32)) for size in (width, height)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*some.columns[: len(others)], *named, some.column("n_channels"), from_matrix(made)], names=schema.names
+                    )
 
     return source.mapInArrow(resize, schema)
 

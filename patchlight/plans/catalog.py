@@ -816,16 +816,134 @@ def layer_reload(spark, sf_dir):
     return rows(back, "pixels", ("first", "label", "split", "x_dim", "y_dim", "n_channels"))
 
 
+def stored_byte(v: Column) -> Column:
+    """A value in -1..1 as one of all 256 bytes."""
+    return F.pmod(F.floor((v + F.lit(1.0)) * F.lit(640.0)), F.lit(256)).cast("int")
+
+
+def hex_number(value: Column, digits: int) -> Column:
+    return F.lpad(F.hex(value), digits, "0")
+
+
+def byte_text(hex_digits: Column) -> Column:
+    """The bytes that hexadecimal digits name, for a text writer."""
+    return F.unhex(hex_digits).cast("string").alias("value")
+
+
 @query
 def fixed_width_binary_roundtrip(spark, sf_dir):
-    """Records of one label byte, 64 value bytes and a closing newline byte."""
+    """Records of a label byte, 64 value bytes from 0 to 255, four bytes of the id and a newline byte, row by row."""
     path = fresh_path(spark, "records")
-    byte = F.transform("pixels", lambda v: F.char(F.least(F.lit(126), F.greatest(F.lit(1), F.floor(v * 100 + 64).cast("int")))))
-    table = images(spark, sf_dir)
-    table.select(F.concat(F.char(F.col("label") + 1), F.array_join(byte, "")).alias("value")).write.text(path)
-    back = readers.read_fixed_records(spark, path, Shape(65, 1, 1), planes=False)
-    cells = long_rows(back, [(F.col("label") - 1).alias("label")], F.slice("pixels", 1, WIDTH), "pos")
-    return cells.groupBy("label", "pos").agg(F.count("*").alias("n"), shown(F.sum("v")).alias("total"))
+    body = F.array_join(F.transform("pixels", lambda v: hex_number(stored_byte(v), 2)), "")
+    record = F.concat(hex_number(F.col("label"), 2), body, hex_number(F.col("image_id"), 8))
+    images(spark, sf_dir).select(byte_text(record)).write.text(path)
+    back = readers.read_fixed_records(spark, path, Shape(WIDTH + 5, 1, 1), planes=False)
+    byte = lambda k: F.round(F.get("pixels", F.lit(WIDTH + k)) * 255).cast("bigint")
+    key = F.shiftleft(byte(0), 24) + F.shiftleft(byte(1), 16) + F.shiftleft(byte(2), 8) + byte(3)
+    return rows(back.select(key.alias("image_id"), "label", F.slice("pixels", 1, WIDTH).alias("pixels")), "pixels", ("image_id", "label"))
+
+
+@query
+def idx_roundtrip(spark, sf_dir):
+    """An IDX image file and an IDX label file of the table, in the order of the ids, read back by record number."""
+    path, table = fresh_path(spark, "idx"), images(spark, sf_dir)
+    body = F.array_join(F.transform("pixels", lambda v: hex_number(stored_byte(v), 2)), "")
+    cells = table.select("image_id", body.alias("body"), hex_number(F.col("label"), 2).alias("mark"))
+    # A file of this format is one value here, as it has no place for line breaks.
+    whole = cells.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("image_id", "body", "mark"))).alias("all"))
+    head = lambda *numbers: F.concat(*[hex_number(n if isinstance(n, Column) else F.lit(n), 8) for n in numbers])
+    joined = lambda field: F.array_join(F.transform("all", lambda r: r[field]), "")
+    whole.select(byte_text(F.concat(head(readers.IDX_IMAGES, F.col("n"), 8, 8), joined("body")))).coalesce(1).write.text(f"{path}/images")
+    whole.select(byte_text(F.concat(head(readers.IDX_LABELS, F.col("n")), joined("mark")))).coalesce(1).write.text(f"{path}/labels")
+    return rows(readers.read_idx(spark, f"{path}/images", f"{path}/labels"), "pixels", ("image_id", "label"))
+
+
+#: Sizes of the photos by their id: width and height.
+PHOTO_SIZES = [(8, 8), (16, 4), (4, 16)]
+PHOTO_LAYER = cv.Layer(Shape(8, 8, 3), 3, 4, seed=SEED, pool=2, pool_stride=2, bandwidth=0.05)
+
+
+def bitmap(pixels: Column, width: int, height: int) -> Column:
+    """Hexadecimal digits of a 24-bit bitmap file of grey pixels, lowest row first; rows need no padding."""
+    little = lambda n, size: int(n).to_bytes(size, "little").hex()
+    fields = ((54 + 3 * width * height, 4), (0, 4), (54, 4), (40, 4), (width, 4), (height, 4), (1, 2), (24, 2), (0, 4), (3 * width * height, 4), *[(0, 4)] * 4)
+    head = "424d" + "".join(little(*f) for f in fields)
+    order = [x + y * width for y in reversed(range(height)) for x in range(width)]
+    grey = F.transform(F.lit(order), lambda k: F.repeat(hex_number(stored_byte(F.get(pixels, k)), 2), 3))
+    return F.concat(F.lit(head), F.array_join(grey, ""))
+
+
+@query
+def labelled_photos(spark, sf_dir):
+    """Image files of three sizes, with the class in their folder's name, to features: list, look up, decode, resize, convolve."""
+    path, table = fresh_path(spark, "photos"), images(spark, sf_dir)
+    kind = F.col("image_id") % len(PHOTO_SIZES)
+    file = F.when(kind == 0, bitmap(F.col("pixels"), *PHOTO_SIZES[0])).when(kind == 1, bitmap(F.col("pixels"), *PHOTO_SIZES[1]))
+    file = file.otherwise(bitmap(F.col("pixels"), *PHOTO_SIZES[2]))
+    folder = F.concat(F.lit("n"), F.col("label"))
+    table.select(byte_text(file), folder.alias("kind"), F.col("image_id").alias("image")).repartition(8, "image").write.partitionBy("kind", "image").text(path)
+    labels = spark.createDataFrame([(f"n{k}", 2 * k) for k in range(CLASSES)], "key string, class int")
+    files = readers.read_labelled_files(spark, path, labels, r"/kind=(n\d+)/", "part-*")
+    photos = pooling.resize_each(readers.decoded_pixels(files), 8, 8)
+    keyed = photos.select(F.regexp_extract("path", r"/image=(\d+)/", 1).cast("bigint").alias("image_id"), "class", "pixels")
+    return rows(cv.layer_stack(keyed, [PHOTO_LAYER]), "features", ("image_id", "class"))
+
+
+@query
+def feature_glob(spark, sf_dir):
+    """Feature lines of every folder that a pattern names, in one scan; the id goes along as the first feature."""
+    path = fresh_path(spark, "glob")
+    keyed = F.concat(F.array(F.col("image_id").cast("double")), "features")
+    for half, part in enumerate(("layer0_train_features", "layer0_test_features")):
+        own = features(spark, sf_dir).where(F.col("label") % 2 == half).withColumn("features", keyed)
+        own.select(writers.number_text("features", "label")).write.text(f"{path}/{part}")
+    back = readers.feature_lines(spark, f"{path}/layer0_*_features/part*")
+    cut = back.select(F.get("features", F.lit(0)).cast("bigint").alias("image_id"), "label", F.slice("features", 2, WIDTH).alias("features"))
+    return rows(cut, "features", ("image_id", "label"))
+
+
+@query
+def whitener_csv_import(spark, sf_dir):
+    """A whitener whose matrix and means were stored as lines of numbers, applied to patches."""
+    path, table = fresh_path(spark, "whitener"), images(spark, sf_dir)
+    model = whitening.fit_patch_whitener(table, FLAT, 5)
+    for name, values in (("matrix", model.matrix), ("means", model.mean[:, None])):
+        lines = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(values)], "k int, row array<double>")
+        lines.sort("k").coalesce(1).select(writers.number_text("row")).write.text(f"{path}/{name}")
+    imported = writers.import_whitener(spark, f"{path}/matrix", f"{path}/means")
+    return rows(imported.transform(patches.extract_patches(table, FLAT, 5), "patch"), "patch", ("image_id", "x0", "y0"))
+
+
+@query
+def run_records(spark, sf_dir):
+    """Records of two runs, appended to a results table and read back as (n_classes, field, value)."""
+    path, table = fresh_path(spark, "records"), features(spark, sf_dir)
+    for classes in (CLASSES, CLASSES // 2):
+        sizes = {str(label): n for label, n in linear.class_counts(table.where(F.col("label") < classes)).items()}
+        writers.append_run(spark, {"solve": {"classes": classes}, "rows": sizes, "n": sum(sizes.values())}, path)
+    records = writers.read_runs(spark, path)
+    return records.select(F.col("record")["solve_classes"].cast("int").alias("n_classes"), F.explode("record").alias("field", "value"))
+
+
+@query
+def file_list(spark, sf_dir):
+    """Files of a table of lines by folder, and their bytes, without reading them."""
+    path = fresh_path(spark, "files")
+    line = F.concat_ws(",", "image_id", "label")
+    halves(images(spark, sf_dir)).select(line.alias("value"), "split").repartition(4, "value").write.partitionBy("split").text(path)
+    listed = readers.list_files(spark, path, "part-*").where("length > 0")
+    split = F.regexp_extract("path", "/split=([a-z]+)/", 1)
+    return listed.groupBy(split.alias("split")).agg(F.sum("length").alias("bytes"))
+
+
+@query
+def stage_counters(spark, sf_dir):
+    """Counters that fill in while a layer's inputs are cut: images, and patches with their values."""
+    table, seen = statistics.observed(images(spark, sf_dir), "images", n=statistics.patch_count(FLAT, 5))
+    cut, found = statistics.observed(patches.extract_patches(table, FLAT, 5), "patches", n=F.sum(F.size("patch")).cast("bigint"))
+    cut.write.format("noop").mode("overwrite").save()
+    kinds = "stage string, n_rows bigint, n_inside bigint"
+    return spark.createDataFrame([(name, o.get["rows"], o.get["n"]) for name, o in (("images", seen), ("patches", found))], kinds)
 
 
 @query

@@ -1212,9 +1212,42 @@ ORACLES["matrix_csv_roundtrip"] = q.then(
 )
 ORACLES["dataset_roundtrip"] = q.then(long("'e' || image_id AS name, label, pos AS j", "cells"))
 ORACLES["split_table_roundtrip"] = q.then(long(f"image_id, {HALF}, label, pos AS j", "cells"))
-ORACLES["fixed_width_binary_roundtrip"] = q.then(
-    f"SELECT label, pos, count(*) AS n, {shown('sum(least(126, greatest(1, floor(v * 100 + 64))) / CAST(255 AS DOUBLE))')} AS total"
-    " FROM cells GROUP BY label, pos"
+BYTE = "CAST(floor((v + 1) * 640) AS INTEGER) % 256"
+ORACLES["fixed_width_binary_roundtrip"] = q.then(long("image_id, label, pos AS j", "cells", f"{BYTE} / CAST(255 AS DOUBLE)"))
+ORACLES["idx_roundtrip"] = q.then(
+    long("image_id, label, pos AS j", f"(SELECT dense_rank() OVER (ORDER BY image_id) - 1 AS image_id, label, pos, {BYTE} / CAST(255 AS DOUBLE) AS v FROM cells)")
+)
+ORACLES["feature_glob"] = q.then(long("image_id, label, pos AS j", "cells"))
+ORACLES["whitener_csv_import"] = ORACLES["whitener_roundtrip"]
+ORACLES["run_records"] = """
+WITH n AS (SELECT c.classes AS n_classes, label, count(*) AS n FROM embeddings, (VALUES (10), (5)) c(classes) WHERE label < c.classes GROUP BY ALL)
+SELECT n_classes, 'solve_classes' AS field, CAST(n_classes AS VARCHAR) AS value FROM n GROUP BY n_classes
+UNION ALL SELECT n_classes, 'n', CAST(CAST(sum(n) AS BIGINT) AS VARCHAR) FROM n GROUP BY n_classes
+UNION ALL SELECT n_classes, 'rows_' || label, CAST(n AS VARCHAR) FROM n"""
+ORACLES["file_list"] = f"SELECT {HALF}, CAST(sum(strlen(vec_id || ',' || label) + 1) AS BIGINT) AS bytes FROM embeddings GROUP BY 1"
+ORACLES["stage_counters"] = """
+SELECT 'images' AS stage, count(*) AS n_rows, CAST(count(*) * 16 AS BIGINT) AS n_inside FROM embeddings
+UNION ALL SELECT 'patches', CAST(count(*) * 16 AS BIGINT), CAST(count(*) * 16 * 25 AS BIGINT) FROM embeddings"""
+
+# Photos of three sizes, resized to one and sent through a layer.
+q = Sql()
+q.values()
+sizes = []
+for k, (w, h) in enumerate(((8, 8), (16, 4), (4, 16))):
+    resample(q, f"across{k}", w, 8)
+    resample(q, f"down{k}", h, 8)
+    sizes.append(
+        f"SELECT image_id, a.o AS x, b.o AS y, sum({BYTE} * a.w * b.w) AS v FROM cells JOIN across{k} a ON a.i = pos % {w} JOIN down{k} b ON b.i = pos // {w}"
+        f" WHERE image_id % 3 = {k} GROUP BY image_id, a.o, b.o"
+    )
+q.add("im", f"SELECT image_id, x, y, CAST(c AS INTEGER) AS c, v FROM ({' UNION ALL '.join(sizes)}), range(3) t(c)")
+q.patches("p", "im", 8, 8, 3, 3)
+q.bank("bank", 4, 27, SEED, 0.05)
+q.phases("phase", 4, SEED)
+q.conv("out", "p", "bank", "phase", "offset")
+q.pool("pooled", "out", 6, 6, 2, 2, "sum(v) / 4")
+ORACLES["labelled_photos"] = q.then(
+    f"SELECT image_id, label * 2 AS \"class\", CAST(c + x * 4 + y * 12 AS INTEGER) AS j, {shown('v')} AS v FROM pooled JOIN embeddings ON vec_id = image_id"
 )
 
 q = Sql()

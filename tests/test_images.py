@@ -236,3 +236,19 @@ def test_floats_are_widened_inside_tasks(spark):
     floats = cv.layer_stack(narrow, [layer], as_float=True)
     assert floats.schema["features"].dataType.simpleString() == "array<float>"
     assert np.array_equal(collected(floats, "features"), want.astype(np.float32))
+
+
+def test_images_of_one_size_are_resampled_together(spark):
+    rng = np.random.default_rng(9)
+    sizes = [(4, 3, 1), (2, 6, 3), (4, 3, 3)]
+    rows = [(k, *sizes[k % 3], rng.normal(size=int(np.prod(sizes[k % 3]))).tolist()) for k in range(60)] + [(99, None, None, None, None)]
+    table = spark.createDataFrame(rows, "image_id bigint, width int, height int, n_channels int, pixels array<double>").coalesce(1)
+    whole = pooling.resize_each(table, 5, 2)
+    assert whole.count() == 61
+    got = {r["image_id"]: r for r in whole.collect()}
+    assert got[99]["pixels"] is None
+    for k, w, h, c, pixels in rows[:60]:
+        alone = pooling.resize(spark.createDataFrame([(k, pixels)], "image_id bigint, pixels array<double>"), Shape(w, h, c), 5, 2) if k < 6 else None
+        assert (got[k]["width"], got[k]["height"], got[k]["n_channels"]) == (5, 2, c) and len(got[k]["pixels"]) == 10 * c
+        if alone is not None:
+            assert np.allclose(alone.first()["pixels"], got[k]["pixels"])

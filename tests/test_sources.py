@@ -200,3 +200,46 @@ def test_run_records_are_appended(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_records_of_files_keep_their_ids_under_any_split(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    shape = Shape(3, 1, 1)
+    files = {f"part-{k}": rng.integers(0, 256, size=(n, 4), dtype=np.uint8) for k, n in enumerate((1, 7, 1000))}
+    for name in sorted(files, reverse=True):
+        (tmp_path / name).write_bytes(files[name].tobytes())
+    want = {k * readers.FILE_RECORDS + i: r.tolist() for k, name in enumerate(sorted(files)) for i, r in enumerate(files[name])}
+    for most in ("128m", "64"):
+        spark.sparkContext._jsc.hadoopConfiguration().set("mapreduce.input.fileinputformat.split.maxsize", {"128m": str(1 << 27)}.get(most, most))
+        rows = readers.read_fixed_records(spark, str(tmp_path), shape, planes=False).collect()
+        assert {r.image_id: [r.label, *np.rint(np.array(r.pixels) * 255).astype(int).tolist()] for r in rows} == want
+    spark.sparkContext._jsc.hadoopConfiguration().unset("mapreduce.input.fileinputformat.split.maxsize")
+    (tmp_path / "odd").write_bytes(b"12345")
+    with pytest.raises(ValueError, match="odd"):
+        readers.read_fixed_records(spark, str(tmp_path), shape)
+
+
+@pytest.mark.parametrize("piece", [1, 5, 64, 1 << 16])
+def test_idx_records_that_lie_in_two_pieces(spark, tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(readers, "PIECE_BYTES", piece)
+    pixels = np.random.default_rng(6).integers(0, 256, size=(40, 3, 5), dtype=np.uint8)
+    (tmp_path / "images").write_bytes(struct.pack(">iiii", 2051, 40, 3, 5) + pixels.tobytes() + b"tail")
+    (tmp_path / "labels").write_bytes(struct.pack(">ii", 2049, 40) + bytes(range(40)))
+    rows = readers.read_idx(spark, str(tmp_path / "images"), str(tmp_path / "labels")).toPandas().sort_values("image_id")
+    assert rows["label"].tolist() == list(range(40)) and np.allclose(np.stack(rows["pixels"]) * 255, pixels.reshape(40, -1))
+    (tmp_path / "short").write_bytes(struct.pack(">iiii", 2051, 41, 3, 5) + pixels.tobytes())
+    with pytest.raises(ValueError, match="too few"):
+        readers.read_idx(spark, str(tmp_path / "short"), str(tmp_path / "labels"))
+
+
+def test_line_numbers_are_summed_on_two_levels(spark, tmp_path, monkeypatch):
+    plans = []
+    keep = readers.written
+    monkeypatch.setattr(readers, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
+    for part in range(20):
+        (tmp_path / f"p{part:02d}").write_text("".join(f"{part}-{k}\n" for k in range(part)))
+    rows = readers.numbered_lines(spark, str(tmp_path)).collect()
+    want = [f"{part}-{k}" for part in range(20) for k in range(part)]
+    assert [r["value"] for r in sorted(rows, key=lambda r: r["line_no"])] == want and sorted(r["line_no"] for r in rows) == list(range(len(want)))
+    windows = [w for p in plans for w in p.split("windowspecdefinition(")[1:]]
+    assert windows and all(w.startswith(("path", "part")) for w in windows)
