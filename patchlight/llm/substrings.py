@@ -12,9 +12,9 @@ segment, about one for every 35 bytes.
    all their windows, and the first of them stays.
 2. Segments with one gram but different bytes, the borders of repeats, are the
    only ones whose windows are compared one by one. Their bytes meet by gram, and
-   a task compares the windows of some grams at a time; the windows of grams with
-   many borders are rows of their own, shuffled by (gram, hash), so that no gram is
-   one task's work.
+   a task compares the windows of some grams at a time; grams with many borders are
+   dealt to several tasks, whose first windows are rows of their own, shuffled by
+   (gram, hash), so that no gram is one task's work.
 3. Spans of repeats go back to their texts, which lose them.
 
 Nothing is paired, groups are sorted on disk and streamed, and all joins with the
@@ -221,23 +221,26 @@ def windows_of(gram: np.ndarray, doc: np.ndarray, packed: np.ndarray, held: list
 
 
 def border_texts(placed: DataFrame, borders: DataFrame, length: int) -> DataFrame:
-    """(gram, doc, place, part) of the segments in ``borders(doc, places, grams)``: their bytes, cut from the texts."""
+    """(gram, border, doc, place, part) of the segments in ``borders(doc, places, grams, sizes)``: their bytes, cut from the texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in tx.slices(batches):
-            columns: list[list] = [[], [], [], []]
-            for doc, text, places, grams in zip(part.column("doc").to_pylist(), texts, part.column("places"), part.column("grams"), strict=True):
+            columns: list[list] = [[], [], [], [], []]
+            lists = (part.column(c) for c in ("places", "grams", "sizes"))
+            for doc, text, places, grams, sizes in zip(part.column("doc").to_pylist(), texts, *lists, strict=True):
                 packed = places.values.to_numpy()
                 tie, place, count = unpack(packed)
                 mine = np.flatnonzero(tie == tie_of(text))
                 columns[0].append(grams.values.to_numpy()[mine])
-                columns[1].append(np.full(len(mine), doc))
-                columns[2].append(packed[mine])
-                columns[3].extend(text[place[k] : place[k] + count[k] - 1 + length] for k in mine.tolist())
-            arrays = [pa.array(np.concatenate(c)) for c in columns[:3]]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(columns[3], pa.binary())], names=["gram", "doc", "place", "part"])
+                columns[1].append(sizes.values.to_numpy()[mine])
+                columns[2].append(np.full(len(mine), doc))
+                columns[3].append(packed[mine])
+                columns[4].extend(text[place[k] : place[k] + count[k] - 1 + length] for k in mine.tolist())
+            arrays = [pa.array(np.concatenate(c)) for c in columns[:4]]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(columns[4], pa.binary())], names=["gram", "border", "doc", "place", "part"])
 
-    return placed.join(borders, "doc").select("doc", "text", "places", "grams").mapInArrow(cut, "gram long, doc long, place long, part binary")
+    kind = "gram long, border long, doc long, place long, part binary"
+    return placed.join(borders, "doc").select("doc", "text", "places", "grams", "sizes").mapInArrow(cut, kind)
 
 
 def repeats_in_task(parts: DataFrame, length: int) -> DataFrame:
@@ -269,7 +272,11 @@ def repeats_in_task(parts: DataFrame, length: int) -> DataFrame:
 
 
 def repeats_by_window(parts: DataFrame, length: int) -> DataFrame:
-    """The same for grams with many borders: every window is a row, and equal windows meet by (gram, hash)."""
+    """The same for grams with many borders, which are dealt to as many tasks as they need.
+
+    What a task knows to repeat goes on as spans; only the first of equal windows of
+    a task is a row of its own, and those of all tasks meet by (gram, hash).
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,11 +284,16 @@ def repeats_by_window(parts: DataFrame, length: int) -> DataFrame:
                 rows = batch.slice(start, BORDERS)
                 gram, doc, place = (rows.column(c).to_numpy() for c in ("gram", "doc", "place"))
                 columns, again = firsts(windows_of(gram, doc, place, rows.column("part").to_pylist(), length), 2)
-                arrays = [pa.array(x) for x in (low32(columns[0]), *columns[1:], again)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["gram", "whole", "doc", "place", "again"])
-
-    windows = parts.mapInArrow(spread, WINDOW)
-    first = F.first(F.struct("doc", "place")).over(Window.partitionBy("gram", "whole").orderBy("doc", "place"))
+                docs, places = merged(columns[2][again], columns[3][again])
+                # Spans have no gram; the place spreads them.
+                spans = [low32(tx.mixed(places.astype(np.uint64)).view(np.int64)), np.zeros(len(docs), np.int64), docs, places, np.ones(len(docs), bool)]
+                kept = [low32(columns[0][~again]), *(c[~again] for c in columns[1:]), np.zeros(int((~again).sum()), bool)]
+                for some in (kept, spans):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in some], names=["gram", "whole", "doc", "place", "again"])
+
+    share = F.pmod(F.xxhash64("doc"), F.ceil(F.col("border") / BORDERS))
+    windows = parts.repartition("gram", share).sortWithinPartitions("gram").mapInArrow(spread, WINDOW)
+    first = F.first(F.struct("doc", "place")).over(Window.partitionBy("again", "gram", "whole").orderBy("doc", "place"))
     return windows.withColumn("first", first).where(F.col("again") | (F.col("first") != F.struct("doc", "place"))).select("doc", "place")
 
 
@@ -325,8 +337,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     placed = docs.select(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).repartition("doc")
 
     def parts(which) -> DataFrame:
-        own = level.where(which).groupBy("doc").agg(F.collect_list(F.struct("place", "gram")).alias("b"))
-        return border_texts(placed, own.select("doc", F.col("b.place").alias("places"), F.col("b.gram").alias("grams")), length)
+        own = level.where(which).groupBy("doc").agg(F.collect_list(F.struct("place", "gram", "border")).alias("b"))
+        named = own.select("doc", F.col("b.place").alias("places"), F.col("b.gram").alias("grams"), F.col("b.border").alias("sizes"))
+        return border_texts(placed, named, length)
 
     few = repeats_in_task(parts(F.col("border") <= MANY), length)
     many = repeats_by_window(parts(F.col("border") > MANY), length)

@@ -151,6 +151,20 @@ def test_substrings_of_periodic_and_shifted_texts(spark):
     assert got == sorted(substring_rows(sorted(rows)))
 
 
+def test_substrings_of_a_gram_with_thousands_of_borders(spark, monkeypatch):
+    """One passage with other bytes round it in each of many texts, as many rows, and in groups of few borders."""
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    block = letters(70)
+    rows = [(k, letters(rng.randrange(20, 60)) + block + letters(rng.choice([5, 40, 80]))) for k in range(2500)]
+    rows += [(3000 + k, rows[37 * k][1][10:] + letters(3)) for k in range(60)]
+    want = sorted(substring_rows(rows))
+    assert sum(r[2] > 0 for r in want) > 50
+    monkeypatch.setattr(substrings, "BORDERS", 300)
+    got = substrings.deduplicated(documents(spark, [(*r, "en", "s") for r in rows]))
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_substring_pieces_agree_with_whole_texts(spark, monkeypatch):
     rng = random.Random(5)
     text = "".join(rng.choice("abcdefgh") for _ in range(3000))
