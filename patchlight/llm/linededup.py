@@ -1,11 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap when they share a line of some words. A line held by few
-documents pairs each with every earlier holder; a line held by more pairs each
-with its first holder, so the pairs grow with the lines and not with the square
-of a group, and every shared line is in a compared pair. Each pair is aligned by
-patience diff over line hashes, and common blocks of enough words are deleted
-from the later document.
+Documents overlap when they share a rare line of some words: each holder is paired
+with every earlier one. Lines that many documents hold, and short ones, count by
+the runs they stand in: the fewest consecutive lines from a line on, or up to it,
+that hold the words of a block. Each holder of a run is paired with the run's first
+holder, and with the first in some shares of the documents, so pairs grow with the
+lines and not with the square of a group. Every line of a block that two
+documents share stands in such a run inside the block, and so in a compared pair.
+Alignment may still leave a run out where its lines stand in another order in all of these
+first holders; that is what comparing all pairs could find beyond this.
+Each pair is aligned by patience diff over line hashes, and common blocks of enough
+words are deleted from the later document.
 
 Only hashes of lines are joined; texts move once, to lose their lines. All joins
 are plain sort-merge joins, whose large partitions Spark splits, so a line or a
@@ -18,10 +23,12 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchlight.llm import texts as tx
 from patchlight.llm.registry import query, table
 from patchlight.llm.texts import WORD_PATTERN
 from patchlight.session import written
@@ -29,11 +36,13 @@ from patchlight.session import written
 
 @dataclass(frozen=True)
 class Settings:
-    """Words of a line that pairs documents; holders up to which a line is rare; words of a block that is deleted."""
+    """Words of a rare line that pairs documents; holders up to which a line is rare; words of a block that is deleted;
+    shares of the documents (by a hash) whose first holder of a run the later holders meet."""
 
     anchor_words: int = 5
     rare: int = 4
     block_words: int = 10
+    firsts: int = 4
 
 
 def patience_matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -97,9 +106,38 @@ def common_blocks(later: list[int], earlier: list[int], words: list[int], least:
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Rows with the order of documents: doc_id, then a hash of the text for repeated ids."""
-    return docs.withColumn("_key", order_key(F.col("doc_id"), F.col("text")))
+def runs_of(lines: np.ndarray, words: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document number and hash of the shortest runs of lines with ``least`` words from each line on and up to each line.
+
+    ``offsets`` bound the lines of each document. A run that a document has twice is one.
+    """
+    held = np.concatenate(([0], np.cumsum(words)))
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    place = np.arange(len(lines))
+    stop = np.searchsorted(held, held[:-1] + least, "left")
+    inside = stop <= offsets[1:][owner]
+    start = np.searchsorted(held, held[1:] - least, "right") - 1
+    after = (start >= offsets[:-1][owner]) & (held[1:] - least >= held[offsets[:-1][owner]])
+    sums = tx.PrefixHash(tx.mixed(lines.view(np.uint64)))
+    low, high = np.concatenate((place[inside], start[after])), np.concatenate((stop[inside], place[after] + 1))
+    found = np.stack((np.concatenate((owner[inside], owner[after])), sums.spans(low, high).view(np.int64)))
+    found = np.unique(found, axis=1)
+    return found[0], found[1]
+
+
+def runs(held: DataFrame, least: int) -> DataFrame:
+    """(key, run) of every run of every document in ``held(key, lines, words)``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column("lines")
+            if not len(lines):
+                continue
+            offsets = lines.offsets.to_numpy()
+            owner, run = runs_of(lines.flatten().to_numpy(), batch.column("words").flatten().to_numpy(), offsets - offsets[0], least)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner)), pa.array(run)], names=["key", "run"])
+
+    return held.select("key", "lines", "words").mapInArrow(cut, "key struct<doc_id:bigint,hash:bigint>, run bigint")
 
 
 def order_key(doc_id: Column, text: Column) -> Column:
@@ -124,13 +162,16 @@ def removals(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     spread = held.select("key", zipped.alias("z")).where(F.col("z.words") >= settings.anchor_words)
     holders = spread.select("key", F.col("z.lines").alias("line")).distinct()
     holders = written(holders, "holders")
-    shared = holders.groupBy("line").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1")
-    shared = written(shared, "shared")
-    marked = holders.join(shared, "line")
-    few = marked.where(F.col("n") <= settings.rare).select("line", "key")
+    shared = holders.groupBy("line").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= settings.rare))
+    few = written(holders.join(shared.select("line"), "line"), "rare")
     before = few.select("line", F.col("key").alias("earlier"))
     pairs = few.join(before, "line").where(F.col("earlier") < F.col("key")).select("key", "earlier")
-    many = marked.where((F.col("n") > settings.rare) & (F.col("first") < F.col("key"))).select("key", F.col("first").alias("earlier"))
+    cut = written(runs(held, settings.block_words), "runs")
+    share = F.pmod(F.xxhash64("key"), F.lit(settings.firsts))
+    firsts = F.array(*[F.min(F.when(share == k, F.col("key"))) for k in range(settings.firsts)])
+    first = cut.groupBy("run").agg(F.count("*").alias("n"), firsts.alias("firsts")).where("n > 1").select("run", "firsts")
+    before = F.filter("firsts", lambda x: x < F.col("key"))
+    many = cut.join(first, "run").select("key", F.explode(before).alias("earlier")).distinct()
     pairs = written(pairs.union(many).distinct(), "pairs")
     other = held.select(F.col("key").alias("earlier"), F.col("lines").alias("other"))
     ready = pairs.join(held, "key").join(other, "earlier").select("key", "earlier", "lines", "words", "other")
@@ -159,7 +200,11 @@ def without_lines(text: Column, places: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(row, places, earlier, new_text) of every row; ``row`` holds all its columns as they are."""
+    """(row, places, earlier, new_text) of every row; ``row`` holds all its columns as they are.
+
+    Rows without an id or a text keep theirs, ``places`` and ``earlier`` are null where
+    nothing is deleted, blank lines are lines of no word, and an empty table gives an empty one.
+    """
     cut = written(removals(docs, settings), "cuts")
     cut = cut.select(F.col("key.doc_id").alias("cut_id"), F.col("key.hash").alias("cut_hash"), "places", "earlier")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("cut_id"), F.xxhash64("text").alias("cut_hash"))
@@ -169,7 +214,11 @@ def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def deduplicated_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with the text left over; rows that lose all their words this way go, and n_chars follows the text where it is a column."""
+    """``docs`` with the text left over; rows that lose all their words this way go, and n_chars follows the text where it is a column.
+
+    Null, empty and blank texts and rows without an id stay as they are; rows that
+    repeat an id and a text lose the same lines; other columns stay as they are.
+    """
     done = deduplicated(docs, settings)
     done = done.where(F.col("places").isNull() | F.col("new_text").rlike(WORD_PATTERN))
     changed = {"text": F.col("new_text"), "n_chars": F.when(F.col("places").isNull(), F.col("row.n_chars")).otherwise(F.length("new_text").cast("long"))}

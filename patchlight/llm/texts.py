@@ -81,11 +81,12 @@ class PrefixHash:
     """A hash of any span of a buffer in constant time: sums of byte times a power of an odd base, mod 2^64."""
 
     def __init__(self, buffer: np.ndarray):
+        """A table of random values per byte keeps close bytes from giving close hashes; 64-bit values are taken as they are."""
         n = len(buffer)
+        values = _BYTE_VALUES[buffer] if buffer.dtype == np.uint8 else buffer
         self.powers, self.inverse = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
         self.sums = np.zeros(n + 1, U64)
-        # A table of random values per byte keeps close bytes from giving close hashes.
-        np.cumsum(_BYTE_VALUES[buffer] * self.powers[:n], out=self.sums[1:])
+        np.cumsum(values * self.powers[:n], out=self.sums[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(U64))
