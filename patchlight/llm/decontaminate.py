@@ -237,7 +237,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in which no item occurs, with all their columns as they are."""
+    """The rows of ``docs`` in which no item occurs, with all their columns as they are.
+
+    Null and empty texts hold no item and stay, as do all rows where there are no
+    items; repeated rows and null ids are like any other; an empty table gives an empty one.
+    """
     schema = docs.schema
     for index in blocks(benchmark, q, rate, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -398,7 +398,11 @@ def judged(docs: DataFrame, judges: dict[str, Judge | None], rules: Rules = Rule
 
 
 def kept_documents(docs: DataFrame, judges: dict[str, Judge | None], rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns as they are."""
+    """The rows of ``docs`` that the rules keep, with all their columns as they are.
+
+    Null, empty and blank texts fail the base rules and go; repeated rows and null
+    ids are judged like any other; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(judges)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import xxhash
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
-from patchlight.llm import linededup, paragraphs, simhash, substrings
+from patchlight.llm import components, linededup, paragraphs, simhash, substrings
 from patchlight.llm.components import connected_components
 
 from .conftest import documents, odd_rows, sentence
@@ -37,7 +37,9 @@ class Sets:
         self.up[max(a, b)] = min(a, b)
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("few", [0, 12, 60, 100_000])
+def test_components_match_union_find(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(60)] + [(500, 500 + k) for k in range(1, 80)] + [(900 + k, 890) for k in range(9)]
     edges += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(110)] + [(5, 5), (None, 3), (3, None), (7, 8)]
@@ -48,6 +50,10 @@ def test_components_match_union_find(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: sets.root(x) for x in sets.up}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    pairs = spark.createDataFrame(edges, "a bigint, b bigint").where("a is not null and b is not null")
+    named = pairs.select(F.struct(F.col("a").alias("x"), F.lit(1).alias("y")).alias("a"), F.struct(F.col("b").alias("x"), F.lit(1).alias("y")).alias("b"))
+    got = {r.node.x: r.component.x for r in connected_components(named).collect()}
+    assert got == {x: sets.root(x) for x in sets.up}
 
 
 def fingerprint(text):
