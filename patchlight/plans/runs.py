@@ -107,21 +107,21 @@ def stored_whitener(train: DataFrame, conf: FeatureConf, folder: str, load: bool
     if not conf.whitens:
         return None
     spark, path = train.sparkSession, f"{folder}/{conf.prefix(1).feature_id}_whitener"
-    if not (load and path_exists(spark, f"{path}/_SUCCESS")):
-        write_whitener(spark, fit_first_whitener(train, conf), path, mode="overwrite")
-    return read_whitener(spark, path)
+    if load and path_exists(spark, f"{path}/_SUCCESS"):
+        return read_whitener(spark, path)
+    whitener = fit_first_whitener(train, conf)
+    write_whitener(spark, whitener, path, mode="overwrite")
+    return whitener
 
 
 def split_features(
     train: DataFrame, test: DataFrame, conf: FeatureConf, folder: str, layers: int | None = None, load_whitener: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Stored features of both splits, from a stored layer on if ``layers`` says so."""
+    """Stored features of both splits, from a stored layer on if ``layers`` says so. One table for both splits is stored once."""
     whitener = stored_whitener(train, conf, folder, load_whitener)
     named = {split: replace(conf, dataset=f"{conf.dataset}-{split}") for split in ("train", "test")}
-    return (
-        featurize_stored(train, named["train"], folder, layers, whitener),
-        featurize_stored(test, named["test"], folder, layers, whitener),
-    )
+    first = featurize_stored(train, named["train"], folder, layers, whitener)
+    return first, first if test is train else featurize_stored(test, named["test"], folder, layers, whitener)
 
 
 def run(
@@ -152,11 +152,12 @@ def run(
         train_rows = featurize(train, features, whitener).persist(StorageLevel.MEMORY_AND_DISK)
         test_rows = featurize(test, features, whitener)
     model = fit(train_rows, solve)
+    seen = evaluate(train_rows, model, solve.top_k)
     record = {
         "features": asdict(features),
         "solve": asdict(solve),
-        "train": evaluate(train_rows, model, solve.top_k),
-        "test": evaluate(test_rows, model, solve.top_k),
+        "train": seen,
+        "test": dict(seen) if test is train else evaluate(test_rows, model, solve.top_k),
         "seconds": round(time.time() - started, 3),
     }
     if not folder:
