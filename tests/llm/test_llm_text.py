@@ -310,6 +310,20 @@ def test_counts_of_odd_rows(odd, none):
     assert quality.judged(none, {}).count() == 0 and quality.kept_documents(none, {}).count() == 0
 
 
+def test_quality_query_counts_like_plain_loops(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    rows = QUERIES["op8_quality_rules"](spark, SF_DIR).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        want = plain_counts(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        rules = quality.Rules()
+        judged = r.good_probability >= rules.least_good and r.toxic_probability < rules.most_toxic
+        assert r.kept == (not r.base_failed and judged)
+    assert 0.3 < sum(r.kept for r in rows) / len(rows) < 0.95
+
+
 def test_judges_on_held_out_rows(spark):
     folder = SF_DIR.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
