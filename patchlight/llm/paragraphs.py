@@ -1,14 +1,13 @@
 """Substring dedup by MinHash banding of paragraphs.
 
 Equal paragraphs fold into classes first. Classes that share a band of their
-signature meet in a bucket; every member is compared with the most central member
-of its bucket, not with every other, and linked ones become one group. What this
-leaves in a bucket of several groups is signed anew with other hashes and more of
-them in a band, so that buckets get smaller and more alike, and is compared with
-some hubs that chance picks, unless it already is in the group of the hub. Rounds go
-on until one has linked nothing, so rows stay in proportion to the classes in every
-round. Compared pairs are verified by the exact Jaccard
-similarity of their shingles, and components of the links are the groups
+signature meet in a bucket; every member is first compared with the most central member
+of its bucket, and linked ones become one group. In every bucket that this leaves
+with several groups all members of different groups are then compared, in tasks that
+read a bucket, or two blocks of a large one, and multiply its table of classes and
+shingles by itself piece by piece. So no pair that shares a band is left out, while rows are
+classes in buckets and the links that join groups. Similarity is the exact Jaccard
+similarity of shingles, and components of the links are the groups
 of which the first paragraph stays.
 
 Paragraphs are the lines of a text, or whole texts (``Settings.whole``), which is
@@ -240,61 +239,119 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-#: Hubs of a bucket in a round, rounds at most, bands of a round, and by how much they are longer than the first ones, round after round.
-HUBS, MOST_ROUNDS = 3, 30
-BANDS, LONGER = 10, (2, 4, 6)
+#: Classes of a bucket that meet in one task; larger buckets are cut into blocks of half as many, of which every two meet.
+MEET = 4096
+#: Numbers in a table of classes and shingles that are multiplied at a time.
+CELLS = 1 << 22
 
 
-def resigned(sets: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
-    """(class, n, bucket) of every band of every class in ``sets``, with hashes of the seed; ``n`` are its shingles."""
+def links_among(groups: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of sets, given one after another in ``shingles``, that join all groups with a similar pair of sets between them.
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every pair of sets in different groups is compared, but for those of too unequal sizes.
+    """
+    order = np.argsort(sizes, kind="stable")
+    ranked = sizes[order]
+    begins = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(ranked) - ranked, ranked) + np.repeat(begins[order], ranked)
+    owner = np.repeat(np.arange(len(order)), ranked)
+    _, number, times = np.unique(shingles[at], return_inverse=True, return_counts=True)
+    # What one set holds alone is in no intersection.
+    held = times[number] > 1
+    owner, number = owner[held], number[held]
+    bounds = np.searchsorted(owner, np.arange(len(order) + 1))
+    column = np.full(len(times), -1)
+    up = np.unique(groups[order], return_inverse=True, return_index=True)
+    up = up[1][up[2]]
+    found = []
+    low = 0
+    while low < len(order):
+        step = max(1, min(256, int((CELLS / max(ranked[min(low + 255, len(order) - 1)], 1)) ** 0.5)))
+        high = min(low + step, len(order))
+        # Sets are in the order of their sizes, so those that may be alike are next to each other.
+        last = int(np.searchsorted(ranked, ranked[high - 1] / threshold, "right"))
+        mine = number[bounds[low] : bounds[high]]
+        names = np.unique(mine)
+        if len(names) and (up[low:last] != up[low]).any():
+            column[names] = np.arange(len(names))
+            left = np.zeros((high - low, len(names)), np.float32)
+            left[owner[bounds[low] : bounds[high]] - low, column[mine]] = 1
+            wide = max(1, CELLS // len(names))
+            for start in range(low, last, wide):
+                stop = min(start + wide, last)
+                theirs = column[number[bounds[start] : bounds[stop]]]
+                inside = theirs >= 0
+                right = np.zeros((stop - start, len(names)), np.float32)
+                right[owner[bounds[start] : bounds[stop]][inside] - start, theirs[inside]] = 1
+                # Whole numbers below 2^24 are exact.
+                common = (left @ right.T).astype(np.float64)
+                like = common >= threshold * (ranked[low:high, None] + ranked[None, start:stop] - common)
+                for i, j in np.argwhere(like & (up[low:high, None] != up[None, start:stop])).tolist():
+                    i, j = i + low, j + start
+                    if up[i] != up[j]:
+                        found.append((int(order[i]), int(order[j])))
+                        up[up == up[j]] = up[i]
+            column[names] = -1
+        low = high
+    return found
+
+
+def links_in_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, group_a, group_b): links between the groups in ``members(bucket, class, group)``.
+
+    In every bucket of several groups all classes of different groups are compared by
+    their whole shingle sets, whatever the size of the bucket; of the links found, those that join groups are returned.
+    """
+    several = members.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size")).where("low <> high")
+    met = members.join(several.select("bucket", "size"), "bucket")
+    # Each two blocks of a large bucket meet, and so do the classes of one block.
+    blocks = F.when(F.col("size") > MEET, F.ceil(F.col("size") / (MEET // 2))).otherwise(1)
+    met = met.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
+    pairs = F.filter(others, lambda p: (p["i"] < p["j"]) | (F.col("blocks") == 1))
+    met = met.select("class", "group", "bucket", F.explode(pairs).alias("pair")).select("class", "group", F.xxhash64("bucket", "pair").alias("place"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            column = batch.column("shingles")
-            if not len(column):
-                continue
-            begin = column.offsets.to_numpy()[:-1]
-            shingles = column.flatten().to_numpy().view(np.uint64)
-            marks = signatures(shingles, (begin - begin[0]).astype(np.int64), bands, rows, seed)
-            owner = np.repeat(np.arange(len(column)), bands)
-            sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)[owner]
-            keys = batch.column("class").take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes), pa.array(marks.reshape(-1))], names=["class", "n", "bucket"])
-
-    return sets.select("class", "shingles").mapInArrow(sign, f"{CLASS}, n long, bucket long")
-
-
-def linked_in_rounds(sets: DataFrame, links: DataFrame, settings: Settings) -> DataFrame:
-    """(class, group) of the classes of ``sets(class, shingles)``: components of ``links`` and of the links that further rounds find."""
-    _, rows = settings.bands()
+            places = batch.column("place").to_numpy()
+            cuts = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                if start < stop:
+                    if held and places[start] != last:
+                        yield linked(held)
+                        held = []
+                    held.append(batch.slice(start, stop - start))
+                    last = places[start]
+        if held:
+            yield linked(held)
+
+    def linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        column = lambda name: rows.column(name).combine_chunks()
+        classes, groups, lists = column("class"), column("group"), column("shingles")
+        names = np.stack([groups.field(k).to_numpy() for k in (0, 1)], axis=1)
+        _, group = np.unique(names, axis=0, return_inverse=True)
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        pairs = links_among(group.reshape(-1), sizes, lists.flatten().to_numpy(), threshold)
+        ends = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
+        columns = [values.take(end) for values in (classes, groups) for end in ends]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "group_a", "group_b"])
+
+    rows = met.join(sets.select("class", "shingles"), "class").repartition("place").sortWithinPartitions("place")
+    kind = ", ".join(f"{name} struct<a:bigint,b:bigint>" for name in ("a", "b", "group_a", "group_b"))
+    return rows.select("class", "group", "shingles", "place").mapInArrow(compare, kind)
+
+
+def linked_groups(members: DataFrame, sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """(class, group) of the classes of ``sets(class, shingles)``: components of ``links`` and of all similar pairs in a bucket of ``members(class, bucket)``."""
     found = connected_components(links).withColumnRenamed("node", "class")
     groups = sets.select("class").join(found, "class", "left").select("class", F.coalesce("component", "class").alias("group"))
-    left = sets
-    for turn in range(1, MOST_ROUNDS + 1):
-        groups = written(groups, "groups")
-        members = written(resigned(left, BANDS, rows + LONGER[(turn - 1) % len(LONGER)], turn).join(groups, "class"), "members")
-        # Hubs are picked by chance, so each round tries others.
-        hub = lambda k: F.max(F.struct(F.xxhash64("class", F.lit(turn * HUBS + k)).alias("h"), "class", "group", "n")).alias(f"hub_{k}")
-        several = members.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high"), *map(hub, range(HUBS))).where("low <> high")
-        hubs = F.array(*[F.struct(F.col(f"hub_{k}.class").alias("class"), F.col(f"hub_{k}.group").alias("group"), F.col(f"hub_{k}.n").alias("n")) for k in range(HUBS)])
-        met = members.join(several.select("bucket", F.array_distinct(hubs).alias("hubs")), "bucket")
-        # Sets of very unequal sizes are not similar, so their shingles need not meet.
-        like = lambda h: F.least(h["n"], F.col("n")) >= settings.threshold * F.greatest(h["n"], F.col("n"))
-        met = met.select("class", F.filter("hubs", lambda h: (h["group"] != F.col("group")) & like(h)).alias("hubs")).where(F.size("hubs") > 0)
-        met = met.select("class", F.explode("hubs").alias("hub"))
-        pairs = written(met.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct(), "pairs")
-        linked = written(verified(pairs, left, settings.threshold), "links")
-        if linked.isEmpty():
-            break
-        for end in ("a", "b"):
-            named = groups.select(F.col("class").alias(end), F.col("group").alias(f"group_{end}"))
-            linked = linked.join(named, end)
-        merged = connected_components(linked.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))).withColumnRenamed("node", "group")
-        groups = groups.join(merged, "group", "left").select("class", F.coalesce("component", "group").alias("group"))
-        # Only what met another group goes on.
-        open_ = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        left = written(left.join(open_, "class", "left_semi"), "left")
-    return groups
+    groups = written(groups, "groups")
+    rest = written(links_in_buckets(members.join(groups, "class"), sets, threshold), "links")
+    merged = connected_components(rest.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))).withColumnRenamed("node", "group")
+    return groups.join(merged, "group", "left").select("class", F.coalesce("component", "group").alias("group"))
 
 
 def repeated_passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -332,37 +389,40 @@ def repeated_passages(docs: DataFrame, settings: Settings = Settings()) -> DataF
     )
 
 
-def repeated_paragraphs(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, settings: Settings = Settings(), met: DataFrame | None = None) -> DataFrame:
     """(doc_id, line, n_words, kept_doc_id, kept_line) of every paragraph that repeats an earlier one.
 
     The first paragraph of a group, by doc_id and line, is kept and not returned.
     Lines are counted from 0. Rows without an id or a text take no part;
     paragraphs under ``least_words`` words are never removed. Rows that repeat an
     id and a text are one document. Other columns are ignored; an empty table gives
-    an empty one.
+    an empty one. ``met(doc_id, bucket)`` are buckets of whole documents in which paragraphs meet beside
+    those of their bands.
     """
     signed = written(signed_paragraphs(docs, settings), "paragraphs")
     place = F.struct("doc_id", "line")
     classes = written(signed.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")), "classes")
     # Buckets know a class by half of its name; the other half comes back before anything is verified.
     spread = signed.select(F.col("class.a").alias("half"), F.explode("bands").alias("bucket"))
+    if met is not None:
+        spread = spread.union(signed.join(met, "doc_id").select(F.col("class.a").alias("half"), F.col("bucket")))
     shared = spread.groupBy("bucket").agg(F.min("half").alias("low"), F.max("half").alias("high"), F.count("*").alias("size"))
     halves = written(spread.join(shared.where("low <> high").select("bucket", "size"), "bucket").distinct(), "halves")
     # The hub of a bucket is the member whose buckets hold most: near copies of one text differ from each other, but little from it.
     central = halves.groupBy("half").agg(F.sum("size").alias("weight"))
     weighed = halves.join(central, "half")
     hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "half")).alias("top")).select("bucket", F.col("top.half").alias("hub"))
-    halves = written(halves.join(hubs, "bucket").select("half", "hub").distinct(), "halves")
-    named = halves.select("half").union(halves.select("hub")).distinct()
+    to_hubs = written(halves.join(hubs, "bucket").select("half", "hub").distinct(), "hubs")
+    named = halves.select("half").distinct()
     named = classes.join(named, F.col("class.a") == F.col("half")).select("half", "class", F.col("first.doc_id").alias("doc_id"))
     named = written(named, "named")
-    members = halves.join(named.select("half", "class"), "half")
+    members = to_hubs.join(named.select("half", "class"), "half")
     members = members.join(named.select(F.col("half").alias("hub"), F.col("class").alias("hub_class")), "hub")
     stars = members.where("class <> hub_class").select(F.least("hub_class", "class").alias("a"), F.greatest("hub_class", "class").alias("b"))
     stars = written(stars.distinct(), "stars")
     sets = written(shingle_sets(docs, named.select("class", "doc_id"), settings), "shingles")
     links = written(verified(stars, sets, settings.threshold), "links")
-    groups = linked_in_rounds(sets, links, settings)
+    groups = linked_groups(halves.join(named.select("half", "class"), "half").select("class", "bucket"), sets, links, settings.threshold)
     named = classes.join(groups, "class", "left").where(F.col("group").isNotNull() | (F.col("first") != F.col("last")))
     named = written(named.select("class", F.coalesce("group", "class").alias("group"), "first"), "named")
     firsts = named.groupBy("group").agg(F.min("first").alias("kept"))
@@ -371,16 +431,17 @@ def repeated_paragraphs(docs: DataFrame, settings: Settings = Settings()) -> Dat
     return out.select("doc_id", "line", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
 
 
-def one_of_each(docs: DataFrame, settings: Settings = Settings(whole=True)) -> DataFrame:
+def one_of_each(docs: DataFrame, settings: Settings = Settings(whole=True), met: DataFrame | None = None) -> DataFrame:
     """The row with the least doc_id of each group of similar texts, with all its columns as they are.
 
+    Texts that share a bucket of ``met(doc_id, bucket)`` are compared beside those that share a band.
     Null and wordless texts are one group. Rows without an id are kept, since no
     order says which of them comes first. Rows that share the least id of a group
     all stay: they are one document.
     """
     blank = docs.where(F.col("doc_id").isNotNull() & ~F.coalesce(F.col("text").rlike(tx.WORD_PATTERN), F.lit(False))).select("doc_id")
     first = blank.agg(F.min("doc_id")).first()[0]
-    later = repeated_paragraphs(docs, settings).where("doc_id <> kept_doc_id").select("doc_id")
+    later = repeated_paragraphs(docs, settings, met).where("doc_id <> kept_doc_id").select("doc_id")
     later = later.union(blank.where(F.col("doc_id") > F.lit(first).cast("long")))
     later = written(later.select(F.col("doc_id").alias("later_id")).distinct(), "later")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("later_id"))

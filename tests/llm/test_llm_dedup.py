@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from conftest import SF_DIR
@@ -237,6 +238,68 @@ def test_groups_of_copies_that_are_not_all_alike(spark):
     assert len(got) >= 0.97 * len(want), (len(got), len(want))
 
 
+def banded_rows(docs, settings):
+    """(doc_id, line) of the later lines of groups that all similar pairs with a common band make."""
+    ids, texts = [i for i, _ in docs], [t.encode() for _, t in docs]
+    found = paragraphs.paragraphs_of(texts, settings.least_words)
+    bands, rows = settings.bands()
+    marks = paragraphs.signatures(found.shingles, found.begin, bands, rows)
+    parts = [frozenset(x.tolist()) for x in np.split(found.shingles, found.begin[1:])]
+    sets = Sets()
+    for n, s in enumerate(parts):
+        sets.root(n)
+        for m in np.flatnonzero((marks[:n] == marks[n]).any(axis=1)).tolist():
+            common = len(s & parts[m])
+            if common >= settings.threshold * (len(s) + len(parts[m]) - common):
+                sets.join(n, m)
+    return {(ids[found.text_of[n]], int(found.line_no[n])) for n in range(len(parts)) if sets.root(n) != n}
+
+
+@pytest.mark.parametrize("meet", [4096, 16])
+def test_no_pair_with_a_common_band_is_left_out(spark, monkeypatch, meet):
+    """Large buckets of copies that are not all alike, met in one task or block by block, against all their pairs."""
+    monkeypatch.setattr(paragraphs, "MEET", meet)
+    rng = random.Random(14)
+    rows = []
+    for k in range(3):
+        base = sentence(rng, 100).split()
+        for n in range(300):
+            words = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(30)}"
+            rows.append((1000 * k + n, " ".join(words), "en", "s"))
+    settings = paragraphs.Settings(shape=(6, 2))
+    got = {(r.doc_id, r.line) for r in paragraphs.repeated_paragraphs(documents(spark, rows), settings).collect()}
+    want = banded_rows([r[:2] for r in rows], settings)
+    assert got == want and len(want) > 100
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 400])
+def test_links_among_sets_join_what_all_pairs_join(monkeypatch, cells):
+    monkeypatch.setattr(paragraphs, "CELLS", cells)
+    rng = np.random.default_rng(7)
+    base = [rng.choice(300, 40, replace=False) for _ in range(5)]
+    held = []
+    for _ in range(120):
+        own = base[rng.integers(5)]
+        held.append(np.union1d(rng.choice(own, rng.integers(30, 41), replace=False), rng.choice(300, rng.integers(0, 6))))
+    group = rng.integers(0, 90, len(held))
+    want, got = Sets(), Sets()
+    for sets in (want, got):
+        for n, g in enumerate(group.tolist()):
+            sets.join(f"g{g:03}", f"s{n:03}")
+    for n, s in enumerate(held):
+        for m in range(n):
+            common = len(np.intersect1d(s, held[m]))
+            if common >= 0.8 * (len(s) + len(held[m]) - common):
+                want.join(f"s{n:03}", f"s{m:03}")
+    for a, b in paragraphs.links_among(group, np.array([len(x) for x in held]), np.concatenate(held), 0.8):
+        common = len(np.intersect1d(held[a], held[b]))
+        assert common >= 0.8 * (len(held[a]) + len(held[b]) - common)
+        got.join(f"s{a:03}", f"s{b:03}")
+    assert [got.root(f"s{n:03}") for n in range(len(held))] == [want.root(f"s{n:03}") for n in range(len(held))]
+
+
 def check_passages(docs, found, size=20, surely=51):
     """All words of a passage lie in windows that occur earlier, and every passage of ``surely`` words that occurs earlier has a part in one."""
     words, lines, grams = {}, {}, {}
