@@ -8,8 +8,9 @@ stage that loses executors repeats only itself and no lineage spans two stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from patchlight.llm import decontaminate, linededup, mixing, paragraphs, quality
+from patchlight.llm import decontaminate, linededup, mixing, paragraphs, quality, simhash
 from patchlight.llm.registry import QUERIES, query, table
 from patchlight.session import written
 
@@ -33,9 +34,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with a five-word Jaccard similarity of 0.8 the one with the least id stays.
 
+    Documents meet if their SimHash fingerprints (of op9) link them, or if they share a band of
+    their signatures, since similar texts may be more bits apart than fingerprints can be searched for.
     Null and wordless texts are one group; rows without an id stay; rows that share the least id all stay.
     """
-    return paragraphs.one_of_each(docs)
+    near = simhash.near_copies(docs.where("doc_id is not null"), shingle=paragraphs.SHINGLE)
+    return paragraphs.one_of_each(docs, met=near.select("doc_id", F.col("component_id").alias("bucket")).distinct())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -388,6 +388,24 @@ def test_near_dedup_stage_reaches_similarity(spark, odd, none):
     assert kept.where("doc_id is null").count() == 3 and cp.near_dedup(spark, none, SF_DIR).count() == 0
 
 
+def test_near_dedup_stage_meets_by_fingerprints(spark, monkeypatch):
+    """Near copies within the bits of the fingerprint method go, also if no band brings them together; texts that are not similar stay."""
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(paragraphs, "tune", lambda *_: (1, 128))
+    rng = random.Random(15)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(3000)}"
+    rows = []
+    for k in range(40):
+        words = [word() for _ in range(60)]
+        rows += [(k, " ".join(words), "en", "s"), (1000 + k, " ".join([*words[:-1], "Other"]), "en", "s")]
+    marks = {i: simhash.fingerprint(t.lower().encode().split(), 5) for i, t, *_ in rows}
+    near = {1000 + k for k in range(40) if ((marks[k] ^ marks[1000 + k]) & (1 << 64) - 1).bit_count() <= 2}
+    assert len(near) > 5
+    gone = {r[0] for r in rows} - {r.doc_id for r in cp.near_dedup(spark, documents(spark, rows), SF_DIR).collect()}
+    assert near <= gone <= similar_later([r[:2] for r in rows])
+
+
 def test_bands_are_tuned_for_recall():
     for threshold in (0.6, 0.8, 0.9):
         bands, rows = paragraphs.tune(threshold, 0.9995)
