@@ -12,9 +12,9 @@ segment, about one for every 35 bytes.
    all their windows, and the first of them stays.
 2. Segments with one gram but different bytes, the borders of repeats, are the
    only ones whose windows are compared one by one. Their bytes meet by gram, and
-   a task compares the windows of some grams at a time; grams with many borders are
-   dealt to several tasks, whose first windows are rows of their own, shuffled by
-   (gram, hash), so that no gram is one task's work.
+   a task compares the windows of some grams at a time; grams with more borders than a
+   task takes at a time are dealt to several tasks, whose first windows are rows of their
+   own, shuffled by (gram, hash), so that no gram is one task's work.
 3. Spans of repeats go back to their texts, which lose them.
 
 Nothing is paired, groups are sorted on disk and streamed, and all joins with the
@@ -42,9 +42,7 @@ GRAM = 32
 TIE_BITS, PLACE_BITS, COUNT_BITS = 17, 32, 14
 #: Segments a task compares with each other before it passes them on.
 FLUSH = 1 << 19
-#: Borders of one gram from which its windows are shuffled one by one.
-MANY = 256
-#: Borders whose windows a task compares at a time.
+#: Borders whose windows a task compares at a time; grams with more are dealt to several tasks.
 BORDERS = 1 << 14
 
 _NO_ID = np.int64(np.iinfo(np.int64).max)
@@ -272,7 +270,7 @@ def repeats_in_task(parts: DataFrame, length: int) -> DataFrame:
 
 
 def repeats_by_window(parts: DataFrame, length: int) -> DataFrame:
-    """The same for grams with many borders, which are dealt to as many tasks as they need.
+    """The same for grams with more than ``BORDERS`` borders, which are dealt to as many tasks as they need.
 
     What a task knows to repeat goes on as spans; only the first of equal windows of
     a task is a row of its own, and those of all tasks meet by (gram, hash).
@@ -341,8 +339,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         named = own.select("doc", F.col("b.place").alias("places"), F.col("b.gram").alias("grams"), F.col("b.border").alias("sizes"))
         return border_texts(placed, named, length)
 
-    few = repeats_in_task(parts(F.col("border") <= MANY), length)
-    many = repeats_by_window(parts(F.col("border") > MANY), length)
+    few = repeats_in_task(parts(F.col("border") <= BORDERS), length)
+    many = repeats_by_window(parts(F.col("border") > BORDERS), length)
     spans = level.where(F.col("border").isNull()).select("doc", "place").union(few).union(many)
     cuts = spans.groupBy("doc").agg(F.collect_list("place").alias("places"))
 

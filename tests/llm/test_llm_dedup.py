@@ -172,6 +172,23 @@ def test_substrings_of_a_gram_with_thousands_of_borders(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_borders_that_one_task_takes_make_no_rows_of_windows(spark, monkeypatch):
+    rng = random.Random(16)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    block, shuffled, real = letters(70), [], substrings.repeats_by_window
+    rows = [(k, letters(rng.randrange(20, 60)) + block + letters(rng.choice([5, 40, 80]))) for k in range(900)]
+    rows += [(3000 + k, rows[13 * k][1][10:] + letters(3)) for k in range(60)]
+
+    def counted(parts, length):
+        shuffled.append(parts.count())
+        return real(parts, length)
+
+    monkeypatch.setattr(substrings, "repeats_by_window", counted)
+    got = substrings.deduplicated(documents(spark, [(*r, "en", "s") for r in rows]))
+    assert sorted(map(tuple, got.collect())) == sorted(substring_rows(rows))
+    assert shuffled == [0]
+
+
 def test_substring_pieces_agree_with_whole_texts(spark, monkeypatch):
     rng = random.Random(5)
     text = "".join(rng.choice("abcdefgh") for _ in range(3000))
