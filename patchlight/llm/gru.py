@@ -63,24 +63,29 @@ class Streams:
 
 
 def streams_of(texts: list[np.ndarray], most: int) -> Streams:
-    """Deal texts to streams, longest first to the shortest stream; as many streams as keep the longest text from setting the length."""
+    """Deal texts to streams, longest first to the shortest stream; as many streams as keep the longest text from setting the length.
+
+    Each stream has its texts in the order given, so that learning does not go from long texts to short ones.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     if not sizes.sum():
         none = np.empty((0, 1), np.int32)
         return Streams(none, none, none.astype(bool))
     count = int(max(1, min(most, len(texts), sizes.sum() // sizes.max())))
     heap = [(0, k) for k in range(count)]
-    place: list[tuple[int, int, int]] = []
+    stream = np.zeros(len(texts), np.int64)
     for text in np.argsort(-sizes, kind="stable").tolist():
         at, k = heapq.heappop(heap)
-        place.append((text, at, k))
+        stream[text] = k
         heapq.heappush(heap, (at + int(sizes[text]), k))
     length = max(at for at, _ in heap)
+    ends = [0] * count
     words = np.full((length, count), -1, np.int32)
     owner = np.zeros((length, count), np.int32)
     first = np.zeros((length, count), bool)
-    for text, at, k in place:
-        stop = at + int(sizes[text])
+    for text, k in enumerate(stream.tolist()):
+        at = ends[k]
+        ends[k] = stop = at + int(sizes[text])
         words[at:stop, k] = texts[text]
         owner[at:stop, k] = text
         if stop > at:
@@ -88,23 +93,6 @@ def streams_of(texts: list[np.ndarray], most: int) -> Streams:
     return Streams(words, owner, first)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-@dataclass
-class Window:
-    """What a window keeps for its gradients."""
-
-    previous: np.ndarray
-    before: np.ndarray
-    r: np.ndarray
-    z: np.ndarray
-    n: np.ndarray
-    un: np.ndarray
-    states: np.ndarray
-
-
 def windows(streams: Streams, steps: int) -> Iterator[tuple[slice, np.ndarray]]:
     """Each window and the words before its words; END comes before a text."""
     before = np.full_like(streams.words, END)
@@ -114,48 +102,78 @@ def windows(streams: Streams, steps: int) -> Iterator[tuple[slice, np.ndarray]]:
         yield slice(at, at + steps), before[at : at + steps]
 
 
-def forward(w: Weights, table: np.ndarray, previous: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, Window | None]:
-    steps, count = previous.shape
-    size = h.shape[1]
-    given = table[previous]
-    states = np.empty((steps, count, size), np.float32)
-    kept = [np.empty_like(states) for _ in range(5)] if keep else None
+def forward(w: Weights, table: np.ndarray, previous: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States after every step, then the gates r, z and n and what the state before adds to them, each gate by itself.
+
+    A sigmoid of x is 0.5 tanh(0.5 x) + 0.5; the halves of x go into the table and the weights.
+    """
+    (steps, count), size, kind = previous.shape, h.shape[1], h.dtype
+    state = w["state"].reshape(size, 3, size).transpose(1, 0, 2).copy()
+    state[:2] *= 0.5
+    gates = np.empty((3, steps, count, size), kind)
+    for gate, column in zip(gates, table.reshape(-1, 3, size).transpose(1, 0, 2), strict=True):
+        np.take(np.ascontiguousarray(column), previous, axis=0, out=gate, mode="clip")
+    gates[:2] *= 0.5
+    added, states, product = np.empty_like(gates), np.empty((steps, count, size), kind), np.empty((count, size), kind)
+    begins = first.any(1).tolist()
     for t in range(steps):
-        if first[t].any():
-            h = np.where(first[t][:, None], np.float32(0), h)
-        u = h @ w["state"]
-        gates = _sigmoid(given[t, :, : 2 * size] + u[:, : 2 * size])
-        r, z = gates[:, :size], gates[:, size:]
-        n = np.tanh(given[t, :, 2 * size :] + r * u[:, 2 * size :])
-        if keep:
-            for store, value in zip(kept, (h, r, z, n, u[:, 2 * size :]), strict=True):
-                store[t] = value
-        h = n + z * (h - n)
-        states[t] = h
-    return states, (Window(previous, *kept, states) if keep else None)
-
-
-def table_of(w: Weights) -> np.ndarray:
+        if begins[t]:
+            h = h.copy()
+            h[first[t]] = 0
+        u, rz, n, out = added[:, t], gates[:2, t], gates[2, t], states[t]
+        np.matmul(h, state, out=u)
+        rz += u[:2]
+        np.tanh(rz, out=rz)
+        rz *= 0.5
+        rz += 0.5
+        np.multiply(rz[0], u[2], out=product)
+        n += product
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=out)
+        out *= rz[1]
+        out += n
+        h = out
+    return states, gates, added
+
+
+def table_of(w: Weights, words: np.ndarray | slice = slice(None)) -> np.ndarray:
     """What every word adds to the gates."""
-    return w["embed"] @ w["inputs"] + w["bias"]
-
-
-def _softmax_parts(w: Weights, h: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, int | None, np.ndarray]]:
-    """Log probabilities of all classes, then for each class that occurs those of its words; with the rows they belong to."""
-    logits = h @ w["class"] + w["class_bias"]
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    yield np.arange(len(h)), None, logits
-    kind = words // w["word"].shape[2]
-    order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(w["word"].shape[0] + 1))
-    for c in range(w["word"].shape[0]):
-        rows = order[bounds[c] : bounds[c + 1]]
-        if len(rows):
-            logits = h[rows] @ w["word"][c] + w["word_bias"][c]
-            logits -= logits.max(1, keepdims=True)
-            logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-            yield rows, c, logits
+    return w["embed"][words] @ w["inputs"] + w["bias"]
+
+
+def by_class(words: np.ndarray, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all words but -1 in order of their classes, and how many each class has."""
+    kind = np.where(words < 0, shape[0], words // shape[2])
+    counts = np.bincount(kind, minlength=shape[0])[: shape[0]]
+    return np.argsort(kind.astype(np.int16), kind="stable")[: counts.sum()], counts
+
+
+def spans(counts: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each class that occurs with the bounds of its rows."""
+    ends = np.cumsum(counts)
+    return [(c, int(ends[c] - counts[c]), int(ends[c])) for c in np.flatnonzero(counts).tolist()]
+
+
+def _class_logits(w: Weights, h: np.ndarray) -> np.ndarray:
+    """(class, row)."""
+    return w["class"].T @ h.T + w["class_bias"][:, None]
+
+
+def _word_logits(w: Weights, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(word of the row's class, row) for rows in order of class."""
+    logits = np.empty((w["word"].shape[2], len(h)), h.dtype)
+    for c, low, high in spans(counts):
+        np.matmul(w["word"][c].T, h[low:high].T, out=logits[:, low:high])
+    logits += np.repeat(w["word_bias"].T, counts, axis=1)
+    return logits
+
+
+def _exponents(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each column, in place, the exponents of its values less the greatest; their sums and the greatest values."""
+    most = logits.max(0)
+    logits -= most
+    np.exp(logits, out=logits)
+    return logits.sum(0), most
 
 
 def score(w: Weights, texts: list[np.ndarray], steps: int = 32, most: int = 256) -> np.ndarray:
@@ -163,17 +181,20 @@ def score(w: Weights, texts: list[np.ndarray], steps: int = 32, most: int = 256)
     streams = streams_of(texts, most)
     out = np.zeros(len(texts))
     table = table_of(w)
-    h = np.zeros((streams.words.shape[1], w["state"].shape[0]), np.float32)
+    shape = w["word"].shape
+    h = np.zeros((streams.words.shape[1], shape[1]), w["state"].dtype)
     for at, previous in windows(streams, steps):
-        states, _ = forward(w, table, previous, streams.first[at], h, False)
+        states = forward(w, table, previous, streams.first[at], h)[0]
         h = states[-1]
-        some = streams.words[at] >= 0
-        words, flat = streams.words[at][some], states[some]
-        total = np.zeros(len(words))
-        for rows, c, logits in _softmax_parts(w, flat, words):
-            column = words // w["word"].shape[2] if c is None else words[rows] - c * w["word"].shape[2]
-            total[rows] += logits[np.arange(len(rows)), column]
-        out += np.bincount(streams.text[at][some], total, len(texts))
+        words = streams.words[at].reshape(-1)
+        order, counts = by_class(words, shape)
+        flat, words = states.reshape(-1, shape[1]).take(order, 0), words.take(order)
+        total = np.zeros(len(order))
+        for logits, column in ((_class_logits(w, flat), words // shape[2]), (_word_logits(w, flat, counts), words % shape[2])):
+            total += logits[column, np.arange(len(order))]
+            sums, top = _exponents(logits)
+            total -= top + np.log(sums)
+        out += np.bincount(streams.text[at].reshape(-1).take(order), total, len(texts))
     return out
 
 
@@ -188,62 +209,105 @@ class Learner:
 
     def learn(self, texts: list[np.ndarray], steps: int = 16, most: int = 64) -> None:
         streams = streams_of(texts, most)
-        h = np.zeros((streams.words.shape[1], self.w["state"].shape[0]), np.float32)
+        h = np.zeros((streams.words.shape[1], self.w["state"].shape[0]), self.w["state"].dtype)
         for at, previous in windows(streams, steps):
             h = self._window(streams.words[at], previous, streams.first[at], h)
 
     def _window(self, targets: np.ndarray, previous: np.ndarray, first: np.ndarray, h: np.ndarray) -> np.ndarray:
         w, size = self.w, h.shape[1]
-        states, kept = forward(w, table_of(w), previous, first, h, True)
-        some = targets >= 0
-        words, flat = targets[some], states[some]
-        self.seen += len(words)
-        scale = np.float32(1 / max(len(words), 1))
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
-        flat_gap = np.zeros_like(flat)
-        for rows, c, logits in _softmax_parts(w, flat, words):
-            gap = np.exp(logits)
-            column = words // w["word"].shape[2] if c is None else words[rows] - c * w["word"].shape[2]
-            gap[np.arange(len(rows)), column] -= 1
-            gap *= scale
-            if c is None:
-                grads["class"], grads["class_bias"] = flat.T @ gap, gap.sum(0)
-                flat_gap += gap @ w["class"].T
-            else:
-                grads["word"][c], grads["word_bias"][c] = flat[rows].T @ gap, gap.sum(0)
-                flat_gap[rows] += gap @ w["word"][c].T
+        place = np.zeros(len(w["embed"]), np.int64)
+        place[previous] = 1
+        used = np.flatnonzero(place)
+        place[used] = np.arange(len(used))
+        inverse = place.take(previous)
+        states, gates, added = forward(w, table_of(w, used), inverse, first, h)
+        words = targets.reshape(-1)
+        order, counts = by_class(words, w["word"].shape)
+        grads, gap = self._outputs(words.take(order), states.reshape(-1, size).take(order, 0), counts)
         out_gap = np.zeros_like(states)
-        out_gap[some] = flat_gap
-        given_gap = np.zeros((*targets.shape, 3 * size), np.float32)
-        carried = np.zeros_like(h)
-        for t in range(len(targets) - 1, -1, -1):
-            dh = out_gap[t] + carried
-            before, r, z, n, un = kept.before[t], kept.r[t], kept.z[t], kept.n[t], kept.un[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            given_gap[t] = np.concatenate((dr, dz, dn), 1)
-            du = np.concatenate((dr, dz, dn * r), 1)
-            grads["state"] += before.T @ du
-            carried = dh * z + du @ w["state"].T
-            carried[first[t]] = 0
-        flat_given = given_gap.reshape(-1, 3 * size)
-        by_word = np.zeros((len(w["embed"]), 3 * size), np.float32)
-        used, inverse = np.unique(previous.reshape(-1), return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        begins = np.searchsorted(inverse[order], np.arange(len(used)))
-        by_word[used] = np.add.reduceat(flat_given[order], begins)
-        grads["inputs"] = w["embed"].T @ by_word
+        out_gap.reshape(-1, size)[order] = gap
+        before = np.concatenate((h[None], states[:-1]))
+        before[first] = 0
+        given = self._through_time(before, first, gates, added, out_gap, grads)
+        inverse = inverse.reshape(-1)
+        order = np.argsort(inverse.astype(np.int32), kind="stable")
+        counts = np.bincount(inverse, minlength=len(used))
+        by_word = np.concatenate([np.add.reduceat(g.take(order, 0), np.cumsum(counts) - counts) for g in given], 1)
+        grads["inputs"] = w["embed"][used].T @ by_word
         grads["bias"] = by_word.sum(0)
         grads["embed"] = by_word @ w["inputs"].T
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        clip = np.float32(min(1.0, 1.0 / max(norm, 1e-12)))
-        for k, g in grads.items():
-            g *= clip
-            self.squares[k] += g * g
-            w[k] -= self.rate * g / np.sqrt(self.squares[k])
+        self._step(grads, used)
         return states[-1]
 
+    def _outputs(self, words: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> tuple[Weights, np.ndarray]:
+        """Gradients of the output weights and of the states, from the probabilities less those of the words themselves."""
+        w, rows, per_class = self.w, np.arange(len(words)), self.w["word"].shape[2]
+        self.seen += len(words)
+        scale = flat.dtype.type(1 / max(len(words), 1))
+
+        def gaps(logits: np.ndarray, column: np.ndarray) -> np.ndarray:
+            logits *= scale / _exponents(logits)[0]
+            logits[column, rows] -= scale
+            return logits
+
+        gap = gaps(_class_logits(w, flat), words // per_class)
+        grads = {"class": flat.T @ gap.T, "class_bias": gap.sum(1), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
+        back, of_words = gap.T @ w["class"].T, np.empty_like(flat)
+        gap, held = gaps(_word_logits(w, flat, counts), words % per_class), spans(counts)
+        for c, low, high in held:
+            some = gap[:, low:high].T
+            np.matmul(flat[low:high].T, some, out=grads["word"][c])
+            np.matmul(some, w["word"][c].T, out=of_words[low:high])
+        if held:
+            grads["word_bias"][[c for c, _, _ in held]] = np.add.reduceat(gap, [low for _, low, _ in held], axis=1).T
+        back += of_words
+        return grads, back
+
+    def _through_time(
+        self, before: np.ndarray, first: np.ndarray, gates: np.ndarray, added: np.ndarray, out_gap: np.ndarray, grads: Weights
+    ) -> np.ndarray:
+        """Gradients of what goes into the gates; adds that of the state's weights to ``grads``."""
+        size, (r, z, n) = before.shape[2], gates
+        back = self.w["state"].reshape(size, 3, size).transpose(1, 2, 0).copy()
+        # What a change of the state changes in n before its tanh, and in what the state adds to r, z and n.
+        inner = (1 - z) * (1 - n * n)
+        shares = np.empty_like(gates)
+        np.multiply(inner, r, out=shares[2])
+        np.multiply((before - n) * z, 1 - z, out=shares[1])
+        np.multiply(shares[2] * added[2], 1 - r, out=shares[0])
+        carried, parts = np.zeros_like(before[0]), np.empty_like(gates[:, 0])
+        begins = first.any(1).tolist()
+        for t in range(len(before) - 1, -1, -1):
+            dh, share = out_gap[t], shares[:, t]
+            dh += carried
+            share *= dh
+            np.matmul(share, back, out=parts)
+            np.multiply(dh, z[t], out=carried)
+            carried += parts[0]
+            carried += parts[1]
+            carried += parts[2]
+            if begins[t]:
+                carried[first[t]] = 0
+        flat = shares.reshape(3, -1, size)
+        grads["state"] = np.concatenate([before.reshape(-1, size).T @ g for g in flat], 1)
+        np.multiply(out_gap, inner, out=shares[2])
+        return flat
+
+    def _step(self, grads: Weights, used: np.ndarray) -> None:
+        """A clipped step; of the embeddings only the rows in use have gradients."""
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        clip = min(1.0, 1.0 / max(norm, 1e-12))
+        for k, g in grads.items():
+            g *= g.dtype.type(clip)
+            rows = used if k == "embed" else slice(None)
+            squares = self.squares[k][rows]
+            squares += g * g
+            g *= g.dtype.type(self.rate)
+            g /= np.sqrt(squares)
+            if k == "embed":
+                self.squares[k][rows] = squares
+            self.w[k][rows] -= g
+
 
 def packed(w: Weights) -> np.ndarray:
     return np.concatenate([w[k].reshape(-1) for k in sorted(w)])

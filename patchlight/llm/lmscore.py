@@ -24,6 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,10 @@ UNKNOWN = 1
 
 @dataclass(frozen=True)
 class Settings:
-    """Folds, words that travel to the tasks and their length, shares of the training documents in each round, shape."""
+    """Folds, words that travel to the tasks and their length, shares of the training documents in each round, shape.
+
+    A pool is what is dealt to streams at a time: many times the longest ordinary text, so that it does not leave few streams.
+    """
 
     folds: int = 10
     common: int = 1 << 18
@@ -48,6 +52,7 @@ class Settings:
     rounds: tuple[float, ...] = (0.02, 0.08, 0.9)
     rate: float = 0.1
     pool_bytes: int = 16 << 20
+    pool_words: int = 1 << 20
     flush: int = 400_000
     shape: gru.Shape = gru.Shape()
 
@@ -141,11 +146,25 @@ def pools(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[p
         yield parts, texts
 
 
-def numbers(text: bytes | None, words: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and their numbers with that of the end; -1 for a word that is not in the lexicon."""
-    found = tx.lowered(text or b"").split()
-    out = np.fromiter(map(words.get, found, repeat(-1)), np.int64, len(found))
-    return found, np.append(out, gru.END)
+_FOLDED = bytearray(tx.LOWER)
+for _space in tx.SPACES:
+    _FOLDED[_space] = 32
+_FOLDED = bytes(_FOLDED)
+
+
+def numbers(texts: list[bytes | None], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Numbers of the words of all texts, -1 for a word that is not in the lexicon, and where each text stops, its end included.
+
+    Then the words as places in the last, which has every distinct word once.
+    """
+    joined = b" \n ".join([*((text or b"").translate(_FOLDED) for text in texts), b""])
+    found = pc.split_pattern(pa.array([joined], pa.large_binary()), b" ").values.dictionary_encode()
+    distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+    known = np.fromiter(map(words.get, distinct, repeat(-1)), np.int64, len(distinct))
+    at = found.indices.to_numpy()
+    at = at[np.fromiter(map(len, distinct), np.int64, len(distinct))[at] > 0]
+    ids = known[at]
+    return ids, np.flatnonzero(ids == gru.END) + 1, at, distinct
 
 
 def in_model(ids: np.ndarray, known: int) -> np.ndarray:
@@ -170,10 +189,12 @@ def trained(docs: DataFrame, lex: Lexicon, settings: Settings = Settings()) -> g
             lex, learner = shared_words.value, gru.Learner(shared.value, settings.rate)
             held: list[np.ndarray] = []
             for part, texts in tx.slices(batches):
-                for key, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                    if fold(key, settings.folds) and low <= draw(key) < high:
-                        held.append(in_model(numbers(text, lex.words)[1], lex.known))
-                if sum(map(len, held)) > 1 << 17:
+                keys = part.column("doc_id").to_pylist()
+                own = [text for key, text in zip(keys, texts, strict=True) if fold(key, settings.folds) and low <= draw(key) < high]
+                if own:
+                    ids, stops = numbers(own, lex.words)[:2]
+                    held.extend(np.split(in_model(ids, lex.known), stops[:-1]))
+                if sum(map(len, held)) > settings.pool_words:
                     learner.learn(held)
                     held = []
             learner.learn(held)
@@ -219,11 +240,11 @@ def partial_scores(docs: DataFrame, lex: Lexicon, weights: gru.Weights, settings
         for parts, texts in pools(batches, settings.pool_bytes):
             keys = [k for p in parts for k in p.column("doc_id").to_pylist()]
             columns: dict[str, list] = {c.split()[0]: [] for c in PARTS.split(", ")}
-            sequences = []
-            for key, text in zip(keys, texts, strict=True):
-                found, ids = numbers(text, lex.words)
+            every, stops, places, distinct = numbers(texts, lex.words)
+            sequences = np.split(in_model(every, known), stops[:-1])
+            for key, ids, at in zip(keys, np.split(every, stops[:-1]), np.split(places, stops[:-1]), strict=True):
                 listed = ids[ids >= 0]
-                other = Counter([found[k] for k in np.flatnonzero(ids < 0).tolist()])
+                other = Counter([distinct[k] for k in at[ids < 0].tolist()])
                 terms = base[listed]
                 outside = listed >= known
                 columns["row"].append(row)
@@ -235,7 +256,6 @@ def partial_scores(docs: DataFrame, lex: Lexicon, weights: gru.Weights, settings
                 columns["model"].append(float(terms[outside].sum()) - (int(outside.sum()) + len(ids) - len(listed)) * log_rest)
                 columns["words"].append([w.decode("utf-8", "replace") for w in other])
                 columns["times"].append(list(other.values()))
-                sequences.append(in_model(ids, known))
                 row += 1
             scores = gru.score(weights, sequences) / math.log(10)
             columns["model"] = (np.array(columns["model"]) + scores).tolist()

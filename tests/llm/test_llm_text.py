@@ -248,6 +248,26 @@ def test_scores_do_not_depend_on_windows_or_streams():
     assert math.isclose(np.exp(gru.score(weights, one)).sum(), 1.0, rel_tol=1e-4)
 
 
+def test_streams_keep_the_order_of_texts_and_stay_even():
+    sizes = [3, 90, 5, 40, 7, 60, 2, 80, 4, 30]
+    streams = gru.streams_of([np.full(n, k + 1, np.int32) for k, n in enumerate(sizes)], 4)
+    assert streams.words.shape == (max(streams.words.shape[0], 90), 3)
+    begun = [streams.text[:, k][streams.first[:, k]].tolist() for k in range(3)]
+    assert begun == [sorted(b) for b in begun] and sorted(sum(begun, [])) == list(range(10))
+    for k, n in enumerate(sizes):
+        assert (streams.text[streams.words >= 0] == k).sum() == n
+
+
+def test_words_of_many_texts_at_once():
+    texts = [None, b"", b" \n\t\x0b", b"A b  zz", "\u00c9 A\fb\u0085\u00a0 ".encode(), b"b\r\nzz\x00"]
+    words = {b"\n": 0, b"a": 2, b"b": 3}
+    ids, stops, places, distinct = lmscore.numbers(texts, words)
+    assert len(stops) == len(texts)
+    for text, own, at in zip(texts, np.split(ids, stops[:-1]), np.split(places, stops[:-1]), strict=True):
+        found = [*tx.lowered(text or b"").split(), b"\n"]
+        assert [distinct[k] for k in at] == found and own.tolist() == [words.get(w, -1) for w in found]
+
+
 def test_base_scores_and_held_out_gain(spark):
     folder = SF_DIR.replace("0.001", "0.01")
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
