@@ -6,7 +6,8 @@ word is that of its class times that of the word in its class.
 
 Texts are laid out in parallel streams and read in windows of ``steps`` words.
 The state goes on from window to window within a text and starts at zero with
-each text; gradients stop at the border of a window.
+each text (in learning, with each long piece of one); gradients stop at the
+border of a window.
 """
 
 from __future__ import annotations
@@ -93,11 +94,11 @@ def streams_of(texts: list[np.ndarray], most: int) -> Streams:
     return Streams(words, owner, first)
 
 
-def windows(streams: Streams, steps: int) -> Iterator[tuple[slice, np.ndarray]]:
-    """Each window and the words before its words; END comes before a text."""
+def windows(streams: Streams, steps: int, leads: np.ndarray | None = None) -> Iterator[tuple[slice, np.ndarray]]:
+    """Each window and the words before its words; END comes before a text, or its lead."""
     before = np.full_like(streams.words, END)
     before[1:] = np.where(streams.words[:-1] >= 0, streams.words[:-1], END)
-    before[streams.first] = END
+    before[streams.first] = END if leads is None else leads[streams.text[streams.first]]
     for at in range(0, len(streams.words), steps):
         yield slice(at, at + steps), before[at : at + steps]
 
@@ -207,10 +208,16 @@ class Learner:
         self.rate = rate
         self.seen = 0
 
-    def learn(self, texts: list[np.ndarray], steps: int = 16, most: int = 64) -> None:
-        streams = streams_of(texts, most)
+    def learn(self, texts: list[np.ndarray], steps: int = 16, most: int = 64, piece: int = 2048) -> None:
+        """Learn every word; a long text goes to the streams in pieces, or few streams would run as long as it does.
+
+        A piece knows the word before it; its state starts at zero.
+        """
+        pieces = [text[at : at + piece] for text in texts for at in range(0, len(text), piece)]
+        leads = np.array([text[at - 1] if at else END for text in texts for at in range(0, len(text), piece)], np.int32)
+        streams = streams_of(pieces, most)
         h = np.zeros((streams.words.shape[1], self.w["state"].shape[0]), self.w["state"].dtype)
-        for at, previous in windows(streams, steps):
+        for at, previous in windows(streams, steps, leads):
             h = self._window(streams.words[at], previous, streams.first[at], h)
 
     def _window(self, targets: np.ndarray, previous: np.ndarray, first: np.ndarray, h: np.ndarray) -> np.ndarray:

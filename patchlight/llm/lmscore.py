@@ -43,16 +43,16 @@ UNKNOWN = 1
 class Settings:
     """Folds, words that travel to the tasks and their length, shares of the training documents in each round, shape.
 
-    A pool is what is dealt to streams at a time: many times the longest ordinary text, so that it does not leave few streams.
+    Each round has its number of streams: few in the short rounds, for many small steps, more in the long one.
     """
 
     folds: int = 10
     common: int = 1 << 18
     longest: int = 64
     rounds: tuple[float, ...] = (0.02, 0.08, 0.9)
+    streams: tuple[int, ...] = (8, 16, 48)
     rate: float = 0.1
     pool_bytes: int = 16 << 20
-    pool_words: int = 1 << 20
     flush: int = 400_000
     shape: gru.Shape = gru.Shape()
 
@@ -181,11 +181,12 @@ def trained(docs: DataFrame, lex: Lexicon, settings: Settings = Settings()) -> g
     size = sum(v.size for v in weights.values())
     shared_words = spark.sparkContext.broadcast(lex)
     low = 0.0
-    for share in settings.rounds:
+    for k, share in enumerate(settings.rounds):
+        streams = settings.streams[min(k, len(settings.streams) - 1)]
         high = low + share
         shared = spark.sparkContext.broadcast(weights)
 
-        def learn(batches: Iterator[pa.RecordBatch], low=low, high=high, shared=shared) -> Iterator[pa.RecordBatch]:
+        def learn(batches: Iterator[pa.RecordBatch], low=low, high=high, shared=shared, streams=streams) -> Iterator[pa.RecordBatch]:
             lex, learner = shared_words.value, gru.Learner(shared.value, settings.rate)
             held: list[np.ndarray] = []
             for part, texts in tx.slices(batches):
@@ -194,10 +195,10 @@ def trained(docs: DataFrame, lex: Lexicon, settings: Settings = Settings()) -> g
                 if own:
                     ids, stops = numbers(own, lex.words)[:2]
                     held.extend(np.split(in_model(ids, lex.known), stops[:-1]))
-                if sum(map(len, held)) > settings.pool_words:
-                    learner.learn(held)
+                if sum(map(len, held)) > 1 << 17:
+                    learner.learn(held, most=streams)
                     held = []
-            learner.learn(held)
+            learner.learn(held, most=streams)
             values = np.append(gru.packed(learner.w).astype(float) * learner.seen, learner.seen)
             for at in range(0, len(values) if learner.seen else 0, CHUNK):
                 row = pa.array([values[at : at + CHUNK].tolist()], pa.list_(pa.float64()))
