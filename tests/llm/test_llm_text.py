@@ -258,6 +258,14 @@ def test_streams_keep_the_order_of_texts_and_stay_even():
         assert (streams.text[streams.words >= 0] == k).sum() == n
 
 
+def test_a_long_text_does_not_leave_few_streams(monkeypatch):
+    rng, calls, step = np.random.default_rng(2), [], gru.Learner._window
+    monkeypatch.setattr(gru.Learner, "_window", lambda self, *given: calls.append(given[0].size) or step(self, *given))
+    learner = gru.Learner(gru.start(gru.Shape(2, 4, 4, 4), np.ones(8)))
+    learner.learn([rng.integers(0, 8, n).astype(np.int32) for n in (20_000, *[100] * 60)])
+    assert learner.seen == 26_000 and len(calls) < 300
+
+
 def test_words_of_many_texts_at_once():
     texts = [None, b"", b" \n\t\x0b", b"A b  zz", "\u00c9 A\fb\u0085\u00a0 ".encode(), b"b\r\nzz\x00"]
     words = {b"\n": 0, b"a": 2, b"b": 3}
