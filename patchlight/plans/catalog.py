@@ -881,11 +881,12 @@ def labelled_photos(spark, sf_dir):
     file = F.when(kind == 0, bitmap(F.col("pixels"), *PHOTO_SIZES[0])).when(kind == 1, bitmap(F.col("pixels"), *PHOTO_SIZES[1]))
     file = file.otherwise(bitmap(F.col("pixels"), *PHOTO_SIZES[2]))
     folder = F.concat(F.lit("n"), F.col("label"))
-    table.select(byte_text(file), folder.alias("kind"), F.col("image_id").alias("image")).repartition(8, "image").write.partitionBy("kind", "image").text(path)
+    named = table.select(F.unhex(file).alias("content"), folder.alias("kind"), F.col("image_id").alias("image"))
+    writers.write_files(named, path, "kind", "image", ".bmp")
     labels = spark.createDataFrame([(f"n{k}", 2 * k) for k in range(CLASSES)], "key string, class int")
-    files = readers.read_labelled_files(spark, path, labels, r"/kind=(n\d+)/", "part-*")
+    files = readers.read_labelled_files(spark, path, labels, r"/kind=(n\d+)/", "{image=*,part-*}")
     photos = pooling.resize_each(readers.decoded_pixels(files), 8, 8)
-    keyed = photos.select(F.regexp_extract("path", r"/image=(\d+)/", 1).cast("bigint").alias("image_id"), "class", "pixels")
+    keyed = photos.select(F.regexp_extract("path", r"/image=(\d+)", 1).cast("bigint").alias("image_id"), "class", "pixels")
     return rows(cv.layer_stack(keyed, [PHOTO_LAYER]), "features", ("image_id", "class"))
 
 

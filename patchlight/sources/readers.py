@@ -6,11 +6,13 @@ Every reader returns keyed rows. None reads a file on the driver.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD
+from pyspark import RDD, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from patchlight.functions.batches import MODEL_VALUES, VECTOR, from_matrix
 from patchlight.layout import Shape, with_shape
 from patchlight.operators.joins import label_files, pair_rows
-from patchlight.session import path_exists, written
+from patchlight.session import fresh_path, path_exists, store_of, written
 
 # Fixed values of the formats: IDX magic numbers and header lengths, bytes per pixel value.
 IDX_IMAGES, IDX_IMAGES_HEADER = 2051, 16
@@ -29,6 +31,20 @@ BYTE_SCALE = 255.0
 PIECE_BYTES = 1 << 16
 FILE_RECORDS = 1 << 40
 
+# Files that the driver lists together (0.7 KB each), where folders let them be told apart, folders in one folder
+# that it counts for that, lists that it makes at a time, and tasks that read the files of one at least.
+LISTED_FILES = 50_000
+COUNTED_FOLDERS = 5_000
+LISTINGS = 4
+READ_TASKS = 32
+
+# Names of files that may be plain bitmaps, and what their header holds: mark, start of the pixels, length of the
+# second header, width, height, planes, bits and compression. Mode of the image source for three channels of bytes.
+BITMAP_NAME = r"\.(bmp|dib)$"
+BITMAP_HEAD = "<2s8xIIiiHHI"
+BITMAP_PIXELS = 54
+THREE_BYTES = 16
+
 LINE_KEYS = ("path", "block_start")
 
 
@@ -276,16 +292,131 @@ def read_matrix_csv(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
     return pair_rows(x, y, "line_no").withColumnRenamed("line_no", "image_id")
 
 
+def folder_groups(spark: SparkSession, path: str, most: int) -> list[list[str]]:
+    """Folders at or below a path in groups, which together hold every file that a reader of the path finds.
+
+    A group holds at most ``most`` files, unless one folder alone holds more. A folder
+    that holds files beside folders, or more than COUNTED_FOLDERS, is not split.
+    """
+    if not path_exists(spark, path):  # a pattern, or nothing
+        return [[path]]
+    at, store = spark._jvm.org.apache.hadoop.fs.Path, store_of(spark, path)
+
+    def inner(folder: str) -> list[str]:
+        found, inside = [], store.listStatus(at(folder))
+        for status in inside if len(inside) <= COUNTED_FOLDERS else ():
+            name = status.getPath().getName()
+            if name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"):  # Spark's readers pass over these
+                continue
+            if not status.isDirectory() or set(name) & set("{}[]*?\\"):
+                return []
+            found.append(status.getPath().toString())
+        return found
+
+    def counted(folder: str) -> tuple[str, int, bool]:
+        """The folder, the files below it, and whether it has folders."""
+        summary = store.getContentSummary(at(folder))
+        return folder, summary.getFileCount(), summary.getDirectoryCount() > 1
+
+    def parts(folder: str) -> list[tuple[str, int]]:
+        with ThreadPoolExecutor(LISTINGS) as pool:
+            counts = list(pool.map(counted, inner(folder)))
+        if not counts:
+            return [(folder, most)]
+        return [p for f, n, deep in counts for p in (parts(f) if deep and n > most else [(f, n)])]
+
+    groups: list[list[str]] = []
+    held = 0
+    for folder, files in parts(path):
+        if not groups or held + files > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(folder)
+        held += files
+    return groups if len(groups) > 1 else [[path]]
+
+
+def plain_bitmap(content: bytes) -> tuple[int, int, bytes] | None:
+    """Width, height and pixels (top row first, blue, green, red) of a bitmap of 24 bits without palette or compression; None for other files."""
+    if len(content) < BITMAP_PIXELS:
+        return None
+    mark, start, head, width, height, planes, bits, packed = struct.unpack_from(BITMAP_HEAD, content)
+    line = -(-3 * width // 4) * 4
+    if (mark, start, head, planes, bits, packed) != (b"BM", BITMAP_PIXELS, 40, 1, 24, 0) or width < 1 or height < 1:
+        return None
+    if len(content) < BITMAP_PIXELS + line * height:
+        return None
+    lines = np.frombuffer(content, np.uint8, line * height, BITMAP_PIXELS).reshape(height, line)
+    return width, height, lines[::-1, : 3 * width].tobytes()
+
+
+IMAGE_PARTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("height", "width", "nChannels", "mode")] + [T.StructField("data", T.BinaryType())])
+
+
+def decode_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, content) to (file, height, width, nChannels, mode, data) as of the image source; nulls for what is no plain bitmap."""
+    kinds = [pa.int32()] * 4 + [pa.binary()]
+    for batch in batches:
+        found = [plain_bitmap(content) for content in batch.column("content").to_pylist()]
+        rows = [(None,) * 5 if x is None else (x[1], x[0], 3, THREE_BYTES, x[2]) for x in found]
+        columns = [pa.array(v, kind) for v, kind in zip(zip(*rows), kinds)] if rows else [pa.array([], kind) for kind in kinds]
+        yield pa.RecordBatch.from_arrays([batch.column("file"), *columns], names=["file", *IMAGE_PARTS.names])
+
+
+def read_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Image files at or below a path as the rows (image) of Spark's image source; files that do not decode stay, with no channels.
+
+    That source takes some 5 ms of CPU for a file however small, so files named as
+    bitmaps are read as bytes, group by group of folders, and plain ones are
+    decoded in Arrow batches and kept in the shared folder. The image source
+    reads all others: those with other names, and bitmaps that are not plain.
+    """
+
+    def listed(kind: str, folders: list[str]) -> DataFrame:
+        reader = spark.read.format(kind).option("recursiveFileLookup", True)
+        if kind == "image":
+            reader = reader.option("dropInvalid", False)
+        if glob:
+            reader = reader.option("pathGlobFilter", glob)
+        return reader.load(folders)
+
+    file, named = F.col("_metadata.file_path").alias("file"), F.lower("_metadata.file_name").rlike(BITMAP_NAME)
+    kept = fresh_path(spark, "bitmaps")
+    tasks = max(READ_TASKS, 4 * spark.sparkContext.defaultParallelism)
+    groups = folder_groups(spark, path, LISTED_FILES)
+    schema = T.StructType([T.StructField("file", T.StringType()), *IMAGE_PARTS])
+
+    def keep(number: int) -> bool:
+        """Decode the plain bitmaps of a group; whether it has files of other names."""
+        files = listed("binaryFile", groups[number])
+        bitmaps = files.where(named).select(file, "content").coalesce(tasks).mapInArrow(decode_bitmaps, schema)
+        bitmaps.withColumn("group", F.lit(number)).write.parquet(f"{kept}/{number}")
+        return not files.where(~named).isEmpty()
+
+    with ThreadPoolExecutor(LISTINGS) as pool:
+        mixed = [number for number, others in enumerate(pool.map(inheritable_thread_target(spark)(keep), range(len(groups)))) if others]
+    bitmaps = spark.read.schema(T.StructType([*schema, T.StructField("group", T.IntegerType())])).parquet(*(f"{kept}/{number}" for number in range(len(groups))))
+    odd = bitmaps.where("data is null")
+    torn = [row["group"] for row in odd.select("group").distinct().collect()]
+    # The image source writes an empty host as //.
+    origin = F.regexp_replace("file", "^([a-z0-9]+):/(?!/)", "$1:///").alias("origin")
+    images = bitmaps.where("data is not null").select(F.struct(origin, *IMAGE_PARTS.names).alias("image"))
+    folders = lambda numbers: [f for number in numbers for f in groups[number]]
+    if mixed:
+        images = images.unionByName(listed("image", folders(mixed)).where(~named).select("image"))
+    if torn:
+        left = listed("image", folders(torn)).where(named).select("image", file)
+        images = images.unionByName(left.join(odd.select("file"), "file", "left_semi").select("image"))
+    return images
+
+
 def read_labelled_files(spark: SparkSession, path: str, labels: DataFrame, pattern: str, glob: str | None = None) -> DataFrame:
     """Image files with the class of the key found in their path: (path, key, class, image).
 
     ``labels`` is (key, class); files whose key has no class are left out. Files
     that do not decode stay, with no channels: see ``undecoded``.
     """
-    reader = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).select(F.col("image.origin").alias("path"), "image")
+    files = read_images(spark, path, glob).select(F.col("image.origin").alias("path"), "image")
     return label_files(files.withColumn("key", F.regexp_extract("path", pattern, 1)), labels, "key")
 
 

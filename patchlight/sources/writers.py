@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlight.session import path_exists
+from patchlight.session import local_path, path_exists
 from patchlight.solvers.whitening import Whitener
 from patchlight.sources.readers import read_matrix_lines
 
@@ -46,6 +49,60 @@ def write_scores(df: DataFrame, path: str, mode: str = "error") -> None:
     df.select(F.concat_ws(",", fields).alias("value")).write.mode(mode).text(path)
 
 
+# Characters that Spark's writers escape in the names of folders, and their name of none.
+ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\{\[\]^\x7f]""")
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+# Files in a folder, as far as they are dealt out by hash, and tasks that write them at least.
+FOLDER_FILES = 20_000
+FILE_TASKS = 32
+
+
+def folder_name(column: str, value: str | None) -> str:
+    """Name of a value's folder, as Spark's writers have it."""
+    return f"{column}=" + (ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", value) if value else NO_VALUE)
+
+
+def write_files(df: DataFrame, path: str, folder: str, name: str, suffix: str = "") -> None:
+    """One file with the binary ``content`` of a row for each pair of values of the columns ``folder`` and ``name``.
+
+    Of rows with one pair, one is read back. On a path that tasks can open they write
+    ``<path>/<folder>=<value>/<name>=<value><suffix>`` themselves, each file whole
+    or not at all: there Spark's writers start a process to set the rights of every
+    file. More than FOLDER_FILES lie in folders ``files-<number>`` in between. In
+    other stores Spark writes ``<path>/<folder>=<value>/<name>=<value>/part-*``.
+    """
+    spark = df.sparkSession
+    if path_exists(spark, path):
+        raise ValueError(f"{path} exists")
+    tasks = max(FILE_TASKS, 4 * spark.sparkContext.defaultParallelism)
+    rows = df.select(F.col(folder).cast("string"), F.col(name).cast("string"), "content").repartition(tasks, folder, name)
+    top = local_path(spark, path)
+    if top is None:
+        rows.select(folder, name, F.col("content").cast("string").alias("value")).write.partitionBy(folder, name).text(path)
+        return
+    os.makedirs(top)
+    folders = -(-df.count() // FOLDER_FILES)
+    dealt = F.pmod(F.xxhash64(folder, name), F.lit(max(1, folders))).cast("int").alias("__folder")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = last = None
+        for batch in batches:
+            for kind, file, content, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (kind, file) == last:
+                    continue
+                last, target = (kind, file), f"{top}/{folder_name(folder, kind)}" + (f"/files-{part:05d}" if folders > 1 else "")
+                if target != begun:
+                    os.makedirs(begun := target, exist_ok=True)
+                hidden = f"{target}/.{uuid.uuid4().hex}"
+                with open(hidden, "wb") as out:
+                    out.write(content or b"")
+                os.replace(hidden, f"{target}/{folder_name(name, file)}{suffix}")
+        yield from ()
+
+    rows.select("*", dealt).sortWithinPartitions(folder, "__folder", name).mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
+
+
 def write_dataset(df: DataFrame, path: str, mode: str = "error") -> None:
     """Dataset records (data, label, label_weights, name) as Parquet."""
     df.select("data", F.col("label").cast("int").alias("label"), "label_weights", "name").write.mode(mode).parquet(path)

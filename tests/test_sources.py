@@ -1,6 +1,7 @@
 """Files written and read back, and the exact byte formats."""
 
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -139,6 +140,93 @@ def test_labelled_image_files(spark, tmp_path):
     assert listed.count() == 3 and "content" not in listed.columns
 
 
+def bitmap(pixels, start=54, lines=None):
+    height, width = pixels.shape[:2]
+    body = b"".join(row.astype(np.uint8).tobytes() + b"\0" * (-3 * width % 4) for row in pixels[::-1, :, ::-1][:lines])
+    head = struct.pack("<2sIHHI", b"BM", start + len(body), 0, 0, start)
+    return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 0, 0, 0, 0) + b"\0" * (start - 54) + body
+
+
+def png(pixels):
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 2, 0, 0, 0)
+    lines = b"".join(b"\0" + row.astype(np.uint8).tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def image_rows(df):
+    return sorted(tuple(r["image"]) for r in df.select("image").collect())
+
+
+def test_image_files_of_all_kinds_are_those_of_the_image_source(spark, tmp_path, monkeypatch):
+    """Plain bitmaps without the image source, which takes milliseconds a file; all others with it; folders in groups."""
+    rng = np.random.default_rng(3)
+    path = tmp_path / "all kinds"
+    for k, (height, width) in enumerate(((1, 1), (2, 3), (5, 4), (3, 7))):
+        folder = path / f"n0{k}" / "inner"
+        folder.mkdir(parents=True)
+        pixels = rng.integers(0, 256, size=(height, width, 3))
+        (folder / f"a {k}%.bmp").write_bytes(bitmap(pixels))
+        (folder / f"b{k}.BMP").write_bytes(bitmap(pixels) + b"\nbehind the pixels")
+    assert "FileScan image" not in plan_of(readers.read_images(spark, str(path)))
+    assert image_rows(readers.read_images(spark, str(path))) == image_rows(spark.read.format("image").option("recursiveFileLookup", True).load(str(path)))
+    (path / "n01" / "inner" / "palette.bmp").write_bytes(bitmap(pixels, start=58))
+    (path / "n01" / "inner" / "torn.bmp").write_bytes(bitmap(pixels, lines=1))
+    (path / "n01" / "inner" / "head.bmp").write_bytes(bitmap(pixels)[:20])
+    (path / "n02" / "inner" / "c.png").write_bytes(png(pixels))
+    (path / "n02" / "inner" / "png.bmp").write_bytes(png(pixels))
+    (path / "n03" / "inner" / "text").write_bytes(b"no image")
+    (path / "_hidden").mkdir()
+    (path / "_hidden" / "d.bmp").write_bytes(bitmap(pixels))
+    source = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True)
+    want = image_rows(source.load(str(path)))
+    assert len(want) == 14 and sum(row[3] == -1 for row in want) >= 3
+    assert image_rows(readers.read_images(spark, str(path))) == want
+    assert image_rows(readers.read_images(spark, f"{path}/n0[12]")) == image_rows(source.load(f"{path}/n0[12]"))
+    assert image_rows(readers.read_images(spark, str(path), "*.bmp")) == image_rows(source.option("pathGlobFilter", "*.bmp").load(str(path)))
+    monkeypatch.setattr(readers, "LISTED_FILES", 5)
+    assert len(readers.folder_groups(spark, str(path), 5)) >= 3
+    assert image_rows(readers.read_images(spark, str(path))) == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_files_written_by_tasks_or_by_spark_read_alike(spark, tmp_path, monkeypatch):
+    """A file for each pair of names; not a folder for each, since every folder is listed on its own."""
+    pixels = np.random.default_rng(4).integers(0, 256, size=(40, 2, 3, 3))
+    rows = [(f"n{i % 2}" if i else None, i, bytearray(bitmap(p))) for i, p in enumerate(pixels)]
+    table = spark.createDataFrame([*rows, rows[7], rows[8]], "kind string, image bigint, content binary")
+    labels = spark.createDataFrame([("n0", 5), ("n1", 6)], "key string, class int")
+
+    def found(path):
+        files = readers.read_labelled_files(spark, path, labels, r"/kind=(n\d+)/", "{image=*,part-*}")
+        number = F.regexp_extract("path", r"/image=(\d+)", 1).cast("int")
+        return sorted((r[0], r["class"], r["pixels"]) for r in readers.decoded_pixels(files).select(number, "class", "pixels").collect())
+
+    want = [(i, 5 + i % 2, p.reshape(-1).tolist()) for i, p in enumerate(pixels) if i]
+    for most in (100, 7):
+        monkeypatch.setattr(writers, "FOLDER_FILES", most)
+        writers.write_files(table, f"{tmp_path}/own{most}", "kind", "image", ".bmp")
+        files = [p for p in (tmp_path / f"own{most}").rglob("*") if p.is_file()]
+        assert len(files) == 40 and len({p.parent for p in files}) <= 3 * -(-42 // most)
+        assert found(f"{tmp_path}/own{most}") == want
+    with pytest.raises(ValueError, match="exists"):
+        writers.write_files(table, f"{tmp_path}/own7", "kind", "image", ".bmp")
+    monkeypatch.setattr(writers, "local_path", lambda spark, path: None)
+    writers.write_files(table, f"{tmp_path}/spark", "kind", "image", ".bmp")
+    assert found(f"{tmp_path}/spark") == want
+    writers.write_files(table.where("image < 0"), f"{tmp_path}/none", "kind", "image", ".bmp")
+    assert found(f"{tmp_path}/none") == []
+
+
+def test_empty_tables_leave_an_empty_folder(spark, tmp_path):
+    table = spark.createDataFrame([], "kind string, image bigint, content binary")
+    writers.write_files(table, f"{tmp_path}/none", "kind", "image", ".bmp")
+    assert readers.read_images(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_scores_and_datasets(spark):
     path = fresh_path(spark, "t")
     table = spark.createDataFrame([(7, 1, [0.1, -2.5e-11]), (8, 0, [1.0 / 3.0, 4.0])], "row_id bigint, label int, scores array<double>")
